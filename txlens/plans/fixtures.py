@@ -314,3 +314,48 @@ faulty_all AS (
   FROM txn
 ),
 faulty AS (SELECT * FROM faulty_all WHERE transaction_id IS NOT NULL)"""
+
+
+# Browser signals of the fixture sessions.  FIXED FIXTURE VALUES:
+# time zone by event_id % 3.
+FIXTURE_ZONES = ["Asia/Kolkata", "Asia/Dubai", "Europe/Paris"]
+
+
+def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed feed plus ``event_ts``, ``device_id`` ('d' || k % 4), ``timezone`` and ``reason``."""
+    t = transactions(spark, sf_dir, extra=True)
+    zone = F.when(F.col("event_id") % 3 == 0, FIXTURE_ZONES[0]).when(
+        F.col("event_id") % 3 == 1, FIXTURE_ZONES[1]).otherwise(FIXTURE_ZONES[2])
+    reason = F.when(F.col("k") % 5 == 0, F.lit(None).cast("string")).when(
+        F.col("status") == "blocked", "Edge anomaly threshold exceeded").otherwise("Standard transfer pattern")
+    return (t.withColumn("event_ts", F.try_to_timestamp("event_time"))
+            .withColumn("device_id", F.concat(F.lit("d"), (F.col("k") % 4).cast("string")))
+            .withColumn("timezone", zone)
+            .withColumn("reason", reason))
+
+
+def sql_sessions() -> str:
+    return sql_transactions() + f""",
+sess AS (
+  SELECT *, 'd' || CAST(k % 4 AS VARCHAR) AS device_id,
+         CASE WHEN event_id % 3 = 0 THEN '{FIXTURE_ZONES[0]}'
+              WHEN event_id % 3 = 1 THEN '{FIXTURE_ZONES[1]}'
+              ELSE '{FIXTURE_ZONES[2]}' END AS timezone,
+         CASE WHEN k % 5 = 0 THEN NULL
+              WHEN status = 'blocked' THEN 'Edge anomaly threshold exceeded'
+              ELSE 'Standard transfer pattern' END AS reason
+  FROM txn
+)"""
+
+
+def sql_raw_faulty() -> str:
+    """CTE ``rawf``: the faulty feed as text (the input of validation)."""
+    cols = []
+    for c in REQUIRED_COLUMNS:
+        expr = f"CAST({c} AS VARCHAR)"
+        cases = [f"WHEN k = {k} THEN {_sql_quote(text)}" for k, (fc, text) in FAULTS.items() if fc == c]
+        if cases:
+            expr = f"CASE {' '.join(cases)} ELSE {expr} END"
+        cols.append(f"{expr} AS {c}")
+    return sql_transactions(duplicates=True) + """,
+rawf AS (SELECT """ + ", ".join(cols) + ", k FROM txn)"
