@@ -48,7 +48,7 @@ def register(name: str, sql: str | None = None, doubles: list[str] | None = None
 def oracle_text(sql: str, doubles: list[str]) -> str:
     if not doubles:
         return sql.strip()
-    repl = ", ".join(f"round(CAST({c} AS DOUBLE), {ROUND_DIGITS}) AS {c}" for c in doubles)
+    repl = ", ".join(f"(round(CAST({c} AS DOUBLE), {ROUND_DIGITS}) + 0.0) AS {c}" for c in doubles)
     return f"SELECT * REPLACE ({repl}) FROM (\n{sql.strip()}\n) AS q"
 
 
