@@ -124,17 +124,17 @@ def led3(spark, sf):
 
 @register("snk4_insert_skip_duplicates", """
   WITH o AS (SELECT o_orderkey, o_custkey, o_orderdate, o_totalprice FROM orders),
-  existing AS (SELECT o_orderkey FROM o WHERE o_orderdate < TIMESTAMP '1995-01-01'),
+  existing AS (SELECT o_orderkey FROM o WHERE o_orderdate < TIMESTAMP '1997-01-01'),
   batch AS (SELECT o_orderkey, o_custkey, o_orderdate, o_totalprice, 0 AS seq FROM o
             UNION ALL SELECT o_orderkey, o_custkey + 1, o_orderdate, o_totalprice, 1 AS seq FROM o WHERE o_custkey % 3 = 0),
   fresh AS (SELECT * FROM batch WHERE o_orderkey NOT IN (SELECT o_orderkey FROM existing)),
   firsts AS (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY seq) AS rn FROM fresh)
   SELECT o_orderkey, o_custkey, seq FROM firsts WHERE rn = 1""")
 def snk4(spark, sf):
-    """Orders from 1995 on appended to a ledger holding the older ones; in-batch
+    """Orders from 1997 on appended to a ledger holding the older ones; in-batch
     repeats (a second copy of some orders) are skipped, first one wins."""
     o = fx.table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
-    existing = o.filter(F.col("o_orderdate") < F.lit("1995-01-01").cast("timestamp_ntz"))
+    existing = o.filter(F.col("o_orderdate") < F.lit("1997-01-01").cast("timestamp_ntz"))
     batch = (o.withColumn("seq", F.lit(0))
              .unionByName(o.filter(F.col("o_custkey") % 3 == 0)
                           .withColumn("o_custkey", F.col("o_custkey") + 1).withColumn("seq", F.lit(1))))

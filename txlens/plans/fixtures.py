@@ -359,3 +359,40 @@ def sql_raw_faulty() -> str:
         cols.append(f"{expr} AS {c}")
     return sql_transactions(duplicates=True) + """,
 rawf AS (SELECT """ + ", ".join(cols) + ", k FROM txn)"
+
+
+def card_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Card-style dataset from ``events``: Time (s since 2024-01-01), V10/V12/V14
+    from k, Amount = value, Class = 1 for k >= 90."""
+    ev = table(spark, sf_dir, "events").select("event_id", "ts", "value", _k().alias("k"))
+    t0 = 1704067200.0
+    return ev.select(
+        "event_id",
+        (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 - F.lit(t0)).alias("Time"),
+        ((F.col("k") * 13) % 100 - 50).cast("double").__truediv__(10.0).alias("V10"),
+        ((F.col("k") * 7) % 100 - 50).cast("double").__truediv__(10.0).alias("V12"),
+        (F.col("k") - 50).cast("double").__truediv__(10.0).alias("V14"),
+        F.col("value").alias("Amount"),
+        F.when(F.col("k") >= 90, 1).otherwise(0).alias("Class"))
+
+
+def sql_card() -> str:
+    return """
+cev AS (SELECT event_id, ts, value, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events),
+card AS (
+  SELECT event_id, epoch(ts) - 1704067200.0 AS "Time",
+         CAST((k * 13) % 100 - 50 AS DOUBLE) / 10.0 AS V10,
+         CAST((k * 7) % 100 - 50 AS DOUBLE) / 10.0 AS V12,
+         CAST(k - 50 AS DOUBLE) / 10.0 AS V14,
+         value AS "Amount", CASE WHEN k >= 90 THEN 1 ELSE 0 END AS "Class"
+  FROM cev
+)"""
+
+
+def training_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five features + Class from the feed: amount / 10, label = heuristic score > 2.2."""
+    from txlens.functions.rules import heuristic_label
+    t = transactions(spark, sf_dir, extra=True)
+    base = t.select("transaction_id", (F.col("amount") / 10.0).alias("amount"),
+                    F.col("hour").cast("double").alias("hour"), "device_risk", "location_risk", "txn_velocity")
+    return base.withColumn("Class", heuristic_label())
