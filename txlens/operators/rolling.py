@@ -114,26 +114,32 @@ def _by_sweep(df, specs, key, order, cell_seconds):
             return F.lit(0).cast("long")
         return F.lit(0).cast(SUM_DECIMAL)
 
-    t = F.col(order).cast("long")
-    real = df.select(
-        "*",
-        t.alias("__t"),
-        F.lit(0).alias("__kind"),
-        *[value_of(c, kind).alias(mname[(c, L, kind)]) for (c, L, kind) in measures],
+    # One pass: every row becomes itself (kind 0) plus one expiry row per frame
+    # length (kind i at t + L_i + 1).  Expiry rows carry only key, time and
+    # deltas; their other columns are NULL.
+    kinds = list(range(len(lengths) + 1))
+    shift = F.lit(0).cast("long")
+    for i, length in enumerate(lengths, start=1):
+        shift = F.when(F.col("__kind") == i, F.lit(length + 1).cast("long")).otherwise(shift)
+    base = df.select("*", F.col(order).cast("long").alias("__t0"),
+                     F.explode(F.array(*[F.lit(k) for k in kinds])).alias("__kind"))
+    base = base.filter((F.col("__kind") == 0) | F.col("__t0").isNotNull())
+
+    def delta(m):
+        column, length, kind = m
+        v = value_of(column, kind)
+        k_exp = lengths.index(length) + 1
+        return (F.when(F.col("__kind") == 0, v)
+                .when(F.col("__kind") == k_exp, -v)
+                .otherwise(zero(kind, column)))
+
+    real_only = F.col("__kind") == 0
+    events = base.select(
+        *[F.col(c) if c == key else F.when(real_only, F.col(c)).alias(c) for c in df.columns],
+        (F.col("__t0") + shift).alias("__t"),
+        "__kind",
+        *[delta(m).alias(mname[m]) for m in measures],
     )
-    pieces = [real]
-    for length in lengths:
-        expiry = real.filter(F.col("__t").isNotNull()).select(
-            F.col(key),
-            (F.col("__t") + F.lit(length + 1)).alias("__t"),
-            F.lit(1).alias("__kind"),
-            *[(-F.col(mname[m]) if m[1] == length else zero(m[2], m[0])).alias(mname[m])
-              for m in measures],
-        )
-        pieces.append(expiry)
-    events = pieces[0]
-    for p in pieces[1:]:
-        events = events.unionByName(p, allowMissingColumns=True)
     events = events.withColumn("__cell", F.floor(F.col("__t") / F.lit(cell_seconds)).cast("long"))
 
     delta_cols = [mname[m] for m in measures]

@@ -17,12 +17,11 @@ def _num(c: str) -> Column:
     return F.col(c).cast("string").try_cast("double")
 
 
-def _finite(x: Column) -> Column:
-    return x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))
-
-
 def _between(x: Column, lo, hi) -> Column:
-    return _finite(x) & (x >= lo) & (x <= hi)
+    """x in [lo, hi] for finite bounds.  Spark orders NaN above +Inf, so the two
+    comparisons also reject NaN and +-Inf; NULL counts as failing.  Each value
+    is referenced twice only: Catalyst inlines it into the pushed-down filter."""
+    return F.coalesce((x >= lo) & (x <= hi), F.lit(False))
 
 
 def transaction_rules(df: DataFrame) -> dict[str, Column]:
@@ -31,7 +30,7 @@ def transaction_rules(df: DataFrame) -> dict[str, Column]:
     hour = _num("hour")
     text = F.col("event_time").cast("string")
     rules = {
-        "amount_positive": _finite(amount) & (amount > 0),
+        "amount_positive": F.coalesce((amount > 0) & (amount < F.lit(float("inf"))), F.lit(False)),
         "event_time_iso": F.coalesce(text.rlike(ISO_UTC_PATTERN), F.lit(False))
         & F.try_to_timestamp(text).isNotNull(),
         "hour_int_0_23": _between(hour, K.TXN_HOUR_MIN, K.TXN_HOUR_MAX) & (hour == F.floor(hour)),
