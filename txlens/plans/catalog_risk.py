@@ -15,6 +15,7 @@ from txlens.plans import fixtures as fx
 from txlens.plans.catalog import register
 from txlens.plans.catalog_features import features
 from txlens.plans.risk_job import scored_rows
+from txlens.session import materialize
 
 SEED = K.RISK_SEED
 FLAGGED_AT = "2024-02-01 00:00:00"
@@ -58,7 +59,7 @@ urisk AS (SELECT user_id, avg(risk_score) AS risk_score FROM scored
 
 
 def _smote(spark, sf):
-    return with_oversample(assign_city(features(spark, sf), "transaction_id", SEED))
+    return with_oversample(materialize(assign_city(features(spark, sf), "transaction_id", SEED)))
 
 
 def _scored(spark, sf):

@@ -12,11 +12,14 @@ from txlens import constants as K
 from txlens.operators.joins import assign_city
 from txlens.operators.risk import blacklist, hotspots, kmeans, risk_score, user_risk, zscore
 from txlens.operators.sampling import with_oversample
+from txlens.session import materialize
 
 
 def scored_rows(features: DataFrame, seed: int = K.RISK_SEED, balanced: bool = True,
                 cluster: bool = True, cluster_starts: int = K.CLUSTER_STARTS) -> DataFrame:
-    geo = assign_city(features, "transaction_id", seed)
+    # The feature table is read several times below (counts, numbering of the
+    # flagged rows, the union, the statistics): materialise it once.
+    geo = materialize(assign_city(features, "transaction_id", seed))
     smote = with_oversample(geo, "cloud_rule_risk", "transaction_id", seed, balanced=balanced)
     if cluster:
         z = zscore(smote, K.CLUSTER_FEATURES, ddof=1)

@@ -60,3 +60,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     spark.conf.set("spark.checkpoint.dir", local)
     spark.sparkContext.setCheckpointDir(local)
     return spark.sparkContext.getCheckpointDir() or local
+
+
+def materialize(df):
+    """Cut lineage: write ``df`` once to the shared checkpoint folder and read it back.
+
+    Used where a large intermediate is read several times (the risk run reads
+    the feature table five times).  Reliable checkpoint, never a local one, so
+    a lost executor does not lose the data.
+    """
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
