@@ -1 +1,138 @@
-"""Catalog: io."""
+"""Catalog: sources and sinks.  Each query writes a table derived from the
+driver's tables into a fresh folder under the session's checkpoint folder
+and reads it back through the library's reader."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from txlens.constants import REQUIRED_COLUMNS
+from txlens.operators import ml as M
+from txlens.operators.joins import with_profile
+from txlens.operators.normalize import event_unix, normalize
+from txlens.plans import fixtures as fx
+from txlens.plans.catalog import ORACLE, register
+from txlens.plans.catalog_features import FEAT_OUT, features
+from txlens.session import checkpoint_dir
+from txlens.sources import feed as SRC
+from txlens.sources import sinks as SNK
+
+
+def scratch(spark, name: str) -> str:
+    return f"{checkpoint_dir(spark).rstrip('/')}/txlens-io/{name}-{uuid.uuid4().hex}"
+
+
+def _copy_oracle(src: str, dst: str) -> None:
+    ORACLE[dst] = ORACLE[src]
+
+
+@register("src1_read_transactions")
+def src1(spark, sf):
+    """Faulty text feed written as CSV, read back as text, normalised."""
+    path = scratch(spark, "feed")
+    SNK.append_transactions(fx.raw_feed(spark, sf, faulty=True, duplicates=True), path)
+    t = normalize(SRC.read_transactions(spark, path))
+    return t.withColumn("event_unix", event_unix("event_ts")).select(*REQUIRED_COLUMNS, "event_unix")
+
+
+@register("src3_read_features")
+def src3(spark, sf):
+    """Feature table published (parquet by event date, atomic swap) and read back."""
+    path = scratch(spark, "features")
+    SNK.write_features(features(spark, sf), path)
+    return SRC.read_features(spark, path).select(*FEAT_OUT)
+
+
+@register("src4_read_card_dataset")
+def src4(spark, sf):
+    """Card dataset written as CSV with header, read with the fixed schema, featurised."""
+    path = scratch(spark, "card")
+    card = fx.card_dataset(spark, sf).drop("event_id")
+    for i in range(1, 29):
+        if f"V{i}" not in card.columns:
+            card = card.withColumn(f"V{i}", F.lit(0.0))
+    card.select(*[f.name for f in SRC.CARD_SCHEMA.fields]).write.option("header", True).csv(path)
+    return M.card_features(SRC.read_card_dataset(spark, path))
+
+
+@register("src5_read_ledger")
+def src5(spark, sf):
+    """Users and profiles written as parquet tables, read back and joined."""
+    base = scratch(spark, "ledger")
+    fx.users(spark, sf).write.parquet(f"{base}/users")
+    fx.profiles(spark, sf).write.parquet(f"{base}/profiles")
+    fx.transactions(spark, sf).write.parquet(f"{base}/transactions")
+    led = SRC.read_ledger(spark, base)
+    j = with_profile(led["users"], led["profiles"])
+    return j.withColumn("has_profile", F.col("has_profile").cast("int"))
+
+
+@register("snk1_write_features_by_date")
+def snk1(spark, sf):
+    """Rows per event_date partition of the published feature table."""
+    path = scratch(spark, "features")
+    SNK.write_features(features(spark, sf), path)
+    return (spark.read.parquet(path).groupBy(F.col("event_date").cast("string").alias("event_date"))
+            .agg(F.count(F.lit(1)).alias("rows")))
+
+
+@register("snk3_append_transactions")
+def snk3(spark, sf):
+    """Two appends of rows whose reason holds a comma, a quote and a newline; read back."""
+    path = scratch(spark, "append")
+    s = fx.sessions(spark, sf).select(
+        "transaction_id", "user_id",
+        F.concat(F.lit('note, "quoted"\nline for '), F.col("transaction_id")).alias("reason"))
+    SNK.append_transactions(s, path)
+    SNK.append_transactions(s, path)
+    back = (spark.read.option("header", True).option("multiLine", True).option("quote", '"')
+            .option("escape", '"').csv(path))
+    return back.groupBy("transaction_id", "user_id", "reason").agg(F.count(F.lit(1)).alias("copies"))
+
+
+@register("snk2_write_risk_outputs")
+def snk2(spark, sf):
+    """Risk tables (without clustering) written and read back: table name and row count."""
+    from txlens.plans.risk_job import risk_job
+    path = scratch(spark, "risk")
+    outs = risk_job(features(spark, sf), "2024-02-01 00:00:00", cluster=False)
+    SNK.write_risk_outputs(outs, path)
+    parts = [spark.read.parquet(f"{path}/{n}").agg(F.count(F.lit(1)).alias("rows")).select(
+        F.lit(n).alias("table"), "rows") for n in ("blacklist", "enriched", "user_risk", "hotspots")]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@register("snk6_write_scaler_metrics")
+def snk6(spark, sf):
+    """Scaler and metrics artifacts written as JSON and read back (one row each)."""
+    path = scratch(spark, "model")
+    card = M.card_features(fx.card_dataset(spark, sf))
+    scaler = M.fit_scaler(card)
+    SNK.write_scaler(scaler, f"{path}/scaler")
+    pred = fx.transactions(spark, sf, extra=True).select(
+        F.col("edge_fraud_probability").alias("score"), F.when(F.col("k") >= 95, 1).otherwise(0).alias("Class"))
+    SNK.write_metrics(M.evaluate(pred, "score", "Class"), f"{path}/metrics")
+    sc = spark.read.json(f"{path}/scaler")
+    me = spark.read.json(f"{path}/metrics")
+    return sc.crossJoin(me).select(F.size("feature_names").alias("n_features"), "val_auc", "dataset_source")
+
+
+def _finish():
+    from txlens.plans import catalog_features, catalog_ml, catalog_reports  # noqa: F401
+    _copy_oracle("prj1_normalize", "src1_read_transactions")
+    _copy_oracle("features_job", "src3_read_features")
+    _copy_oracle("ml6_card_features", "src4_read_card_dataset")
+    _copy_oracle("jon2_with_profile", "src5_read_ledger")
+    ORACLE["snk1_write_features_by_date"] = ("WITH " + fx.sql_features() + """
+      SELECT CAST(CAST(event_ts AS DATE) AS VARCHAR) AS event_date, count(*) AS rows FROM featr GROUP BY 1""")
+    ORACLE["snk3_append_transactions"] = ("WITH " + fx.sql_transactions() + """
+      SELECT transaction_id, user_id, 'note, "quoted"' || chr(10) || 'line for ' || transaction_id AS reason,
+             CAST(2 AS BIGINT) AS copies FROM txn""")
+
+
+_finish()
