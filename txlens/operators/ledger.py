@@ -150,13 +150,8 @@ def closing_balance(profiles: DataFrame, gated: DataFrame) -> DataFrame:
                     .cast(MONEY).alias("closing_balance")))
 
 
-def process_transactions(feed: DataFrame, blacklist: DataFrame, profiles: DataFrame) -> DataFrame:
-    """LED3: blacklist (403) -> payload validation (400) -> balance gate (400) -> accepted.
-
-    ``feed`` holds the payload columns as text or typed values, ``user_id``
-    and ``transaction_id``.  One output row per input row with ``code``,
-    ``decision`` and ``message``.
-    """
+def decide_transactions(feed: DataFrame, blacklist: DataFrame, profiles: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """LED3 with the balance-gated rows: returns (decisions, gated rows)."""
     from txlens.operators.joins import block_blacklisted
     from txlens.operators.normalize import normalize
     from txlens.operators.validate import validate_transactions
@@ -173,7 +168,17 @@ def process_transactions(feed: DataFrame, blacklist: DataFrame, profiles: DataFr
     gated_out = gated.select("transaction_id", "user_id",
                              F.when(F.col("decision") == ACCEPTED, F.lit(200)).otherwise(F.lit(400)).alias("code"),
                              "decision", "message")
-    return denied_out.unionByName(invalid_out).unionByName(gated_out)
+    return denied_out.unionByName(invalid_out).unionByName(gated_out), gated
+
+
+def process_transactions(feed: DataFrame, blacklist: DataFrame, profiles: DataFrame) -> DataFrame:
+    """LED3: blacklist (403) -> payload validation (400) -> balance gate (400) -> accepted.
+
+    ``feed`` holds the payload columns as text or typed values, ``user_id``
+    and ``transaction_id``.  One output row per input row with ``code``,
+    ``decision`` and ``message``.
+    """
+    return decide_transactions(feed, blacklist, profiles)[0]
 
 
 def insert_skip_duplicates(existing: DataFrame, batch: DataFrame, key: str, order: str) -> DataFrame:
