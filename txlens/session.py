@@ -46,20 +46,19 @@ def ensure_session_defaults(spark: SparkSession) -> None:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for lineage cuts and staged outputs.
 
-    On a cluster this must be the shared location named by
-    ``spark.checkpoint.dir``; it is read from the session.  Only when the
-    setting is absent (tests, local runs) a fresh local scratch folder is
-    created and registered.
+    On a cluster this is the shared location named by ``spark.checkpoint.dir``
+    (read from the session).  Only when nothing is configured -- tests, local
+    runs -- a fresh local scratch folder is registered.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    current = sc.getCheckpointDir()
+    if current:
+        return current
+    configured = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        configured = spark.sparkContext.getCheckpointDir()
-    if configured:
-        return configured
-    local = tempfile.mkdtemp(prefix="txlens-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", local)
-    spark.sparkContext.setCheckpointDir(local)
-    return spark.sparkContext.getCheckpointDir() or local
+        configured = tempfile.mkdtemp(prefix="txlens-ckpt-")
+    sc.setCheckpointDir(configured)
+    return sc.getCheckpointDir() or configured
 
 
 def materialize(df):
