@@ -11,34 +11,64 @@ from txlens.plans.catalog import ORACLE, register
 from txlens.plans.catalog_features import FEAT_OUT
 from txlens.plans.catalog_io import scratch
 from txlens.sources.feed import RAW_SCHEMA
+from txlens.sources.sinks import _fs
 from txlens.streaming import feature_stream as ST
 
 
-def write_daily_files(spark, sf, path, faulty=False):
-    """The raw feed (with duplicates) as CSV, one folder per event day, written in day order."""
-    feed = fx.raw_feed(spark, sf, faulty=faulty, duplicates=True)
-    day = F.substring("event_time", 1, 10)
-    days = sorted(r[0] for r in feed.select(day.alias("d")).distinct().collect() if r[0])
-    return feed, day, days
-
+def run_feature_stream(spark, sf, files_per_batch=5, newest_first=False, **updater_args):
+    """Stream the fixture feed, one CSV part per event day, ``files_per_batch`` per micro-batch.
 
-def run_feature_stream(spark, sf, files_per_batch=5):
+    ``newest_first`` writes the days in reverse, so every older day arrives late.
+    Returns the output folder.
+    """
     root = scratch(spark, "stream")
     feed = fx.raw_feed(spark, sf, faulty=False, duplicates=True)
-    # One CSV part per event day (the day count is bounded by the calendar span).
-    (feed.withColumn("__day", F.substring("event_time", 1, 10)).repartition("__day")
-     .sortWithinPartitions("__day").drop("__day")
-     .write.option("header", True).csv(f"{root}/in"))
+    day = F.substring("event_time", 1, 10)
+    # One part per day (the day count is bounded by the calendar span), named in day order.
+    staged = f"{root}/staged"
+    (feed.withColumn("__day", day).repartition("__day").write.partitionBy("__day")
+     .option("header", True).csv(staged))
+    days = sorted(r[0] for r in spark.read.option("header", True).csv(staged).select("__day").distinct().collect())
+    if newest_first:
+        days = days[::-1]
+    fs, _ = _fs(spark, root)
+    jvm = spark.sparkContext._jvm
+    fs.mkdirs(jvm.org.apache.hadoop.fs.Path(f"{root}/in"))
+    for i, d in enumerate(days):
+        src = jvm.org.apache.hadoop.fs.Path(f"{staged}/__day={d}")
+        for st in fs.listStatus(src):
+            name = st.getPath().getName()
+            if name.endswith(".csv"):
+                fs.rename(st.getPath(), jvm.org.apache.hadoop.fs.Path(f"{root}/in/{i:04d}-{name}"))
     q = ST.start_feature_stream(spark, f"{root}/in", f"{root}/store", f"{root}/out", f"{root}/chk",
-                                trigger=None, max_files_per_trigger=files_per_batch)
+                                trigger=None, max_files_per_trigger=files_per_batch, **updater_args)
     q.awaitTermination()
-    return ST.current_features(spark, f"{root}/out")
+    return root
 
 
 @register("str1_feature_stream")
 def str1(spark, sf):
     """Feature stream over the feed in micro-batches; equals the batch feature job."""
-    return run_feature_stream(spark, sf).select(*FEAT_OUT)
+    return ST.current_features(spark, f"{run_feature_stream(spark, sf)}/out").select(*FEAT_OUT)
+
+
+@register("str4_late_arrivals")
+def str4(spark, sf):
+    """Days arrive newest first, so every older day is late; nothing is dropped and
+    the result still equals the batch feature job."""
+    root = run_feature_stream(spark, sf, files_per_batch=3, newest_first=True)
+    return ST.current_features(spark, f"{root}/out").select(*FEAT_OUT)
+
+
+@register("str5_risk_refresh")
+def str5(spark, sf):
+    """Risk analysis refreshed inside the feature stream (every 4 batches and at the
+    end); the last refresh's user scores equal the batch risk run."""
+    root = scratch(spark, "riskstream")
+    out = run_feature_stream(spark, sf, files_per_batch=5, risk_every=4, risk_dir=f"{root}/risk",
+                             flagged_at="2024-02-01 00:00:00")
+    ST.refresh_risk(spark, f"{out}/out", f"{root}/risk", "2024-02-01 00:00:00")
+    return spark.read.parquet(f"{root}/risk/user_risk")
 
 
 @register("str3_stream_first_seen")
@@ -75,7 +105,10 @@ def str6(spark, sf):
 
 def _finish():
     from txlens.plans import catalog_features  # noqa: F401
+    from txlens.plans import catalog_risk  # noqa: F401
     ORACLE["str1_feature_stream"] = ORACLE["features_job"]
+    ORACLE["str4_late_arrivals"] = ORACLE["features_job"]
+    ORACLE["str5_risk_refresh"] = ORACLE["agg1_user_risk"]
 
 
 _finish()
