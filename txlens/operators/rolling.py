@@ -24,6 +24,9 @@ Two exact strategies:
     per cell, not per event).  No task ever holds more than one key's cell,
     however hot the key is, and no rows are replicated across cells.
     Sums run in DECIMAL(38,10) so adding and expiring values cancels exactly.
+    The cell totals are partially aggregated before their shuffle (one row
+    per key and cell per task); their branch re-reads the input with only the
+    key, time and value columns.
 """
 
 from __future__ import annotations
