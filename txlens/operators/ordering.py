@@ -10,8 +10,8 @@ so it is broadcast.
 
 The numbered rows are read twice (counts, then rows), and both reads must see
 the same partition boundaries; range bounds come from sampling, so the tagged
-rows are checkpointed (reliably, into the session's shared checkpoint folder)
-before they are counted.
+rows are materialised (a parquet table in the session's shared checkpoint
+folder) before they are counted.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from txlens.session import checkpoint_dir
+from txlens.session import materialize
 
 LOW_BITS = 33
 
@@ -32,8 +32,7 @@ def global_position(df: DataFrame, order, name: str = "pos", partitions: int | N
     mid = F.monotonically_increasing_id()
     tagged = ranged.select("*", F.shiftright(mid, LOW_BITS).alias("__pid"),
                            mid.bitwiseAND(F.lit((1 << LOW_BITS) - 1)).alias("__idx"))
-    checkpoint_dir(spark)
-    tagged = tagged.checkpoint(eager=True)
+    tagged = materialize(tagged)
     counts = tagged.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"))
     offsets = counts.select(
         "__pid",
@@ -61,8 +60,7 @@ def prefix_sums(df: DataFrame, order, value_cols: list[str], partitions: int | N
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
               .withColumn("__pid", F.spark_partition_id()))
-    checkpoint_dir(spark)
-    ranged = ranged.checkpoint(eager=True)
+    ranged = materialize(ranged)
 
     def local_cumsum(batches):
         carry = None

@@ -62,11 +62,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def materialize(df):
-    """Cut lineage: write ``df`` once to the shared checkpoint folder and read it back.
+    """Cut lineage: write ``df`` once as a parquet table in the shared checkpoint
+    folder and read it back.
 
-    Used where a large intermediate is read several times (the risk run reads
-    the feature table five times).  Reliable checkpoint, never a local one, so
-    a lost executor does not lose the data.
+    Used where a large intermediate is read several times, or where two reads
+    must see identical rows (ids from ``monotonically_increasing_id``).  The
+    table is computed once (an RDD ``checkpoint()`` would recompute it for its
+    write) and stored columnar; it lives in the shared folder, never on a
+    machine-local disk, so a lost executor does not lose it.
     """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    import uuid
+
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/txlens-materialized/{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
