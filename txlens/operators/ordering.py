@@ -60,7 +60,6 @@ def prefix_sums(df: DataFrame, order, value_cols: list[str], partitions: int | N
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
               .withColumn("__pid", F.spark_partition_id()))
-    ranged = materialize(ranged)
 
     def local_cumsum(batches):
         carry = None
@@ -78,8 +77,11 @@ def prefix_sums(df: DataFrame, order, value_cols: list[str], partitions: int | N
             yield pdf.assign(**out)
 
     schema = T.StructType(ranged.schema.fields + [T.StructField(f"{c}_cum", T.DoubleType()) for c in value_cols])
-    local = ranged.mapInPandas(local_cumsum, schema)
-    totals = ranged.groupBy("__pid").agg(*[F.sum(c).cast("double").alias(f"{c}_tot") for c in value_cols])
+    # Running sums are computed in the sorting stage; the finished rows (with
+    # their partition id) are then materialised, so the offsets and the rows
+    # come from the same range bounds.
+    local = materialize(ranged.mapInPandas(local_cumsum, schema))
+    totals = local.groupBy("__pid").agg(*[F.sum(c).cast("double").alias(f"{c}_tot") for c in value_cols])
     prior = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("__pid", *[F.coalesce(F.sum(f"{c}_tot").over(prior), F.lit(0.0)).alias(f"{c}_off")
                                        for c in value_cols])
