@@ -19,8 +19,17 @@ def run_feature_stream(spark, sf, files_per_batch=5, newest_first=False, **updat
     """Stream the fixture feed, one CSV part per event day, ``files_per_batch`` per micro-batch.
 
     ``newest_first`` writes the days in reverse, so every older day arrives late.
-    Returns the output folder.
+    Returns the run folder (output in ``out``).
     """
+    root = run_feature_stream_input(spark, sf, newest_first)
+    q = ST.start_feature_stream(spark, f"{root}/in", f"{root}/store", f"{root}/out", f"{root}/chk",
+                                trigger=None, max_files_per_trigger=files_per_batch, **updater_args)
+    q.awaitTermination()
+    return root
+
+
+def run_feature_stream_input(spark, sf, newest_first=False):
+    """The fixture feed as CSV files named in event-day order under ``<root>/in``."""
     root = scratch(spark, "stream")
     feed = fx.raw_feed(spark, sf, faulty=False, duplicates=True)
     day = F.substring("event_time", 1, 10)
@@ -40,9 +49,6 @@ def run_feature_stream(spark, sf, files_per_batch=5, newest_first=False, **updat
             name = st.getPath().getName()
             if name.endswith(".csv"):
                 fs.rename(st.getPath(), jvm.org.apache.hadoop.fs.Path(f"{root}/in/{i:04d}-{name}"))
-    q = ST.start_feature_stream(spark, f"{root}/in", f"{root}/store", f"{root}/out", f"{root}/chk",
-                                trigger=None, max_files_per_trigger=files_per_batch, **updater_args)
-    q.awaitTermination()
     return root
 
 
@@ -71,6 +77,22 @@ def str5(spark, sf):
     return spark.read.parquet(f"{root}/risk/user_risk")
 
 
+@register("str2_rolling_state")
+def str2(spark, sf):
+    """Rolling features in per-user streaming state (RocksDB), daily files in order;
+    the upsert view of the emitted rows equals the batch feature job."""
+    from txlens.operators.normalize import event_unix, normalize
+    from txlens.streaming.rolling_state import latest_emitted, rolling_state_stream
+    root = run_feature_stream_input(spark, sf)
+    raw = spark.readStream.schema(RAW_SCHEMA).option("header", True).option("maxFilesPerTrigger", 5).csv(f"{root}/in")
+    typed = (normalize(raw).withColumn("event_unix", event_unix("event_ts"))
+             .withColumn("event_ms", F.unix_millis("event_ts")))
+    q = (rolling_state_stream(typed).writeStream.format("parquet").option("path", f"{root}/str2")
+         .option("checkpointLocation", f"{root}/str2chk").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return latest_emitted(spark.read.parquet(f"{root}/str2")).select(*FEAT_OUT)
+
+
 @register("str3_stream_first_seen")
 def str3(spark, sf):
     """First-seen dedupe with a 24 h watermark over the streamed feed."""
@@ -108,6 +130,7 @@ def _finish():
     from txlens.plans import catalog_risk  # noqa: F401
     ORACLE["str1_feature_stream"] = ORACLE["features_job"]
     ORACLE["str4_late_arrivals"] = ORACLE["features_job"]
+    ORACLE["str2_rolling_state"] = ORACLE["features_job"]
     ORACLE["str5_risk_refresh"] = ORACLE["agg1_user_risk"]
 
 
