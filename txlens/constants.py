@@ -101,6 +101,7 @@ OVERSAMPLE_FACTOR = 2             # draw min(n_normal, 2 * n_flagged)
 CLUSTER_FEATURES = ["amount", "device_risk", "location_risk", "rolling_total_spend_24h"]
 CLUSTER_K = 3
 CLUSTER_STARTS = 10
+CLUSTER_MAX_ITER = 10            # the default iteration cap of the original clustering call
 RISK_WEIGHTS = [                  # 100 * (sum of weight * minmax(column)) + flag bonus
     ("amount", 0.30),
     ("rolling_total_spend_24h", 0.25),

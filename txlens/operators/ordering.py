@@ -24,7 +24,14 @@ from txlens.session import materialize
 LOW_BITS = 33
 
 
-def global_position(df: DataFrame, order, name: str = "pos", partitions: int | None = None) -> DataFrame:
+def global_position(df: DataFrame, order, name: str = "pos", partitions: int | None = None,
+                    stable_input: bool = False) -> DataFrame:
+    """Number rows 1..n in ``order``.
+
+    ``stable_input=True`` says ``df`` is a stored table (or derived from one
+    deterministically): its range bounds are then sampled identically on every
+    read and the numbered rows need not be materialised first.
+    """
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     sort_keys = [o for o in order]
@@ -32,7 +39,8 @@ def global_position(df: DataFrame, order, name: str = "pos", partitions: int | N
     mid = F.monotonically_increasing_id()
     tagged = ranged.select("*", F.shiftright(mid, LOW_BITS).alias("__pid"),
                            mid.bitwiseAND(F.lit((1 << LOW_BITS) - 1)).alias("__idx"))
-    tagged = materialize(tagged)
+    if not stable_input:
+        tagged = materialize(tagged)
     counts = tagged.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"))
     offsets = counts.select(
         "__pid",

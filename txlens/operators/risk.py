@@ -104,7 +104,7 @@ def blacklist(user_scores: DataFrame, flagged_at, threshold: float = K.BLACKLIST
 
 
 def kmeans(df: DataFrame, cols: list[str], k: int = K.CLUSTER_K, starts: int = K.CLUSTER_STARTS,
-           seed: int = K.RISK_SEED, max_iter: int = 20, out: str = "cluster"):
+           seed: int = K.RISK_SEED, max_iter: int = K.CLUSTER_MAX_ITER, out: str = "cluster"):
     """ML2: best of ``starts`` k-means runs (lowest training cost) on ``cols``.
 
     Runs Spark ML's distributed k-means once per seed over the persisted

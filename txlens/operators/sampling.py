@@ -16,7 +16,7 @@ from txlens.operators.ordering import global_position
 
 
 def oversample(df: DataFrame, flag: str = "cloud_rule_risk", key: str = "transaction_id",
-               seed: int = K.RISK_SEED, factor: int = K.OVERSAMPLE_FACTOR) -> DataFrame:
+               seed: int = K.RISK_SEED, factor: int = K.OVERSAMPLE_FACTOR, stable_input: bool = False) -> DataFrame:
     """SMP1: the extra rows of the rebalancing step.
 
     When any row is flagged, ``m = min(n_normal, factor * n_flagged)`` flagged
@@ -36,7 +36,7 @@ def oversample(df: DataFrame, flag: str = "cloud_rule_risk", key: str = "transac
     flagged = df.filter(F.col(flag) == 1)
     if m == 0:
         return flagged.withColumn("oversample_draw", F.lit(None).cast("long")).limit(0)
-    numbered = global_position(flagged, [F.col(key).asc()], "__pos")
+    numbered = global_position(flagged, [F.col(key).asc()], "__pos", stable_input=stable_input)
     draws = spark.range(m).select(
         F.col("id").alias("oversample_draw"),
         (F.pmod(md5_bigint(F.lit(seed), F.lit("draw"), F.col("id")), F.lit(nf)) + 1).alias("__pos"))
@@ -44,7 +44,7 @@ def oversample(df: DataFrame, flag: str = "cloud_rule_risk", key: str = "transac
 
 
 def with_oversample(df: DataFrame, flag: str = "cloud_rule_risk", key: str = "transaction_id",
-                    seed: int = K.RISK_SEED, balanced: bool = True) -> DataFrame:
+                    seed: int = K.RISK_SEED, balanced: bool = True, stable_input: bool = False) -> DataFrame:
     """SET1: the input rows plus the drawn copies (UNION ALL by name).
 
     ``oversample_draw`` is NULL on original rows.  ``balanced=False`` skips the
@@ -53,7 +53,7 @@ def with_oversample(df: DataFrame, flag: str = "cloud_rule_risk", key: str = "tr
     base = df.withColumn("oversample_draw", F.lit(None).cast("long"))
     if not balanced:
         return base
-    return base.unionByName(oversample(df, flag, key, seed))
+    return base.unionByName(oversample(df, flag, key, seed, stable_input=stable_input))
 
 
 def stratified_split(df: DataFrame, label: str, key: str, fraction: float = K.VALIDATION_FRACTION,

@@ -59,7 +59,7 @@ urisk AS (SELECT user_id, avg(risk_score) AS risk_score FROM scored
 
 
 def _smote(spark, sf):
-    return with_oversample(materialize(assign_city(features(spark, sf), "transaction_id", SEED)))
+    return with_oversample(materialize(assign_city(features(spark, sf), "transaction_id", SEED)), stable_input=True)
 
 
 def _scored(spark, sf):

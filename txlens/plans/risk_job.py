@@ -20,7 +20,7 @@ def scored_rows(features: DataFrame, seed: int = K.RISK_SEED, balanced: bool = T
     # The feature table is read several times below (counts, numbering of the
     # flagged rows, the union, the statistics): materialise it once.
     geo = materialize(assign_city(features, "transaction_id", seed))
-    smote = with_oversample(geo, "cloud_rule_risk", "transaction_id", seed, balanced=balanced)
+    smote = with_oversample(geo, "cloud_rule_risk", "transaction_id", seed, balanced=balanced, stable_input=True)
     if cluster:
         z = zscore(smote, K.CLUSTER_FEATURES, ddof=1)
         zcols = [f"{c}_z" for c in K.CLUSTER_FEATURES]
