@@ -82,12 +82,3 @@ def test_global_position_and_prefix_sums(spark):
         expect[r[1]] = run
     assert cum == expect
 
-
-def test_global_position_on_stored_table(spark, tmp_dir):
-    rows = [(i % 17, i) for i in range(300)]
-    spark.createDataFrame(rows, "k int, id int").repartition(6).write.parquet(f"{tmp_dir}/t")
-    stored = spark.read.parquet(f"{tmp_dir}/t")
-    pos = {r.id: r.pos for r in global_position(stored, [F.col("k"), F.col("id")], "pos", partitions=5,
-                                                stable_input=True).collect()}
-    ordered = sorted(rows)
-    assert pos == {r[1]: i + 1 for i, r in enumerate(ordered)}

@@ -24,13 +24,13 @@ from txlens.session import materialize
 LOW_BITS = 33
 
 
-def global_position(df: DataFrame, order, name: str = "pos", partitions: int | None = None,
-                    stable_input: bool = False) -> DataFrame:
+def global_position(df: DataFrame, order, name: str = "pos", partitions: int | None = None) -> DataFrame:
     """Number rows 1..n in ``order``.
 
-    ``stable_input=True`` says ``df`` is a stored table (or derived from one
-    deterministically): its range bounds are then sampled identically on every
-    read and the numbered rows need not be materialised first.
+    The numbered rows are always materialised before they are read twice: even
+    over a stored table, the range partitioner re-samples unbalanced input
+    partitions with a seed derived from the RDD id, so two reads can draw
+    different range bounds.
     """
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -39,8 +39,7 @@ def global_position(df: DataFrame, order, name: str = "pos", partitions: int | N
     mid = F.monotonically_increasing_id()
     tagged = ranged.select("*", F.shiftright(mid, LOW_BITS).alias("__pid"),
                            mid.bitwiseAND(F.lit((1 << LOW_BITS) - 1)).alias("__idx"))
-    if not stable_input:
-        tagged = materialize(tagged)
+    tagged = materialize(tagged)
     counts = tagged.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"))
     offsets = counts.select(
         "__pid",

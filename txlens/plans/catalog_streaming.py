@@ -15,7 +15,7 @@ from txlens.sources.sinks import _fs
 from txlens.streaming import feature_stream as ST
 
 
-def run_feature_stream(spark, sf, files_per_batch=5, newest_first=False, **updater_args):
+def run_feature_stream(spark, sf, files_per_batch=10, newest_first=False, **updater_args):
     """Stream the fixture feed, one CSV part per event day, ``files_per_batch`` per micro-batch.
 
     ``newest_first`` writes the days in reverse, so every older day arrives late.
@@ -62,16 +62,16 @@ def str1(spark, sf):
 def str4(spark, sf):
     """Days arrive newest first, so every older day is late; nothing is dropped and
     the result still equals the batch feature job."""
-    root = run_feature_stream(spark, sf, files_per_batch=3, newest_first=True)
+    root = run_feature_stream(spark, sf, files_per_batch=8, newest_first=True)
     return ST.current_features(spark, f"{root}/out").select(*FEAT_OUT)
 
 
 @register("str5_risk_refresh")
 def str5(spark, sf):
-    """Risk analysis refreshed inside the feature stream (every 4 batches and at the
+    """Risk analysis refreshed inside the feature stream (every 2 batches and at the
     end); the last refresh's user scores equal the batch risk run."""
     root = scratch(spark, "riskstream")
-    out = run_feature_stream(spark, sf, files_per_batch=5, risk_every=4, risk_dir=f"{root}/risk",
+    out = run_feature_stream(spark, sf, files_per_batch=10, risk_every=2, risk_dir=f"{root}/risk",
                              flagged_at="2024-02-01 00:00:00")
     ST.refresh_risk(spark, f"{out}/out", f"{root}/risk", "2024-02-01 00:00:00")
     return spark.read.parquet(f"{root}/risk/user_risk")
@@ -84,7 +84,7 @@ def str2(spark, sf):
     from txlens.operators.normalize import event_unix, normalize
     from txlens.streaming.rolling_state import latest_emitted, rolling_state_stream
     root = run_feature_stream_input(spark, sf)
-    raw = spark.readStream.schema(RAW_SCHEMA).option("header", True).option("maxFilesPerTrigger", 5).csv(f"{root}/in")
+    raw = spark.readStream.schema(RAW_SCHEMA).option("header", True).option("maxFilesPerTrigger", 10).csv(f"{root}/in")
     typed = (normalize(raw).withColumn("event_unix", event_unix("event_ts"))
              .withColumn("event_ms", F.unix_millis("event_ts")))
     q = (rolling_state_stream(typed).writeStream.format("parquet").option("path", f"{root}/str2")
