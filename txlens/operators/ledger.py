@@ -72,8 +72,18 @@ def _fold_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _fold_run(amt, approved, bal, ok, why, out_bal):
     """Fold one user's run in place and return the closing balance.
 
-    Each round accepts the longest prefix whose cumulative debit fits the
-    balance (one vectorised cumsum), then rejects the row that does not fit.
+    Linear in the run length, however often rows are rejected:
+
+    * one prefix sum of the debits (``cs[j]`` = debit of rows before ``j``);
+      accepted stretches never include a rejected row, so the debit of rows
+      ``i..j-1`` is ``cs[j] - cs[i]`` and the longest stretch from ``i`` that
+      fits the balance is one binary search;
+    * the row after a stretch does not fit and is rejected without a debit;
+      the balance is unchanged, so every following row up to the first one
+      with ``debit <= balance`` is rejected too -- found with one vectorised
+      search over a block of rows, not row by row.
+
+    Amounts are whole cents, so the float sums are exact integers.
     """
     debit = np.where(approved == 1, np.nan_to_num(amt, nan=np.inf), 0.0)
     n = len(debit)
@@ -85,35 +95,56 @@ def _fold_run(amt, approved, bal, ok, why, out_bal):
                 ok[i], why[i] = 0, 2
             out_bal[i] = bal
         return bal
+    finite = np.where(np.isinf(debit), 0.0, debit)
+    cs = np.concatenate(([0.0], np.cumsum(finite)))
+    barrier = np.flatnonzero(np.isinf(debit))  # approved rows without an amount never fit
     i = 0
     while i < n:
-        cs = np.cumsum(debit[i:])
-        k = int(np.searchsorted(cs, bal, side="right"))  # rows i..i+k-1 fit
-        if k > 0:
-            out_bal[i:i + k] = bal - cs[:k]
-            bal = bal - cs[k - 1]
-            i += k
+        nb = barrier[np.searchsorted(barrier, i)] if barrier.size and barrier[-1] >= i else n
+        j = min(int(np.searchsorted(cs, cs[i] + bal, side="right")) - 1, nb)  # rows i..j-1 fit
+        if j > i:
+            out_bal[i:j] = bal - (cs[i + 1:j + 1] - cs[i])
+            bal = bal - (cs[j] - cs[i])
+            i = j
         if i >= n:
             break
-        ok[i], why[i] = 0, 2  # row i does not fit: rejected, not debited
-        out_bal[i] = bal
-        i += 1
+        # Row i is rejected; so is every row up to the next one that fits.
+        nxt = i + 1
+        block = 64
+        while nxt < n:
+            hit = np.flatnonzero(debit[nxt:nxt + block] <= bal)
+            if hit.size:
+                nxt += int(hit[0])
+                break
+            nxt += block
+            block = min(block * 4, 1 << 16)
+        nxt = min(nxt, n)
+        ok[i:nxt], why[i:nxt] = 0, 2
+        out_bal[i:nxt] = bal
+        i = nxt
     return bal
 
 
 def balance_gate(txns: DataFrame, profiles: DataFrame, user_col: str = "user_id",
-                 ts_col: str = "event_ts") -> DataFrame:
+                 ts_col: str = "event_ts", eligible: str | None = None) -> DataFrame:
     """LED1: adds ``decision``, ``message``, ``debited`` (0/1) and
     ``balance_after`` (DECIMAL(14,2); NULL without a profile).
 
     Arrival order is (event_ts NULLS FIRST, transaction_id).  Approved rows
     need a profile and enough balance; blocked rows are recorded, never debited.
+    With ``eligible`` (a boolean column), only those rows can debit; the others
+    ride along in arrival order without touching the balance.
     """
-    cols = list(txns.columns)
+    cols = [c for c in txns.columns if c != eligible]
     prof = profiles.select(F.col("user_id").alias("__puser"), _cents("account_balance").alias("__open"))
+    approved = F.col("status") == "approved"
+    if eligible is not None:
+        approved = approved & F.coalesce(F.col(eligible), F.lit(False))
     j = (txns.join(prof, txns[user_col] == prof.__puser, "left").drop("__puser")
          .withColumn("__amt", _cents("amount"))
-         .withColumn("__approved", (F.col("status") == "approved").cast("int")))
+         .withColumn("__approved", F.coalesce(approved, F.lit(False)).cast("int")))
+    if eligible is not None:
+        j = j.drop(eligible)
     # Decimal columns travel as cents; the rest pass through the fold unchanged.
     passthrough = [c for c in cols if c != "amount"]
     prepared = (j.select(*[F.col(c) for c in passthrough], "__amt", "__open", "__approved")
@@ -151,24 +182,44 @@ def closing_balance(profiles: DataFrame, gated: DataFrame) -> DataFrame:
 
 
 def decide_transactions(feed: DataFrame, blacklist: DataFrame, profiles: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """LED3 with the balance-gated rows: returns (decisions, gated rows)."""
-    from txlens.operators.joins import block_blacklisted
-    from txlens.operators.normalize import normalize
-    from txlens.operators.validate import validate_transactions
-
-    allowed, denied = block_blacklisted(feed, blacklist)
-    denied_out = denied.select("transaction_id", "user_id", F.lit(403).alias("code"),
-                               F.lit(REJECTED).alias("decision"), F.lit(K.MSG_BLACKLISTED).alias("message"))
-    checked = validate_transactions(allowed)
-    invalid_out = checked.filter(~F.col("is_valid")).select(
-        "transaction_id", "user_id", F.lit(400).alias("code"), F.lit(REJECTED).alias("decision"),
-        F.lit(K.MSG_INVALID).alias("message"))
-    valid = normalize(checked.filter("is_valid").select(*feed.columns))
-    gated = balance_gate(valid.withColumn("amount", F.col("amount").cast(MONEY)), profiles)
-    gated_out = gated.select("transaction_id", "user_id",
-                             F.when(F.col("decision") == ACCEPTED, F.lit(200)).otherwise(F.lit(400)).alias("code"),
-                             "decision", "message")
-    return denied_out.unionByName(invalid_out).unionByName(gated_out), gated
+    """LED3 with the balance-gated rows: returns (decisions, gated rows).
+
+    One pass over the feed: a left join to the distinct blacklisted ids flags
+    denied rows (AQE broadcasts the keys when they are small and splits a
+    skewed user's partition otherwise), the payload rules become one boolean,
+    and every row goes through the ordered balance fold, where only allowed,
+    valid rows can debit.  The feed is scanned once and shuffled once (by
+    user), whatever the mix of outcomes.
+    """
+    from txlens.operators.normalize import parse_event_ts, to_double
+    from txlens.operators.validate import transaction_rules
+
+    keys = blacklist.select(F.col("user_id").cast("string").alias("__bl_user")).distinct()
+    rules = transaction_rules(feed)
+    valid = None
+    for ok in rules.values():
+        valid = ok if valid is None else valid & ok
+    flagged = (feed.select("*", valid.alias("__valid"))
+               .join(keys, F.col("user_id").cast("string") == F.col("__bl_user"), "left"))
+    denied = F.col("__bl_user").isNotNull()
+    eligible = ~denied & F.col("__valid")
+    typed = flagged.select(
+        F.col("transaction_id").cast("string").alias("transaction_id"),
+        F.col("user_id").cast("string").alias("user_id"),
+        F.when(eligible, to_double("amount").cast(MONEY)).alias("amount"),
+        parse_event_ts("event_time").alias("event_ts"),
+        F.col("status").cast("string").alias("status"),
+        denied.alias("__denied"), F.col("__valid"), eligible.alias("__eligible"),
+    ).filter(F.col("transaction_id").isNotNull() | ~F.col("__eligible"))
+    gated = balance_gate(typed, profiles, eligible="__eligible")
+    code = (F.when(F.col("__denied"), F.lit(403)).when(~F.col("__valid"), F.lit(400))
+            .when(F.col("decision") == ACCEPTED, F.lit(200)).otherwise(F.lit(400)))
+    decisions = gated.select(
+        "transaction_id", "user_id", code.alias("code"),
+        F.when(F.col("__denied") | ~F.col("__valid"), F.lit(REJECTED)).otherwise(F.col("decision")).alias("decision"),
+        F.when(F.col("__denied"), F.lit(K.MSG_BLACKLISTED)).when(~F.col("__valid"), F.lit(K.MSG_INVALID))
+        .otherwise(F.col("message")).alias("message"))
+    return decisions, gated
 
 
 def process_transactions(feed: DataFrame, blacklist: DataFrame, profiles: DataFrame) -> DataFrame:
