@@ -1,7 +1,7 @@
 """Model features, training, scoring and evaluation (ML6-ML10, SNK6).
 
-* Features and scaling are column expressions over one-row statistics
-  (broadcast), never collected literals.
+* Features and scaling are column expressions over one-row statistics,
+  fitted with one distributed aggregate and applied as constants.
 * Training uses Spark ML (distributed L-BFGS): a multilayer perceptron and a
   class-weighted logistic regression.
 * Scoring a dense network is expressed as plain column arithmetic (the
@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from txlens import constants as K
+from txlens.functions.scalars import join_small, one_row, with_scalars
 from txlens.operators.filters import drop_non_finite
 from txlens.operators.ordering import prefix_sums
 from txlens.operators.risk import moments
@@ -52,7 +53,7 @@ def card_features(raw: DataFrame) -> DataFrame:
     )
     stats = base.agg(F.min("__d").alias("__d0"), F.max("__d").alias("__d1"),
                      F.min("__l").alias("__l0"), F.max("__l").alias("__l1"))
-    j = base.crossJoin(F.broadcast(stats))
+    j = with_scalars(base, stats)
     eps = F.lit(K.CARD_MINMAX_EPS)
     feats = j.select(
         "amount", "hour",
@@ -75,8 +76,8 @@ def fit_scaler(train: DataFrame, features=K.MODEL_FEATURES) -> DataFrame:
 
 
 def apply_scaler(df: DataFrame, scaler: DataFrame, features=K.MODEL_FEATURES, suffix: str = "_s") -> DataFrame:
-    """z-score with a stored scaler (one-row frame, broadcast)."""
-    j = df.crossJoin(F.broadcast(scaler.select(F.col("mean").alias("__mean"), F.col("scale").alias("__scale"))))
+    """z-score with a stored scaler (one-row frame, applied as constants)."""
+    j = with_scalars(df, scaler.select(F.col("mean").alias("__mean"), F.col("scale").alias("__scale")))
     for i, c in enumerate(features):
         sc = F.col("__scale")[i]
         j = j.withColumn(f"{c}{suffix}", (F.col(c) - F.col("__mean")[i]) / F.when(sc == 0, F.lit(1.0)).otherwise(sc))
@@ -183,8 +184,8 @@ def train_classifier(train: DataFrame, features=K.MODEL_FEATURES, label: str = K
         if weights is None:
             from txlens.operators.sampling import class_weights
             weights = class_weights(train, label)
-        # One row per class: bounded by the number of classes.
-        wv = vec.join(F.broadcast(weights.select(label, F.col("weight").alias("__w"))), label)
+        # One row per class; broadcast only after its size is checked.
+        wv = join_small(vec, weights.select(label, F.col("weight").alias("__w")), label)
         model = LogisticRegression(featuresCol="__x", labelCol="__y", weightCol="__w", maxIter=max_iter).fit(wv)
     else:
         raise ValueError(kind)
@@ -232,8 +233,10 @@ def evaluate(pred: DataFrame, score: str = "score", label: str = K.MODEL_LABEL,
     basic = pred.agg(
         F.avg(-(y * F.log(p) + (1 - y) * F.log(1 - p))).alias("val_loss"),
         F.avg(F.when((F.col(score) >= 0.5).cast("int") == F.col(label), 1.0).otherwise(0.0)).alias("val_accuracy"))
-    return basic.crossJoin(exact_auc(pred, score, label)).select(
-        "val_loss", "val_accuracy", F.col("auc").alias("val_auc"), F.lit(dataset_source).alias("dataset_source"))
+    auc = one_row(exact_auc(pred, score, label))["auc"]
+    return basic.select(
+        "val_loss", "val_accuracy", F.lit(auc).cast("double").alias("val_auc"),
+        F.lit(dataset_source).alias("dataset_source"))
 
 
 def quality_gate(metrics: DataFrame, minimum: float = K.AUC_GATE) -> float:

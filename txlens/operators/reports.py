@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from txlens.functions.rules import pct
+from txlens.functions.scalars import with_scalars
 from txlens.operators.filters import filter_status
 
 
@@ -68,13 +69,12 @@ def velocity_24h(df: DataFrame, as_of=None, user_col: str = "user_id", ts_col: s
     """WIN6: per user, the approved amount with ``as_of - event_ts <= 24 h``.
 
     ``as_of`` is a timestamp literal/column; by default the latest event time
-    in the data (a one-row aggregate, cross-joined as a broadcast of one row).
+    in the data (a one-row aggregate, applied as a constant).
     The original has no lower bound either; with the default ``as_of`` nothing
     lies in the future.  Users without approved rows in the frame get 0.
     """
     if as_of is None:
-        ref = df.agg(F.max(ts_col).alias("__as_of"))
-        base = df.crossJoin(F.broadcast(ref))
+        base = with_scalars(df, df.agg(F.max(F.col(ts_col).cast("timestamp")).alias("__as_of")))
     else:
         base = df.withColumn("__as_of", F.lit(as_of).cast("timestamp") if not hasattr(as_of, "_jc") else as_of)
     age = F.unix_seconds(F.col("__as_of")) - F.unix_seconds(F.col(ts_col).cast("timestamp"))

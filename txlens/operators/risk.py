@@ -1,8 +1,8 @@
 """Risk analysis (ML1-ML5, AGG1, AGG2, AGG9, AGG10).
 
 Global statistics are one ``agg`` over the data -- partial aggregation on every
-task, one row at the end -- joined back as a broadcast of that single row
-(its size is fixed), never collected into literals.
+task, one row at the end -- applied as constants (``functions.scalars``): the
+single row is read back, like a fitted scaler, and never joined to the data.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from txlens import constants as K
+from txlens.functions.scalars import with_scalars
 
 
 def minmax_stats(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -29,7 +30,7 @@ def moments(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def _with_stats(df: DataFrame, stats: DataFrame) -> DataFrame:
-    return df.crossJoin(F.broadcast(stats))
+    return with_scalars(df, stats)
 
 
 def minmax(df: DataFrame, cols: list[str], suffix: str = "_mm") -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from txlens import constants as K
 from txlens.functions.hashing import md5_bigint
+from txlens.functions.scalars import join_small
 from txlens.operators.ordering import global_position
 
 
@@ -72,8 +73,8 @@ def stratified_split(df: DataFrame, label: str, key: str, fraction: float = K.VA
     pos = global_position(ranked, [F.col(label).asc(), F.col("__h").asc(), F.col(key).asc()], "__gpos")
     first = pos.groupBy(label).agg(F.min("__gpos").alias("__start"))
     classes = per_class.join(first, label)
-    # per_class has one row per label value: bounded by the label cardinality.
-    j = pos.join(F.broadcast(classes), label)
+    # One row per label value; broadcast only after its size is checked.
+    j = join_small(pos, classes, label)
     rank = F.col("__gpos") - F.col("__start") + 1
     n_val = F.round(F.lit(fraction) * F.col("__n"))
     return j.withColumn("is_validation", (rank <= n_val).cast("int")).drop("__h", "__gpos", "__start", "__n")

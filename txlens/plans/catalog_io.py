@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from txlens.constants import REQUIRED_COLUMNS
+from txlens.functions.scalars import with_scalars
 from txlens.operators import ml as M
 from txlens.operators.joins import with_profile
 from txlens.operators.normalize import event_unix, normalize
@@ -119,7 +120,8 @@ def snk6(spark, sf):
     SNK.write_metrics(M.evaluate(pred, "score", "Class"), f"{path}/metrics")
     sc = spark.read.json(f"{path}/scaler")
     me = spark.read.json(f"{path}/metrics")
-    return sc.crossJoin(me).select(F.size("feature_names").alias("n_features"), "val_auc", "dataset_source")
+    return with_scalars(sc.select(F.size("feature_names").alias("n_features")),
+                        me.select("val_auc", "dataset_source"))
 
 
 def _finish():
