@@ -33,7 +33,10 @@ def run_feature_stream_input(spark, sf, newest_first=False):
     root = scratch(spark, "stream")
     feed = fx.raw_feed(spark, sf, faulty=False, duplicates=True)
     day = F.substring("event_time", 1, 10)
-    # One part per day (the day count is bounded by the calendar span), named in day order.
+    # One part per day (the day count is bounded by the calendar span), named in
+    # day order.  This stages test input for the stream queries: the bounded-
+    # lateness stream (STR2) needs each day whole in one file so that files
+    # arrive in event-day order.
     staged = f"{root}/staged"
     (feed.withColumn("__day", day).repartition("__day").write.partitionBy("__day")
      .option("header", True).csv(staged))
