@@ -106,3 +106,36 @@ def test_unknown_function_rejected(spark):
     df = spark.createDataFrame([("a", "u", 1, 1.0, 0)], SCHEMA)
     with pytest.raises(ValueError):
         rolling_features(df, [RollingSpec("x", "max", "amount", 10)])
+
+
+def test_non_finite_and_large_values(spark):
+    """NaN and infinities give what a plain window sum gives; large values
+    next to small fractions keep their precision (exact integer parts)."""
+    import math
+    t0 = 1_700_000_000
+    rows = [
+        ("a", "u1", t0, 1e15 + 0.25, 0),
+        ("b", "u1", t0 + 10, 0.125, 0),
+        ("c", "u1", t0 + 700, -1e15, 0),      # a and b still inside 24 h, outside 10 min
+        ("d", "u2", t0, float("inf"), 0),
+        ("e", "u2", t0 + 5, 1.5, 0),
+        ("f", "u2", t0 + 86401 + 5, 2.5, 0),  # d and e expired
+        ("g", "u3", t0, float("nan"), 0),
+        ("h", "u3", t0 + 86401, 4.0, 0),      # g expired
+        ("i", "u4", t0, float("inf"), 0),
+        ("j", "u4", t0 + 1, float("-inf"), 0),
+        ("k", "u5", t0, 2.0 ** 60, 0),        # beyond the exact split: carried whole
+        ("l", "u5", t0 + 1, 1.0, 0),
+    ]
+    df = spark.createDataFrame(rows, SCHEMA)
+    specs = [RollingSpec("s", "sum", "amount", 86400), RollingSpec("m", "avg", "amount", 86400)]
+    expect = brute(rows, specs)
+    for strategy in ("window", "sweep"):
+        got = {r["transaction_id"]: r.asDict() for r in rolling_features(df, specs, strategy=strategy).collect()}
+        for tid, res in expect.items():
+            for k, v in res.items():
+                g = got[tid][k]
+                if isinstance(v, float) and math.isnan(v):
+                    assert g is not None and math.isnan(g), (strategy, tid, k, g)
+                else:
+                    assert g == pytest.approx(v, rel=1e-12, abs=1e-9), (strategy, tid, k, g, v)

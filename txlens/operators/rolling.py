@@ -23,7 +23,11 @@ Two exact strategies:
     small aggregate over ``(key, cell)`` with a window over ``key``; one row
     per cell, not per event).  No task ever holds more than one key's cell,
     however hot the key is, and no rows are replicated across cells.
-    Sums run in DECIMAL(38,10) so adding and expiring values cancels exactly.
+    Integer values are summed as longs; a double is split into its integer
+    part (summed exactly as a long) and its fraction (summed as a double), so
+    adding and expiring a value cancels to within a few ulps of the frame's
+    row count, in plain codegen arithmetic instead of wide decimals.  NaN and
+    infinities are counted apart and give what a plain window sum gives.
     The cell totals are partially aggregated before their shuffle (one row
     per key and cell per task); their branch re-reads the input with only the
     key, time and value columns.
@@ -56,7 +60,6 @@ FEATURE_SPECS = [
     RollingSpec("rolling_txn_count_10m", "count", "transaction_id", WINDOW_10M_SECONDS),
 ]
 
-SUM_DECIMAL = T.DecimalType(38, 10)
 DEFAULT_CELL_SECONDS = 3600
 
 
@@ -89,33 +92,67 @@ def _integral(dtype) -> bool:
     return isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
 
 
+# Largest magnitude split exactly into integer and fraction (2^53: every double
+# below it has an exact integer part and an exact fraction).
+EXACT_SPLIT_LIMIT = float(2 ** 53)
+
+# Delta kinds per measure: 'n' non-NULL count; 's' integral sum; for doubles
+# 'h' integer parts (long, exact), 'f' fractions in [0, 1) (double; larger
+# than the split limit the whole value), and counts of NaN / +Inf / -Inf.
+_DOUBLE_KINDS = ("h", "f", "nan", "pinf", "ninf")
+
+
+def _kinds(fn: str, integral: bool) -> tuple[str, ...]:
+    if fn == "count":
+        return ("n",)
+    return (("s",) if integral else _DOUBLE_KINDS) + ("n",)
+
+
+def _value_of(column: str, kind: str, integral: bool) -> F.Column:
+    c = F.col(column)
+    if kind == "n":
+        return F.when(c.isNotNull(), F.lit(1)).otherwise(F.lit(0)).cast("long")
+    if kind == "s":
+        return F.coalesce(c.cast("long"), F.lit(0).cast("long"))
+    x = c.cast("double")
+    inf = F.lit(float("inf"))
+    if kind == "nan":
+        return F.when(F.isnan(x), F.lit(1)).otherwise(F.lit(0)).cast("long")
+    if kind == "pinf":
+        return F.when(x == inf, F.lit(1)).otherwise(F.lit(0)).cast("long")
+    if kind == "ninf":
+        return F.when(x == -inf, F.lit(1)).otherwise(F.lit(0)).cast("long")
+    splittable = F.abs(x) < F.lit(EXACT_SPLIT_LIMIT)   # false for NULL, NaN, +-Inf
+    if kind == "h":
+        return F.when(splittable, F.floor(x)).otherwise(F.lit(0)).cast("long")
+    if kind == "f":
+        big = (F.abs(x) >= F.lit(EXACT_SPLIT_LIMIT)) & (F.abs(x) < inf)
+        return (F.when(splittable, x - F.floor(x).cast("double"))
+                .when(big, x).otherwise(F.lit(0.0)).cast("double"))
+    raise ValueError(kind)
+
+
+def _zero(kind: str) -> F.Column:
+    return F.lit(0.0).cast("double") if kind == "f" else F.lit(0).cast("long")
+
+
 def _by_sweep(df, specs, key, order, cell_seconds):
     types = {f.name: f.dataType for f in df.schema.fields}
     lengths = sorted({s.seconds for s in specs})
 
-    # Measures: (column, length, kind) with kind 's' (sum of values) or 'n'
-    # (count of non-NULL values).  Each gets one delta column.
+    # Measures: (column, length, kind); each gets one delta column.  Sums of
+    # doubles are carried exactly: integer parts add up as longs and only the
+    # fractions (magnitude below the frame's row count) go through double
+    # arithmetic, so adding a value and later expiring it cancels to within
+    # a few ulps of the frame's row count -- not of the running total.
     measures = []
     for s in specs:
-        need = {"sum": ("s", "n"), "count": ("n",), "avg": ("s", "n")}[s.fn]
-        for kind in need:
+        for kind in _kinds(s.fn, _integral(types[s.column])):
             m = (s.column, s.seconds, kind)
             if m not in measures:
                 measures.append(m)
     mname = {m: f"__d{i}" for i, m in enumerate(measures)}
-
-    def value_of(column, kind):
-        c = F.col(column)
-        if kind == "n":
-            return F.when(c.isNotNull(), F.lit(1)).otherwise(F.lit(0)).cast("long")
-        if _integral(types[column]):
-            return F.coalesce(c.cast("long"), F.lit(0).cast("long"))
-        return F.coalesce(c.cast(SUM_DECIMAL), F.lit(0).cast(SUM_DECIMAL))
-
-    def zero(kind, column):
-        if kind == "n" or _integral(types[column]):
-            return F.lit(0).cast("long")
-        return F.lit(0).cast(SUM_DECIMAL)
+    mkind = {mname[m]: m[2] for m in measures}
 
     # One pass: every row becomes itself (kind 0) plus one expiry row per frame
     # length (kind i at t + L_i + 1).  Expiry rows carry only key, time and
@@ -130,11 +167,11 @@ def _by_sweep(df, specs, key, order, cell_seconds):
 
     def delta(m):
         column, length, kind = m
-        v = value_of(column, kind)
+        v = _value_of(column, kind, _integral(types[column]))
         k_exp = lengths.index(length) + 1
         return (F.when(F.col("__kind") == 0, v)
                 .when(F.col("__kind") == k_exp, -v)
-                .otherwise(zero(kind, column)))
+                .otherwise(_zero(kind)))
 
     real_only = F.col("__kind") == 0
     events = base.select(
@@ -167,31 +204,25 @@ def _by_sweep(df, specs, key, order, cell_seconds):
         (F.col(key).eqNullSafe(F.col("__okey"))) & (F.col("__cell") == F.col("__ocell")),
         "left")
 
-    totals = {d: F.col(f"{d}r") + F.coalesce(F.col(f"{d}o"), zero_like(d, measures, mname, types))
-              for d in delta_cols}
+    totals = {d: F.col(f"{d}r") + F.coalesce(F.col(f"{d}o"), _zero(mkind[d])) for d in delta_cols}
+
+    def frame_sum(s):
+        tot = {kind: totals[mname[(s.column, s.seconds, kind)]]
+               for kind in _kinds(s.fn, _integral(types[s.column]))}
+        if "s" in tot:
+            return tot["s"]
+        inf = F.lit(float("inf"))
+        return (F.when((tot["nan"] > 0) | ((tot["pinf"] > 0) & (tot["ninf"] > 0)), F.lit(float("nan")))
+                .when(tot["pinf"] > 0, inf).when(tot["ninf"] > 0, -inf)
+                .otherwise(tot["h"].cast("double") + tot["f"]))
 
     outs = []
     for s in specs:
         n = totals[mname[(s.column, s.seconds, "n")]]
         if s.fn == "count":
             outs.append(n.alias(s.name))
-            continue
-        total = totals[mname[(s.column, s.seconds, "s")]]
-        if s.fn == "sum":
-            if _integral(types[s.column]):
-                outs.append(F.when(n > 0, total).alias(s.name))
-            else:
-                outs.append(F.when(n > 0, total.cast("double")).alias(s.name))
+        elif s.fn == "sum":
+            outs.append(F.when(n > 0, frame_sum(s)).alias(s.name))
         else:  # avg
-            outs.append(F.when(n > 0, total.cast("double") / n.cast("double")).alias(s.name))
+            outs.append(F.when(n > 0, frame_sum(s).cast("double") / n.cast("double")).alias(s.name))
     return joined.select(*[F.col(c) for c in df.columns], *outs)
-
-
-def zero_like(d, measures, mname, types):
-    for m in measures:
-        if mname[m] == d:
-            column, _, kind = m
-            if kind == "n" or _integral(types[column]):
-                return F.lit(0).cast("long")
-            return F.lit(0).cast(SUM_DECIMAL)
-    raise KeyError(d)
