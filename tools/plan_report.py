@@ -24,8 +24,14 @@ NODES = ["Exchange", "ReusedExchange", "BroadcastExchange", "WindowGroupLimit",
 
 
 def summarise(df) -> dict:
-    df.write.format("noop").mode("overwrite").save()
-    plan = df._jdf.queryExecution().executedPlan().toString()
+    # Execute this DataFrame's own plan (a noop write would plan a new query
+    # execution), so the AQE plan read below is the final one, with reused
+    # exchanges and runtime join choices.  No rows go to Python.
+    qe = df._jdf.queryExecution()
+    qe.toRdd().count()
+    plan = qe.executedPlan().toString()
+    if "== Final Plan ==" in plan:  # count the final plan only, not the initial one printed after it
+        plan = plan.split("== Final Plan ==", 1)[1].split("== Initial Plan ==", 1)[0]
     counts = {n: len(re.findall(rf"(?<![A-Za-z]){n}(?![A-Za-z])", plan)) for n in NODES}
     scans = re.findall(r"FileScan parquet [^\n]*", plan)
     reads = []
