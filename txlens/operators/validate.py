@@ -46,8 +46,13 @@ def transaction_rules(df: DataFrame) -> dict[str, Column]:
 
 
 def _annotate(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
+    """``failed_rules`` (names, for the report) and ``is_valid`` (the AND of the
+    rules, so a filter on validity never builds the name array)."""
     failed = F.array_compact(F.array(*[F.when(~ok, F.lit(name)) for name, ok in rules.items()]))
-    return df.withColumn("failed_rules", failed).withColumn("is_valid", F.size("failed_rules") == 0)
+    valid = F.lit(True)
+    for ok in rules.values():
+        valid = valid & ok
+    return df.withColumn("failed_rules", failed).withColumn("is_valid", valid)
 
 
 def validate_transactions(df: DataFrame) -> DataFrame:
