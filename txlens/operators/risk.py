@@ -33,13 +33,14 @@ def _with_stats(df: DataFrame, stats: DataFrame) -> DataFrame:
     return with_scalars(df, stats)
 
 
-def minmax(df: DataFrame, cols: list[str], suffix: str = "_mm") -> DataFrame:
+def minmax(df: DataFrame, cols: list[str], suffix: str = "_mm", stats_from: DataFrame | None = None) -> DataFrame:
     """ML3: ``(x - min) / (max - min)`` per column; all 0 when the column is constant.
 
     Copies do not move min or max, so the scaling is the same with or without
-    oversampling.
+    oversampling; ``stats_from`` may name the rows before the copies were
+    appended, so the statistics pass does not recompute the copies.
     """
-    stats = minmax_stats(df, cols)
+    stats = minmax_stats(df if stats_from is None else stats_from, cols)
     j = _with_stats(df, stats)
     for c in cols:
         lo, hi = F.col(f"{c}_min"), F.col(f"{c}_max")
@@ -62,11 +63,12 @@ def zscore(df: DataFrame, cols: list[str], ddof: int = 1, suffix: str = "_z") ->
     return j.drop(*[f"{c}_{n}" for c in cols for n in ("mean", "std_samp", "std_pop")])
 
 
-def risk_score(df: DataFrame, flag: str = "cloud_rule_risk") -> DataFrame:
+def risk_score(df: DataFrame, flag: str = "cloud_rule_risk", stats_from: DataFrame | None = None) -> DataFrame:
     """ML4: ``100 * (0.30 mm(amount) + 0.25 mm(spend_24h) + 0.20 mm(location)
-    + 0.20 mm(device) + 0.05 flag)``.  A NULL input gives a NULL score."""
+    + 0.20 mm(device) + 0.05 flag)``.  A NULL input gives a NULL score.
+    ``stats_from``: see :func:`minmax`."""
     cols = [c for c, _ in K.RISK_WEIGHTS]
-    scaled = minmax(df, cols, "__mm")
+    scaled = minmax(df, cols, "__mm", stats_from)
     total = sum((F.lit(w) * F.col(f"{c}__mm") for c, w in K.RISK_WEIGHTS), F.lit(0.0))
     total = total + F.lit(K.RISK_FLAG_WEIGHT) * F.col(flag)
     return scaled.withColumn("risk_score", F.lit(100.0) * total).drop(*[f"{c}__mm" for c in cols])

@@ -26,7 +26,8 @@ def scored_rows(features: DataFrame, seed: int = K.RISK_SEED, balanced: bool = T
         zcols = [f"{c}_z" for c in K.CLUSTER_FEATURES]
         smote, _, _ = kmeans(z, zcols, K.CLUSTER_K, cluster_starts, seed)
         smote = smote.drop(*zcols)
-    return risk_score(smote)
+    # Drawn copies repeat stored rows: min/max come from the stored rows alone.
+    return risk_score(smote, stats_from=geo)
 
 
 def risk_job(features: DataFrame, flagged_at, seed: int = K.RISK_SEED, balanced: bool = True,
