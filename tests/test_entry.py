@@ -35,3 +35,26 @@ def test_query_matches_oracle(spark, con, name):
     assert r["cols"], r
     assert r["rows"] == r["ref_rows"], r
     assert r["hash"], r
+
+
+def test_python_tasks_run_from_another_directory(tmp_path):
+    """Task-side Python (the ledger fold's mapInPandas) must not need the
+    package on the executors' path: a fresh process started elsewhere runs it."""
+    import subprocess
+    import sys
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    script = f"""
+import sys
+sys.path.insert(0, {repo!r})
+from pyspark.sql import SparkSession
+spark = (SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "2")
+         .config("spark.ui.enabled", "false").getOrCreate())
+import __spark_entry__ as E
+print("ROWS", E.queries()["led1_balance_gate_events"](spark, {SF001!r}).count())
+spark.stop()
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=env,
+                         capture_output=True, text=True, timeout=600)
+    assert out.returncode == 0, out.stderr[-2000:]
+    assert "ROWS " in out.stdout
