@@ -23,7 +23,8 @@ from txlens.plans import catalog  # noqa: E402
 from txlens.session import build_session  # noqa: E402
 
 HEADLINE = [
-    "features_job",                  # feed -> dedupe -> 24 h / 10 min features -> rule (sweep strategy)
+    "features_job",                  # feed -> dedupe -> 24 h / 10 min features -> rule (strategy chosen by the largest user)
+    "win8_rolling_features_sweep",   # same through the hot-key-safe sweep
     "win8_rolling_features_window",  # same through the single-shuffle Window strategy
     "win7_dedupe_latest",
     "agg1_user_risk",                # risk run: cities, oversampling, min-max score, user means

@@ -139,3 +139,12 @@ def test_non_finite_and_large_values(spark):
                     assert g is not None and math.isnan(g), (strategy, tid, k, g)
                 else:
                     assert g == pytest.approx(v, rel=1e-12, abs=1e-9), (strategy, tid, k, g, v)
+
+
+def test_strategy_choice_by_largest_key(spark):
+    from txlens.operators.rolling import choose_strategy
+    rows = [("a", "hot", 1, 1.0, 0), ("b", "hot", 2, 1.0, 0), ("c", "hot", 3, 1.0, 0), ("d", "cold", 1, 1.0, 0)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert choose_strategy(df, "user_id", hot_key_rows=3) == "window"
+    assert choose_strategy(df, "user_id", hot_key_rows=2) == "sweep"
+    assert choose_strategy(df.limit(0), "user_id", hot_key_rows=2) == "window"

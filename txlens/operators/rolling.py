@@ -61,6 +61,23 @@ FEATURE_SPECS = [
 ]
 
 DEFAULT_CELL_SECONDS = 3600
+# Above this many rows for one key, the single-shuffle window would make one
+# task sort and scan that whole key: the sweep is used instead.
+HOT_KEY_ROWS = 5_000_000
+
+
+def choose_strategy(df: DataFrame, key: str = "user_id", hot_key_rows: int = HOT_KEY_ROWS) -> str:
+    """'window' when no key holds more than ``hot_key_rows`` rows, else 'sweep'.
+
+    One aggregate over the key column alone (partially aggregated on every
+    task, pruned to one column at the scan); only its one-row maximum reaches
+    the driver.  Pass the frame *before* deduplication: its counts bound the
+    deduplicated ones from above, and the check does not run the dedupe.
+    """
+    from txlens.functions.scalars import one_row
+    stats = df.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).agg(F.max("__n").alias("__max"))
+    largest = one_row(stats)["__max"] or 0
+    return "window" if largest <= hot_key_rows else "sweep"
 
 
 def rolling_features(df: DataFrame, specs=FEATURE_SPECS, key: str = "user_id",

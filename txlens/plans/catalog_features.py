@@ -17,7 +17,7 @@ FEAT_OUT = [c for c in FEATURE_COLUMNS if c != "event_ts"]
 FEAT_DOUBLES = FEED_DOUBLES + ["rolling_total_spend_24h", "rolling_avg_amount_24h"]
 
 
-def features(spark, sf, strategy="sweep"):
+def features(spark, sf, strategy="auto"):
     """The 19-column feature table of the fixture feed (with duplicates)."""
     return feature_job(fx.transactions(spark, sf, duplicates=True), strategy=strategy)
 
@@ -35,6 +35,13 @@ def features_job(spark, sf):
     return features(spark, sf).select(*FEAT_OUT)
 
 
+@register("win8_rolling_features_sweep",
+          "WITH " + fx.sql_features() + f" SELECT {', '.join(FEAT_OUT)} FROM featr", FEAT_DOUBLES)
+def win8_sweep(spark, sf):
+    """Same table through the hot-key-safe sweep strategy."""
+    return features(spark, sf, strategy="sweep").select(*FEAT_OUT)
+
+
 @register("win8_rolling_features_window",
           "WITH " + fx.sql_features() + f" SELECT {', '.join(FEAT_OUT)} FROM featr", FEAT_DOUBLES)
 def win8_window(spark, sf):
