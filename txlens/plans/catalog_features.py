@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from txlens.constants import REQUIRED_COLUMNS
-from txlens.functions.rules import cloud_rule_risk, rule_hits
+from txlens.functions.rules import rule_hits
 from txlens.operators.dedupe import dedupe_latest
 from txlens.operators.normalize import event_unix, is_blocked, normalize, parse_event_ts
 from txlens.plans import fixtures as fx
