@@ -11,7 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txlens.llm import decontaminate, exact_dedup, mixing, quality, sharding, simhash
+from txlens.llm import (
+    chat, decontaminate, exact_dedup, hmm, mixing, quality, sharding, simhash, token_counts, toxicity,
+)
 from txlens.llm.common import bound_batches, read, text_or_empty, utf8
 from txlens.llm.statistics import document_statistics
 from txlens.session import materialize
@@ -55,6 +57,65 @@ def op3(spark, sf_dir):
                          F.lit(None).cast("int").alias("grown_shard"))
 
 
+@register("op4_edit_token_counts")
+def op4(spark, sf_dir):
+    """Three edits a document, placed by its id: an insertion, a deletion and a
+    replacement by upper case; counts before and after, from the edited tree."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", text_or_empty().alias("text"))
+    at = lambda k: F.pmod(F.xxhash64("doc_id", F.lit(k)), F.length("text") + 1).cast("long")
+    edit = lambda start, n, insert: F.struct(
+        start.alias("start"), n.cast("long").alias("n_delete"), insert.alias("insert"))
+    edits = F.array(
+        edit(at(1), F.lit(0), F.concat(F.lit(" "), F.coalesce("source", F.lit("none")), F.lit(" inserted\n"))),
+        edit(at(2), F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(200)), F.lit("")),
+        edit(at(3), F.lit(40), F.upper(F.substring("text", 1, 40))))
+    counted = token_counts.build_state(docs).withColumn("edits", edits)
+    done = token_counts.apply_edits(counted)
+    tokens = F.aggregate("state.tokens", F.lit(0).cast("long"), lambda a, b: a + b)
+    return done.select("doc_id", F.length("text").cast("long").alias("n_chars"), tokens.alias("n_tokens"),
+                       F.size("state.tokens").alias("n_leaves"), F.size("edits").alias("n_edits"),
+                       F.length("edited.text").cast("long").alias("n_chars_edited"),
+                       F.col("edited.n_tokens").alias("n_tokens_edited"), "edited.chars_encoded", "edited.nodes_updated",
+                       F.crc32(F.col("edited.text").cast("binary")).alias("edited_crc32"))
+
+
+@register("op5_hmm_language_model")
+def op5(spark, sf_dir):
+    held_out = F.pmod(quality.crc(F.col("doc_id")), F.lit(7)) == 2
+    scored = hmm.score_documents(read(spark, sf_dir, "documents").select("doc_id", "text"), ~held_out)
+    return scored.select("doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens",
+                         "base_score", "score")
+
+
+@register("op6_chat_rotation", sql="""
+WITH said AS (
+  SELECT conv_id, turn, coalesce(nullif(trim(translate(replace(replace(coalesce(role, ''), '<|', '< |'), '|>', '| >'),
+           chr(10) || chr(13), '  ')), ''), 'unknown') AS speaker,
+         replace(replace(coalesce(text, ''), '<|', '< |'), '|>', '| >') AS text FROM conversations),
+placed AS (
+  SELECT conv_id, speaker, text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, speaker, text) - 1 AS pos FROM said),
+views AS (SELECT DISTINCT conv_id, speaker AS perspective FROM said WHERE speaker <> 'system'),
+heads AS (
+  SELECT m.conv_id, v.perspective, pos, pos // 256 AS part, m.speaker = v.perspective AS mine, text,
+         CASE WHEN m.speaker = 'system' THEN '<|system|>' WHEN m.speaker = v.perspective THEN '<|assistant|>'
+              ELSE '<|user:' || m.speaker || '|>' END || chr(10) AS head
+  FROM placed m JOIN views v ON m.conv_id IS NOT DISTINCT FROM v.conv_id),
+pieces AS (SELECT *, head || text || '<|end|>' || chr(10) AS piece FROM heads),
+spans AS (
+  SELECT *, coalesce(sum(length(piece)) OVER (PARTITION BY conv_id, perspective, part ORDER BY pos
+              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS s FROM pieces)
+SELECT conv_id, perspective, CAST(part AS BIGINT) AS part, count(*) AS n_messages,
+       count(*) FILTER (WHERE mine) AS n_trained, string_agg(piece, '' ORDER BY pos) AS text,
+       coalesce(string_agg(s || '-' || (s + length(piece) - length(head) - 1), ',' ORDER BY pos) FILTER (WHERE mine), '') AS mask
+FROM spans GROUP BY conv_id, perspective, part
+""")
+def op6(spark, sf_dir):
+    views = chat.rotate(read(spark, sf_dir, "conversations"))
+    spans = F.transform("mask", lambda m: F.concat_ws("-", m["start"].cast("string"), m["end"].cast("string")))
+    return views.withColumn("mask", F.array_join(spans, ","))
+
+
 @register("op7_temperature_mixing", sql="""
 WITH RECURSIVE docs AS (
   SELECT doc_id, coalesce(source, 'null') AS source,
@@ -107,6 +168,21 @@ def op7(spark, sf_dir):
                         mixing.n_tokens().alias("n_tokens"), "epoch", "block", "mix_order")
 
 
+@register("op8_toxicity_chain")
+def op8(spark, sf_dir):
+    """Toxic at all, then toxic inside good prose and toxic inside junk; learned
+    from ids whose crc32 mod 4 is not 2."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    toxic, quality_label = F.col("toxic"), F.col("quality")
+    categories = {"toxic": toxic, "toxic_prose": toxic * quality_label, "toxic_junk": toxic * (1 - quality_label)}
+    held_out = F.pmod(quality.crc(F.col("doc_id")), F.lit(4)) == 2
+    model = toxicity.fit_documents(docs, read(spark, sf_dir, "labels"), categories, ~held_out)
+    scored = docs.select("doc_id", held_out.alias("held_out"), toxicity.score_udf(model)(utf8()).alias("p"))
+    return scored.select("doc_id", "held_out", F.col("p")[0].alias("score"),
+                         F.when(F.col("p")[0] >= 0.5, 1).otherwise(0).alias("predicted"),
+                         F.col("p")[1].alias("p_toxic_prose"), F.col("p")[2].alias("p_toxic_junk"))
+
+
 @register("op9_decontamination", sql="""
 WITH words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,3 +55,35 @@ def bound_batches(spark: SparkSession) -> None:
     not meet in one batch by the ten thousand."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
+
+
+CHUNK = 4_096
+
+
+def sum_vectors(rows: DataFrame, partial: Callable[[Iterator[pa.RecordBatch]], Iterable[np.ndarray]],
+                size: int) -> np.ndarray:
+    """The sum of the vectors (``size`` doubles each) that ``partial`` yields on
+    every partition.  They are added on the executors, in chunks, so no task
+    gets more than one chunk per partition at a time and the driver one vector."""
+    def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for v in partial(batches):
+            full = [i for i in range(0, size, CHUNK) if v[i:i + CHUNK].any()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(full, pa.int64()), pa.array([v[i:i + CHUNK] for i in full], pa.list_(pa.float64()))],
+                names=["i", "v"])
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for i, v in zip(b.column(0).to_pylist(), b.column(1)):
+                v = v.values.to_numpy()
+                total[i] = total[i] + v if i in total else v
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.list_(pa.float64()))],
+            names=["i", "v"])
+
+    kind = "i long, v array<double>"
+    out = np.zeros(size)
+    for r in rows.mapInArrow(chunked, kind).repartition("i").mapInArrow(merged, kind).collect():
+        out[r.i:r.i + len(r.v)] += r.v
+    return out

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from txlens.llm.common import bound_batches, col, fresh, utf8
+from txlens.llm.common import bound_batches, col, fresh, sum_vectors, utf8
 from txlens.llm.statistics import NAMES, describe, document_statistics
 from txlens.session import materialize
 
@@ -115,7 +115,7 @@ def gather_moments(rows: DataFrame, folds: int = FOLDS) -> list[Moments]:
     """One Moments per fold from (x, label, fold) rows."""
     d = len(NAMES)
 
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         total = np.zeros((folds * 2, 1 + d + d * d))
         for b in batches:
             if not b.num_rows:
@@ -124,16 +124,9 @@ def gather_moments(rows: DataFrame, folds: int = FOLDS) -> list[Moments]:
             for k in np.unique(f * 2 + y):
                 own = x[f * 2 + y == k]
                 total[k] += np.concatenate([[len(own)], own.sum(axis=0), (own.T @ own).ravel()])
-        full = np.flatnonzero(total[:, 0])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(full.astype("int32")), pa.array(list(total[full]), pa.list_(pa.float64()))],
-            names=["part", "v"])
-
-    sums = np.zeros((folds * 2, 1 + d + d * d))
-    for r in (rows.mapInArrow(partial, "part int, v array<double>")
-              .select("part", F.posexplode("v").alias("i", "v"))
-              .groupBy("part", "i").agg(F.sum("v").alias("v")).collect()):   # folds x 2 x 183 numbers
-        sums[r.part, r.i] = r.v
+        yield total.ravel()
+
+    sums = sum_vectors(rows, partial, folds * 2 * (1 + d + d * d))
     sums = sums.reshape(folds, 2, -1)
     return [Moments(s[:, 0], s[:, 1:1 + d], s[:, 1 + d:].reshape(2, d, d)) for s in sums]
 
@@ -141,8 +134,8 @@ def gather_moments(rows: DataFrame, folds: int = FOLDS) -> list[Moments]:
 def out_of_fold_bins(rows: DataFrame, models: list[list[QualityModel]]) -> np.ndarray:
     """Counts (setting, label, bin) of each row's score by the model of its
     setting that did not see its fold."""
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros((len(models), 2, BINS), "int64")
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        n = np.zeros((len(models), 2, BINS))
         for b in batches:
             if not b.num_rows:
                 continue
@@ -153,13 +146,9 @@ def out_of_fold_bins(rows: DataFrame, models: list[list[QualityModel]]) -> np.nd
                     t = by_fold[fold].difference(x[at])
                     bins = np.clip((t / BIN).astype("int64") + BINS // 2, 0, BINS - 1)
                     n[g] += np.bincount(y[at] * BINS + bins, minlength=2 * BINS).reshape(2, BINS)
-        place = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(n.ravel()[place])], names=["place", "n"])
+        yield n.ravel()
 
-    out = np.zeros(len(models) * 2 * BINS)
-    for r in rows.mapInArrow(partial, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).collect():
-        out[r.place] = r.n
-    return out.reshape(len(models), 2, BINS)
+    return sum_vectors(rows, partial, len(models) * 2 * BINS).reshape(len(models), 2, BINS)
 
 
 def logistic_curve(counts: np.ndarray) -> tuple[float, float, float]:
