@@ -108,3 +108,82 @@ def test_insert_skip_and_upsert(spark):
     upd = spark.createDataFrame([(2, None), (3, "c")], "k int, v string")
     got = sorted(tuple(r) for r in upsert(old, upd, "k").collect())
     assert got == [(1, "a", 10), (2, "b", 20), (3, "c", None)]
+
+
+FEED = ("transaction_id string, user_id string, amount string, event_time string, hour string, "
+        "device_risk string, location_risk string, txn_velocity string, edge_fraud_probability string, status string")
+
+
+def feed_row(tid, user, amount, second, status="approved"):
+    return (tid, user, amount, f"2024-01-01T00:{second // 60:02d}:{second % 60:02d}Z", "1", "0.1", "0.1", "1", "0.1", status)
+
+
+def test_one_hostile_row_fails_alone(spark):
+    rows = [feed_row("big", "u", "1e13", 1), feed_row("ok", "u", "50", 2), feed_row(None, "u", "20", 3),
+            feed_row(None, "u", "20", 4), feed_row("nobody", None, "5", 5), feed_row("half", "u", "10.004", 6)]
+    out = process_transactions(spark.createDataFrame(rows, FEED).repartition(3), spark.createDataFrame([], "user_id string"),
+                               spark.createDataFrame([("u", Decimal("80.00"))], PROF)).collect()
+    assert len(out) == len(rows)
+    assert sorted((r.transaction_id or "", r.code, r.message) for r in out) == [
+        ("", 200, "Transaction forwarded to cloud processor"), ("", 400, "Insufficient account balance."),
+        ("big", 500, "Transaction processing failed."), ("half", 400, "Insufficient account balance."),
+        ("nobody", 400, "Financial profile not found."), ("ok", 200, "Transaction forwarded to cloud processor")]
+
+
+def test_balances_stay_exact_beside_huge_rejected_amounts(spark):
+    huge = Decimal("999999999999.99")
+    txns = [(f"h{i:03d}", "u", huge, T0 + dt.timedelta(seconds=i), "approved") for i in range(300)]
+    txns += [(f"s{i}", "u", Decimal("0.33"), T0 + dt.timedelta(seconds=400 + i), "approved") for i in range(4)]
+    prof = {"u": Decimal("1.00")}
+    got = run(spark, txns, prof)
+    assert got == python_fold(txns, prof)
+    assert got["s2"][2] == Decimal("0.01") and got["s3"][0] == "rejected"
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_hot_user_mixed_fast_and_ordered_paths(spark, seed):
+    """A third of all rows on one user; ties, NULL times, NULL and negative amounts."""
+    rnd = random.Random(seed)
+    users = ["hot"] * 5 + [f"u{i}" for i in range(10)]
+    prof = {u: Decimal(rnd.randint(0, 80_000)) / 100 * (50 if u == "hot" else 1) for u in set(users) - {"u9"}}
+    txns = []
+    for i in range(900):
+        ts = None if rnd.random() < 0.03 else T0 + dt.timedelta(minutes=20 * rnd.randint(0, 400))
+        low = -2000 if seed == 3 else 1
+        txns.append((f"t{i:03d}", rnd.choice(users), Decimal(rnd.randint(low, 9000)) / 100, ts,
+                     "approved" if rnd.random() < 0.85 else "blocked"))
+    assert run(spark, txns, prof) == python_fold(txns, prof)
+
+
+def test_only_the_undecided_stretch_reaches_python(spark, tmp_dir):
+    """Rows before a user's first cell that could overdraw never enter the fold."""
+    from txlens.operators import ledger
+    txns = [(f"r{i:04d}", "rich", Decimal("1.00"), T0 + dt.timedelta(hours=i), "approved") for i in range(500)]
+    txns += [(f"p{i:04d}", "poor", Decimal("1.00"), T0 + dt.timedelta(hours=i), "approved") for i in range(100)]
+    prof = {"rich": Decimal("500.00"), "poor": Decimal("90.00")}
+    seen = spark.sparkContext.accumulator(0)
+    fold = ledger._fold_batches
+
+    def counted(batches):
+        def count(inner):
+            for b in inner:
+                seen.add(len(b))
+                yield b
+        return fold(count(batches))
+
+    ledger._fold_batches = counted
+    try:
+        got = run(spark, txns, prof)
+    finally:
+        ledger._fold_batches = fold
+    assert got == python_fold(txns, prof)
+    assert seen.value == 10          # poor's last ten hours
+
+
+def test_upsert_defaults_and_repeated_keys(spark):
+    old = spark.createDataFrame([(1, "a", 10), (2, None, 20)], "k int, v string, w int")
+    upd = spark.createDataFrame([(2, "b"), (3, None)], "k int, v string")
+    got = sorted(tuple(r) for r in upsert(old, upd, "k", {"v": "new", "w": 0}).collect())
+    assert got == [(1, "a", 10), (2, "b", 20), (3, "new", 0)]
+    with pytest.raises(Exception, match="k repeated in the batch: 2"):
+        upsert(old, upd.unionByName(upd), "k").collect()

@@ -141,10 +141,41 @@ def test_non_finite_and_large_values(spark):
                     assert g == pytest.approx(v, rel=1e-12, abs=1e-9), (strategy, tid, k, g, v)
 
 
-def test_strategy_choice_by_largest_key(spark):
-    from txlens.operators.rolling import choose_strategy
-    rows = [("a", "hot", 1, 1.0, 0), ("b", "hot", 2, 1.0, 0), ("c", "hot", 3, 1.0, 0), ("d", "cold", 1, 1.0, 0)]
-    df = spark.createDataFrame(rows, SCHEMA)
-    assert choose_strategy(df, "user_id", hot_key_rows=3) == "window"
-    assert choose_strategy(df, "user_id", hot_key_rows=2) == "sweep"
-    assert choose_strategy(df.limit(0), "user_id", hot_key_rows=2) == "window"
+def test_one_user_with_200k_rows_in_a_day(spark):
+    """The default strategy is linear in a hot user's rows (a sliding range frame is not)."""
+    import time
+    n = 200_000
+    df = spark.range(n).select(
+        F.concat(F.lit("t"), "id").alias("transaction_id"), F.lit("hot").alias("user_id"),
+        (F.lit(1_700_000_000) + F.floor(F.col("id") * 86_000 / n)).cast("long").alias("event_unix"),
+        F.lit(1.0).alias("amount"), F.lit(0).alias("is_blocked"))
+    began = time.time()
+    out = rolling_features(df).agg(F.max("rolling_txn_count_24h"), F.sum("rolling_txn_count_24h")).first()
+    assert out[0] == n and out[1] >= n * (n + 1) // 2
+    assert time.time() - began < 60
+
+
+def test_rows_without_a_time_see_each_other_only(spark):
+    rows = [("a", "u1", None, 2.0, 1), ("b", "u1", None, 3.0, 0), ("c", "u1", 100, 7.0, 0), ("d", None, None, 1.0, 0),
+            ("e", None, None, None, 1), ("f", None, 100, 4.0, 0), ("g", "u2", None, None, 0)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    for strategy in ("window", "sweep"):
+        got = {r.transaction_id: (r.rolling_total_spend_24h, r.rolling_txn_count_24h, r.rolling_blocked_count_24h)
+               for r in rolling_features(df, strategy=strategy).collect()}
+        assert got == {"a": (5.0, 2, 1), "b": (5.0, 2, 1), "c": (7.0, 1, 0), "d": (1.0, 2, 1), "e": (1.0, 2, 1),
+                       "f": (4.0, 1, 0), "g": (None, 1, 0)}, strategy
+
+
+def test_no_job_runs_while_the_feature_plan_is_built(spark):
+    from txlens.plans.features import feature_job
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("plan-only", "plan")
+    try:
+        feed = spark.createDataFrame([("t", "u", "1", "2024-01-01T00:00:00Z", "1", "0", "0", "1", "0", "approved")],
+                                     "transaction_id string, user_id string, amount string, event_time string, hour string, "
+                                     "device_risk string, location_risk string, txn_velocity string, "
+                                     "edge_fraud_probability string, status string")
+        feature_job(feed)
+        assert not tracker.getJobIdsForGroup("plan-only")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)

@@ -102,19 +102,143 @@ def test_first_seen(spark, tmp_dir):
     assert out.count() == out.select("transaction_id").distinct().count() == len({r["transaction_id"] for r in rows})
 
 
-def test_rolling_state_equals_batch(spark, tmp_dir):
+def iso(seconds):
+    return (T0 + dt.timedelta(seconds=seconds)).strftime("%Y-%m-%dT%H:%M:%S.000Z")
+
+
+def row(tid, user, seconds, amount="10", status="approved"):
+    return {"transaction_id": tid, "user_id": user, "amount": amount,
+            "event_time": iso(seconds) if seconds is not None else "no time", "hour": "1", "device_risk": "0.5",
+            "location_risk": "0.3", "txn_velocity": "1", "edge_fraud_probability": "0.2", "status": status}
+
+
+def hostile_batches(seed=0):
+    """Ids sent again hours apart and in later batches, with rows between; ids that
+    change their user; rows without a user, a time or both; a very late row."""
+    rnd = random.Random(seed)
+    batches = [[row("X", "a", 1000), row("Y", "a", 1100), row("n1", None, 500), row("n2", None, None), row("m", "a", 2000)],
+               [row("X", "a", 1200), row("n3", None, 700), row("n2", None, None, "20")],
+               [row("X", "a", 40_000), row("m", "b", 2100), row("Y", "a", None)],     # Y without a time loses
+               [row("late", "a", 5), row("n2", None, 900), row("m", "b", 50)],
+               [row("X", "b", 90_000, "7", "blocked")]]
+    for k in range(5):
+        batches[k] += [row(f"r{rnd.randrange(30)}", rnd.choice(["a", "b", None]), rnd.choice([None, *range(0, 200_000, 9973)]),
+                           str(rnd.randrange(1, 99))) for _ in range(12)]
+    return batches
+
+
+def batch_frames(spark, batches):
+    for i, b in enumerate(batches):
+        yield i, spark.createDataFrame(pd.DataFrame(b, columns=REQUIRED_COLUMNS), RAW_SCHEMA)
+
+
+def table_rows(df):
+    cols = [c for c in FEATURE_COLUMNS if c != "event_ts"]
+    return sorted((tuple(r) for r in df.select(*cols).collect()), key=repr)
+
+
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_feature_table_equals_batch_on_hostile_rows(spark, tmp_dir, seed):
+    batches = hostile_batches(seed)
+    up = ST.FeatureStreamUpdater(f"{tmp_dir}/store", f"{tmp_dir}/out", buckets=3, compact_every=2)
+    for i, df in batch_frames(spark, batches):
+        up(df, i)
+        if i in (1, 3):
+            up(df, i)                       # a replay changes nothing
+    rows = [r for b in batches for r in b]
+    want = spark.createDataFrame(pd.DataFrame(rows, columns=REQUIRED_COLUMNS), RAW_SCHEMA)
+    _close(table_rows(ST.current_features(spark, f"{tmp_dir}/out")), table_rows(feature_job(want)))
+
+
+def test_a_batch_reads_its_own_days_only(spark, tmp_dir):
+    """What a batch reads does not grow with the history."""
+    up = ST.FeatureStreamUpdater(f"{tmp_dir}/store", f"{tmp_dir}/out", buckets=2, compact_every=3)
+    for day in range(9):
+        rows = [row(f"d{day}-{i}", f"u{i % 4}", day * 86_400 + 3600 * i) for i in range(8)]
+        up(next(batch_frames(spark, [rows]))[1], day)
+    assert len(up.partitions_read) == 9 and max(up.partitions_read) <= 2 * 2
+    recent = [d for d in os.listdir(f"{tmp_dir}/store/index/recent") if d.startswith("batch_id=")]
+    assert len(recent) <= 3
+
+
+def test_decisions_over_batches_and_replay(spark, tmp_dir):
+    from decimal import Decimal
+
+    from txlens.operators.ledger import process_transactions
+    batches = [[row(f"b{b}-{i}", ["u", "v", None][i % 3], b * 1000 + i, str(10 * i + 5)) for i in range(9)] for b in range(5)]
+    batches[2].append(row("huge", "u", 2500, "1e13"))
+    batches[3].append(row(None, "u", 3500, "1"))
+    profiles = spark.createDataFrame([("u", Decimal("300.00")), ("v", Decimal("90.00"))], "user_id string, account_balance decimal(14,2)")
+    profiles.write.parquet(f"{tmp_dir}/opening")
+    up = ST.DecisionStreamUpdater(f"{tmp_dir}/none", f"{tmp_dir}/opening", f"{tmp_dir}/bal", f"{tmp_dir}/dec",
+                                  f"{tmp_dir}/feed", compact_every=2)
+    for i, df in batch_frames(spark, batches):
+        up(df, i)
+        up(df, i)
+    rows = [r for b in batches for r in b]
+    want = process_transactions(spark.createDataFrame(pd.DataFrame(rows, columns=REQUIRED_COLUMNS), RAW_SCHEMA),
+                                spark.createDataFrame([], "user_id string"), profiles)
+    pick = lambda df: sorted((r.transaction_id or "", r.user_id or "", r.code, r.message) for r in df.collect())
+    assert pick(spark.read.parquet(f"{tmp_dir}/dec")) == pick(want)
+    fed = spark.read.option("header", True).csv(f"{tmp_dir}/feed")
+    assert sorted(r.transaction_id or "" for r in fed.collect()) == sorted(t for t, _, c, _ in pick(want) if c == 200)
+
+
+def test_stream_reads_columns_by_header(spark, tmp_dir):
+    rows = feed_rows(40)
+    os.makedirs(f"{tmp_dir}/in")
+    pd.DataFrame(rows, columns=REQUIRED_COLUMNS)[REQUIRED_COLUMNS[::-1]].to_csv(f"{tmp_dir}/in/a.csv", index=False)
+    q = ST.start_feature_stream(spark, f"{tmp_dir}/in", f"{tmp_dir}/store", f"{tmp_dir}/out", f"{tmp_dir}/chk", trigger=None, buckets=2)
+    q.awaitTermination()
+    assert {r.user_id for r in ST.current_features(spark, f"{tmp_dir}/out").collect()} == {"u1", "u2", "u3"}
+
+
+def run_state_stream(spark, tmp_dir, lateness):
     from txlens.operators.normalize import event_unix, normalize
-    from txlens.streaming.rolling_state import latest_emitted, rolling_state_stream
-    rows = feed_rows(seed=8)
-    rows = [r for r in rows if r["event_time"] != "not-a-time"]  # STR2 keeps rows with a time only
-    write_files(rows, f"{tmp_dir}/in", 4, [1, 0, 3, 2])  # out of order, within the lateness
+    from txlens.streaming.rolling_state import rolling_state_stream
     raw = spark.readStream.schema(RAW_SCHEMA).option("header", True).option("maxFilesPerTrigger", 1).csv(f"{tmp_dir}/in")
     typed = (normalize(raw).withColumn("event_unix", event_unix("event_ts"))
              .withColumn("event_ms", F.unix_millis("event_ts")))
-    q = (rolling_state_stream(typed, lateness_seconds=5 * 86400).writeStream.format("parquet")
+    q = (rolling_state_stream(typed, lateness_seconds=lateness).writeStream.format("parquet")
          .option("path", f"{tmp_dir}/out").option("checkpointLocation", f"{tmp_dir}/chk")
          .trigger(availableNow=True).start())
     q.awaitTermination()
+    return spark.read.parquet(f"{tmp_dir}/out")
+
+
+def test_rolling_state_equals_batch(spark, tmp_dir):
+    from txlens.streaming.rolling_state import latest_emitted
+    rows = feed_rows(seed=8)                      # with a row without a time
+    write_files(rows, f"{tmp_dir}/in", 4, [1, 0, 3, 2])  # out of order, within the lateness
+    emitted = run_state_stream(spark, tmp_dir, 5 * 86400)
     cols = [c for c in FEATURE_COLUMNS if c != "event_ts"]
-    got = sorted(tuple(r) for r in latest_emitted(spark.read.parquet(f"{tmp_dir}/out")).select(*cols).collect())
+    got = sorted(tuple(r) for r in latest_emitted(emitted).select(*cols).collect())
     _close(got, batch_result(spark, rows))
+
+
+def test_rolling_state_follows_ids_sent_again(spark, tmp_dir):
+    """Copies hours apart in later batches: the rows between stop counting the old one."""
+    from txlens.streaming.rolling_state import latest_emitted
+    batches = [[row("X", "a", 1000), row("Y", "a", 1100), row("Z", "a", 80_000)], [row("X", "a", 1200)],
+               [row("X", "a", 40_000), row("Y", "a", None)], [row("X", "a", 30_000), row("W", "a", None)],
+               [row("W", "a", 1150), row("V", "a", 126_401)]]
+    os.makedirs(f"{tmp_dir}/in")
+    for i, b in enumerate(batches):
+        pd.DataFrame(b, columns=REQUIRED_COLUMNS).to_csv(f"{tmp_dir}/in/{i}.csv", index=False)
+        os.utime(f"{tmp_dir}/in/{i}.csv", (1_700_000_000 + i, 1_700_000_000 + i))
+    got = {r.transaction_id: (r.rolling_txn_count_24h, r.rolling_total_spend_24h)
+           for r in latest_emitted(run_state_stream(spark, tmp_dir, 5 * 86400)).collect()}
+    want = spark.createDataFrame(pd.DataFrame([r for b in batches for r in b], columns=REQUIRED_COLUMNS), RAW_SCHEMA)
+    assert got == {r.transaction_id: (r.rolling_txn_count_24h, r.rolling_total_spend_24h) for r in feature_job(want).collect()}
+    assert got["Y"] == (1, 10.0) or got["Y"] == (2, 20.0)
+
+
+def test_rolling_state_hands_out_late_rows(spark, tmp_dir):
+    from txlens.streaming.rolling_state import late_rows, latest_emitted
+    os.makedirs(f"{tmp_dir}/in")
+    for i, b in enumerate([[row("a", "u", 500_000)], [row("b", "u", 100), row("c", "u", 499_000)]]):
+        pd.DataFrame(b, columns=REQUIRED_COLUMNS).to_csv(f"{tmp_dir}/in/{i}.csv", index=False)
+        os.utime(f"{tmp_dir}/in/{i}.csv", (1_700_000_000 + i, 1_700_000_000 + i))
+    emitted = run_state_stream(spark, tmp_dir, 3600)
+    assert [r.transaction_id for r in late_rows(emitted).collect()] == ["b"]
+    assert sorted(r.transaction_id for r in latest_emitted(emitted).collect()) == ["a", "c"]

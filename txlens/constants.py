@@ -77,6 +77,7 @@ DEFAULT_RISK_APPETITE = "balanced"
 
 # Ledger messages.
 MSG_BLACKLISTED = "Account locked by Cloud Risk Intelligence (R-Cluster Anomaly)."
+MSG_FAILED = "Transaction processing failed."
 MSG_INVALID = "Invalid transaction payload."
 MSG_NO_PROFILE = "Financial profile not found."
 MSG_INSUFFICIENT = "Insufficient account balance."

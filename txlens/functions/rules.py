@@ -1,10 +1,10 @@
-"""Rule and scoring expressions (RUL1-RUL10).  All are plain column
+"""Rule and scoring expressions (RUL1-RUL10).  All but RUL7 are plain column
 expressions: they stay inside whole-stage codegen and need no shuffle.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from txlens import constants as K
@@ -97,6 +97,30 @@ def risk_band(status="status", prob="edge_fraud_probability") -> Column:
             .otherwise(F.lit("safe")))
 
 
+# -- RUL7 --------------------------------------------------------------------
+
+def device_risk(df: DataFrame, user: str = "user_id", device: str = "device_id", ts: str = "event_ts",
+                key: str = "transaction_id", out: str = "device_signal") -> DataFrame:
+    """RUL7: adds ``out``: 0.78 on the first sighting of a (user, device) pair,
+    0.12 on later ones.
+
+    The first sighting is the smallest (time, key) of the pair; NULL users and
+    devices are values like any other.  Of several rows with that same time and
+    key (repeated rows) exactly one is the first.  The pair's first row comes
+    from a partially aggregated minimum, joined back, so no task holds a whole
+    pair; only rows equal in pair, time and key are numbered.
+    """
+    first = df.groupBy(F.col(user).alias("__u"), F.col(device).alias("__d")).agg(
+        F.min(F.struct(F.col(ts).alias("t"), F.col(key).alias("k"))).alias("__first"))
+    is_first = F.struct(F.col(ts).alias("t"), F.col(key).alias("k")).eqNullSafe(F.col("__first"))
+    joined = df.join(first, F.col(user).eqNullSafe(F.col("__u")) & F.col(device).eqNullSafe(F.col("__d")), "left")
+    again = Window.partitionBy(user, device, ts, key).orderBy(F.lit(1))
+    return (joined.withColumn("__candidate", is_first).withColumn("__nth", F.row_number().over(again))
+            .withColumn(out, F.when(F.col("__candidate") & (F.col("__nth") == 1), F.lit(K.NEW_DEVICE_RISK))
+                        .otherwise(F.lit(K.KNOWN_DEVICE_RISK)))
+            .drop("__u", "__d", "__first", "__candidate", "__nth"))
+
+
 # -- RUL8 / RUL9 / RUL10 -----------------------------------------------------
 
 def location_risk_from_zone(zone="timezone") -> Column:

@@ -38,18 +38,3 @@ def with_scalars(df: DataFrame, stats: DataFrame) -> DataFrame:
     """``df`` with the columns of the one-row ``stats`` added as constants."""
     return df.select("*", *scalar_columns(stats))
 
-
-def join_small(df: DataFrame, table: DataFrame, on, max_rows: int = 10_000) -> DataFrame:
-    """Equi-join ``df`` with a table expected to be small (one row per class,
-    per status, ...).
-
-    The table's size is checked, not assumed: up to ``max_rows`` rows are read
-    back and broadcast as a local relation (computed once, no shuffle of
-    ``df``).  A larger table takes a plain join, where AQE picks the strategy
-    from measured sizes.
-    """
-    rows = table.take(max_rows + 1)
-    if len(rows) > max_rows:
-        return df.join(table, on)
-    local = df.sparkSession.createDataFrame(rows, table.schema)
-    return df.join(F.broadcast(local), on)

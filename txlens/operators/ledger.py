@@ -4,14 +4,23 @@ LED1 is an ordered fold per user: an approved transaction is accepted and
 debited only if the balance left by the earlier accepted ones covers it; a
 rejection does not debit, so the result is not a running sum.
 
-Plan:
-
-* rows are hash-partitioned by user (the profile join's partitioning), sorted by
-  (user, event_ts, transaction_id) inside each partition, and folded by
-  ``mapInPandas``.  The fold streams through the Arrow batches carrying only
-  (user, balance) between rows and batches, so a user with very many rows is
-  never materialised as one group -- memory stays at one batch.  Amounts are
-  exact integer cents (DECIMAL(14,2) * 100), so comparisons are exact.
+Plan: only what order really decides goes through Python.
+
+* A user's rows are cut into hour cells.  Per cell: the debits that could be
+  accepted (approved, with a profile, within the opening balance), summed
+  before the shuffle.  Running totals over the cells -- one row per user and
+  hour -- give the balance before each cell as long as everything fits.
+* Up to a user's first cell that could overdraw, all candidates are accepted:
+  the rows of all these cells are decided in parallel, in the JVM, with a
+  running sum inside each cell.  A user whose total fits never leaves this path.
+* From that cell on the rows are *undecided*: they are hash-partitioned by
+  user, sorted and folded by ``mapInPandas``, starting from the balance before
+  the cell.  The fold streams through the Arrow batches carrying only (user,
+  balance).  Users with a negative amount are folded whole.
+
+Money is exact integer cents.  A row is accepted if its unrounded amount is
+within the balance (compared as the next whole cent), and debits the amount
+rounded to cents, as it is stored.
 """
 
 from __future__ import annotations
@@ -28,83 +37,105 @@ from txlens import constants as K
 
 MONEY = T.DecimalType(14, 2)
 ACCEPTED, REJECTED = "accepted", "rejected"
+CELL_SECONDS = 3600
+#: Above any storable amount in cents; such a debit never fits.
+NEVER = 10 ** 15
 
 
 def _cents(c) -> F.Column:
+    """Whole cents of an amount rounded as it is stored; NULL if it cannot be."""
     col = F.col(c) if isinstance(c, str) else c
-    return (col.cast(MONEY) * 100).cast("long")
+    return (col.try_cast(MONEY) * 100).cast("long")
+
+
+def _needed_cents(c) -> F.Column:
+    """The smallest whole-cent balance that covers the unrounded amount."""
+    exact = F.col(c).try_cast("decimal(30,12)")
+    return F.when(_cents(c).isNotNull(), F.greatest(F.ceil(exact * 100).try_cast("long"), _cents(c)))
 
 
 def _fold_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Ordered balance fold over rows sorted by (user, time, id).
 
-    Reads ``user_id``, ``__amt`` (cents), ``__open`` (cents or NULL) and
-    ``__approved`` (0/1); appends ``__ok`` (0/1), ``__why`` (0 ok, 1 no
-    profile, 2 insufficient) and ``__balc`` (cents after the row, NULL without
-    a profile).  Only (user, balance) is carried between batches.
+    Reads ``user_id``, ``__amt`` and ``__need`` (cents), ``__open`` (cents
+    before the user's first row here, or NULL) and ``__approved`` (0/1);
+    appends ``__ok`` (0/1), ``__why`` (0 ok, 1 no profile, 2 insufficient) and
+    ``__balc`` (cents after the row, NULL without a profile).  Only
+    (user, balance) is carried between batches.
     """
-    cur_user, bal = object(), np.nan
+    cur_user, bal = object(), None
     for pdf in batches:
         n = len(pdf)
         if n == 0:
             continue
         users = pdf["user_id"].to_numpy(dtype=object)
-        amt = pdf["__amt"].to_numpy(dtype=np.float64, na_value=np.nan)
-        opening = pdf["__open"].to_numpy(dtype=np.float64, na_value=np.nan)
+        amt = pdf["__amt"].fillna(NEVER).to_numpy(dtype=np.int64)
+        need = pdf["__need"].fillna(NEVER).to_numpy(dtype=np.int64)
+        has_profile = pdf["__open"].notna().to_numpy()
+        opening = pdf["__open"].fillna(0).to_numpy(dtype=np.int64)
         approved = pdf["__approved"].to_numpy(dtype=np.int64)
         ok = np.ones(n, dtype=np.int64)
         why = np.zeros(n, dtype=np.int64)
-        out_bal = np.full(n, np.nan)
+        out_bal = np.zeros(n, dtype=np.int64)
         starts = np.flatnonzero(np.r_[True, users[1:] != users[:-1]])
         ends = np.r_[starts[1:], n]
         for s, e in zip(starts, ends):
             if users[s] != cur_user:  # a new user; otherwise the run continues the last batch
-                cur_user, bal = users[s], opening[s]
-            if np.isnan(bal):  # no profile: approved rows rejected, blocked ones recorded
+                cur_user, bal = users[s], int(opening[s]) if has_profile[s] else None
+            if bal is None:  # no profile: approved rows rejected, blocked ones recorded
                 mask = approved[s:e] == 1
                 ok[s:e][mask] = 0
                 why[s:e][mask] = 1
                 continue
-            bal = _fold_run(amt[s:e], approved[s:e], bal, ok[s:e], why[s:e], out_bal[s:e])
-        yield pdf.assign(__ok=ok, __why=why, __balc=out_bal)
+            bal = _fold_run(amt[s:e], need[s:e], approved[s:e], bal, ok[s:e], why[s:e], out_bal[s:e])
+        yield pdf.assign(__ok=ok, __why=why,
+                         __balc=pd.Series(out_bal, index=pdf.index).astype("Int64").where(has_profile))
 
 
-def _fold_run(amt, approved, bal, ok, why, out_bal):
+def _fold_run(amt, need, approved, bal, ok, why, out_bal):
     """Fold one user's run in place and return the closing balance.
 
     Linear in the run length, however often rows are rejected:
 
     * one prefix sum of the debits (``cs[j]`` = debit of rows before ``j``);
-      accepted stretches never include a rejected row, so the debit of rows
-      ``i..j-1`` is ``cs[j] - cs[i]`` and the longest stretch from ``i`` that
-      fits the balance is one binary search;
+      accepted stretches never include a rejected row, so the balance before
+      row ``j`` of a stretch from ``i`` is ``bal - (cs[j] - cs[i])``, and the
+      end of the longest stretch is one binary search;
     * the row after a stretch does not fit and is rejected without a debit;
       the balance is unchanged, so every following row up to the first one
-      with ``debit <= balance`` is rejected too -- found with one vectorised
-      search over a block of rows, not row by row.
+      within the balance is rejected too -- found with one vectorised search
+      over a block of rows, not row by row.
 
-    Amounts are whole cents, so the float sums are exact integers.
+    All sums are int64.  Amounts above the balance cannot be accepted any more,
+    so they are clipped to just above it; a batch of 10,000 rows stays far from
+    overflow.
     """
-    debit = np.where(approved == 1, np.nan_to_num(amt, nan=np.inf), 0.0)
-    n = len(debit)
-    if (debit < 0).any():  # negative amounts break the prefix search: plain loop
+    n = len(amt)
+    amt, need = np.where(approved == 1, amt, 0), np.where(approved == 1, need, 0)
+    if (amt < 0).any():  # negative amounts break the prefix search: plain loop
         for i in range(n):
-            if debit[i] <= bal:
-                bal -= debit[i]
+            if int(need[i]) <= bal:
+                bal -= int(amt[i])
             else:
                 ok[i], why[i] = 0, 2
             out_bal[i] = bal
         return bal
-    finite = np.where(np.isinf(debit), 0.0, debit)
-    cs = np.concatenate(([0.0], np.cumsum(finite)))
-    barrier = np.flatnonzero(np.isinf(debit))  # approved rows without an amount never fit
+    never = max(bal, 0) + 1
+    amt, need = np.minimum(amt, never), np.minimum(need, never)
+    cs = np.concatenate(([0], np.cumsum(amt)))
+    # Row j of the stretch fits if cs[j] + need[j] <= cs[i] + bal.  need exceeds
+    # the debit by a cent at most, so cs[j + 1] <= cs[i] + bal holds for every
+    # fitting row; among the rows within that bound the first misfit ends it.
+    reach = cs[:-1] + need
     i = 0
     while i < n:
-        nb = barrier[np.searchsorted(barrier, i)] if barrier.size and barrier[-1] >= i else n
-        j = min(int(np.searchsorted(cs, cs[i] + bal, side="right")) - 1, nb)  # rows i..j-1 fit
+        j = min(int(np.searchsorted(cs, cs[i] + bal, side="right")) - 1, n)
+        short = np.flatnonzero(need[i:j] > amt[i:j])
+        over = short[reach[i + short] > cs[i] + bal]
+        j = i + int(over[0]) if over.size else max(j, i)
         if j > i:
             out_bal[i:j] = bal - (cs[i + 1:j + 1] - cs[i])
-            bal = bal - (cs[j] - cs[i])
+            bal = bal - int(cs[j] - cs[i])
             i = j
         if i >= n:
             break
@@ -112,7 +143,7 @@ def _fold_run(amt, approved, bal, ok, why, out_bal):
         nxt = i + 1
         block = 64
         while nxt < n:
-            hit = np.flatnonzero(debit[nxt:nxt + block] <= bal)
+            hit = np.flatnonzero(need[nxt:nxt + block] <= bal)
             if hit.size:
                 nxt += int(hit[0])
                 break
@@ -125,49 +156,82 @@ def _fold_run(amt, approved, bal, ok, why, out_bal):
     return bal
 
 
+def _arrival(ts_col: str) -> list:
+    return [F.col(ts_col).asc_nulls_first(), F.col("transaction_id").asc_nulls_first(),
+            F.col("__amt").asc_nulls_first(), F.col("__approved").asc()]
+
+
 def balance_gate(txns: DataFrame, profiles: DataFrame, user_col: str = "user_id",
                  ts_col: str = "event_ts", eligible: str | None = None) -> DataFrame:
     """LED1: adds ``decision``, ``message``, ``debited`` (0/1) and
     ``balance_after`` (DECIMAL(14,2); NULL without a profile).
 
-    Arrival order is (event_ts NULLS FIRST, transaction_id).  Approved rows
-    need a profile and enough balance; blocked rows are recorded, never debited.
-    With ``eligible`` (a boolean column), only those rows can debit; the others
-    ride along in arrival order without touching the balance.
+    Arrival order is (event_ts NULLS FIRST, transaction_id NULLS FIRST, amount).
+    Approved rows need a profile and enough balance; blocked rows are recorded,
+    never debited.  With ``eligible`` (a boolean column), only those rows can
+    debit; the others ride along in arrival order without touching the balance.
+    An approved row without an amount never fits.
     """
     cols = [c for c in txns.columns if c != eligible]
     prof = profiles.select(F.col("user_id").alias("__puser"), _cents("account_balance").alias("__open"))
     approved = F.col("status") == "approved"
     if eligible is not None:
         approved = approved & F.coalesce(F.col(eligible), F.lit(False))
-    j = (txns.join(prof, txns[user_col] == prof.__puser, "left").drop("__puser")
-         .withColumn("__amt", _cents("amount"))
-         .withColumn("__approved", F.coalesce(approved, F.lit(False)).cast("int")))
-    if eligible is not None:
-        j = j.drop(eligible)
-    # Decimal columns travel as cents; the rest pass through the fold unchanged.
-    passthrough = [c for c in cols if c != "amount"]
-    prepared = (j.select(*[F.col(c) for c in passthrough], "__amt", "__open", "__approved")
-                .withColumnRenamed(user_col, "user_id") if user_col != "user_id" else
-                j.select(*[F.col(c) for c in passthrough], "__amt", "__open", "__approved"))
-    prepared = (prepared.repartition("user_id")
-                .sortWithinPartitions("user_id", F.col(ts_col).asc_nulls_first(), F.col("transaction_id").asc()))
-    schema = T.StructType(prepared.schema.fields + [
-        T.StructField("__ok", T.LongType()), T.StructField("__why", T.LongType()),
-        T.StructField("__balc", T.DoubleType())])
-    folded = prepared.mapInPandas(_fold_batches, schema)
+    cell = F.floor(F.unix_seconds(F.col(ts_col).cast("timestamp")) / CELL_SECONDS)
+    rows = (txns.join(prof, txns[user_col] == prof.__puser, "left").drop("__puser")
+            .withColumn("__amt", _cents("amount"))
+            .withColumn("__need", _needed_cents("amount"))
+            .withColumn("__approved", F.coalesce(approved, F.lit(False)).cast("int"))
+            .withColumn("__cell", F.coalesce(cell, F.lit(-(1 << 62))).cast("long")))
+    rows = rows.select(*[F.col(c) for c in cols], "__open", "__amt", "__need", "__approved", "__cell")
+    if user_col != "user_id":
+        rows = rows.withColumnRenamed(user_col, "user_id")
+
+    # What each cell could debit, and the balance before it while all fits.
+    candidate = (F.col("__approved") == 1) & (F.col("__need") <= F.col("__open")) & (F.col("__amt") >= 0)
+    money = lambda c: F.sum(F.when(candidate, F.col(c)).otherwise(0).cast("decimal(20,0)"))
+    cells = rows.groupBy("user_id", "__cell").agg(
+        F.max("__open").alias("__start"), money("__amt").alias("__debit"), money("__need").alias("__needed"),
+        F.max((F.coalesce(F.col("__amt"), F.lit(0)) < 0) & (F.col("__approved") == 1)).alias("__negative"))
+    user = Window.partitionBy("user_id")
+    earlier = user.orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
+    placed = (cells.withColumn("__before", F.coalesce(F.sum("__debit").over(earlier), F.lit(0)))
+              .withColumn("__bad", F.max("__negative").over(user)
+                          | F.coalesce(F.col("__before") + F.col("__needed") > F.col("__start"), F.lit(False)))
+              .withColumn("__from", F.min(F.when(F.col("__bad"), F.col("__cell"))).over(user))
+              .withColumn("__undecided", F.coalesce(F.col("__cell") >= F.col("__from"), F.lit(False)))
+              .withColumn("__spent", F.min(F.when(F.col("__cell") == F.col("__from"), F.col("__before"))).over(user))
+              .withColumn("__left", (F.col("__start") - F.when(F.col("__undecided"), F.col("__spent"))
+                                     .otherwise(F.col("__before"))).cast("long"))
+              .select(F.col("user_id").alias("__cuser"), F.col("__cell").alias("__ccell"), "__undecided", "__left"))
+    known = rows.join(placed, F.col("user_id").eqNullSafe(F.col("__cuser"))
+                      & (F.col("__cell") == F.col("__ccell")), "left").drop("__cuser", "__ccell")
+
+    # Decided: a running sum inside each cell, from the balance before it.
+    in_cell = (Window.partitionBy("user_id", "__cell").orderBy(*_arrival(ts_col))
+               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    takes = F.coalesce(candidate, F.lit(False))
+    sure = known.filter(~F.col("__undecided"))
+    sure = (sure.withColumn("__ok", F.when((F.col("__approved") == 0) | takes, 1).otherwise(0).cast("long"))
+            .withColumn("__why", F.when(F.col("__ok") == 1, 0).when(F.col("__open").isNull(), 1).otherwise(2).cast("long"))
+            .withColumn("__balc", F.col("__left") - F.sum(F.when(takes, F.col("__amt")).otherwise(0)).over(in_cell)))
+    # Undecided: the ordered fold.
+    open_rows = (known.filter("__undecided").withColumn("__open", F.col("__left"))
+                 .repartition("user_id").sortWithinPartitions("user_id", *_arrival(ts_col)))
+    extra = [T.StructField("__ok", T.LongType()), T.StructField("__why", T.LongType()), T.StructField("__balc", T.LongType())]
+    folded = open_rows.mapInPandas(_fold_batches, T.StructType(open_rows.schema.fields + extra))
+    both = sure.select(*folded.columns).unionByName(folded)
     if user_col != "user_id":
-        folded = folded.withColumnRenamed("user_id", user_col)
-    amount = (F.col("__amt").cast("decimal(20,0)") / 100).cast(MONEY)
-    return folded.select(
-        *[amount.alias("amount") if c == "amount" else F.col(c) for c in cols],
+        both = both.withColumnRenamed("user_id", user_col)
+    return both.select(
+        *[(F.col("__amt").cast("decimal(20,0)") / 100).cast(MONEY).alias("amount") if c == "amount" else F.col(c)
+          for c in cols],
         F.when(F.col("__ok") == 1, F.lit(ACCEPTED)).otherwise(F.lit(REJECTED)).alias("decision"),
         F.when(F.col("__why") == 1, F.lit(K.MSG_NO_PROFILE))
         .when(F.col("__why") == 2, F.lit(K.MSG_INSUFFICIENT))
         .otherwise(F.lit(K.MSG_ACCEPTED)).alias("message"),
         ((F.col("__ok") == 1) & (F.col("__approved") == 1)).cast("int").alias("debited"),
-        (F.when(~F.isnan("__balc"), F.col("__balc")).cast("decimal(20,0)") / 100).cast(MONEY)
-        .alias("balance_after"),
+        (F.col("__balc").cast("decimal(20,0)") / 100).cast(MONEY).alias("balance_after"),
     )
 
 
@@ -181,15 +245,18 @@ def closing_balance(profiles: DataFrame, gated: DataFrame) -> DataFrame:
                     .cast(MONEY).alias("closing_balance")))
 
 
-def decide_transactions(feed: DataFrame, blacklist: DataFrame, profiles: DataFrame) -> tuple[DataFrame, DataFrame]:
+def decide_transactions(feed: DataFrame, blacklist: DataFrame, profiles: DataFrame, keep=None,
+                        carry: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """LED3 with the balance-gated rows: returns (decisions, gated rows).
 
-    One pass over the feed: a left join to the distinct blacklisted ids flags
-    denied rows (AQE broadcasts the keys when they are small and splits a
-    skewed user's partition otherwise), the payload rules become one boolean,
-    and every row goes through the ordered balance fold, where only allowed,
-    valid rows can debit.  The feed is scanned once and shuffled once (by
-    user), whatever the mix of outcomes.
+    ``keep`` (a ``materialize``) stores the gated rows, so that both results come
+    from one evaluation; ``carry`` names feed columns to hand through.
+
+    A left join to the distinct blacklisted ids flags denied rows (AQE broadcasts
+    the keys when they are small and splits a skewed user's partition
+    otherwise), the payload rules become one boolean, and every row goes
+    through :func:`balance_gate`, where only allowed, valid, storable rows can
+    debit; most are decided there without the ordered fold.
     """
     from txlens.operators.normalize import parse_event_ts, to_double
     from txlens.operators.validate import transaction_rules
@@ -202,28 +269,36 @@ def decide_transactions(feed: DataFrame, blacklist: DataFrame, profiles: DataFra
     flagged = (feed.select("*", valid.alias("__valid"))
                .join(keys, F.col("user_id").cast("string") == F.col("__bl_user"), "left"))
     denied = F.col("__bl_user").isNotNull()
-    eligible = ~denied & F.col("__valid")
+    # A valid amount that the store cannot take fails its own row, not the job.
+    exact = to_double("amount").try_cast("decimal(30,12)")
+    storable = _cents(to_double("amount")).isNotNull()
+    eligible = ~denied & F.col("__valid") & storable
     typed = flagged.select(
         F.col("transaction_id").cast("string").alias("transaction_id"),
         F.col("user_id").cast("string").alias("user_id"),
-        F.when(eligible, to_double("amount").cast(MONEY)).alias("amount"),
+        F.when(eligible, exact).alias("amount"),
         parse_event_ts("event_time").alias("event_ts"),
         F.col("status").cast("string").alias("status"),
-        denied.alias("__denied"), F.col("__valid"), eligible.alias("__eligible"),
-    ).filter(F.col("transaction_id").isNotNull() | ~F.col("__eligible"))
+        *[F.col(c) for c in carry or []],
+        denied.alias("__denied"), F.col("__valid"), storable.alias("__storable"), eligible.alias("__eligible"))
     gated = balance_gate(typed, profiles, eligible="__eligible")
+    gated = keep(gated) if keep else gated
     code = (F.when(F.col("__denied"), F.lit(403)).when(~F.col("__valid"), F.lit(400))
+            .when(~F.col("__storable"), F.lit(500))
             .when(F.col("decision") == ACCEPTED, F.lit(200)).otherwise(F.lit(400)))
+    refused = F.col("__denied") | ~F.col("__valid") | ~F.col("__storable")
     decisions = gated.select(
-        "transaction_id", "user_id", code.alias("code"),
-        F.when(F.col("__denied") | ~F.col("__valid"), F.lit(REJECTED)).otherwise(F.col("decision")).alias("decision"),
+        "transaction_id", "user_id", *(carry or []), code.alias("code"),
+        F.when(refused, F.lit(REJECTED)).otherwise(F.col("decision")).alias("decision"),
         F.when(F.col("__denied"), F.lit(K.MSG_BLACKLISTED)).when(~F.col("__valid"), F.lit(K.MSG_INVALID))
+        .when(~F.col("__storable"), F.lit(K.MSG_FAILED))
         .otherwise(F.col("message")).alias("message"))
     return decisions, gated
 
 
 def process_transactions(feed: DataFrame, blacklist: DataFrame, profiles: DataFrame) -> DataFrame:
-    """LED3: blacklist (403) -> payload validation (400) -> balance gate (400) -> accepted.
+    """LED3: blacklist (403) -> payload validation (400) -> not storable (500) ->
+    balance gate (400) -> accepted (200).
 
     ``feed`` holds the payload columns as text or typed values, ``user_id``
     and ``transaction_id``.  One output row per input row with ``code``,
@@ -240,17 +315,22 @@ def insert_skip_duplicates(existing: DataFrame, batch: DataFrame, key: str, orde
     return fresh.withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").drop("__rn")
 
 
-def upsert(existing: DataFrame, batch: DataFrame, key: str) -> DataFrame:
+def upsert(existing: DataFrame, batch: DataFrame, key: str, defaults: dict | None = None) -> DataFrame:
     """SNK5: new snapshot -- matching keys take the batch's non-NULL fields
-    (absent fields keep the old value), new keys are inserted.  The batch must
-    hold at most one row per key."""
+    (absent fields keep the old value), new keys are inserted, with ``defaults``
+    (column -> value) for fields the batch leaves out.  A key that the batch
+    holds twice fails the job with a message that names it."""
     cols = [c for c in existing.columns if c != key]
-    b = batch.select(key, *[F.col(c).alias(f"__new_{c}") for c in cols if c in batch.columns])
-    j = existing.join(b, key, "full_outer")
+    given = [c for c in cols if c in batch.columns]
+    repeated = F.raise_error(F.concat(F.lit(f"upsert: {key} repeated in the batch: "), F.col(key).cast("string")))
+    b = (batch.groupBy(key).agg(F.count(F.lit(1)).alias("__n"), *[F.first(c).alias(f"__new_{c}") for c in given])
+         .filter(F.when(F.col("__n") > 1, repeated.cast("boolean")).otherwise(F.lit(True))).drop("__n"))
+    j = existing.withColumn("__old", F.lit(True)).join(b, key, "full_outer")
     out = [F.col(key)]
     for c in cols:
-        if c in batch.columns:
-            out.append(F.coalesce(F.col(f"__new_{c}"), F.col(c)).alias(c))
-        else:
-            out.append(F.col(c))
+        value = F.coalesce(F.col(f"__new_{c}"), F.col(c)) if c in given else F.col(c)
+        if defaults and c in defaults:
+            fallback = F.lit(defaults[c]).cast(existing.schema[c].dataType)
+            value = F.when(F.col("__old").isNull(), F.coalesce(value, fallback)).otherwise(value)
+        out.append(value.alias(c))
     return j.select(*out)

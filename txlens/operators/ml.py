@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from txlens import constants as K
-from txlens.functions.scalars import join_small, one_row, with_scalars
+from txlens.functions.scalars import with_scalars
 from txlens.operators.filters import drop_non_finite
 from txlens.operators.ordering import prefix_sums
 from txlens.operators.risk import moments
@@ -168,9 +168,11 @@ def train_classifier(train: DataFrame, features=K.MODEL_FEATURES, label: str = K
                      max_iter: int = 100):
     """Fit on z-scored features (scaler fitted on ``train``).
 
-    ``kind='mlp'``: layers [n, 16, 8, 2], block size 128 (Spark's MLP has no
-    row weights).  ``kind='logistic'``: logistic regression with the balanced
-    class weights (AGG11) as ``weightCol``.  Returns (model, scaler).
+    ``kind='mlp'``: layers [n, 16, 8, 2], block size 128.  Spark's MLP takes no
+    row weights, so the balanced class weights (AGG11) are realised as whole
+    copies: each row as often as its class's weight relative to the smallest
+    one, rounded.  ``kind='logistic'``: logistic regression with the weights as
+    ``weightCol``.  Returns (model, scaler).
     """
     from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
     from pyspark.ml.feature import VectorAssembler
@@ -179,17 +181,20 @@ def train_classifier(train: DataFrame, features=K.MODEL_FEATURES, label: str = K
     scaled = apply_scaler(train, scaler, features)
     vec = VectorAssembler(inputCols=[f"{c}_s" for c in features], outputCol="__x").transform(scaled)
     vec = vec.withColumn("__y", F.col(label).cast("double"))
+    if weights is None:
+        from txlens.operators.sampling import class_weights
+        weights = class_weights(train, label)
+    own = weights.select(F.col(label).alias("__wl"), F.col("weight").alias("__w"))
+    least = own.agg(F.min("__w").alias("__least"))
+    vec = with_scalars(vec.join(own, F.col(label) == F.col("__wl")), least)
     if kind == "mlp":
+        copies = F.greatest(F.round(F.col("__w") / F.col("__least")).cast("int"), F.lit(1))
+        vec = vec.withColumn("__copy", F.explode(F.sequence(F.lit(1), copies)))
         est = MultilayerPerceptronClassifier(layers=[len(features)] + K.HIDDEN_LAYERS + [2], blockSize=K.BATCH_SIZE,
                                              seed=seed, maxIter=max_iter, featuresCol="__x", labelCol="__y")
         model = est.fit(vec)
     elif kind == "logistic":
-        if weights is None:
-            from txlens.operators.sampling import class_weights
-            weights = class_weights(train, label)
-        # One row per class; broadcast only after its size is checked.
-        wv = join_small(vec, weights.select(label, F.col("weight").alias("__w")), label)
-        model = LogisticRegression(featuresCol="__x", labelCol="__y", weightCol="__w", maxIter=max_iter).fit(wv)
+        model = LogisticRegression(featuresCol="__x", labelCol="__y", weightCol="__w", maxIter=max_iter).fit(vec)
     else:
         raise ValueError(kind)
     return model, scaler
@@ -208,43 +213,75 @@ def predict(model, df: DataFrame, scaler: DataFrame, features=K.MODEL_FEATURES,
             .drop("__x", "rawPrediction", "probability", "prediction", *[f"{c}_s" for c in features]))
 
 
+def save_model(model, scaler: DataFrame, path: str) -> None:
+    """The fitted model and its scaler under ``path``, for :func:`load_model`."""
+    from txlens.sources.sinks import write_scaler
+
+    model.write().overwrite().save(f"{path.rstrip('/')}/model")
+    write_scaler(scaler, f"{path.rstrip('/')}/scaler")
+
+
+def load_model(spark, path: str, kind: str = "mlp"):
+    """(model, scaler) as :func:`predict` takes them."""
+    from pyspark.ml.classification import LogisticRegressionModel, MultilayerPerceptronClassificationModel
+
+    cls = {"mlp": MultilayerPerceptronClassificationModel, "logistic": LogisticRegressionModel}[kind]
+    return cls.load(f"{path.rstrip('/')}/model"), read_scaler(spark, f"{path.rstrip('/')}/scaler")
+
+
+def read_scaler(spark, path: str) -> DataFrame:
+    """A scaler artifact (feature_names, mean, scale) that SNK6 wrote."""
+    from txlens.sources.feed import read_published
+
+    return read_published(spark, path, "json").select(
+        "feature_names", F.col("mean").cast("array<double>"), F.col("scale").cast("array<double>"))
+
+
 # -- ML9 / ML10 ----------------------------------------------------------------
 
+def _per_score(pred: DataFrame, score: str, label: str) -> DataFrame:
+    """Rows of each class per distinct score, and the negatives below it: one pass
+    over the predictions, all metrics follow from it.  Rows without a score or
+    label count nowhere."""
+    per = (pred.filter(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(score).alias("score"))
+           .agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).cast("double").alias("pos"),
+                F.sum(F.when(F.col(label) == 0, 1).otherwise(0)).cast("double").alias("neg")))
+    return prefix_sums(per, [F.col("score").asc()], ["neg"], inclusive=False)
+
+
 def exact_auc(pred: DataFrame, score: str = "score", label: str = K.MODEL_LABEL) -> DataFrame:
-    """ROC-AUC as P(score_pos > score_neg) + P(equal) / 2, exactly.
+    """ROC-AUC as P(score_pos > score_neg) + P(equal) / 2, exactly (one row, ``auc``).
 
     Positives and negatives are counted per distinct score (an aggregate), the
     negatives below each score come from a distributed prefix sum, and one
-    final aggregate gives the area.  One row: ``auc``.
+    final aggregate gives the area.
     """
-    per = pred.groupBy(score).agg(
-        F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).cast("double").alias("pos"),
-        F.sum(F.when(F.col(label) == 0, 1).otherwise(0)).cast("double").alias("neg"))
-    cum = prefix_sums(per, [F.col(score).asc()], ["neg"], inclusive=False)
-    return cum.agg(
-        (F.sum(F.col("pos") * (F.col("neg_cum") + F.col("neg") / 2.0))
-         / (F.sum("pos") * F.sum("neg"))).alias("auc"))
+    return _per_score(pred, score, label).agg(_area().alias("auc"))
+
+
+def _area() -> F.Column:
+    pairs = F.sum("pos") * F.sum("neg")
+    return F.when(pairs > 0, F.sum(F.col("pos") * (F.col("neg_cum") + F.col("neg") / 2.0)) / pairs)
 
 
 def evaluate(pred: DataFrame, score: str = "score", label: str = K.MODEL_LABEL,
              dataset_source: str = "synthetic") -> DataFrame:
     """ML9: one metrics row: ``val_loss`` (log-loss, p clipped to [1e-7, 1-1e-7]),
-    ``val_accuracy`` (threshold 0.5), ``val_auc`` (exact) and ``dataset_source``."""
+    ``val_accuracy`` (threshold 0.5), ``val_auc`` (exact) and ``dataset_source``.
+    The predictions are computed once: everything comes from the counts per score."""
     eps = 1e-7
-    p = F.least(F.greatest(F.col(score), F.lit(eps)), F.lit(1 - eps))
-    y = F.col(label).cast("double")
-    basic = pred.agg(
-        F.avg(-(y * F.log(p) + (1 - y) * F.log(1 - p))).alias("val_loss"),
-        F.avg(F.when((F.col(score) >= 0.5).cast("int") == F.col(label), 1.0).otherwise(0.0)).alias("val_accuracy"))
-    auc = one_row(exact_auc(pred, score, label))["auc"]
-    return basic.select(
-        "val_loss", "val_accuracy", F.lit(auc).cast("double").alias("val_auc"),
-        F.lit(dataset_source).alias("dataset_source"))
+    p = F.least(F.greatest(F.col("score"), F.lit(eps)), F.lit(1 - eps))
+    n = F.sum(F.col("pos") + F.col("neg"))
+    loss = -(F.col("pos") * F.log(p) + F.col("neg") * F.log(1 - p))
+    hits = F.when(F.col("score") >= 0.5, F.col("pos")).otherwise(F.col("neg"))
+    return _per_score(pred, score, label).agg(
+        (F.sum(loss) / n).alias("val_loss"), (F.sum(hits) / n).alias("val_accuracy"), _area().alias("val_auc")
+    ).withColumn("dataset_source", F.lit(dataset_source))
 
 
 def quality_gate(metrics: DataFrame, minimum: float = K.AUC_GATE) -> float:
     """ML10: read the one metrics row and reject the model when AUC < minimum."""
     auc = metrics.select("val_auc").first()[0]
     if auc is None or (isinstance(auc, float) and math.isnan(auc)) or auc < minimum:
-        raise QualityGateError(f"Quality gate failed: AUC {auc} < {minimum}. Model rejected.")
+        raise QualityGateError(f"validation AUC {auc} is below the required {minimum}")
     return float(auc)

@@ -7,7 +7,7 @@ partition, not one task holding all of them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from txlens.functions.rules import pct
@@ -43,21 +43,25 @@ def block_rate(counts: DataFrame) -> DataFrame:
 def status_ratio(df: DataFrame) -> DataFrame:
     """AGG7: transactions per status and their share.
 
-    The share's window runs over the aggregated result (one row per status
-    value), not over the transactions.
+    The total is one partially aggregated row, applied as a constant: a free-text
+    status never brings all its values into one task.
     """
     counts = df.groupBy("status").agg(F.count("transaction_id").alias("transactions"))
-    return counts.withColumn("share", F.col("transactions") / F.sum("transactions").over(Window.partitionBy()))
+    total = counts.agg(F.sum("transactions").alias("__total"))
+    return with_scalars(counts, total).select("status", "transactions", (F.col("transactions") / F.col("__total")).alias("share"))
 
 
 def trend(df: DataFrame, every: str = "1 hour", ts_col: str = "event_ts") -> DataFrame:
-    """AGG8: amount and rolling 24 h spend summed per tumbling time bucket."""
-    return (df.groupBy(F.window(ts_col, every).alias("bucket"))
-            .agg(F.count(F.lit(1)).alias("transactions"),
-                 F.sum("amount").alias("amount"),
-                 F.sum("rolling_total_spend_24h").alias("rolling_total_spend_24h"))
-            .select(F.unix_seconds(F.col("bucket.start")).alias("bucket_start"),
-                    "transactions", "amount", "rolling_total_spend_24h"))
+    """AGG8: amount and rolling 24 h spend summed per tumbling time bucket; rows
+    without a time form the bucket NULL (``window`` itself would drop them)."""
+    aggs = [F.count(F.lit(1)).alias("transactions"), F.sum("amount").alias("amount"),
+            F.sum("rolling_total_spend_24h").alias("rolling_total_spend_24h")]
+    timed = (df.groupBy(F.window(ts_col, every).alias("bucket")).agg(*aggs)
+             .select(F.unix_seconds(F.col("bucket.start")).alias("bucket_start"),
+                     "transactions", "amount", "rolling_total_spend_24h"))
+    untimed = (df.filter(F.col(ts_col).isNull()).agg(*aggs).filter(F.col("transactions") > 0)
+               .select(F.lit(None).cast("long").alias("bucket_start"), "transactions", "amount", "rolling_total_spend_24h"))
+    return timed.unionByName(untimed)
 
 
 def filtered_count(df: DataFrame, status: str | None = None, user_col: str = "user_id") -> DataFrame:
@@ -77,7 +81,7 @@ def velocity_24h(df: DataFrame, as_of=None, user_col: str = "user_id", ts_col: s
         base = with_scalars(df, df.agg(F.max(F.col(ts_col).cast("timestamp")).alias("__as_of")))
     else:
         base = df.withColumn("__as_of", F.lit(as_of).cast("timestamp") if not hasattr(as_of, "_jc") else as_of)
-    age = F.unix_seconds(F.col("__as_of")) - F.unix_seconds(F.col(ts_col).cast("timestamp"))
-    inside = (F.col("status") == "approved") & (age <= 24 * 3600)
+    age = F.unix_millis(F.col("__as_of")) - F.unix_millis(F.col(ts_col).cast("timestamp"))
+    inside = (F.col("status") == "approved") & (age <= 24 * 3600 * 1000)
     return base.groupBy(user_col).agg(
         F.coalesce(F.sum(F.when(inside, F.col("amount"))), F.lit(0.0)).alias("velocity_24h"))

@@ -110,32 +110,43 @@ def kmeans(df: DataFrame, cols: list[str], k: int = K.CLUSTER_K, starts: int = K
            seed: int = K.RISK_SEED, max_iter: int = K.CLUSTER_MAX_ITER, out: str = "cluster"):
     """ML2: best of ``starts`` k-means runs (lowest training cost) on ``cols``.
 
-    Runs Spark ML's distributed k-means once per seed over the persisted
-    feature vectors; cluster ids are renumbered 1..k by ascending centroid
+    Runs Spark ML's distributed k-means once per seed over the stored feature
+    vectors; cluster ids are renumbered 1..k by ascending centroid
     (lexicographic), so they do not depend on which start won.  Returns
-    (DataFrame with ``out``, model, cost).  Fewer than k distinct points is an
-    error, as in the original.
+    (DataFrame with ``out``, model, cost).  Rows with a NULL or NaN feature
+    take no part in the fit and keep a NULL cluster.  Fewer than k distinct
+    points is an error, as in the original; the exact count runs only when the
+    sketch estimates few points.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import VectorAssembler
-    from pyspark import StorageLevel
 
-    vec = VectorAssembler(inputCols=cols, outputCol="__features", handleInvalid="skip").transform(df)
-    distinct = vec.select(*cols).distinct().limit(k).count()
-    if distinct < k:
+    from txlens.session import materialize
+
+    whole = F.lit(True)
+    for c in cols:
+        whole = whole & F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+    assembler = VectorAssembler(inputCols=cols, outputCol="__features")
+    stored = materialize(df.withColumn("__whole", F.coalesce(whole, F.lit(False))))
+    points = stored.filter("__whole")
+    few = points.agg(F.approx_count_distinct(F.xxhash64(*cols))).first()[0]
+    if few < 20 * k and (distinct := points.select(*cols).distinct().limit(k).count()) < k:
         raise ValueError(f"k-means needs at least {k} distinct points, got {distinct}")
-    vec = vec.persist(StorageLevel.MEMORY_AND_DISK)
+    vec = assembler.transform(points)
+    fitted = vec.select("__features").persist()
     best, best_cost = None, None
     for i in range(starts):
         model = KMeans(k=k, seed=seed + i, maxIter=max_iter, featuresCol="__features",
-                       predictionCol="__pred").fit(vec)
+                       predictionCol="__pred").fit(fitted)
         cost = model.summary.trainingCost
         if best_cost is None or cost < best_cost:
             best, best_cost = model, cost
+    fitted.unpersist()
     centers = [list(map(float, c)) for c in best.clusterCenters()]
     order = sorted(range(k), key=lambda i: centers[i])
     relabel = {old: new + 1 for new, old in enumerate(order)}
     mapping = F.create_map(*[x for old, new in relabel.items() for x in (F.lit(old), F.lit(new))])
-    result = best.transform(vec).withColumn(out, mapping[F.col("__pred")].cast("int")).drop("__features", "__pred")
-    vec.unpersist()
-    return result, best, best_cost
+    result = (best.transform(vec).withColumn(out, mapping[F.col("__pred")].cast("int"))
+              .drop("__features", "__pred", "__whole"))
+    rest = stored.filter("NOT __whole").drop("__whole").withColumn(out, F.lit(None).cast("int"))
+    return result.unionByName(rest), best, best_cost

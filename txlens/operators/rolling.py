@@ -5,13 +5,14 @@ value lies in ``[t - seconds, t]`` -- both ends inclusive, rows with the same
 ``t`` included (a RANGE frame).  Rows with a NULL order value form one group
 per key and see only each other.
 
-Two exact strategies:
+Two exact strategies, chosen by the caller and never by the data:
 
 ``window``
     One ``Window.partitionBy(key).orderBy(t).rangeBetween(-L, 0)`` per frame
     length.  Frames of equal partition/order spec share one exchange, one sort
-    and one Window node.  Cheapest plan, but every row of a key lands in one
-    task: a key holding a large share of the data becomes one huge task.
+    and one Window node.  Every row of a key lands in one task, and a sliding
+    range frame is aggregated anew for every row, so the cost is rows times
+    rows per frame: for small users only.
 
 ``sweep`` (default)
     Every row adds its values at ``t`` and an *expiry* row subtracts them at
@@ -31,6 +32,8 @@ Two exact strategies:
     The cell totals are partially aggregated before their shuffle (one row
     per key and cell per task); their branch re-reads the input with only the
     key, time and value columns.
+    Rows without a time all see the same frame: the total of their (key, no
+    cell) group.  They are spread over tasks, not gathered by key.
 """
 
 from __future__ import annotations
@@ -61,23 +64,6 @@ FEATURE_SPECS = [
 ]
 
 DEFAULT_CELL_SECONDS = 3600
-# Above this many rows for one key, the single-shuffle window would make one
-# task sort and scan that whole key: the sweep is used instead.
-HOT_KEY_ROWS = 5_000_000
-
-
-def choose_strategy(df: DataFrame, key: str = "user_id", hot_key_rows: int = HOT_KEY_ROWS) -> str:
-    """'window' when no key holds more than ``hot_key_rows`` rows, else 'sweep'.
-
-    One aggregate over the key column alone (partially aggregated on every
-    task, pruned to one column at the scan); only its one-row maximum reaches
-    the driver.  Pass the frame *before* deduplication: its counts bound the
-    deduplicated ones from above, and the check does not run the dedupe.
-    """
-    from txlens.functions.scalars import one_row
-    stats = df.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).agg(F.max("__n").alias("__max"))
-    largest = one_row(stats)["__max"] or 0
-    return "window" if largest <= hot_key_rows else "sweep"
 
 
 def rolling_features(df: DataFrame, specs=FEATURE_SPECS, key: str = "user_id",
@@ -198,19 +184,21 @@ def _by_sweep(df, specs, key, order, cell_seconds):
         *[delta(m).alias(mname[m]) for m in measures],
     )
     events = events.withColumn("__cell", F.floor(F.col("__t") / F.lit(cell_seconds)).cast("long"))
+    # No running sum is needed without a time; the part only spreads such rows.
+    events = events.withColumn("__part", F.when(F.col("__cell").isNull(), F.spark_partition_id()).otherwise(-1))
 
     delta_cols = [mname[m] for m in measures]
 
     # Offset of each cell = sum of all deltas in earlier cells of the key.
-    cell_tot = (events.filter(F.col("__cell").isNotNull())
-                .groupBy(key, "__cell")
+    cell_tot = (events.groupBy(key, "__cell")
                 .agg(*[F.sum(d).alias(d) for d in delta_cols]))
-    prior = Window.partitionBy(key).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
+    untimed = F.col("__cell").isNull()
+    prior = Window.partitionBy(key, untimed).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
     offsets = cell_tot.select(
         F.col(key).alias("__okey"), F.col("__cell").alias("__ocell"),
-        *[F.sum(d).over(prior).alias(f"{d}o") for d in delta_cols])
+        *[F.when(untimed, F.col(d)).otherwise(F.sum(d).over(prior)).alias(f"{d}o") for d in delta_cols])
 
-    running = Window.partitionBy(key, "__cell").orderBy("__t").rangeBetween(
+    running = Window.partitionBy(key, "__cell", "__part").orderBy("__t").rangeBetween(
         Window.unboundedPreceding, Window.currentRow)
     within = events.select(
         "*", *[F.sum(d).over(running).alias(f"{d}r") for d in delta_cols]
@@ -218,10 +206,11 @@ def _by_sweep(df, specs, key, order, cell_seconds):
 
     joined = within.join(
         offsets,
-        (F.col(key).eqNullSafe(F.col("__okey"))) & (F.col("__cell") == F.col("__ocell")),
+        (F.col(key).eqNullSafe(F.col("__okey"))) & (F.col("__cell").eqNullSafe(F.col("__ocell"))),
         "left")
 
-    totals = {d: F.col(f"{d}r") + F.coalesce(F.col(f"{d}o"), _zero(mkind[d])) for d in delta_cols}
+    totals = {d: F.when(untimed, _zero(mkind[d])).otherwise(F.col(f"{d}r"))
+              + F.coalesce(F.col(f"{d}o"), _zero(mkind[d])) for d in delta_cols}
 
     def frame_sum(s):
         tot = {kind: totals[mname[(s.column, s.seconds, kind)]]

@@ -7,12 +7,12 @@ an executor loss -- gives the same rows, and the DuckDB oracle can repeat it.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from txlens import constants as K
 from txlens.functions.hashing import md5_bigint
-from txlens.functions.scalars import join_small
+from txlens.functions.scalars import with_scalars
 from txlens.operators.ordering import global_position
 
 
@@ -60,29 +60,31 @@ def with_oversample(df: DataFrame, flag: str = "cloud_rule_risk", key: str = "tr
 def stratified_split(df: DataFrame, label: str, key: str, fraction: float = K.VALIDATION_FRACTION,
                      seed: int = K.MODEL_SEED) -> DataFrame:
     """SMP2: adds ``is_validation``; exactly ``round(fraction * n_class)`` rows of
-    every class go to validation.
+    every class go to validation.  Rows without a label are a class of their own.
 
     Rows are ranked inside their class by ``md5(seed:key)`` (ties by key) and
     the first ``round(fraction * n)`` are validation.  The rank uses the
-    distributed numbering per class, so no class is held by one task.
+    distributed numbering per class, so no class is held by one task; size and
+    start of each class come from the numbered rows.
     """
     h = md5_bigint(F.lit(seed), F.col(key))
-    per_class = df.groupBy(label).agg(F.count(F.lit(1)).alias("__n"))
     ranked = df.withColumn("__h", h)
     # Global position over (label, hash, key): positions of one class are contiguous.
     pos = global_position(ranked, [F.col(label).asc(), F.col("__h").asc(), F.col(key).asc()], "__gpos")
-    first = pos.groupBy(label).agg(F.min("__gpos").alias("__start"))
-    classes = per_class.join(first, label)
-    # One row per label value; broadcast only after its size is checked.
-    j = join_small(pos, classes, label)
+    classes = pos.groupBy(F.col(label).alias("__label")).agg(F.min("__gpos").alias("__start"),
+                                                             F.count(F.lit(1)).alias("__n"))
+    j = pos.join(classes, F.col(label).eqNullSafe(F.col("__label")), "left").drop("__label")
     rank = F.col("__gpos") - F.col("__start") + 1
     n_val = F.round(F.lit(fraction) * F.col("__n"))
     return j.withColumn("is_validation", (rank <= n_val).cast("int")).drop("__h", "__gpos", "__start", "__n")
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:
-    """AGG11: per class ``n / (k * n_class)`` (balanced weights), one row per class."""
+    """AGG11: per class ``n / (k * n_class)`` (balanced weights), one row per class.
+
+    Rows and classes in all come from one partially aggregated row, applied as
+    constants, so free-text classes never meet in one task."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n_class"))
-    w = Window.partitionBy()
-    return counts.select(label, "n_class",
-                         (F.sum("n_class").over(w) / (F.count(F.lit(1)).over(w) * F.col("n_class"))).alias("weight"))
+    total = counts.agg(F.sum("n_class").alias("__rows"), F.count(F.lit(1)).alias("__classes"))
+    return with_scalars(counts, total).select(
+        label, "n_class", (F.col("__rows") / (F.col("__classes") * F.col("n_class"))).alias("weight"))

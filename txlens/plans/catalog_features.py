@@ -17,7 +17,7 @@ FEAT_OUT = [c for c in FEATURE_COLUMNS if c != "event_ts"]
 FEAT_DOUBLES = FEED_DOUBLES + ["rolling_total_spend_24h", "rolling_avg_amount_24h"]
 
 
-def features(spark, sf, strategy="auto"):
+def features(spark, sf, strategy="sweep"):
     """The 19-column feature table of the fixture feed (with duplicates)."""
     return feature_job(fx.transactions(spark, sf, duplicates=True), strategy=strategy)
 
@@ -184,6 +184,6 @@ def srt1_features_by_time(spark, sf):
     per-partition counts, not by collecting rows.
     """
     from txlens.operators.ordering import global_position
-    f = features(spark, sf, strategy="sweep").select("transaction_id", "event_unix", "event_ts")
+    f = features(spark, sf).select("transaction_id", "event_unix", "event_ts")
     return global_position(f, [F.col("event_ts").asc(), F.col("transaction_id").asc()],
                            "pos").select("transaction_id", "event_unix", "pos")

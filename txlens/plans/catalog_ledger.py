@@ -15,7 +15,8 @@ def _fold_sql(ledger_cte: str, prof_cte: str) -> str:
     return f""",
 ord AS (
   SELECT l.*, p.account_balance AS opening,
-         row_number() OVER (PARTITION BY l.user_id ORDER BY l.event_ts NULLS FIRST, l.transaction_id) AS rn
+         row_number() OVER (PARTITION BY l.user_id ORDER BY l.event_ts NULLS FIRST, l.transaction_id NULLS FIRST,
+                            l.amount NULLS FIRST) AS rn
   FROM {ledger_cte} l LEFT JOIN {prof_cte} p ON l.user_id = p.user_id
 ),
 fold AS (
@@ -93,7 +94,7 @@ def _led3_blacklist(spark, sf):
 
 @register("led3_process_transactions", "WITH RECURSIVE " + fx.sql_raw_faulty() + ", " + fx.sql_profiles() + """,
           bl AS (SELECT 'u' || CAST(c_custkey - 1 AS VARCHAR) AS user_id FROM customer WHERE c_mktsegment = 'MACHINERY'),
-          feed AS (SELECT * FROM rawf WHERE transaction_id IS NOT NULL),
+          feed AS (SELECT * FROM rawf),
           denied AS (SELECT transaction_id, user_id, 403 AS code, 'rejected' AS decision,
                      'Account locked by Cloud Risk Intelligence (R-Cluster Anomaly).' AS message
                      FROM feed WHERE user_id IN (SELECT user_id FROM bl)),
@@ -118,7 +119,7 @@ def _led3_blacklist(spark, sf):
                                    ELSE 'Transaction forwarded to cloud processor' END FROM fold""")
 def led3(spark, sf):
     """Blacklist -> validation -> balance gate over the faulty feed (duplicates included)."""
-    feed = fx.raw_feed(spark, sf, faulty=True, duplicates=True).filter(F.col("transaction_id").isNotNull())
+    feed = fx.raw_feed(spark, sf, faulty=True, duplicates=True)
     return process_transactions(feed, _led3_blacklist(spark, sf), fx.profiles(spark, sf))
 
 
@@ -141,6 +142,26 @@ def snk4(spark, sf):
     return insert_skip_duplicates(existing, batch, "o_orderkey", "seq").select("o_orderkey", "o_custkey", "seq")
 
 
+@register("snk5_profile_upsert", "WITH " + fx.sql_profiles() + """,
+  upd AS (SELECT id AS user_id, CASE WHEN hash_even THEN 123.45 END AS monthly_income FROM
+          (SELECT id, CAST(substr(id, 2) AS INTEGER) % 2 = 0 AS hash_even FROM usr
+           UNION ALL SELECT 'new' || id, CAST(substr(id, 2) AS INTEGER) % 2 = 0 FROM usr))
+  SELECT coalesce(p.user_id, u.user_id) AS user_id,
+         CAST(CASE WHEN p.user_id IS NULL THEN 0 ELSE p.account_balance END AS DOUBLE) AS account_balance,
+         CAST(coalesce(u.monthly_income, CASE WHEN p.user_id IS NULL THEN 0 ELSE p.monthly_income END) AS DOUBLE) AS monthly_income,
+         CASE WHEN p.user_id IS NULL THEN 'balanced' ELSE p.risk_appetite END AS risk_appetite
+  FROM prof p FULL OUTER JOIN upd u ON p.user_id = u.user_id""", ["account_balance", "monthly_income"])
+def snk5_profiles(spark, sf):
+    """Profiles upserted: known users keep what the batch leaves out, new ones get
+    balance 0, income 0 and appetite 'balanced'."""
+    ids = fx.users(spark, sf).select("id")
+    ids = ids.select(F.col("id").alias("user_id"), "id").unionByName(ids.select(F.concat(F.lit("new"), "id").alias("user_id"), "id"))
+    even = F.substring("id", 2, 10).cast("int") % 2 == 0
+    batch = ids.select("user_id", F.when(even, F.lit("123.45").cast("decimal(14,2)")).alias("monthly_income"))
+    return upsert(fx.profiles(spark, sf), batch, "user_id",
+                  {"account_balance": 0, "monthly_income": 0, "risk_appetite": "balanced"})
+
+
 @register("snk5_upsert", """
   WITH old AS (SELECT c_custkey, c_name, c_acctbal, c_mktsegment FROM customer WHERE c_custkey % 4 <> 0),
   upd AS (SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_name || ' (updated)' END AS c_name,

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from txlens import constants as K
 from txlens.functions.hashing import md5_bigint_sql
+from txlens.functions.scalars import one_row
 from txlens.operators import risk as RK
 from txlens.operators.filters import high_risk_users
 from txlens.operators.joins import assign_city, block_blacklisted
@@ -192,17 +193,30 @@ def jon1(spark, sf):
             .unionByName(denied.select("transaction_id", "user_id", F.lit("denied").alias("decision"))))
 
 
-@register("ml2_kmeans")
+@register("ml2_kmeans", RISK_SQL + """ SELECT transaction_id, oversample_draw,
+          CASE WHEN amount IS NULL OR device_risk IS NULL OR location_risk IS NULL
+                    OR rolling_total_spend_24h IS NULL THEN 0 ELSE 1 END AS has_cluster,
+          1 AS in_nearest, 1 AS labels_used, 1 AS best_of_starts FROM smote""")
 def ml2(spark, sf):
-    """Best of 10 k-means starts (k=3) on z-scored features; cluster ids 1..3.
+    """Best of 10 k-means starts (k=3) on z-scored features; the cluster ids themselves depend on the algorithm, so the
+    query returns what must hold of them.
 
-    Not value-checked: cluster ids depend on the algorithm (R uses
-    Hartigan-Wong, Spark k-means||); tests check the invariants.
+    Per row: it has a cluster unless a feature is NULL, and that cluster's
+    centroid is the nearest one.  In all: the labels are 1..3, and the cost is
+    no higher than that of the first start alone.
     """
     z = RK.zscore(_smote(spark, sf), CF, ddof=1)
     zc = [f"{c}_z" for c in CF]
-    out, _, _ = RK.kmeans(z, zc, K.CLUSTER_K, K.CLUSTER_STARTS, SEED)
-    return out.select("transaction_id", "oversample_draw", "cluster")
+    out, model, cost = RK.kmeans(z, zc, K.CLUSTER_K, K.CLUSTER_STARTS, SEED)
+    _, _, one = RK.kmeans(z, zc, K.CLUSTER_K, 1, SEED)
+    centres = sorted([float(v) for v in c] for c in model.clusterCenters())
+    far = [sum((F.col(c) - F.lit(v)) ** 2 for c, v in zip(zc, centre)) for centre in centres]
+    own = F.element_at(F.array(*far), F.col("cluster"))
+    used = one_row(out.agg(F.array_sort(F.collect_set("cluster")).alias("c")))["c"]
+    return out.select(
+        "transaction_id", "oversample_draw", F.col("cluster").isNotNull().cast("int").alias("has_cluster"),
+        F.coalesce(own <= F.least(*far) + 1e-9, F.lit(True)).cast("int").alias("in_nearest"),
+        F.lit(int(list(used) == [1, 2, 3])).alias("labels_used"), F.lit(int(cost <= one * (1 + 1e-9))).alias("best_of_starts"))
 
 
 @register("risk_enriched_rows", RISK_SQL + """ SELECT transaction_id, oversample_draw, user_id, city,

@@ -62,20 +62,8 @@ def rul6(spark, sf):
           CASE WHEN row_number() OVER (PARTITION BY user_id, device_id ORDER BY event_ts, transaction_id) = 1
                THEN 0.78 ELSE 0.12 END AS device_signal FROM sess""", ["device_signal"])
 def rul7(spark, sf):
-    """First sighting of a (user, device) pair scores 0.78, later ones 0.12.
-
-    The first sighting is a min() per pair (partial aggregation, so a hot pair
-    is reduced map-side) joined back, instead of a window over the pair.
-    """
-    s = _sess(spark, sf)
-    first = (s.groupBy("user_id", "device_id")
-             .agg(F.min(F.struct("event_ts", "transaction_id")).alias("__first"))
-             .select(F.col("user_id").alias("__u"), F.col("device_id").alias("__d"),
-                     F.col("__first.transaction_id").alias("__first_id")))
-    j = s.join(first, (s.user_id == first.__u) & (s.device_id == first.__d), "left")
-    signal = F.when(F.col("transaction_id") == F.col("__first_id"), F.lit(K.NEW_DEVICE_RISK)).otherwise(
-        F.lit(K.KNOWN_DEVICE_RISK))
-    return j.select("transaction_id", "user_id", "device_id", signal.alias("device_signal"))
+    """First sighting of a (user, device) pair scores 0.78, later ones 0.12."""
+    return R.device_risk(_sess(spark, sf)).select("transaction_id", "user_id", "device_id", "device_signal")
 
 
 @register("rul8_location_risk",

@@ -10,8 +10,7 @@ from txlens.plans import fixtures as fx
 from txlens.plans.catalog import ORACLE, register
 from txlens.plans.catalog_features import FEAT_OUT
 from txlens.plans.catalog_io import scratch
-from txlens.sources.feed import RAW_SCHEMA
-from txlens.sources.sinks import _fs
+from txlens.sources.feed import hadoop_path, read_published, read_transactions, stream_transactions
 from txlens.streaming import feature_stream as ST
 
 
@@ -22,16 +21,16 @@ def run_feature_stream(spark, sf, files_per_batch=10, newest_first=False, **upda
     Returns the run folder (output in ``out``).
     """
     root = run_feature_stream_input(spark, sf, newest_first)
-    q = ST.start_feature_stream(spark, f"{root}/in", f"{root}/store", f"{root}/out", f"{root}/chk",
+    q = ST.start_feature_stream(spark, f"{root}/in", f"{root}/store", f"{root}/out", f"{root}/chk", buckets=8,
                                 trigger=None, max_files_per_trigger=files_per_batch, **updater_args)
     q.awaitTermination()
     return root
 
 
-def run_feature_stream_input(spark, sf, newest_first=False):
-    """The fixture feed as CSV files named in event-day order under ``<root>/in``."""
+def run_feature_stream_input(spark, sf, newest_first=False, faulty=False):
+    """The fixture feed as CSV files in event-day order under ``<root>/in``."""
     root = scratch(spark, "stream")
-    feed = fx.raw_feed(spark, sf, faulty=False, duplicates=True)
+    feed = fx.raw_feed(spark, sf, faulty=faulty, duplicates=True)
     day = F.substring("event_time", 1, 10)
     # One part per day (the day count is bounded by the calendar span), named in
     # day order.  This stages test input for the stream queries: the bounded-
@@ -43,15 +42,19 @@ def run_feature_stream_input(spark, sf, newest_first=False):
     days = sorted(r[0] for r in spark.read.option("header", True).csv(staged).select("__day").distinct().collect())
     if newest_first:
         days = days[::-1]
-    fs, _ = _fs(spark, root)
+    fs, _ = hadoop_path(spark, root)
     jvm = spark.sparkContext._jvm
     fs.mkdirs(jvm.org.apache.hadoop.fs.Path(f"{root}/in"))
+    began = 1_700_000_000_000
     for i, d in enumerate(days):
         src = jvm.org.apache.hadoop.fs.Path(f"{staged}/__day={d}")
         for st in fs.listStatus(src):
             name = st.getPath().getName()
             if name.endswith(".csv"):
-                fs.rename(st.getPath(), jvm.org.apache.hadoop.fs.Path(f"{root}/in/{i:04d}-{name}"))
+                target = jvm.org.apache.hadoop.fs.Path(f"{root}/in/{i:04d}-{name}")
+                if not fs.rename(st.getPath(), target):
+                    raise OSError(f"could not move {name}")
+                fs.setTimes(target, began + i * 1000, -1)      # the file source takes the oldest first
     return root
 
 
@@ -71,13 +74,14 @@ def str4(spark, sf):
 
 @register("str5_risk_refresh")
 def str5(spark, sf):
-    """Risk analysis refreshed inside the feature stream (every 2 batches and at the
-    end); the last refresh's user scores equal the batch risk run."""
+    """Risk analysis, clustering included, refreshed inside the feature stream after
+    every batch; the user scores of the last refresh equal the batch risk run."""
     root = scratch(spark, "riskstream")
-    out = run_feature_stream(spark, sf, files_per_batch=10, risk_every=2, risk_dir=f"{root}/risk",
-                             flagged_at="2024-02-01 00:00:00")
-    ST.refresh_risk(spark, f"{out}/out", f"{root}/risk", "2024-02-01 00:00:00")
-    return spark.read.parquet(f"{root}/risk/user_risk")
+    run_feature_stream(spark, sf, files_per_batch=15, risk_every=1, risk_dir=f"{root}/risk",
+                       flagged_at="2024-02-01 00:00:00", cluster_starts=2)
+    if read_published(spark, f"{root}/risk/enriched").filter("cluster IS NULL").count():
+        raise AssertionError("the refreshed table has rows without a cluster")
+    return read_published(spark, f"{root}/risk/user_risk")
 
 
 @register("str2_rolling_state")
@@ -87,7 +91,7 @@ def str2(spark, sf):
     from txlens.operators.normalize import event_unix, normalize
     from txlens.streaming.rolling_state import latest_emitted, rolling_state_stream
     root = run_feature_stream_input(spark, sf)
-    raw = spark.readStream.schema(RAW_SCHEMA).option("header", True).option("maxFilesPerTrigger", 10).csv(f"{root}/in")
+    raw = stream_transactions(spark, f"{root}/in", 10)
     typed = (normalize(raw).withColumn("event_unix", event_unix("event_ts"))
              .withColumn("event_ms", F.unix_millis("event_ts")))
     q = (rolling_state_stream(typed).writeStream.format("parquet").option("path", f"{root}/str2")
@@ -101,7 +105,7 @@ def str3(spark, sf):
     """First-seen dedupe with a 24 h watermark over the streamed feed."""
     root = scratch(spark, "dedupe")
     fx.raw_feed(spark, sf, faulty=False, duplicates=True).write.option("header", True).csv(f"{root}/in")
-    stream = spark.readStream.schema(RAW_SCHEMA).option("header", True).csv(f"{root}/in")
+    stream = stream_transactions(spark, f"{root}/in")
     typed = stream.select(*REQUIRED_COLUMNS, F.try_to_timestamp("event_time").alias("event_ts"))
     q = (ST.first_seen(typed).writeStream.format("parquet").option("path", f"{root}/out")
          .option("checkpointLocation", f"{root}/chk").trigger(availableNow=True).start())
@@ -111,30 +115,38 @@ def str3(spark, sf):
 
 @register("str6_decision_stream")
 def str6(spark, sf):
-    """Decision stream: blacklist re-read per batch, balances carried across batches."""
-    root = scratch(spark, "decide")
-    feed = fx.raw_feed(spark, sf, faulty=True, duplicates=False).filter(F.col("transaction_id").isNotNull())
-    (feed.withColumn("__day", F.substring("event_time", 1, 10)).repartition(8, "__day").drop("__day")
-     .write.option("header", True).csv(f"{root}/in"))
+    """Decision stream over the faulty feed, a few days per micro-batch, balances
+    carried across batches; the decisions equal the batch run over the whole feed,
+    and exactly the accepted rows reach the feature feed."""
+    root = run_feature_stream_input(spark, sf, faulty=True)
     fx.profiles(spark, sf).write.parquet(f"{root}/opening")
     c = fx.table(spark, sf, "customer")
     (c.filter(F.col("c_mktsegment") == "MACHINERY")
      .select(F.concat(F.lit("u"), (F.col("c_custkey") - 1).cast("string")).alias("user_id"))
      .write.parquet(f"{root}/blacklist"))
-    q = ST.start_decision_stream(spark, f"{root}/in", f"{root}/chk", trigger=None,
+    q = ST.start_decision_stream(spark, f"{root}/in", f"{root}/chk", trigger=None, max_files_per_trigger=8,
                                  blacklist_path=f"{root}/blacklist", opening_profiles_path=f"{root}/opening",
-                                 balances_dir=f"{root}/balances", decisions_dir=f"{root}/decisions")
+                                 balances_dir=f"{root}/balances", decisions_dir=f"{root}/decisions",
+                                 feed_dir=f"{root}/feed", compact_every=2)
     q.awaitTermination()
-    return spark.read.parquet(f"{root}/decisions").select("transaction_id", "user_id", "code", "decision")
+    decided = spark.read.parquet(f"{root}/decisions").select("transaction_id", "user_id", "code", "decision", "message")
+    accepted = decided.filter("code = 200").groupBy("transaction_id").agg(F.count(F.lit(1)).alias("n"))
+    appended = read_transactions(spark, f"{root}/feed").groupBy("transaction_id").agg(F.count(F.lit(1)).alias("m"))
+    both = accepted.join(appended, accepted.transaction_id.eqNullSafe(appended.transaction_id), "full_outer")
+    if both.filter("NOT (n <=> m)").count():
+        raise AssertionError("the feature feed is not the accepted rows")
+    return decided
 
 
 def _finish():
     from txlens.plans import catalog_features  # noqa: F401
-    from txlens.plans import catalog_risk  # noqa: F401
+    from txlens.plans import catalog_ledger, catalog_risk  # noqa: F401
     ORACLE["str1_feature_stream"] = ORACLE["features_job"]
     ORACLE["str4_late_arrivals"] = ORACLE["features_job"]
     ORACLE["str2_rolling_state"] = ORACLE["features_job"]
     ORACLE["str5_risk_refresh"] = ORACLE["agg1_user_risk"]
+    ORACLE["str6_decision_stream"] = ORACLE["led3_process_transactions"]
+    ORACLE["str3_stream_first_seen"] = "WITH " + fx.sql_transactions() + " SELECT transaction_id, user_id FROM txn"
 
 
 _finish()

@@ -13,7 +13,7 @@ from txlens.constants import REQUIRED_COLUMNS
 from txlens.functions.rules import cloud_rule_risk
 from txlens.operators.dedupe import dedupe_latest
 from txlens.operators.normalize import event_unix, is_blocked, normalize
-from txlens.operators.rolling import FEATURE_SPECS, choose_strategy, rolling_features
+from txlens.operators.rolling import FEATURE_SPECS, rolling_features
 
 FEATURE_COLUMNS = REQUIRED_COLUMNS + [
     "event_ts", "event_unix", "is_blocked",
@@ -31,19 +31,15 @@ def compute_features(txns: DataFrame, strategy: str = "sweep", cell_seconds: int
     return feats.withColumn("cloud_rule_risk", cloud_rule_risk()).select(*FEATURE_COLUMNS)
 
 
-def feature_job(feed: DataFrame, strategy: str = "auto", drop_null_ts: bool = False,
+def feature_job(feed: DataFrame, strategy: str = "sweep", drop_null_ts: bool = False,
                 sort_output: bool = False, cell_seconds: int = 3600) -> DataFrame:
     """Whole job on a raw (string) or typed feed.
 
-    ``strategy='auto'`` measures the largest user on the feed before the
-    dedupe and takes the single-shuffle window unless some user is hot
-    (``rolling.HOT_KEY_ROWS``), then the sweep.  ``sort_output`` adds the
+    ``strategy``: see :mod:`txlens.operators.rolling`.  ``sort_output`` adds the
     global ``event_ts`` order of the published table (SRT1); leave it off
     when the consumer does not need row order.
     """
     typed = normalize(feed, drop_null_ts=drop_null_ts)
-    if strategy == "auto":
-        strategy = choose_strategy(typed.select("user_id"), "user_id")
     latest = dedupe_latest(typed, key="transaction_id", order="event_ts")
     out = compute_features(latest, strategy=strategy, cell_seconds=cell_seconds)
     if sort_output:

@@ -2,140 +2,226 @@
 
 STR1 -- continuous feature job.  The original re-read the whole feed every
 8 seconds and recomputed everything.  Here a Structured Streaming file source
-feeds ``foreachBatch``, which
-
-1. appends the batch, typed, to a raw store partitioned by
-   (user_bucket, batch_id) -- rewriting the same batch on a replay, so the
-   append is idempotent;
-2. finds the affected users and, for each, the earliest time ``t_u`` whose
-   features can change: the earliest new row, or the earliest older copy of a
-   transaction id the batch repeats (that copy may now lose the keep-latest);
-3. recomputes features from the raw store for those users only, over rows
-   from ``t_u - 24 h`` on (24 h of context), keeping the rows from ``t_u`` on;
-   a user with rows without a time is recomputed whole;
-4. replaces only the affected user buckets of the output table (dynamic
-   partition overwrite of a checkpointed result).
-
-Rows may arrive arbitrarily late -- a late row simply moves ``t_u`` back -- so
-nothing is dropped (STR4), and after any sequence of batches the output equals
-the batch job over everything received.  A transaction id is assumed to stay
-with one user.
+feeds ``foreachBatch``, whose work follows the batch, not the history:
+
+* The feature table itself is the state: the latest copy of every transaction
+  with its features, partitioned by (user bucket, event date); rows without a
+  time are in the date ``none``.
+* An index of all received copies (id, user, time) by id bucket tells where an
+  id that comes again had been.  Each batch appends its entries under its own
+  batch id; every ``compact_every`` batches they are merged into a published
+  base, so the number of files stays bounded.
+* A batch changes a user's features from the earliest time it touches (a new
+  row, or any former copy of a repeated id, also of another user) up to 24 h
+  after the latest.  Only the days of that range, and the day before for
+  context, are read, by path, for the buckets touched; only they are rewritten
+  (dynamic partition overwrite; a day left without rows is deleted).
+
+The entries of a batch are indexed before the table changes and former copies
+are taken from the index, so a batch that is replayed after a crash touches at
+least what it touched before and leaves the same table.  Rows may arrive
+arbitrarily late -- nothing is dropped (STR4) -- and after any sequence of
+batches the output equals the batch job over everything received.
 
 STR3 -- first-seen dedupe with a watermark (``dropDuplicatesWithinWatermark``).
 STR5 -- optional risk refresh every n batches inside the same ``foreachBatch``.
-STR6 -- decision stream: the blacklist is re-read for every micro-batch and
-the balances carried from batch to batch as versioned tables.
+STR6 -- decision stream: the blacklist is re-read for every micro-batch, the
+balances are carried as the changes of each batch, and accepted rows are
+appended to the feed that STR1 reads.
 """
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from txlens import constants as K
 from txlens.constants import REQUIRED_COLUMNS, WINDOW_24H_SECONDS
 from txlens.operators.dedupe import dedupe_latest
 from txlens.operators.normalize import event_unix, normalize
 from txlens.plans.features import FEATURE_COLUMNS, compute_features
-from txlens.session import materialize
-from txlens.sources.feed import RAW_SCHEMA, path_exists
+from txlens.session import temporary_tables
+from txlens.sources.feed import current_version, hadoop_path, path_exists, read_published, stream_transactions
 
 DEFAULT_BUCKETS = 64
+COMPACT_EVERY = 20
+NO_DATE = "none"
+DAY = 86_400
 
 
 def user_bucket(col: str = "user_id", buckets: int = DEFAULT_BUCKETS) -> F.Column:
     return F.pmod(F.xxhash64(F.col(col)), F.lit(buckets)).cast("int")
 
 
+def _event_date(col: str = "event_unix") -> F.Column:
+    return F.coalesce(F.date_format(F.timestamp_seconds(F.col(col)), "yyyy-MM-dd"), F.lit(NO_DATE))
+
+
 def _overwrite_partitions(df: DataFrame, path: str, cols: list[str]) -> None:
     (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(*cols).parquet(path))
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    fs, hpath = hadoop_path(spark, path)
+    fs.delete(hpath, True)
+
+
+def _children(spark: SparkSession, path: str, prefix: str) -> list[str]:
+    """The values of the partition folders ``<prefix>=<value>`` under ``path``."""
+    fs, hpath = hadoop_path(spark, path)
+    if not fs.exists(hpath):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(hpath)]
+    return [n[len(prefix) + 1:] for n in names if n.startswith(f"{prefix}=")]
+
+
 class FeatureStreamUpdater:
     """``foreachBatch`` body of STR1 (see the module text)."""
 
     def __init__(self, store_dir: str, output_dir: str, buckets: int = DEFAULT_BUCKETS,
                  strategy: str = "sweep", risk_every: int = 0, risk_dir: str | None = None,
-                 flagged_at: str = "1970-01-01 00:00:00"):
-        self.store_dir, self.output_dir = store_dir, output_dir
-        self.buckets, self.strategy = buckets, strategy
+                 flagged_at: str = "1970-01-01 00:00:00", cluster_starts: int = K.CLUSTER_STARTS,
+                 compact_every: int = COMPACT_EVERY):
+        self.index_dir, self.output_dir = f"{store_dir}/index", output_dir
+        self.buckets, self.strategy, self.compact_every = buckets, strategy, compact_every
         self.risk_every, self.risk_dir, self.flagged_at = risk_every, risk_dir, flagged_at
+        self.cluster_starts = cluster_starts
+        #: partitions of the feature table that each batch read, for monitoring
+        self.partitions_read: list[int] = []
 
     def __call__(self, batch_df: DataFrame, batch_id: int) -> None:
-        spark = batch_df.sparkSession
-        typed = normalize(batch_df)
-        typed = (typed.withColumn("event_unix", event_unix("event_ts"))
-                 .withColumn("user_bucket", user_bucket("user_id", self.buckets))
-                 .withColumn("batch_id", F.lit(int(batch_id)).cast("long")))
-        typed = materialize(typed)
-        if typed.isEmpty():
+        spark, batch_id = batch_df.sparkSession, int(batch_id)
+        with temporary_tables(spark) as keep:
+            typed = keep(normalize(batch_df).withColumn("event_unix", event_unix("event_ts"))
+                         .withColumn("user_bucket", user_bucket("user_id", self.buckets)))
+            if typed.isEmpty():
+                return
+            self._update(spark, typed, batch_id, keep)
+            if batch_id % self.compact_every == self.compact_every - 1:
+                self._compact(spark, batch_id)
+        if self.risk_every and self.risk_dir and (batch_id + 1) % self.risk_every == 0:
+            refresh_risk(spark, self.output_dir, self.risk_dir, self.flagged_at, cluster_starts=self.cluster_starts)
+
+    # -- the index of received copies -----------------------------------------
+
+    def _copies(self, spark: SparkSession, typed: DataFrame, batch_id: int) -> DataFrame:
+        """Every copy ever received of the batch's ids: transaction_id, user_id, event_unix."""
+        _overwrite_partitions(
+            typed.select("transaction_id", "user_id", "event_unix", F.lit(batch_id).cast("long").alias("batch_id"),
+                         F.pmod(F.xxhash64("transaction_id"), F.lit(self.buckets)).cast("int").alias("id_bucket"))
+            .distinct().repartition("id_bucket"), f"{self.index_dir}/recent", ["batch_id", "id_bucket"])
+        touched = [r[0] for r in typed.select(F.pmod(F.xxhash64("transaction_id"), F.lit(self.buckets)).cast("int"))
+                   .distinct().collect()]                                    # at most ``buckets`` numbers
+        found = [spark.read.parquet(f"{self.index_dir}/recent").filter(F.col("batch_id") <= batch_id)]
+        if current_version(spark, f"{self.index_dir}/base"):
+            found.append(read_published(spark, f"{self.index_dir}/base"))
+        ids = typed.select("transaction_id").distinct()
+        cols = ["transaction_id", "user_id", "event_unix"]
+        one, *rest = [f.filter(F.col("id_bucket").isin(touched)).join(ids, "transaction_id", "left_semi").select(*cols)
+                      for f in found]
+        for r in rest:
+            one = one.unionByName(r)
+        return one.distinct()
+
+    def _compact(self, spark: SparkSession, batch_id: int) -> None:
+        """Merge the entries of finished batches into a new base (keeping this
+        batch's own, which a replay writes again)."""
+        from txlens.sources.sinks import publish
+
+        done = [int(v) for v in _children(spark, f"{self.index_dir}/recent", "batch_id") if int(v) < batch_id]
+        if not done:
             return
-        _overwrite_partitions(typed, self.store_dir, ["user_bucket", "batch_id"])
-
-        # Affected buckets: at most `buckets` small integers.
-        touched = [r[0] for r in typed.select("user_bucket").distinct().collect()]
-        store = spark.read.parquet(self.store_dir).filter(F.col("user_bucket").isin(touched))
-
-        batch_ids = typed.select("transaction_id").distinct()
-        older_copies = (store.join(batch_ids, "transaction_id", "left_semi")
-                        .select("user_id", "event_unix", F.lit(0).alias("__null")))
-        new_rows = typed.select("user_id", "event_unix",
-                                F.col("event_unix").isNull().cast("int").alias("__null"))
-        store_nulls = (store.filter(F.col("event_unix").isNull()).select("user_id").distinct()
-                       .withColumn("__store_null", F.lit(1)))
-        aff = (new_rows.unionByName(older_copies).groupBy("user_id")
-               .agg(F.min("event_unix").alias("__t_u"), F.max("__null").alias("__has_null"))
-               .join(store_nulls, "user_id", "left")
-               .select("user_id", "__t_u",
-                       ((F.col("__has_null") == 1) | F.col("__store_null").isNotNull()).alias("__full")))
-        aff = materialize(aff)
-
-        ctx = (store.join(aff, "user_id")
-               .filter(F.col("__full") | (F.col("event_unix") >= F.col("__t_u") - WINDOW_24H_SECONDS)))
-        latest = dedupe_latest(ctx.select(*REQUIRED_COLUMNS, "event_ts"), "transaction_id", "event_ts")
-        feats = compute_features(latest, strategy=self.strategy)
-        fresh = (feats.join(aff, "user_id")
-                 .filter(F.col("__full") | (F.col("event_unix") >= F.col("__t_u")))
-                 .select(*FEATURE_COLUMNS)
-                 .withColumn("user_bucket", user_bucket("user_id", self.buckets)))
-
-        if path_exists(spark, self.output_dir):
-            old = spark.read.parquet(self.output_dir).filter(F.col("user_bucket").isin(touched))
-            keep = (old.join(aff, "user_id", "left")
-                    .filter(F.col("__t_u").isNull() & F.col("__full").isNull()
-                            | (~F.col("__full") & (F.col("event_unix") < F.col("__t_u"))))
-                    .join(batch_ids, "transaction_id", "left_anti")
-                    .select(*FEATURE_COLUMNS, "user_bucket"))
-            new_content = keep.unionByName(fresh)
-        else:
-            new_content = fresh
-        _overwrite_partitions(materialize(new_content), self.output_dir, ["user_bucket"])
-
-        if self.risk_every and self.risk_dir and (int(batch_id) + 1) % self.risk_every == 0:
-            refresh_risk(spark, self.output_dir, self.risk_dir, self.flagged_at)
+        cols = ["transaction_id", "user_id", "event_unix", "id_bucket"]
+        merged = spark.read.parquet(f"{self.index_dir}/recent").filter(F.col("batch_id") < batch_id).select(*cols)
+        if current_version(spark, f"{self.index_dir}/base"):
+            merged = merged.unionByName(read_published(spark, f"{self.index_dir}/base").select(*cols))
+        publish(merged.distinct().repartition("id_bucket"), f"{self.index_dir}/base", partition_by="id_bucket")
+        for v in done:
+            _delete(spark, f"{self.index_dir}/recent/batch_id={v}")
+
+    # -- the feature table ----------------------------------------------------
+
+    def _partition_paths(self, spark: SparkSession, ranges: dict[int, tuple]) -> list[str]:
+        """Existing partitions of the buckets' day ranges (and ``none``)."""
+        out = []
+        for bucket, (first, last, untimed) in ranges.items():
+            base = f"{self.output_dir}/user_bucket={bucket}"
+            for day in _children(spark, base, "event_date"):
+                if untimed if day == NO_DATE else first is not None and first <= day <= last:
+                    out.append(f"{base}/event_date={day}")
+        return out
+
+    def _update(self, spark: SparkSession, typed: DataFrame, batch_id: int, keep) -> None:
+        ids = typed.select("transaction_id").distinct()
+        copies = self._copies(spark, typed, batch_id).withColumn("user_bucket", user_bucket("user_id", self.buckets))
+        affected = keep(copies.groupBy(F.col("user_id").alias("__user"), "user_bucket").agg(
+            F.min("event_unix").alias("__from"), (F.max("event_unix") + WINDOW_24H_SECONDS).alias("__to"),
+            F.max(F.col("event_unix").isNull()).alias("__untimed")))
+        day = lambda unix: None if unix is None else dt.datetime.fromtimestamp(unix, dt.timezone.utc).strftime("%Y-%m-%d")
+        ranges = {r.user_bucket: (day(None if r.a is None else r.a - DAY), day(r.b), r.n) for r in
+                  affected.groupBy("user_bucket").agg(F.min("__from").alias("a"), F.max("__to").alias("b"),
+                                                      F.max("__untimed").alias("n")).collect()}   # a row per bucket
+        paths = self._partition_paths(spark, ranges)
+        self.partitions_read.append(len(paths))
+        kind = {f.name: f.dataType for f in compute_features(typed.select(*REQUIRED_COLUMNS, "event_ts")).schema.fields}
+        stored = (spark.read.option("basePath", self.output_dir).parquet(*paths) if paths else
+                  spark.createDataFrame([], "x int").select(
+                      *[F.lit(None).cast(kind[c]).alias(c) for c in FEATURE_COLUMNS],
+                      F.lit(None).cast("int").alias("user_bucket"), F.lit(None).cast("string").alias("event_date")))
+        stored = keep(stored.withColumn("event_date", F.col("event_date").cast("string"))
+                      .select(*FEATURE_COLUMNS, "user_bucket", "event_date"))
+
+        # the current copy of each of the batch's ids, among what came and what was kept
+        old = stored.join(ids, "transaction_id", "left_semi")
+        current = dedupe_latest(typed.select(*REQUIRED_COLUMNS, "event_ts").unionByName(
+            old.select(*REQUIRED_COLUMNS, "event_ts")), "transaction_id", "event_ts")
+        others = stored.join(ids, "transaction_id", "left_anti")
+        mine = F.col("user_id").eqNullSafe(F.col("__user"))
+        limits = affected.drop("user_bucket")
+        changes = F.when(F.col("event_unix").isNull(), F.col("__untimed")).otherwise(
+            F.col("event_unix").between(F.col("__from"), F.col("__to")))
+        context = F.when(F.col("event_unix").isNull(), F.col("__untimed")).otherwise(
+            F.col("event_unix").between(F.col("__from") - WINDOW_24H_SECONDS, F.col("__to")))
+        seen = (others.join(limits, mine).filter(F.coalesce(context, F.lit(False)))
+                .select(*REQUIRED_COLUMNS, "event_ts").unionByName(current.select(*REQUIRED_COLUMNS, "event_ts")))
+        fresh = (compute_features(seen, strategy=self.strategy).join(limits, mine)
+                 .filter(F.coalesce(changes, F.lit(False))).select(*FEATURE_COLUMNS)
+                 .withColumn("user_bucket", user_bucket("user_id", self.buckets))
+                 .withColumn("event_date", _event_date()))
+        fresh = keep(fresh)
+        kept = (others.join(limits, mine, "left").filter(~F.coalesce(changes, F.lit(False)))
+                .select(*FEATURE_COLUMNS, "user_bucket", "event_date"))
+        # partitions that get, lose or change a row
+        parts = ["user_bucket", "event_date"]
+        touched = keep(fresh.select(*parts).unionByName(old.select(*parts)).distinct())
+        content = keep(kept.join(touched, parts, "left_semi").unionByName(fresh))
+        _overwrite_partitions(content.hint("rebalance", *parts), self.output_dir, parts)
+        for r in touched.join(content.select(*parts).distinct(), parts, "left_anti").collect():  # days left empty
+            _delete(spark, f"{self.output_dir}/user_bucket={r.user_bucket}/event_date={r.event_date}")
 
 
 def refresh_risk(spark: SparkSession, features_dir: str, risk_dir: str, flagged_at: str,
-                 cluster: bool = False) -> None:
+                 cluster: bool = True, cluster_starts: int = K.CLUSTER_STARTS) -> None:
     """STR5: rerun the risk analysis over the current feature table and publish it."""
     from txlens.plans.risk_job import risk_job
     from txlens.sources.sinks import write_risk_outputs
-    feats = spark.read.parquet(features_dir).drop("user_bucket")
-    write_risk_outputs(risk_job(feats, flagged_at, cluster=cluster), risk_dir)
+    feats = current_features(spark, features_dir)
+    write_risk_outputs(risk_job(feats, flagged_at, cluster=cluster, cluster_starts=cluster_starts), risk_dir)
 
 
 def start_feature_stream(spark: SparkSession, input_dir: str, store_dir: str, output_dir: str,
                          checkpoint_location: str, trigger: str | None = "8 seconds",
-                         max_files_per_trigger: int | None = None, **updater_args):
+                         max_files_per_trigger: int | None = None, updater: FeatureStreamUpdater | None = None,
+                         **updater_args):
     """STR1: start the stream over CSV files landing in ``input_dir``.
 
     ``trigger=None`` processes what is there now and stops (``availableNow``).
     """
-    reader = spark.readStream.schema(RAW_SCHEMA).option("header", True)
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    stream = reader.csv(input_dir)
-    w = (stream.writeStream.foreachBatch(FeatureStreamUpdater(store_dir, output_dir, **updater_args))
+    stream = stream_transactions(spark, input_dir, max_files_per_trigger)
+    w = (stream.writeStream.foreachBatch(updater or FeatureStreamUpdater(store_dir, output_dir, **updater_args))
          .option("checkpointLocation", checkpoint_location))
     w = w.trigger(availableNow=True) if trigger is None else w.trigger(processingTime=trigger)
     return w.start()
@@ -161,46 +247,99 @@ def first_seen(stream: DataFrame, key: str = "transaction_id", ts: str = "event_
 class DecisionStreamUpdater:
     """``foreachBatch`` body of the decision stream.
 
-    For batch b: read the blacklist as it is now, read the balances left by
-    batch b-1 (or the opening profiles), run LED3, write the decisions of b
-    and the balances after b.  Re-running b rewrites the same two folders.
+    For batch b: read the blacklist as it is now and the balances before b (the
+    opening profiles, overlaid with the changes of earlier batches), run LED3
+    once, write the decisions of b, the balances that b changed and, if
+    ``feed_dir`` is given, the accepted rows as CSV of the feed that STR1
+    reads.  Re-running b rewrites the same partitions and files.  Every
+    ``compact_every`` batches the changes are merged into a published base.
     """
 
-    def __init__(self, blacklist_path: str, opening_profiles_path: str, balances_dir: str, decisions_dir: str):
-        self.blacklist_path = blacklist_path
-        self.opening = opening_profiles_path
-        self.balances_dir, self.decisions_dir = balances_dir, decisions_dir
-
-    def _balances_before(self, spark, batch_id):
-        b = int(batch_id) - 1
-        while b >= 0:
-            p = f"{self.balances_dir}/batch={b}"
-            if path_exists(spark, p):
-                return spark.read.parquet(p)
-            b -= 1
-        return spark.read.parquet(self.opening)
+    def __init__(self, blacklist_path: str, opening_profiles_path: str, balances_dir: str, decisions_dir: str,
+                 feed_dir: str | None = None, compact_every: int = COMPACT_EVERY):
+        self.blacklist_path, self.opening = blacklist_path, opening_profiles_path
+        self.balances_dir, self.decisions_dir, self.feed_dir = balances_dir, decisions_dir, feed_dir
+        self.compact_every = compact_every
+
+    def _changes(self, spark: SparkSession, batch_id: int) -> DataFrame | None:
+        """(user_id, account_balance) after the last earlier batch that changed it."""
+        found = []
+        if _children(spark, f"{self.balances_dir}/recent", "batch_id"):
+            found.append(spark.read.parquet(f"{self.balances_dir}/recent").filter(F.col("batch_id") < batch_id))
+        if current_version(spark, f"{self.balances_dir}/base"):
+            found.append(read_published(spark, f"{self.balances_dir}/base"))
+        if not found:
+            return None
+        both = found[0] if len(found) == 1 else found[0].unionByName(found[1])
+        return both.groupBy("user_id").agg(F.max_by("account_balance", "batch_id").alias("account_balance"),
+                                           F.max("batch_id").alias("batch_id"))
+
+    def _profiles(self, spark: SparkSession, batch_id: int) -> DataFrame:
+        opening = read_published(spark, self.opening)
+        changes = self._changes(spark, batch_id)
+        if changes is None:
+            return opening
+        now = changes.select(F.col("user_id").alias("__user"), F.col("account_balance").alias("__now"))
+        return (opening.join(now, F.col("user_id") == F.col("__user"), "left")
+                .withColumn("account_balance", F.coalesce("__now", "account_balance")).drop("__user", "__now"))
 
     def __call__(self, batch_df: DataFrame, batch_id: int) -> None:
         from txlens.operators.ledger import closing_balance, decide_transactions
-        spark = batch_df.sparkSession
+        spark, batch_id = batch_df.sparkSession, int(batch_id)
         if path_exists(spark, self.blacklist_path):
-            blacklist = spark.read.parquet(self.blacklist_path).select("user_id")
+            blacklist = read_published(spark, self.blacklist_path).select("user_id")
         else:
             blacklist = spark.createDataFrame([], "user_id string")
-        profiles = materialize(self._balances_before(spark, batch_id))
-        decisions, gated = decide_transactions(batch_df, blacklist, profiles)
-        decisions = materialize(decisions.withColumn("batch_id", F.lit(int(batch_id)).cast("long")))
-        _overwrite_partitions(decisions, self.decisions_dir, ["batch_id"])
-        after = closing_balance(profiles, gated).select(
-            "user_id", F.col("closing_balance").alias("account_balance"))
-        rest = profiles.drop("account_balance")
-        (after.join(rest, "user_id", "left").write.mode("overwrite")
-         .parquet(f"{self.balances_dir}/batch={int(batch_id)}"))
+        with temporary_tables(spark) as keep:
+            feed = keep(batch_df)
+            if feed.isEmpty():
+                return
+            profiles = self._profiles(spark, batch_id)
+            # the blacklist and the balances are read once: everything follows from the stored rows
+            decisions, gated = decide_transactions(feed.withColumn("__row", F.monotonically_increasing_id()),
+                                                   blacklist, profiles, keep=keep, carry=["__row"])
+            number = F.lit(batch_id).cast("long").alias("batch_id")
+            _overwrite_partitions(decisions.drop("__row").select("*", number), self.decisions_dir, ["batch_id"])
+            after = closing_balance(profiles, gated).filter("closing_balance <> opening_balance")
+            _overwrite_partitions(after.select("user_id", F.col("closing_balance").alias("account_balance"), number),
+                                  f"{self.balances_dir}/recent", ["batch_id"])
+            if self.feed_dir:
+                accepted = decisions.filter("code = 200").select("__row")
+                numbered = feed.withColumn("__row", F.monotonically_increasing_id())
+                self._append(spark, numbered.join(accepted, "__row", "left_semi").select(*REQUIRED_COLUMNS), batch_id)
+        if batch_id % self.compact_every == self.compact_every - 1:
+            self._compact(spark, batch_id)
+
+    def _append(self, spark: SparkSession, accepted: DataFrame, batch_id: int) -> None:
+        """Accepted rows into the feed folder, under names of this batch."""
+        from txlens.sources.sinks import append_transactions
+
+        staging = f"{self.feed_dir}/.batch-{batch_id}"
+        _delete(spark, staging)
+        append_transactions(accepted, staging)
+        fs, folder = hadoop_path(spark, staging)
+        for i, s in enumerate(sorted(str(s.getPath()) for s in fs.listStatus(folder) if s.getPath().getName().endswith(".csv"))):
+            _, source = hadoop_path(spark, s)
+            _, target = hadoop_path(spark, f"{self.feed_dir}/accepted-{batch_id:010d}-{i:05d}.csv")
+            fs.delete(target, False)
+            if not fs.rename(source, target):
+                raise OSError(f"could not move {s} into the feed")
+        _delete(spark, staging)
+
+    def _compact(self, spark: SparkSession, batch_id: int) -> None:
+        from txlens.sources.sinks import publish
+
+        done = [int(v) for v in _children(spark, f"{self.balances_dir}/recent", "batch_id") if int(v) < batch_id]
+        changes = self._changes(spark, batch_id)
+        if done and changes is not None:
+            publish(changes, f"{self.balances_dir}/base")
+            for v in done:
+                _delete(spark, f"{self.balances_dir}/recent/batch_id={v}")
 
 
 def start_decision_stream(spark: SparkSession, input_dir: str, checkpoint_location: str,
-                          trigger: str | None = "8 seconds", **paths):
-    stream = spark.readStream.schema(RAW_SCHEMA).option("header", True).csv(input_dir)
+                          trigger: str | None = "8 seconds", max_files_per_trigger: int | None = None, **paths):
+    stream = stream_transactions(spark, input_dir, max_files_per_trigger)
     w = (stream.writeStream.foreachBatch(DecisionStreamUpdater(**paths))
          .option("checkpointLocation", checkpoint_location))
     w = w.trigger(availableNow=True) if trigger is None else w.trigger(processingTime=trigger)

@@ -1,25 +1,35 @@
 """STR2: rolling features with per-user streaming state.
 
-``transformWithStateInPandas`` keyed by user.  Per user the state holds the
-rows of the last ``24 h + allowed lateness`` (a ListState) and the newest
-event time seen (a ValueState).  For each micro-batch:
-
-* rows older than ``newest - lateness`` are dropped and counted (the only
-  bounded-state compromise; STR1 keeps everything);
-* new copies of a transaction id replace older ones (keep-latest);
-* every row from the earliest new time on is recomputed -- a late row changes
-  the features of the rows up to 24 h after it -- and emitted again with a
-  growing ``emit_seq``, so a downstream upsert by ``transaction_id`` keeping
-  the highest ``emit_seq`` holds the exact features;
-* rows older than ``newest - lateness - 24 h`` are evicted.
-
-The frame sums are vectorised (cumulative sums + binary search over the
-sorted times of one user's state).  State lives in the RocksDB state store,
-so a user's 24 h of rows need not fit in memory.
+``transformWithStateInPandas`` keyed by user.  The state is held in pieces, so
+that a batch reads and writes what it touches, not the user's whole history:
+
+* ``cells``: the rows of each hour, the latest copy per transaction id;
+* ``places``: the hour in which an id's current copy lies;
+* ``untimed``: rows without a time (they see only each other);
+* ``newest``: the newest event time, and a sequence number.
+
+For each micro-batch and user:
+
+* rows older than ``newest - lateness`` are not lost: they are emitted with
+  ``kind = 'late'`` and no features, for a side output (:func:`late_rows`);
+* a new copy of an id replaces the older one wherever that lies (keep-latest);
+* the changed times are those of the new rows *and* of the copies they replace;
+  every row from the earliest of them to 24 h after the latest is recomputed
+  and emitted again with a growing ``emit_seq``, so a downstream upsert by
+  ``transaction_id`` keeping the highest ``emit_seq`` holds the exact features;
+* hours before ``newest - lateness - 24 h`` are evicted with their ids.
+
+With ``ttl_seconds`` the state of a user that sends nothing for that long (at
+least lateness + 24 h, in processing time) expires.
+
+Per batch and user one task holds the rows of the hours between the earliest
+changed time minus 24 h and the latest plus 24 h; frame sums over them are
+vectorised.  An id is expected to stay with one user (STR1 has no such limit).
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,6 +51,10 @@ ROW_FIELDS = [
 ROW_SCHEMA = T.StructType([T.StructField(n, t) for n, t in ROW_FIELDS])
 ROW_NAMES = [n for n, _ in ROW_FIELDS]
 
+CELL_SECONDS = 3600
+PACKED = T.StructType([T.StructField("rows", T.BinaryType())])
+LONG = T.StructType([T.StructField("n", T.LongType())])
+
 OUTPUT_SCHEMA = T.StructType(ROW_SCHEMA.fields + [
     T.StructField("is_blocked", T.IntegerType()),
     T.StructField("rolling_total_spend_24h", T.DoubleType()),
@@ -49,13 +63,22 @@ OUTPUT_SCHEMA = T.StructType(ROW_SCHEMA.fields + [
     T.StructField("rolling_blocked_count_24h", T.LongType()),
     T.StructField("rolling_txn_count_10m", T.LongType()),
     T.StructField("cloud_rule_risk", T.IntegerType()),
-    T.StructField("emit_seq", T.LongType()),
+    T.StructField("emit_seq", T.LongType()), T.StructField("kind", T.StringType()),
 ])
+FEATURES = [f.name for f in OUTPUT_SCHEMA.fields if f.name not in ROW_NAMES + ["emit_seq", "kind"]]
 
 DEDUPE_ORDER = ["event_ms", "user_id", "amount", "event_time", "hour", "device_risk", "location_risk",
                 "txn_velocity", "edge_fraud_probability", "status"]
 
 
+def untimed_features(rows: pd.DataFrame) -> pd.DataFrame:
+    """Features of one user's rows without a time: every row sees all of them."""
+    whole = rows.assign(event_unix=0)
+    out = frame_features(whole, whole["transaction_id"].to_numpy())
+    out["event_unix"] = None
+    return out
+
+
 def frame_features(rows: pd.DataFrame, targets: np.ndarray) -> pd.DataFrame:
     """Features of ``rows[targets]`` over all ``rows`` (one user, times not NULL)."""
     rows = rows.sort_values("event_unix", kind="mergesort").reset_index(drop=True)
@@ -89,59 +112,143 @@ def frame_features(rows: pd.DataFrame, targets: np.ndarray) -> pd.DataFrame:
 
 
 class RollingStateProcessor(StatefulProcessor):
-    def __init__(self, lateness_seconds: int = WINDOW_24H_SECONDS):
+    def __init__(self, lateness_seconds: int = WINDOW_24H_SECONDS, ttl_seconds: int | None = None):
         self.lateness = int(lateness_seconds)
+        self.ttl = None if ttl_seconds is None else int(ttl_seconds) * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.rows = handle.getListState("rows", ROW_SCHEMA)
-        self.newest = handle.getValueState("newest", T.StructType([T.StructField("t", T.LongType())]))
-        self.seq = handle.getValueState("seq", T.StructType([T.StructField("n", T.LongType())]))
-        self.dropped = handle.getValueState("dropped", T.StructType([T.StructField("n", T.LongType())]))
+        key = T.StructType([T.StructField("cell", T.LongType())])
+        tid = T.StructType([T.StructField("id", T.StringType())])
+        self.cells = handle.getMapState("cells", key, PACKED, self.ttl)
+        self.places = handle.getMapState("places", tid, LONG, self.ttl)
+        self.untimed = handle.getValueState("untimed", PACKED, self.ttl)
+        self.newest = handle.getValueState("newest", LONG, self.ttl)
+        self.seq = handle.getValueState("seq", LONG, self.ttl)
+        self.oldest = handle.getValueState("oldest", LONG, self.ttl)
+
+    # -- state access ---------------------------------------------------------
+
+    def _cell(self, cell: int) -> list[tuple]:
+        return pickle.loads(self.cells.getValue((cell,))[0]) if self.cells.containsKey((cell,)) else []
+
+    def _number(self, state, default: int) -> int:
+        return int(state.get()[0]) if state.exists() else default
+
+    def _place(self, tid: str) -> int | None:
+        return int(self.places.getValue((tid,))[0]) if self.places.containsKey((tid,)) else None
+
+    # -- one batch of one user ------------------------------------------------
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         new = pd.concat(list(rows), ignore_index=True)[ROW_NAMES]
-        new = new[new["event_unix"].notna()]
-        newest = self.newest.get()[0] if self.newest.exists() else None
-        if newest is not None:
-            late = new["event_unix"] < newest - self.lateness
-            if late.any():
-                before = self.dropped.get()[0] if self.dropped.exists() else 0
-                self.dropped.update((int(before + late.sum()),))
-            new = new[~late]
+        newest = self._number(self.newest, -(2 ** 62))
+        late = (new["event_unix"] < newest - self.lateness).fillna(False).astype(bool)
+        if late.any():
+            yield self._emit(new[late], "late", 0)
+        new = self._latest(new[~late])
         if new.empty:
             return
-        kept = pd.DataFrame(list(self.rows.get()), columns=ROW_NAMES) if self.rows.exists() else new.iloc[:0]
-        both = pd.concat([kept, new], ignore_index=True)
-        both = (both.sort_values(DEDUPE_ORDER, kind="mergesort", na_position="first")
-                .drop_duplicates("transaction_id", keep="last"))
-        newest = int(max(newest if newest is not None else -(2 ** 62), new["event_unix"].max()))
-        t_min = int(new["event_unix"].min())
-        targets = both.loc[both["event_unix"] >= t_min, "transaction_id"].to_numpy()
-        out = frame_features(both, targets)
-        seq = (self.seq.get()[0] if self.seq.exists() else 0) + 1
+        loaded: dict[int, list[tuple]] = {}
+        held = {r[0]: r for r in (pickle.loads(self.untimed.get()[0]) if self.untimed.exists() else [])}
+        at_id, at_unix = ROW_NAMES.index("transaction_id"), ROW_NAMES.index("event_unix")
+        times, untimed_changed = [], False
+
+        def cell_rows(cell: int) -> list[tuple]:
+            if cell not in loaded:
+                loaded[cell] = self._cell(cell)
+            return loaded[cell]
+
+        dirty: set[int] = set()
+        for row in (tuple(None if pd.isna(v) else v for v in r) for r in new.itertuples(index=False, name=None)):
+            tid, place = row[at_id], self._place(row[at_id])
+            former = held.get(tid) if place is None else next(r for r in cell_rows(place) if r[at_id] == tid)
+            if former is not None:
+                if self._order(former) >= self._order(row):
+                    continue                                   # the copy that is here stays
+                if place is None:
+                    del held[tid]
+                    untimed_changed = True
+                else:
+                    loaded[place] = [r for r in cell_rows(place) if r[at_id] != tid]
+                    dirty.add(place)
+                    times.append(int(former[at_unix]))
+            if row[at_unix] is None:
+                held[tid] = row
+                untimed_changed = True
+            else:
+                t = int(row[at_unix])
+                cell = t // CELL_SECONDS
+                cell_rows(cell).append(row)
+                dirty.add(cell)
+                if cell != place:
+                    self.places.updateValue((tid,), (cell,))
+                times.append(t)
+        seq = self._number(self.seq, 0) + 1
         self.seq.update((seq,))
-        out["emit_seq"] = np.int64(seq)
-        keep = both[both["event_unix"] >= newest - self.lateness - WINDOW_24H_SECONDS]
-        self.rows.clear()
-        if len(keep):
-            self.rows.put([tuple(None if pd.isna(v) else v for v in r)
-                           for r in keep[ROW_NAMES].itertuples(index=False, name=None)])
+        if untimed_changed:
+            self.untimed.update((pickle.dumps(list(held.values())),))
+            if held:
+                yield self._emit(untimed_features(pd.DataFrame(list(held.values()), columns=ROW_NAMES)), "feature", seq)
+        if not times:
+            return
+        newest = max(newest, *times)
         self.newest.update((newest,))
-        yield out
+        lo, hi = min(times), max(times) + WINDOW_24H_SECONDS
+        first = min(self._number(self.oldest, lo // CELL_SECONDS), lo // CELL_SECONDS)
+        span = range(max((lo - WINDOW_24H_SECONDS) // CELL_SECONDS, first), min(hi, newest) // CELL_SECONDS + 1)
+        around = pd.DataFrame([r for c in span for r in cell_rows(c)], columns=ROW_NAMES)
+        if len(around):
+            inside = around["event_unix"].between(lo, hi)
+            if inside.any():
+                yield self._emit(frame_features(around, around.loc[inside, "transaction_id"].to_numpy()), "feature", seq)
+        for cell in dirty:
+            if loaded[cell]:
+                self.cells.updateValue((cell,), (pickle.dumps(loaded[cell]),))
+            elif self.cells.containsKey((cell,)):
+                self.cells.removeKey((cell,))
+        keep_from = (newest - self.lateness - WINDOW_24H_SECONDS) // CELL_SECONDS
+        for cell in range(first, keep_from):
+            if self.cells.containsKey((cell,)):
+                for r in self._cell(cell):
+                    self.places.removeKey((r[at_id],))
+                self.cells.removeKey((cell,))
+        self.oldest.update((max(first, keep_from),))
+
+    @staticmethod
+    def _latest(rows: pd.DataFrame) -> pd.DataFrame:
+        return (rows.sort_values(DEDUPE_ORDER, kind="mergesort", na_position="first")
+                .drop_duplicates("transaction_id", keep="last"))
+
+    @staticmethod
+    def _order(row: tuple) -> tuple:
+        """Keep-latest order of copies: NULL before any value."""
+        values = dict(zip(ROW_NAMES, row))
+        return tuple((values[c] is not None, values[c] if values[c] is not None else 0) for c in DEDUPE_ORDER)
+
+    @staticmethod
+    def _emit(rows: pd.DataFrame, kind: str, seq: int) -> pd.DataFrame:
+        out = rows.assign(emit_seq=np.int64(seq), kind=kind)
+        for c in FEATURES:
+            if c not in out:
+                out[c] = None
+        return out[OUTPUT_SCHEMA.names]
 
     def close(self) -> None:
         pass
 
 
-def rolling_state_stream(typed_stream: DataFrame, lateness_seconds: int = WINDOW_24H_SECONDS) -> DataFrame:
+def rolling_state_stream(typed_stream: DataFrame, lateness_seconds: int = WINDOW_24H_SECONDS,
+                         ttl_seconds: int | None = None) -> DataFrame:
     """Apply STR2 to a typed stream (the ten feed columns, ``event_unix`` and
     ``event_ms``, the epoch milliseconds that order copies for keep-latest)."""
+    if ttl_seconds is not None and ttl_seconds < lateness_seconds + WINDOW_24H_SECONDS:
+        raise ValueError("the state must outlive lateness + 24 h")
     spark = typed_stream.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass",
                    "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     return (typed_stream.select(*ROW_NAMES).groupBy("user_id")
-            .transformWithStateInPandas(RollingStateProcessor(lateness_seconds), OUTPUT_SCHEMA,
-                                        outputMode="Append", timeMode="None"))
+            .transformWithStateInPandas(RollingStateProcessor(lateness_seconds, ttl_seconds), OUTPUT_SCHEMA,
+                                        outputMode="Append", timeMode="None" if ttl_seconds is None else "ProcessingTime"))
 
 
 def latest_emitted(emitted: DataFrame) -> DataFrame:
@@ -149,4 +256,10 @@ def latest_emitted(emitted: DataFrame) -> DataFrame:
     from pyspark.sql import Window
     from pyspark.sql import functions as F
     w = Window.partitionBy("transaction_id").orderBy(F.col("emit_seq").desc())
-    return emitted.withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").drop("__rn", "emit_seq")
+    return (emitted.filter("kind = 'feature'").withColumn("__rn", F.row_number().over(w)).filter("__rn = 1")
+            .drop("__rn", "emit_seq", "kind"))
+
+
+def late_rows(emitted: DataFrame) -> DataFrame:
+    """The side output: rows that came later than the allowed lateness."""
+    return emitted.filter("kind = 'late'").select(*ROW_NAMES)
