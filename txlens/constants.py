@@ -119,9 +119,7 @@ MODEL_LABEL = "Class"
 MODEL_SEED = 42
 VALIDATION_FRACTION = 0.2
 HIDDEN_LAYERS = [16, 8]
-MAX_EPOCHS = 20
 BATCH_SIZE = 128
-LEARNING_RATE = 0.001
 AUC_GATE = 0.85
 CARD_MINMAX_EPS = 1e-9
 CARD_VELOCITY_FACTOR = 2.0

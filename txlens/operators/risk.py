@@ -74,25 +74,29 @@ def risk_score(df: DataFrame, flag: str = "cloud_rule_risk", stats_from: DataFra
     return scaled.withColumn("risk_score", F.lit(100.0) * total).drop(*[f"{c}__mm" for c in cols])
 
 
-def user_risk(scored: DataFrame, user_col: str = "user_id") -> DataFrame:
-    """AGG1: mean risk score per user; rows with NULL user or score are skipped."""
-    return (scored.dropna(subset=[user_col, "risk_score"])
-            .groupBy(user_col).agg(F.avg("risk_score").alias("risk_score")))
+def user_risk(scored: DataFrame, user_col: str = "user_id", weight: str | None = None) -> DataFrame:
+    """AGG1: mean risk score per user; rows with NULL user or score are skipped.
+    ``weight`` counts a row as so many."""
+    rows = scored.dropna(subset=[user_col, "risk_score"]).groupBy(user_col)
+    if weight is None:
+        return rows.agg(F.avg("risk_score").alias("risk_score"))
+    return rows.agg((F.sum(F.col("risk_score") * F.col(weight)) / F.sum(weight)).alias("risk_score"))
 
 
 HOTSPOT_SCHEMA = T.StructType([T.StructField("hour", T.IntegerType()),
                                T.StructField("fraud_events", T.LongType())])
 
 
-def hotspots(scored: DataFrame, flag: str = "cloud_rule_risk") -> DataFrame:
+def hotspots(scored: DataFrame, flag: str = "cloud_rule_risk", weight: str | None = None) -> DataFrame:
     """AGG2: flagged rows per hour; hours present with no flags keep a 0.
+    ``weight`` counts a row as so many.
 
     Without an ``hour`` column the result is an empty table of the same schema.
     """
     if "hour" not in scored.columns:
         return scored.sparkSession.createDataFrame([], HOTSPOT_SCHEMA)
     return (scored.dropna(subset=["hour", flag])
-            .groupBy("hour").agg(F.sum(flag).cast("long").alias("fraud_events")))
+            .groupBy("hour").agg(F.sum(F.col(flag) * (F.col(weight) if weight else 1)).cast("long").alias("fraud_events")))
 
 
 def blacklist(user_scores: DataFrame, flagged_at, threshold: float = K.BLACKLIST_SCORE_ABOVE) -> DataFrame:

@@ -30,18 +30,40 @@ def oversample(df: DataFrame, flag: str = "cloud_rule_risk", key: str = "transac
     the draws and one equi-join on the row number.  No row passes through the
     driver and the draws never pile up on one key (they are uniform).
     """
-    spark = df.sparkSession
+    flagged = df.filter(F.col(flag) == 1)
+    draws = _draws(df, flag, seed, factor)
+    if draws is None:
+        return flagged.withColumn("oversample_draw", F.lit(None).cast("long")).limit(0)
+    numbered = global_position(flagged, [F.col(key).asc()], "__pos")
+    return numbered.join(draws, "__pos").drop("__pos")
+
+
+def _draws(df: DataFrame, flag: str, seed: int, factor: int) -> DataFrame | None:
+    """(oversample_draw, __pos): the number of the flagged row that each draw takes."""
     counts = df.agg(F.count_if(F.col(flag) == 1).alias("nf"), F.count_if(F.col(flag) == 0).alias("nn")).first()
     nf, nn = int(counts["nf"]), int(counts["nn"])
     m = min(nn, factor * nf) if nf > 0 else 0
-    flagged = df.filter(F.col(flag) == 1)
     if m == 0:
-        return flagged.withColumn("oversample_draw", F.lit(None).cast("long")).limit(0)
-    numbered = global_position(flagged, [F.col(key).asc()], "__pos")
-    draws = spark.range(m).select(
+        return None
+    return df.sparkSession.range(m).select(
         F.col("id").alias("oversample_draw"),
         (F.pmod(md5_bigint(F.lit(seed), F.lit("draw"), F.col("id")), F.lit(nf)) + 1).alias("__pos"))
-    return numbered.join(draws, "__pos").drop("__pos")
+
+
+def oversample_weights(df: DataFrame, flag: str = "cloud_rule_risk", key: str = "transaction_id",
+                       seed: int = K.RISK_SEED, factor: int = K.OVERSAMPLE_FACTOR,
+                       name: str = "weight") -> DataFrame:
+    """``df`` with ``name``: how often each row is in the rebalanced set (1 plus its
+    draws in SMP1).  Sums and means over that set need no copied rows."""
+    draws = _draws(df, flag, seed, factor)
+    one = F.lit(1).cast("long")
+    if draws is None:
+        return df.withColumn(name, one)
+    times = draws.groupBy("__pos").agg(F.count(F.lit(1)).alias("__times"))
+    flagged = (global_position(df.filter(F.col(flag) == 1), [F.col(key).asc()], "__pos").join(times, "__pos", "left")
+               .withColumn(name, one + F.coalesce("__times", F.lit(0))).drop("__pos", "__times"))
+    rest = df.filter(~F.coalesce(F.col(flag) == 1, F.lit(False))).withColumn(name, one)
+    return rest.unionByName(flagged)
 
 
 def with_oversample(df: DataFrame, flag: str = "cloud_rule_risk", key: str = "transaction_id",

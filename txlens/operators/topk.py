@@ -72,6 +72,11 @@ def page_summary(df: DataFrame, limit=120, status: str | None = None,
     )
 
 
+def scores_order() -> list:
+    """SRT2: descending score, ties by user."""
+    return [F.col("risk_score").desc(), F.col("user_id").asc()]
+
+
 def scores_desc(user_risk: DataFrame) -> DataFrame:
     """SRT2: user scores ordered by descending score (range-partitioned sort)."""
-    return user_risk.orderBy(F.col("risk_score").desc(), F.col("user_id").asc())
+    return user_risk.orderBy(*scores_order())

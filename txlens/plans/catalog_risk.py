@@ -9,13 +9,14 @@ from txlens.functions.hashing import md5_bigint_sql
 from txlens.functions.scalars import one_row
 from txlens.operators import risk as RK
 from txlens.operators.filters import high_risk_users
-from txlens.operators.joins import assign_city, block_blacklisted
+from txlens.operators.joins import assign_city, flag_blacklisted
 from txlens.operators.ordering import global_position
 from txlens.operators.sampling import oversample, with_oversample
+from txlens.operators.topk import scores_order
 from txlens.plans import fixtures as fx
 from txlens.plans.catalog import register
 from txlens.plans.catalog_features import features
-from txlens.plans.risk_job import scored_rows
+from txlens.plans.risk_job import scored_rows, weighted_scores
 from txlens.session import materialize
 
 SEED = K.RISK_SEED
@@ -63,6 +64,10 @@ def _smote(spark, sf):
     return with_oversample(materialize(assign_city(features(spark, sf), "transaction_id", SEED)))
 
 
+def _user_risk(spark, sf):
+    return RK.user_risk(weighted_scores(features(spark, sf), SEED), weight="weight")
+
+
 def _scored(spark, sf):
     return scored_rows(features(spark, sf), SEED, balanced=True, cluster=False)
 
@@ -141,13 +146,13 @@ def ml4(spark, sf):
 @register("agg1_user_risk", RISK_SQL + " SELECT user_id, risk_score FROM urisk", ["risk_score"])
 def agg1(spark, sf):
     """Mean risk score per user over the rebalanced rows."""
-    return RK.user_risk(_scored(spark, sf))
+    return _user_risk(spark, sf)
 
 
 @register("agg2_hotspots", RISK_SQL + """ SELECT hour, CAST(sum(cloud_rule_risk) AS BIGINT) AS fraud_events
           FROM scored WHERE hour IS NOT NULL GROUP BY hour""")
 def agg2(spark, sf):
-    return RK.hotspots(_scored(spark, sf))
+    return RK.hotspots(weighted_scores(features(spark, sf), SEED), weight="weight")
 
 
 @register("flt7_high_risk_users", RISK_SQL + """ SELECT 75 AS threshold, user_id, risk_score FROM urisk
@@ -155,7 +160,7 @@ def agg2(spark, sf):
           SELECT 40 AS threshold, user_id, risk_score FROM urisk WHERE risk_score > 40""", ["risk_score"])
 def flt7(spark, sf):
     """Users strictly above 75 (the blacklist rule) and above 40."""
-    ur = RK.user_risk(_scored(spark, sf))
+    ur = _user_risk(spark, sf)
     return (high_risk_users(ur, 75).select(F.lit(75).alias("threshold"), "user_id", "risk_score")
             .unionByName(high_risk_users(ur, 40).select(F.lit(40).alias("threshold"), "user_id", "risk_score")))
 
@@ -165,7 +170,7 @@ def flt7(spark, sf):
           'Cluster anomaly detected by R' AS reason FROM urisk WHERE risk_score > 40""")
 def ml5(spark, sf):
     """Blacklist rows (threshold 40 so the fixture yields some; the default is 75)."""
-    ur = RK.user_risk(_scored(spark, sf))
+    ur = _user_risk(spark, sf)
     bl = RK.blacklist(ur, FLAGGED_AT, threshold=40)
     return bl.select("user_id", F.unix_seconds("flagged_at").alias("flagged_at"), "reason")
 
@@ -174,8 +179,8 @@ def ml5(spark, sf):
           CAST(row_number() OVER (ORDER BY risk_score DESC, user_id) AS BIGINT) AS pos FROM urisk""",
           ["risk_score"])
 def srt2(spark, sf):
-    ur = RK.user_risk(_scored(spark, sf))
-    return global_position(ur, [F.col("risk_score").desc(), F.col("user_id").asc()], "pos")
+    ur = _user_risk(spark, sf)
+    return global_position(ur, scores_order(), "pos")
 
 
 @register("jon1_block_blacklisted", RISK_SQL + """,
@@ -186,11 +191,11 @@ def srt2(spark, sf):
           FROM sess""")
 def jon1(spark, sf):
     """New transactions checked against the blacklist the risk run produced."""
-    ur = RK.user_risk(_scored(spark, sf))
+    ur = _user_risk(spark, sf)
     bl = RK.blacklist(ur, FLAGGED_AT, threshold=40)
-    allowed, denied = block_blacklisted(fx.transactions(spark, sf), bl)
-    return (allowed.select("transaction_id", "user_id", F.lit("allowed").alias("decision"))
-            .unionByName(denied.select("transaction_id", "user_id", F.lit("denied").alias("decision"))))
+    flagged = flag_blacklisted(fx.transactions(spark, sf), bl)
+    return flagged.select("transaction_id", "user_id",
+                          F.when(F.col("denied"), "denied").otherwise("allowed").alias("decision"))
 
 
 @register("ml2_kmeans", RISK_SQL + """ SELECT transaction_id, oversample_draw,
