@@ -154,3 +154,21 @@ def test_device_risk_counts_one_first_sighting(spark):
     got = sorted((r.transaction_id, r.device_signal) for r in device_risk(
         spark.createDataFrame(rows, "transaction_id string, user_id string, device_id string, event_ts int")).collect())
     assert got == [("a", 0.12), ("a", 0.78), ("b", 0.12), ("c", 0.78), ("d", 0.12), ("e", 0.78)]
+
+
+def test_job_entry_points(spark, tmp_dir):
+    from decimal import Decimal
+
+    from txlens import jobs
+    feed_rows = [(f"t{i}", "u", "10", f"2024-01-01T0{i}:00:00Z", str(i), "0.1", "0.2", "1", "0.9", "approved") for i in range(5)]
+    sinks.append_transactions(spark.createDataFrame(feed_rows, ", ".join(f"{c} string" for c in REQUIRED_COLUMNS)), f"{tmp_dir}/feed")
+    assert jobs.main(["features", "--input", f"{tmp_dir}/feed", "--output", f"{tmp_dir}/features"], spark) == 0
+    assert feed.read_features(spark, f"{tmp_dir}/features").count() == 5
+    spark.createDataFrame([("u", Decimal("25.00"))], "user_id string, account_balance decimal(14,2)").write.parquet(f"{tmp_dir}/profiles")
+    jobs.main(["decisions", "--input", f"{tmp_dir}/feed", "--output", f"{tmp_dir}/decisions", "--state", f"{tmp_dir}/state",
+               "--profiles", f"{tmp_dir}/profiles", "--blacklist", f"{tmp_dir}/none", "--feed", f"{tmp_dir}/accepted"], spark)
+    got = {r.transaction_id: r.code for r in spark.read.parquet(f"{tmp_dir}/decisions").collect()}
+    assert got == {"t0": 200, "t1": 200, "t2": 400, "t3": 400, "t4": 400}
+    assert feed.read_transactions(spark, f"{tmp_dir}/accepted").count() == 2
+    with pytest.raises(SystemExit):
+        jobs.main(["features", "--input", "a", "--output", "b", "--watch", "8"], spark)

@@ -36,6 +36,7 @@ import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from txlens import constants as K
 from txlens.constants import REQUIRED_COLUMNS, WINDOW_24H_SECONDS
@@ -43,7 +44,9 @@ from txlens.operators.dedupe import dedupe_latest
 from txlens.operators.normalize import event_unix, normalize
 from txlens.plans.features import FEATURE_COLUMNS, compute_features
 from txlens.session import temporary_tables
-from txlens.sources.feed import current_version, hadoop_path, path_exists, read_published, stream_transactions
+from txlens.sources.feed import (
+    FEATURE_SCHEMA, current_version, hadoop_path, path_exists, read_published, stream_transactions,
+)
 
 DEFAULT_BUCKETS = 64
 COMPACT_EVERY = 20
@@ -166,13 +169,10 @@ class FeatureStreamUpdater:
                                                       F.max("__untimed").alias("n")).collect()}   # a row per bucket
         paths = self._partition_paths(spark, ranges)
         self.partitions_read.append(len(paths))
-        kind = {f.name: f.dataType for f in compute_features(typed.select(*REQUIRED_COLUMNS, "event_ts")).schema.fields}
-        stored = (spark.read.option("basePath", self.output_dir).parquet(*paths) if paths else
-                  spark.createDataFrame([], "x int").select(
-                      *[F.lit(None).cast(kind[c]).alias(c) for c in FEATURE_COLUMNS],
-                      F.lit(None).cast("int").alias("user_bucket"), F.lit(None).cast("string").alias("event_date")))
-        stored = keep(stored.withColumn("event_date", F.col("event_date").cast("string"))
-                      .select(*FEATURE_COLUMNS, "user_bucket", "event_date"))
+        schema = T.StructType([FEATURE_SCHEMA[c] for c in FEATURE_COLUMNS]).add("user_bucket", T.IntegerType()).add("event_date", T.StringType())
+        stored = (spark.read.schema(schema).option("basePath", self.output_dir).parquet(*paths) if paths
+                  else spark.createDataFrame([], schema))
+        stored = keep(stored)
 
         # the current copy of each of the batch's ids, among what came and what was kept
         old = stored.join(ids, "transaction_id", "left_semi")
