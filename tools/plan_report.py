@@ -3,7 +3,9 @@
     python tools/plan_report.py [sf_dir] > PLANS.md
 
 Per query: shuffles, map-side limits, join strategies, Python stages and what
-each parquet scan reads (pruned schema, pushed filters).
+each parquet scan reads (pruned schema, pushed filters).  Tables that a query
+stores while it is built (``materialize``) are listed with the nodes of the
+plan that made them, and so is the number of Spark jobs before the last plan.
 """
 
 from __future__ import annotations
@@ -14,7 +16,9 @@ import sys
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from bench import HEADLINE  # noqa: E402
+from pyspark.sql.readwriter import DataFrameWriter  # noqa: E402
+
+from bench import COLD, HEADLINE  # noqa: E402
 from txlens.plans import catalog  # noqa: E402
 from txlens.session import build_session  # noqa: E402
 
@@ -51,12 +55,32 @@ def main(argv):
     print(f"# Executed plans of the headline queries ({os.path.basename(sf_dir)}, AQE final plans)\n")
     print("Generated by `tools/plan_report.py`. Node counts are taken from the executed plan; "
           "scans list the file, the pruned read schema and the filters pushed into the reader.\n")
-    for name in HEADLINE:
-        s = summarise(catalog.QUERIES[name](spark, sf_dir))
+    stored: list[str] = []
+    write = DataFrameWriter.parquet
+
+    def recorded(self, path, *args, **kwargs):
+        plan = self._df._jdf.queryExecution().executedPlan().toString()
+        counts = {n: len(re.findall(rf"(?<![A-Za-z]){n}(?![A-Za-z])", plan)) for n in NODES}
+        stored.append(f"columns {', '.join(self._df.columns[:6])}{' ...' if len(self._df.columns) > 6 else ''}: "
+                      + (", ".join(f"{v} {k}" for k, v in counts.items() if v) or "scan and project only"))
+        return write(self, path, *args, **kwargs)
+
+    DataFrameWriter.parquet = recorded
+    for name in (n for n in HEADLINE if n not in COLD):
+        stored.clear()
+        spark.sparkContext.setJobGroup(name, name)
+        df = catalog.QUERIES[name](spark, sf_dir)
+        eager = len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+        s = summarise(df)
         doc = (catalog.QUERIES[name].__doc__ or "").strip().splitlines()
         print(f"## {name}\n")
         if doc:
             print(doc[0] + "\n")
+        print(f"Jobs before the last plan: {eager}; tables stored: {len(stored)}.\n")
+        for x in stored:
+            print(f"- stored, {x}")
+        if stored:
+            print()
         print("| node | count |\n| --- | --- |")
         for k, v in s["counts"].items():
             print(f"| {k} | {v} |")
