@@ -105,16 +105,19 @@ def test_documents(spark, monkeypatch):
         assert r.score < 0 and r.trained != held(r.doc_id)
 
 
-def test_word_probabilities_add_up(spark):
+def test_word_probabilities_add_up(spark, monkeypatch):
     """In a state the classes add up to 1, and in a class its known words and one unknown type do."""
     rows = spark.createDataFrame([("a a b c d d d e",), ("b c f",)], "t string").select(F.col("t").cast("binary").alias("text"))
+    monkeypatch.setattr(hmm, "HEAVY", 2)
     counts = hmm.word_counts(rows)
     voc = hmm.build_vocabulary(counts, 2)
+    assert set(voc.index) == {b"d"}            # b and c, equally frequent, would exceed the bound
     assert voc.tokens == 13 and voc.types == 7 and voc.class_share.sum() == pytest.approx(1)
     shape = {}
     for r in counts.collect():
-        if voc.index[bytes(r.word)] > hmm.OWN:
+        if bytes(r.word) not in voc.index:
             shape.setdefault(hmm.shape_class(bytes(r.word)), []).append(r.c)
+    assert sum(map(len, shape.values())) == 5
     for k, c in shape.items():
         assert sum(x + 1 for x in c) + 1 == pytest.approx(10 ** voc.log_class[k])
 

@@ -4,7 +4,8 @@ sequence likelihood by the scaled forward recursion.
 Tokens are lower-cased words and one end per text.  The emission of a word is
 factored: a state emits a class, the class emits the word.
 
-* The ``OWN`` most frequent training words and the end are classes of their own.
+* The ``OWN`` most frequent training words (fewer if equally rare words would
+  exceed the bounds) and the end are classes of their own.
 * Every other word, known or not, belongs to one of ``SHAPES`` classes by the
   hash of its last bytes, and has probability (c + 1) / (N_k + V_k + 1) inside
   its class (c: its training count; N_k, V_k: training tokens and distinct
@@ -115,8 +116,26 @@ class Vocabulary:
         return log10(self.tokens + self.types + 1)
 
 
+def heavy_words(counts: DataFrame, limit: int = HEAVY) -> list:
+    """The words at or above the lowest count level that at most ``limit`` words
+    reach, most frequent first.  Levels are 16 steps an octave; their sizes (a
+    row each) are counted first, so that no partition sends more than its share."""
+    level = F.floor(F.log2("c") * 16).cast("int")
+    sizes = sorted(((r.level, r.n) for r in counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).collect()),
+                   reverse=True)
+    least, total = None, 0
+    for at, n in sizes:
+        total += n
+        if total > limit:
+            break
+        least = at
+    if least is None:
+        return []
+    return sorted(counts.filter(level >= least).collect(), key=lambda r: (-r.c, bytes(r.word)))   # at most ``limit`` rows
+
+
 def build_vocabulary(counts: DataFrame, n_texts: int) -> Vocabulary:
-    heavy = counts.orderBy(F.desc("c"), "word").limit(HEAVY).collect()     # at most HEAVY rows
+    heavy = heavy_words(counts, HEAVY)
     own = [bytes(r.word) for r in heavy[:OWN]]
     whole = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
     # at most SHAPES rows; the own words among them are taken off again
