@@ -90,10 +90,14 @@ def labelled_sample(labels: DataFrame, categories: dict[str, Column], usable: Co
     if usable is not None:
         known = known.filter(usable)
     y = F.array(*[c.cast("int") for c in categories.values()])
-    return (known.select(col("doc_id").alias("doc_id"), y.alias("y"))
+    ids = (known.select(col("doc_id").alias("doc_id"), y.alias("y"))
             .filter(F.forall("y", lambda v: F.coalesce(v.isin(0, 1), F.lit(False))))
             .groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("top")).filter(F.col("y") == F.col("top"))
-            .withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(limit)
+            .select("doc_id", "y", F.xxhash64("doc_id").alias("h")))
+    # the hashes are uniform: only the head that can hold the sample is sorted
+    share = min(1.0, (1.2 * limit + 1000) / max(1, ids.count()))
+    return (ids.filter(F.col("h") <= int(min(share * 2.0 ** 64 - 2.0 ** 63, 2.0 ** 63 - 1025))
+                       if share < 1 else F.lit(True)).orderBy("h", "doc_id").limit(limit)
             .select("doc_id", F.pmod("h", F.lit(FOLDS)).cast("int").alias("fold"), "y"))
 
 
