@@ -71,6 +71,15 @@ def test_every_document_once_and_small_sources_up_to_the_limit(spark):
     assert len({(r.epoch, r.source, r.block) for r in got}) == len({(r.epoch, r.source, r.block, r.mix_order) for r in got})
 
 
+def test_default_budget_holds_every_token_of_the_largest_source(spark):
+    # beyond 2^34 tokens the doubles around a budget are too coarse to floor it
+    table = table_of(spark, {"a": 33_000_000_019, "b": 30_000_000_001, "c": 3_000_017, None: 500}).cache()
+    for i in (9, 15, 20, 27, 32, 42, 50, 64):
+        for r in mixing.weights(table, i / 64).collect():
+            assert r.whole >= 1 and r.budget == r.whole * r.tokens + r.rest >= r.tokens
+    table.unpersist()
+
+
 def test_head_of_the_permutation_under_a_small_budget(spark, monkeypatch):
     monkeypatch.setattr(mixing, "BLOCK_ROWS", 16)
     rows = [(i, "w " * 4, "en", f"s{i % 2}", 1) for i in range(1000)]

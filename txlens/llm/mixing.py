@@ -101,9 +101,11 @@ def weights(table: DataFrame, exponent: float, budget: float | None = None) -> D
     s = table.agg(F.sum(power).alias("z"), F.max(F.col("tokens") / power).alias("c")).first()
     z = s.z or 1.0
     each = F.lit(float(s.c or 0.0)) * power if budget is None else F.lit(float(budget)) * power / F.lit(z)
+    tokens = F.coalesce(F.floor(each + 1e-6).cast("long"), F.lit(0).cast("long"))
+    if budget is None:   # the scale takes every source at least once; rounding must not take a token off
+        tokens = F.greatest(tokens, F.col("tokens"))
     got = (table.withColumn("weight", F.coalesce(power / F.lit(z), F.lit(0.0)))
-           # a source at its full size must not lose a token to rounding
-           .withColumn("budget", F.coalesce(F.floor(each + 1e-6).cast("long"), F.lit(0).cast("long"))))
+           .withColumn("budget", tokens))
     whole = F.floor(F.col("budget") / F.greatest("tokens", F.lit(1))).cast("long")
     return (got.withColumn("whole", F.when(F.col("tokens") > 0, whole).otherwise(1))
             .withColumn("rest", F.col("budget") - F.when(F.col("tokens") > 0, whole * F.col("tokens")).otherwise(0))
