@@ -47,6 +47,26 @@ def test_deduplicate_keeps_one_whole_row_per_text(spark):
     assert {key(r.text): r.doc_id for r in rows} == want and len(rows) == len(want)
 
 
+@pytest.mark.parametrize("support", [1 / 1024, 0.1])
+def test_deduplicate_settles_heavy_groups_by_broadcast(spark, support):
+    rows = corpora.rows() + [(1000 + i // 3, "hot  copy" if i % 2 else "hot copy", "en", "s", 8) for i in range(150)]
+    docs = spark.createDataFrame(rows, corpora.SCHEMA).repartition(5)
+    names = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"]
+    for name in names:
+        spark.conf.set(name, "-1")
+    try:
+        got = exact_dedup.deduplicate(docs, support=support)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        out = got.collect()
+    finally:
+        for name in names:
+            spark.conf.unset(name)
+    assert plan.count("BroadcastHashJoin") >= 2
+    want = {k[1]: k[2] for k in brute(rows)}
+    key = lambda t: hashlib.sha256(re.sub(r"[\x20\x09-\x0D]+", " ", t or "").encode()).hexdigest()
+    assert {key(r.text): r.doc_id for r in out} == want and len(out) == len(want)
+
+
 def test_empty_table(spark):
     assert exact_dedup.dedup_assignments(corpora.empty(spark)).count() == 0
     assert exact_dedup.deduplicate(corpora.empty(spark)).count() == 0

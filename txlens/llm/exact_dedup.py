@@ -70,16 +70,23 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Among rows of the smallest id the one with the smallest row hash stays; of
     rows equal in every column one stays.  The heavy groups are cut map-side
-    before the texts are shuffled.
+    before the texts are shuffled: of them only the winner's row goes on.
     """
     dg, rh, seen = fresh(docs, "digest"), fresh(docs, "row_hash"), fresh(docs, "rank")
     tagged = docs.select("*", digest(text_col).alias(dg), row_hash(docs).alias(rh))
     keys = materialize(tagged.select(col(id_col).alias("doc_id"), F.col(dg).alias("digest"),
                                      F.col(rh).alias("row_hash")))
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row_hash"))
-    best = (keys.groupBy("digest").agg(F.min(order).alias("best"))
-            .select(F.col("digest").alias(dg), F.col("best.row_hash").alias(rh)))
-    kept = tagged.join(best, [dg, rh], "left_semi")
+
+    def best(rows: DataFrame) -> DataFrame:
+        return (rows.groupBy("digest").agg(F.min(order).alias("best"))
+                .select(F.col("digest").alias(dg), F.col("best.row_hash").alias(rh)))
+
+    heavy = F.broadcast(heavy_winners(keys, support).select("digest"))
+    winners = F.broadcast(materialize(best(keys.join(heavy, "digest"))))
+    light = tagged.join(winners.select(dg), dg, "left_anti")
+    keys = keys.join(winners.select(F.col(dg).alias("digest")), "digest", "left_anti")
+    kept = light.join(best(keys), [dg, rh], "left_semi")
     hashable = [c for c, t in zip(docs.columns, docs.schema.fields)
                 if not isinstance(t.dataType, (T.MapType, T.VariantType))]
     copies = (keys.groupBy("digest", "row_hash").agg(F.count(F.lit(1)).alias(seen))
@@ -87,4 +94,6 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
               .select(F.col("digest").alias(dg), F.col("row_hash").alias(rh)))
     single = kept.join(copies, [dg, rh], "left_anti")
     repeated = kept.join(copies, [dg, rh], "left_semi").dropDuplicates(hashable)
-    return single.unionByName(repeated).select(*[col(c) for c in docs.columns])
+    # equal rows of a heavy winner meet in the map-side half of the aggregate
+    hot = tagged.join(winners, [dg, rh], "left_semi").dropDuplicates(hashable)
+    return single.unionByName(repeated).unionByName(hot).select(*[col(c) for c in docs.columns])
