@@ -242,3 +242,18 @@ def test_rolling_state_hands_out_late_rows(spark, tmp_dir):
     emitted = run_state_stream(spark, tmp_dir, 3600)
     assert [r.transaction_id for r in late_rows(emitted).collect()] == ["b"]
     assert sorted(r.transaction_id for r in latest_emitted(emitted).collect()) == ["a", "c"]
+
+
+def test_refresh_query_clusters_with_all_starts(spark, monkeypatch):
+    from txlens import constants as K
+    from txlens.plans import catalog_streaming
+    seen = {}
+
+    def run(spark, sf, files_per_batch=10, newest_first=False, **updater_args):
+        seen.update(updater_args)
+        raise InterruptedError
+
+    monkeypatch.setattr(catalog_streaming, "run_feature_stream", run)
+    with pytest.raises(InterruptedError):
+        catalog_streaming.str5(spark, "")
+    assert ST.FeatureStreamUpdater("store", "out", **seen).cluster_starts == K.CLUSTER_STARTS
