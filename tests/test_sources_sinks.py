@@ -172,3 +172,31 @@ def test_job_entry_points(spark, tmp_dir):
     assert feed.read_transactions(spark, f"{tmp_dir}/accepted").count() == 2
     with pytest.raises(SystemExit):
         jobs.main(["features", "--input", "a", "--output", "b", "--watch", "8"], spark)
+
+
+def test_stream_reads_line_breaks_like_the_batch(spark, tmp_dir):
+    df = rows(spark, 3).withColumn("status", F.concat(F.lit('a, "b"\nc'), "transaction_id"))
+    sinks.append_transactions(df, f"{tmp_dir}/a")
+    stream = feed.stream_transactions(spark, f"{tmp_dir}/a", multi_line=True)
+    q = (stream.writeStream.format("parquet").option("path", f"{tmp_dir}/out")
+         .option("checkpointLocation", f"{tmp_dir}/chk").trigger(availableNow=True).start())
+    q.awaitTermination()
+    batch = feed.read_transactions(spark, f"{tmp_dir}/a", multi_line=True)
+    assert (sorted(map(tuple, spark.read.parquet(f"{tmp_dir}/out").select(*REQUIRED_COLUMNS).collect()))
+            == sorted(map(tuple, batch.select(*REQUIRED_COLUMNS).collect())) == sorted(map(tuple, df.collect())))
+
+
+@pytest.mark.parametrize("job, start", [("features", "start_feature_stream"), ("decisions", "start_decision_stream")])
+def test_jobs_pass_multi_line_to_streams(spark, monkeypatch, job, start):
+    from txlens import jobs
+    seen = {}
+
+    class Query:
+        def awaitTermination(self):
+            pass
+
+    monkeypatch.setattr(jobs, start, lambda *args, **options: seen.update(options) or Query())
+    monkeypatch.setattr(jobs, "delete_materialized", lambda spark: None)
+    jobs.main([job, "--input", "in", "--output", "out", "--state", "state", "--watch", "8", "--multi-line",
+               "--profiles", "p", "--blacklist", "b"], spark)
+    assert seen["multi_line"] is True

@@ -55,7 +55,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     period = f"{a.watch} seconds" if a.watch else None
     if a.job == "features" and a.watch:
         start_feature_stream(spark, a.input, f"{a.state}/store", a.output, f"{a.state}/checkpoint",
-                             trigger=period, buckets=a.buckets).awaitTermination()
+                             trigger=period, multi_line=a.multi_line, buckets=a.buckets).awaitTermination()
     elif a.job == "features":
         feed = read_transactions(spark, a.input, a.multi_line)
         if feed is None or not write_features(feature_job(feed), a.output):
@@ -67,8 +67,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     else:
         if not a.profiles or not a.blacklist:
             raise SystemExit("--profiles and --blacklist are needed")
-        start_decision_stream(spark, a.input, f"{a.state}/checkpoint", trigger=period, blacklist_path=a.blacklist,
-                              opening_profiles_path=a.profiles, balances_dir=f"{a.state}/balances",
+        start_decision_stream(spark, a.input, f"{a.state}/checkpoint", trigger=period, multi_line=a.multi_line,
+                              blacklist_path=a.blacklist, opening_profiles_path=a.profiles, balances_dir=f"{a.state}/balances",
                               decisions_dir=a.output, feed_dir=a.feed).awaitTermination()
     delete_materialized(spark)
     return 0

@@ -119,14 +119,15 @@ def read_transactions(spark: SparkSession, path: str, multi_line: bool = False)
     return require_columns(read_csv_by_name(spark, path, RAW_SCHEMA, multi_line))
 
 
-def stream_transactions(spark: SparkSession, input_dir: str, max_files_per_trigger: int | None = None) -> DataFrame:
+def stream_transactions(spark: SparkSession, input_dir: str, max_files_per_trigger: int | None = None,
+                        multi_line: bool = False) -> DataFrame:
     """The feed as a stream of CSV files, read like the batch: columns by the
     header of what lies in the folder when the stream starts (the feed's own
-    order while it is empty), required ones checked."""
+    order while it is empty), required ones checked; ``multi_line`` as there."""
     schema = RAW_SCHEMA
     if path_exists(spark, input_dir) and has_files(spark, input_dir):
-        schema = header_schema(spark, input_dir, RAW_SCHEMA)
-    reader = spark.readStream.schema(schema).options(**CSV_OPTIONS)
+        schema = header_schema(spark, input_dir, RAW_SCHEMA, multi_line)
+    reader = spark.readStream.schema(schema).options(**CSV_OPTIONS).option("multiLine", multi_line)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     return require_columns(reader.csv(input_dir))

@@ -215,12 +215,12 @@ def refresh_risk(spark: SparkSession, features_dir: str, risk_dir: str, flagged_
 def start_feature_stream(spark: SparkSession, input_dir: str, store_dir: str, output_dir: str,
                          checkpoint_location: str, trigger: str | None = "8 seconds",
                          max_files_per_trigger: int | None = None, updater: FeatureStreamUpdater | None = None,
-                         **updater_args):
+                         multi_line: bool = False, **updater_args):
     """STR1: start the stream over CSV files landing in ``input_dir``.
 
     ``trigger=None`` processes what is there now and stops (``availableNow``).
     """
-    stream = stream_transactions(spark, input_dir, max_files_per_trigger)
+    stream = stream_transactions(spark, input_dir, max_files_per_trigger, multi_line)
     w = (stream.writeStream.foreachBatch(updater or FeatureStreamUpdater(store_dir, output_dir, **updater_args))
          .option("checkpointLocation", checkpoint_location))
     w = w.trigger(availableNow=True) if trigger is None else w.trigger(processingTime=trigger)
@@ -338,8 +338,9 @@ class DecisionStreamUpdater:
 
 
 def start_decision_stream(spark: SparkSession, input_dir: str, checkpoint_location: str,
-                          trigger: str | None = "8 seconds", max_files_per_trigger: int | None = None, **paths):
-    stream = stream_transactions(spark, input_dir, max_files_per_trigger)
+                          trigger: str | None = "8 seconds", max_files_per_trigger: int | None = None,
+                          multi_line: bool = False, **paths):
+    stream = stream_transactions(spark, input_dir, max_files_per_trigger, multi_line)
     w = (stream.writeStream.foreachBatch(DecisionStreamUpdater(**paths))
          .option("checkpointLocation", checkpoint_location))
     w = w.trigger(availableNow=True) if trigger is None else w.trigger(processingTime=trigger)
