@@ -45,6 +45,19 @@ def test_sub_buckets_keep_slots_gapless(spark):
     assert len({(r.shard, r.slot) for r in got}) == 3000
 
 
+def test_buckets_grow_with_the_input(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "MAX_BUCKETS", 8, raising=False)
+    docs = spark.range(3000).select((F.col("id") % 2000).alias("doc_id"), F.repeat(F.lit("z"), 50).alias("text"))
+    asked, split = [], sharding.splitters
+    monkeypatch.setattr(sharding, "splitters", lambda rows, n, tol: asked.append((n, split(rows, n, tol))) or asked[-1][1])
+    one = {(r.doc_id, r.shard, r.slot) for r in sharding.shard_documents(docs, 4, bucket_bytes=9000).collect()}
+    monkeypatch.setattr(sharding, "GROUP", 6, raising=False)
+    got = sharding.shard_documents(docs, 4, bucket_bytes=9000).collect()
+    check_shards(got, 4, 400)
+    assert [n for n, _ in asked] == [24, 24] and {(r.doc_id, r.shard, r.slot) for r in got} == one
+    assert asked[0][1][1] == asked[1][1][1] and asked[1][1][0] == sorted(asked[1][1][0])
+
+
 def test_awkward_rows_and_clashing_columns(spark):
     docs = corpora.clashing(spark)
     got = sharding.shard_documents(docs, 5)

@@ -8,7 +8,8 @@ its target, until a probe is within ``tolerance`` or the interval holds one
 key only.  Then the rows are exchanged once, by bucket, and sorted inside.
 
 A shard is cut into equal sub-buckets of about ``bucket_bytes``, so no task
-sorts a whole shard.  The slot is the bucket's exact row offset, known from
+sorts a whole shard.  Their number grows with the input: the splitters are
+refined ``GROUP`` at a time, each group with counting rounds of its own.  The slot is the bucket's exact row offset, known from
 the histogram, plus the rank inside the bucket.
 
 A key that holds a third of all rows is split by the row hash: when an
@@ -38,7 +39,7 @@ SPAN = 1 << 64
 ROW_BYTES = 16
 TOLERANCE = 0.001          # of a bucket's share
 BUCKET_BYTES = 64 << 20
-MAX_BUCKETS = 10_240
+GROUP = 10_240             # splitters refined at once, whatever the number of buckets
 PROBES_PER_ROUND = 4_096
 
 
@@ -119,9 +120,22 @@ def splitters(narrow: DataFrame, n_buckets: int, tolerance: float = TOLERANCE) -
     if not s.n or n_buckets < 2:
         return [], [], 0
     total, start, end = int(s.bytes), _pack(s.lo, LOW), _pack(s.hi, LOW) + SPAN
-    known = {start: (0, 0), end: (total, s.n)}
     targets = [total * i // n_buckets for i in range(1, n_buckets)]
-    slack = tolerance * total / n_buckets
+    cut, below, rounds, first = [], [], 0, (start, (0, 0))
+    for i in range(0, len(targets), GROUP):
+        known = dict([first, (end, (total, s.n))])
+        places, first, n = _refine(narrow, targets[i:i + GROUP], known, first[0], end,
+                                   tolerance * total / n_buckets)
+        cut += [p for p, _ in places]
+        below += [n_rows for _, n_rows in places]
+        rounds += n
+    return cut, below, rounds
+
+
+def _refine(narrow: DataFrame, targets: list[int], known: dict[int, tuple[int, int]], start: int, end: int,
+            slack: float) -> tuple[list[tuple[int, int]], tuple[int, tuple[int, int]], int]:
+    """(boundary, rows below it) of each target, the last place known to lie at
+    or below the last target, and the number of counting rounds."""
     low, high = [start] * len(targets), [end] * len(targets)
     each = max(3, PROBES_PER_ROUND // len(targets))
 
@@ -150,7 +164,7 @@ def splitters(narrow: DataFrame, n_buckets: int, tolerance: float = TOLERANCE) -
         kept = set(low) | set(high) | {start, end}
         known = {p: v for p, v in known.items() if p in kept}
     cut = [off(i)[1] for i in range(len(targets))]
-    return cut, [known[p][1] for p in cut], rounds
+    return [(p, known[p][1]) for p in cut], (low[-1], known[low[-1]]), rounds
 
 
 def shard_documents(docs: DataFrame, n_shards: int, key_col: str = "doc_id", size: Column | None = None,
@@ -164,7 +178,7 @@ def shard_documents(docs: DataFrame, n_shards: int, key_col: str = "doc_id", siz
                         row_hash(docs).alias(tie), size.alias(sz))
     narrow = materialize(keyed.select(F.col(key).alias("key"), F.col(tie).alias("tie"), F.col(sz).alias("size")))
     total = narrow.agg(F.sum("size")).first()[0] or 0
-    per_shard = int(max(1, min(MAX_BUCKETS // n_shards or 1, -(-total // (n_shards * bucket_bytes)))))
+    per_shard = int(max(1, -(-total // (n_shards * bucket_bytes))))
     n_buckets = n_shards * per_shard
     cut, below, _ = splitters(narrow, n_buckets, tolerance)
     at_key = np.array([_unpack(p)[0] for p in cut], "int64")
