@@ -54,6 +54,16 @@ def test_leaks(spark):
         assert sorted(((r.doc_id, r.leak.n_words, r.leak.n_hit, r.leak["items"]) for r in got), key=repr) == brute(docs, items)
 
 
+def test_copies_of_one_text_do_not_exceed_a_block(spark):
+    text = "one item that many benchmark rows repeat word by word " * 4
+    items = [(i, text) for i in range(300)] + [(None, text)] * 50 + [(7, text)] * 50 + [(900, "x y " * 400)]
+    items += [(1000 + i, f"other item {i} " * 10) for i in range(100)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    blocks = [b.collect() for b in decontaminate._blocks(bench, "item_id", "text", 3000)]
+    assert all(len(b) == 1 or sum(len(r.text) for r in b) <= 3000 for b in blocks)
+    assert sorted({(r.item, bytes(r.text).decode()) for b in blocks for r in b}, key=repr) == sorted(set(items), key=repr)
+
+
 def test_removal(spark):
     docs, items = fixture()
     d = spark.createDataFrame(docs, corpora.SCHEMA)

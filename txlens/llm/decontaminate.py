@@ -133,12 +133,25 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, max_bytes: int)
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     if total <= max_bytes:
         return [items]
-    stored = materialize(items.withColumn("part", F.pmod(F.xxhash64("text"), F.lit(-(-4 * total // max_bytes)))))
-    sizes = stored.groupBy("part").agg(F.sum(F.octet_length("text")).alias("bytes"))
-    running = F.sum("bytes").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0))
-    cut = sizes.select("part", F.floor((running - 1) / (max_bytes // 2)).alias("block")).collect()  # four rows a block
-    return [stored.filter(F.col("part").isin([r.part for r in cut if r.block == b])).select("item", "text")
-            for b in sorted({r.block for r in cut})]
+    # Equal (item, text) rows are one window set; ids are hashed too, so copies of a text spread over the parts.
+    half, size = max(1, max_bytes // 2), F.octet_length("text")
+    place = F.xxhash64("text", "item", F.col("item").isNull())
+    parted = (items.distinct().withColumn("part", F.pmod(place, F.lit(-(-4 * total // max_bytes))))
+              .withColumn("large", size > half))
+    order = Window.partitionBy("part", "large").orderBy(place, "item", "text")
+    running = F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    # a unit is one item above half a block, or a run of smaller ones: at most max_bytes
+    unit = F.when(F.col("large"), -F.row_number().over(order)).otherwise(F.floor((running - 1) / half))
+    stored = materialize(parted.withColumn("unit", F.concat_ws(":", "part", unit.cast("string"))))
+    units = stored.groupBy("unit").agg(F.sum(size).alias("bytes")).orderBy("unit").collect()  # about four a block
+    blocks, filled = [], 0
+    for r in units:
+        if not blocks or filled + r.bytes > max_bytes:
+            blocks.append([])
+            filled = 0
+        blocks[-1].append(r.unit)
+        filled += r.bytes
+    return [stored.filter(F.col("unit").isin(b)).select("item", "text") for b in blocks]
 
 
 def _index(spark, block: DataFrame, n: int) -> Broadcast:
