@@ -6,17 +6,18 @@ table and derives the contract's columns from the operator's own output.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from txlens.llm import (
-    chat, decontaminate, exact_dedup, hmm, mixing, quality, sharding, simhash, token_counts, toxicity,
+    chat, decontaminate, exact_dedup, hmm, mixing, quality, sharding, simhash, token_counts, token_ids, toxicity,
 )
 from txlens.llm.common import bound_batches, read, text_or_empty, utf8
 from txlens.llm.statistics import document_statistics
-from txlens.session import materialize
+from txlens.session import checkpoint_dir, materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -229,3 +230,19 @@ FROM texts WINDOW w AS (PARTITION BY text_sha256)
 def op10(spark, sf_dir):
     found = exact_dedup.dedup_assignments(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
+
+
+def tokenizer_json(name: str = "word_bpe_49k.json") -> str:
+    """A public tokenizer file, read on the driver."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path(name), encoding="utf-8") as f:
+        return f.read()
+
+
+@register("op11_token_ids")
+def op11(spark, sf_dir):
+    """Ids of all documents written as segment files and read back."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/token-ids/{uuid.uuid4().hex}"
+    token_ids.write_ids(read(spark, sf_dir, "documents").select("doc_id", "text"), path, tokenizer_json(), end_id=2)
+    return token_ids.read_ids(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
