@@ -45,7 +45,7 @@ def write_files(rows, folder, n_files, order):
 
 def stream_result(spark, tmp_dir, rows, n_files, order):
     write_files(rows, f"{tmp_dir}/in", n_files, order)
-    q = ST.start_feature_stream(spark, f"{tmp_dir}/in", f"{tmp_dir}/store", f"{tmp_dir}/out", f"{tmp_dir}/chk",
+    q = ST.start_feature_stream(spark, f"{tmp_dir}/in", f"{tmp_dir}/out", f"{tmp_dir}/chk",
                                 trigger=None, max_files_per_trigger=1, buckets=4)
     q.awaitTermination()
     cols = [c for c in FEATURE_COLUMNS if c != "event_ts"]
@@ -82,7 +82,7 @@ def test_stream_repeated_file_and_late_row(spark, tmp_dir):
     write_files(rows, f"{tmp_dir}/in", 4, [0, 1, 2, 3])
     pd.DataFrame([late], columns=REQUIRED_COLUMNS).to_csv(f"{tmp_dir}/in/part-100.csv", index=False)  # 23 h+ late
     pd.read_csv(f"{tmp_dir}/in/part-001.csv", dtype=str).to_csv(f"{tmp_dir}/in/part-101.csv", index=False)  # resent file
-    q = ST.start_feature_stream(spark, f"{tmp_dir}/in", f"{tmp_dir}/store", f"{tmp_dir}/out", f"{tmp_dir}/chk",
+    q = ST.start_feature_stream(spark, f"{tmp_dir}/in", f"{tmp_dir}/out", f"{tmp_dir}/chk",
                                 trigger=None, max_files_per_trigger=1, buckets=4)
     q.awaitTermination()
     cols = [c for c in FEATURE_COLUMNS if c != "event_ts"]
@@ -140,7 +140,7 @@ def table_rows(df):
 @pytest.mark.parametrize("seed", [0, 1, 2])
 def test_feature_table_equals_batch_on_hostile_rows(spark, tmp_dir, seed):
     batches = hostile_batches(seed)
-    up = ST.FeatureStreamUpdater(f"{tmp_dir}/store", f"{tmp_dir}/out", buckets=3, compact_every=2)
+    up = ST.FeatureStreamUpdater(f"{tmp_dir}/out", buckets=3, compact_every=2)
     for i, df in batch_frames(spark, batches):
         up(df, i)
         if i in (1, 3):
@@ -152,13 +152,11 @@ def test_feature_table_equals_batch_on_hostile_rows(spark, tmp_dir, seed):
 
 def test_a_batch_reads_its_own_days_only(spark, tmp_dir):
     """What a batch reads does not grow with the history."""
-    up = ST.FeatureStreamUpdater(f"{tmp_dir}/store", f"{tmp_dir}/out", buckets=2, compact_every=3)
+    up = ST.FeatureStreamUpdater(f"{tmp_dir}/out", buckets=2, compact_every=3)
     for day in range(9):
         rows = [row(f"d{day}-{i}", f"u{i % 4}", day * 86_400 + 3600 * i) for i in range(8)]
         up(next(batch_frames(spark, [rows]))[1], day)
     assert len(up.partitions_read) == 9 and max(up.partitions_read) <= 2 * 2
-    recent = [d for d in os.listdir(f"{tmp_dir}/store/index/recent") if d.startswith("batch_id=")]
-    assert len(recent) <= 3
 
 
 def test_decisions_over_batches_and_replay(spark, tmp_dir):
@@ -188,7 +186,7 @@ def test_stream_reads_columns_by_header(spark, tmp_dir):
     rows = feed_rows(40)
     os.makedirs(f"{tmp_dir}/in")
     pd.DataFrame(rows, columns=REQUIRED_COLUMNS)[REQUIRED_COLUMNS[::-1]].to_csv(f"{tmp_dir}/in/a.csv", index=False)
-    q = ST.start_feature_stream(spark, f"{tmp_dir}/in", f"{tmp_dir}/store", f"{tmp_dir}/out", f"{tmp_dir}/chk", trigger=None, buckets=2)
+    q = ST.start_feature_stream(spark, f"{tmp_dir}/in", f"{tmp_dir}/out", f"{tmp_dir}/chk", trigger=None, buckets=2)
     q.awaitTermination()
     assert {r.user_id for r in ST.current_features(spark, f"{tmp_dir}/out").collect()} == {"u1", "u2", "u3"}
 
@@ -256,4 +254,4 @@ def test_refresh_query_clusters_with_all_starts(spark, monkeypatch):
     monkeypatch.setattr(catalog_streaming, "run_feature_stream", run)
     with pytest.raises(InterruptedError):
         catalog_streaming.str5(spark, "")
-    assert ST.FeatureStreamUpdater("store", "out", **seen).cluster_starts == K.CLUSTER_STARTS
+    assert ST.FeatureStreamUpdater("out", **seen).cluster_starts == K.CLUSTER_STARTS

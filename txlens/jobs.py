@@ -54,8 +54,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         raise SystemExit("--state is needed")
     period = f"{a.watch} seconds" if a.watch else None
     if a.job == "features" and a.watch:
-        start_feature_stream(spark, a.input, f"{a.state}/store", a.output, f"{a.state}/checkpoint",
-                             trigger=period, multi_line=a.multi_line, buckets=a.buckets).awaitTermination()
+        start_feature_stream(spark, a.input, a.output, f"{a.state}/checkpoint", trigger=period,
+                             multi_line=a.multi_line, buckets=a.buckets).awaitTermination()
     elif a.job == "features":
         feed = read_transactions(spark, a.input, a.multi_line)
         if feed is None or not write_features(feature_job(feed), a.output):

@@ -21,8 +21,8 @@ def run_feature_stream(spark, sf, files_per_batch=10, newest_first=False, **upda
     Returns the run folder (output in ``out``).
     """
     root = run_feature_stream_input(spark, sf, newest_first)
-    q = ST.start_feature_stream(spark, f"{root}/in", f"{root}/store", f"{root}/out", f"{root}/chk", buckets=8,
-                                trigger=None, max_files_per_trigger=files_per_batch, **updater_args)
+    q = ST.start_feature_stream(spark, f"{root}/in", f"{root}/out", f"{root}/chk", buckets=8, trigger=None,
+                                max_files_per_trigger=files_per_batch, **updater_args)
     q.awaitTermination()
     return root
 

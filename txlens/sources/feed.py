@@ -134,7 +134,12 @@ def stream_transactions(spark: SparkSession, input_dir: str, max_files_per_trigg
 
 
 def read_features(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """SRC3: the published feature table, typed (parquet, or CSV with the fixed schema)."""
+    """SRC3: the feature table, typed (published or a stream's snapshot table, or CSV
+    with the fixed schema)."""
+    from txlens.sources.snapshots import is_snapshot_table, read_snapshot
+
+    if fmt == "parquet" and is_snapshot_table(spark, path):
+        return read_snapshot(spark, path, FEATURE_SCHEMA)
     if fmt == "parquet":
         return read_published(spark, path)
     return read_csv_by_name(spark, path, FEATURE_SCHEMA).select(*FEATURE_SCHEMA.names)

@@ -6,22 +6,21 @@ feeds ``foreachBatch``, whose work follows the batch, not the history:
 
 * The feature table itself is the state: the latest copy of every transaction
   with its features, partitioned by (user bucket, event date); rows without a
-  time are in the date ``none``.
-* An index of all received copies (id, user, time) by id bucket tells where an
-  id that comes again had been.  Each batch appends its entries under its own
-  batch id; every ``compact_every`` batches they are merged into a published
-  base, so the number of files stays bounded.
+  time are in the date ``none``.  It is a snapshot table (``sources.snapshots``):
+  a batch writes new files and becomes visible by one rename.
+* An index of all received copies (``id_index``) tells where an id that comes
+  again had been.  It is committed with the table, by the same rename.
 * A batch changes a user's features from the earliest time it touches (a new
   row, or any former copy of a repeated id, also of another user) up to 24 h
   after the latest.  Only the days of that range, and the day before for
   context, are read, by path, for the buckets touched; only they are rewritten
-  (dynamic partition overwrite; a day left without rows is deleted).
+  (a day left without rows is dropped from the table).
 
-The entries of a batch are indexed before the table changes and former copies
-are taken from the index, so a batch that is replayed after a crash touches at
-least what it touched before and leaves the same table.  Rows may arrive
-arbitrarily late -- nothing is dropped (STR4) -- and after any sequence of
-batches the output equals the batch job over everything received.
+A crash anywhere before the rename leaves the table as it was, and the batch is
+done again from the start; after it, a replayed batch is recognised by its number
+and does nothing.  Readers see the version before a batch or the one after it.
+Rows may arrive arbitrarily late -- nothing is dropped (STR4) -- and after any
+sequence of batches the output equals the batch job over everything received.
 
 STR3 -- first-seen dedupe with a watermark (``dropDuplicatesWithinWatermark``).
 STR5 -- optional risk refresh every n batches inside the same ``foreachBatch``.
@@ -33,6 +32,7 @@ appended to the feed that STR1 reads.
 from __future__ import annotations
 
 import datetime as dt
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,6 +47,8 @@ from txlens.session import temporary_tables
 from txlens.sources.feed import (
     FEATURE_SCHEMA, current_version, hadoop_path, path_exists, read_published, stream_transactions,
 )
+from txlens.sources.snapshots import SnapshotLog, State, read_snapshot
+from txlens.streaming.id_index import FANOUT, FILE_ROWS, IdIndex
 
 DEFAULT_BUCKETS = 64
 COMPACT_EVERY = 20
@@ -81,85 +83,68 @@ def _children(spark: SparkSession, path: str, prefix: str) -> list[str]:
     return [n[len(prefix) + 1:] for n in names if n.startswith(f"{prefix}=")]
 
 
+def query_name(spark: SparkSession) -> str:
+    """The identity of the running query: kept by its checkpoint over restarts, new
+    with a new checkpoint; ``direct`` outside a query."""
+    return spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "direct"
+
+
+TABLE_SCHEMA = (T.StructType([FEATURE_SCHEMA[c] for c in FEATURE_COLUMNS])
+                .add("user_bucket", T.IntegerType()).add("event_date", T.StringType()))
+PARTS = ["user_bucket", "event_date"]
+
+
 class FeatureStreamUpdater:
     """``foreachBatch`` body of STR1 (see the module text)."""
 
-    def __init__(self, store_dir: str, output_dir: str, buckets: int = DEFAULT_BUCKETS,
-                 strategy: str = "sweep", risk_every: int = 0, risk_dir: str | None = None,
-                 flagged_at: str = "1970-01-01 00:00:00", cluster_starts: int = K.CLUSTER_STARTS,
-                 compact_every: int = COMPACT_EVERY):
-        self.index_dir, self.output_dir = f"{store_dir}/index", output_dir
-        self.buckets, self.strategy, self.compact_every = buckets, strategy, compact_every
+    def __init__(self, output_dir: str, buckets: int = DEFAULT_BUCKETS, strategy: str = "sweep", risk_every: int = 0,
+                 risk_dir: str | None = None, flagged_at: str = "1970-01-01 00:00:00",
+                 cluster_starts: int = K.CLUSTER_STARTS, compact_every: int = COMPACT_EVERY,
+                 index_file_rows: int = FILE_ROWS, index_fanout: int = FANOUT):
+        self.output_dir, self.buckets, self.strategy = output_dir, buckets, strategy
+        self.compact_every, self.index_file_rows, self.index_fanout = compact_every, index_file_rows, index_fanout
         self.risk_every, self.risk_dir, self.flagged_at = risk_every, risk_dir, flagged_at
         self.cluster_starts = cluster_starts
         #: partitions of the feature table that each batch read, for monitoring
         self.partitions_read: list[int] = []
+        self.log: SnapshotLog | None = None
+        self.index: IdIndex | None = None
 
     def __call__(self, batch_df: DataFrame, batch_id: int) -> None:
         spark, batch_id = batch_df.sparkSession, int(batch_id)
-        with temporary_tables(spark) as keep:
-            typed = keep(normalize(batch_df).withColumn("event_unix", event_unix("event_ts"))
-                         .withColumn("user_bucket", user_bucket("user_id", self.buckets)))
-            if typed.isEmpty():
-                return
-            self._update(spark, typed, batch_id, keep)
-            if batch_id % self.compact_every == self.compact_every - 1:
-                self._compact(spark, batch_id)
+        if self.log is None:
+            self.log = SnapshotLog(spark, self.output_dir, checkpoint_every=self.compact_every)
+            self.index = IdIndex(self.log, self.index_file_rows, self.index_fanout)
+        stream = query_name(spark)
+        commit = self.log.begin(stream, batch_id)
+        if commit is not None:
+            with temporary_tables(spark) as keep:
+                typed = keep(normalize(batch_df).withColumn("event_unix", event_unix("event_ts"))
+                             .withColumn("user_bucket", user_bucket("user_id", self.buckets)))
+                if typed.isEmpty():
+                    return
+                self._update(spark, typed, stream, batch_id, commit, keep)
         if self.risk_every and self.risk_dir and (batch_id + 1) % self.risk_every == 0:
             refresh_risk(spark, self.output_dir, self.risk_dir, self.flagged_at, cluster_starts=self.cluster_starts)
 
-    # -- the index of received copies -----------------------------------------
-
-    def _copies(self, spark: SparkSession, typed: DataFrame, batch_id: int) -> DataFrame:
-        """Every copy ever received of the batch's ids: transaction_id, user_id, event_unix."""
-        _overwrite_partitions(
-            typed.select("transaction_id", "user_id", "event_unix", F.lit(batch_id).cast("long").alias("batch_id"),
-                         F.pmod(F.xxhash64("transaction_id"), F.lit(self.buckets)).cast("int").alias("id_bucket"))
-            .distinct().repartition("id_bucket"), f"{self.index_dir}/recent", ["batch_id", "id_bucket"])
-        touched = [r[0] for r in typed.select(F.pmod(F.xxhash64("transaction_id"), F.lit(self.buckets)).cast("int"))
-                   .distinct().collect()]                                    # at most ``buckets`` numbers
-        found = [spark.read.parquet(f"{self.index_dir}/recent").filter(F.col("batch_id") <= batch_id)]
-        if current_version(spark, f"{self.index_dir}/base"):
-            found.append(read_published(spark, f"{self.index_dir}/base"))
-        ids = typed.select("transaction_id").distinct()
-        cols = ["transaction_id", "user_id", "event_unix"]
-        one, *rest = [f.filter(F.col("id_bucket").isin(touched)).join(ids, "transaction_id", "left_semi").select(*cols)
-                      for f in found]
-        for r in rest:
-            one = one.unionByName(r)
-        return one.distinct()
-
-    def _compact(self, spark: SparkSession, batch_id: int) -> None:
-        """Merge the entries of finished batches into a new base (keeping this
-        batch's own, which a replay writes again)."""
-        from txlens.sources.sinks import publish
-
-        done = [int(v) for v in _children(spark, f"{self.index_dir}/recent", "batch_id") if int(v) < batch_id]
-        if not done:
-            return
-        cols = ["transaction_id", "user_id", "event_unix", "id_bucket"]
-        merged = spark.read.parquet(f"{self.index_dir}/recent").filter(F.col("batch_id") < batch_id).select(*cols)
-        if current_version(spark, f"{self.index_dir}/base"):
-            merged = merged.unionByName(read_published(spark, f"{self.index_dir}/base").select(*cols))
-        publish(merged.distinct().repartition("id_bucket"), f"{self.index_dir}/base", partition_by="id_bucket")
-        for v in done:
-            _delete(spark, f"{self.index_dir}/recent/batch_id={v}")
-
-    # -- the feature table ----------------------------------------------------
-
-    def _partition_paths(self, spark: SparkSession, ranges: dict[int, tuple]) -> list[str]:
-        """Existing partitions of the buckets' day ranges (and ``none``)."""
-        out = []
-        for bucket, (first, last, untimed) in ranges.items():
-            base = f"{self.output_dir}/user_bucket={bucket}"
-            for day in _children(spark, base, "event_date"):
-                if untimed if day == NO_DATE else first is not None and first <= day <= last:
-                    out.append(f"{base}/event_date={day}")
-        return out
-
-    def _update(self, spark: SparkSession, typed: DataFrame, batch_id: int, keep) -> None:
+    def _partition_paths(self, state: State, ranges: dict[int, tuple]) -> list[str]:
+        """Partitions of the buckets' day ranges (and ``none``)."""
+        def wanted(partition: str) -> bool:
+            bucket, day = (x.split("=")[1] for x in partition.split("/"))
+            if int(bucket) not in ranges:
+                return False
+            first, last, untimed = ranges[int(bucket)]
+            return bool(untimed) if day == NO_DATE else first is not None and first <= day <= last
+        return self.log.paths(state, wanted)
+
+    def _update(self, spark: SparkSession, typed: DataFrame, stream: str, batch_id: int, commit: str, keep) -> None:
+        state = self.log.state()
         ids = typed.select("transaction_id").distinct()
-        copies = self._copies(spark, typed, batch_id).withColumn("user_bucket", user_bucket("user_id", self.buckets))
+        entries = keep(typed.select("transaction_id", "user_id", "event_unix").distinct())
+        n = entries.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("transaction_id").alias("ids")).first()
+        runs = self.index.write(entries, f"{commit}~level0", n.rows, 0)
+        copies = (self.index.lookup(state, ids, n.ids).unionByName(entries)
+                  .withColumn("user_bucket", user_bucket("user_id", self.buckets)))
         affected = keep(copies.groupBy(F.col("user_id").alias("__user"), "user_bucket").agg(
             F.min("event_unix").alias("__from"), (F.max("event_unix") + WINDOW_24H_SECONDS).alias("__to"),
             F.max(F.col("event_unix").isNull()).alias("__untimed")))
@@ -167,15 +152,12 @@ class FeatureStreamUpdater:
         ranges = {r.user_bucket: (day(None if r.a is None else r.a - DAY), day(r.b), r.n) for r in
                   affected.groupBy("user_bucket").agg(F.min("__from").alias("a"), F.max("__to").alias("b"),
                                                       F.max("__untimed").alias("n")).collect()}   # a row per bucket
-        paths = self._partition_paths(spark, ranges)
+        paths = self._partition_paths(state, ranges)
         self.partitions_read.append(len(paths))
-        schema = T.StructType([FEATURE_SCHEMA[c] for c in FEATURE_COLUMNS]).add("user_bucket", T.IntegerType()).add("event_date", T.StringType())
-        stored = (spark.read.schema(schema).option("basePath", self.output_dir).parquet(*paths) if paths
-                  else spark.createDataFrame([], schema))
-        stored = keep(stored)
+        stored = self.log.read(TABLE_SCHEMA, paths)          # immutable files: every read sees the same rows
 
         # the current copy of each of the batch's ids, among what came and what was kept
-        old = stored.join(ids, "transaction_id", "left_semi")
+        old = keep(stored.join(ids, "transaction_id", "left_semi"))
         current = dedupe_latest(typed.select(*REQUIRED_COLUMNS, "event_ts").unionByName(
             old.select(*REQUIRED_COLUMNS, "event_ts")), "transaction_id", "event_ts")
         others = stored.join(ids, "transaction_id", "left_anti")
@@ -187,20 +169,22 @@ class FeatureStreamUpdater:
             F.col("event_unix").between(F.col("__from") - WINDOW_24H_SECONDS, F.col("__to")))
         seen = (others.join(limits, mine).filter(F.coalesce(context, F.lit(False)))
                 .select(*REQUIRED_COLUMNS, "event_ts").unionByName(current.select(*REQUIRED_COLUMNS, "event_ts")))
-        fresh = (compute_features(seen, strategy=self.strategy).join(limits, mine)
-                 .filter(F.coalesce(changes, F.lit(False))).select(*FEATURE_COLUMNS)
-                 .withColumn("user_bucket", user_bucket("user_id", self.buckets))
-                 .withColumn("event_date", _event_date()))
-        fresh = keep(fresh)
+        fresh = keep(compute_features(seen, strategy=self.strategy).join(limits, mine)
+                     .filter(F.coalesce(changes, F.lit(False))).select(*FEATURE_COLUMNS)
+                     .withColumn("user_bucket", user_bucket("user_id", self.buckets))
+                     .withColumn("event_date", _event_date()))
         kept = (others.join(limits, mine, "left").filter(~F.coalesce(changes, F.lit(False)))
-                .select(*FEATURE_COLUMNS, "user_bucket", "event_date"))
-        # partitions that get, lose or change a row
-        parts = ["user_bucket", "event_date"]
-        touched = keep(fresh.select(*parts).unionByName(old.select(*parts)).distinct())
-        content = keep(kept.join(touched, parts, "left_semi").unionByName(fresh))
-        _overwrite_partitions(content.hint("rebalance", *parts), self.output_dir, parts)
-        for r in touched.join(content.select(*parts).distinct(), parts, "left_anti").collect():  # days left empty
-            _delete(spark, f"{self.output_dir}/user_bucket={r.user_bucket}/event_date={r.event_date}")
+                .select(*FEATURE_COLUMNS, *PARTS))
+        # partitions that get, lose or change a row: at most those of the buckets' days
+        touched = fresh.select(*PARTS).unionByName(old.select(*PARTS)).distinct().collect()
+        touched_rows = spark.createDataFrame([tuple(r) for r in touched], "user_bucket int, event_date string")
+        content = kept.join(F.broadcast(touched_rows), PARTS, "left_semi").unionByName(fresh)
+        written = self.log.write(content.hint("rebalance", *PARTS), commit, PARTS)
+        names = {f"user_bucket={r.user_bucket}/event_date={r.event_date}" for r in touched}
+        more, dropped = self.index.merged(replace(state, runs={**state.runs, **runs}), commit)
+        runs = {k: v for k, v in {**runs, **more}.items() if k not in dropped}
+        self.log.commit(commit, stream, batch_id, written, sorted(names - set(written)), runs,
+                        [r for r in dropped if r in state.runs])
 
 
 def refresh_risk(spark: SparkSession, features_dir: str, risk_dir: str, flagged_at: str,
@@ -212,23 +196,23 @@ def refresh_risk(spark: SparkSession, features_dir: str, risk_dir: str, flagged_
     write_risk_outputs(risk_job(feats, flagged_at, cluster=cluster, cluster_starts=cluster_starts), risk_dir)
 
 
-def start_feature_stream(spark: SparkSession, input_dir: str, store_dir: str, output_dir: str,
-                         checkpoint_location: str, trigger: str | None = "8 seconds",
-                         max_files_per_trigger: int | None = None, updater: FeatureStreamUpdater | None = None,
-                         multi_line: bool = False, **updater_args):
+def start_feature_stream(spark: SparkSession, input_dir: str, output_dir: str, checkpoint_location: str,
+                         trigger: str | None = "8 seconds", max_files_per_trigger: int | None = None,
+                         updater: FeatureStreamUpdater | None = None, multi_line: bool = False, **updater_args):
     """STR1: start the stream over CSV files landing in ``input_dir``.
 
     ``trigger=None`` processes what is there now and stops (``availableNow``).
     """
     stream = stream_transactions(spark, input_dir, max_files_per_trigger, multi_line)
-    w = (stream.writeStream.foreachBatch(updater or FeatureStreamUpdater(store_dir, output_dir, **updater_args))
+    w = (stream.writeStream.foreachBatch(updater or FeatureStreamUpdater(output_dir, **updater_args))
          .option("checkpointLocation", checkpoint_location))
     w = w.trigger(availableNow=True) if trigger is None else w.trigger(processingTime=trigger)
     return w.start()
 
 
 def current_features(spark: SparkSession, output_dir: str) -> DataFrame:
-    return spark.read.parquet(output_dir).select(*FEATURE_COLUMNS)
+    """The newest version of the feature table."""
+    return read_snapshot(spark, output_dir, TABLE_SCHEMA).select(*FEATURE_COLUMNS)
 
 
 # -- STR3 -------------------------------------------------------------------
