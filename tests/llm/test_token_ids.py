@@ -55,8 +55,9 @@ def test_elias_fano_is_small():
 def test_segment():
     docs, ids = [None, -5, -5, 2 ** 62], [[2], [7, 8, 2], [2], [65535] * 70_000 + [2]]
     flat = np.concatenate([np.array(x, "<u2") for x in ids])
-    s = Segment(Segment.pack(3, 10 ** 12, docs, [len(x) for x in ids], flat.tobytes(), 2) + b"\n")
-    assert (s.number, s.base, s.n_ids) == (3, 10 ** 12, len(flat))
+    data, _ = Segment.pack(3, docs, [len(x) for x in ids], flat.tobytes(), 2)
+    s = Segment(data + b"\n")
+    assert (s.number, s.n_ids) == (3, len(flat))
     assert [s.doc_id(i) for i in range(4)] == docs and [s[i].tolist() for i in range(4)] == ids
     assert [s.document_at(p) for p in (0, 1, 3, 4, 5, len(flat) - 1)] == [0, 1, 1, 2, 3, 3]
 
@@ -99,13 +100,14 @@ def expected(tokenizer, rows):
     return out
 
 
-@pytest.mark.parametrize("segment_ids", [1 << 22, 700, 1])
-def test_round_trip(spark, tmp_dir, tokenizer, segment_ids):
+@pytest.mark.parametrize("segment_bytes", [1 << 24, 2000, 1])
+def test_round_trip(spark, tmp_dir, tokenizer, segment_bytes):
     rows = corpora.rows() + [(-7, "negative", "en", "s", 1), (2 ** 62, "far", "en", "s", 1)]
     docs = spark.createDataFrame(rows, corpora.SCHEMA).repartition(3)
-    n = token_ids.write_ids(docs, f"{tmp_dir}/ids", tokenizer, 2, segment_ids=segment_ids)
+    n = token_ids.write_ids(docs, f"{tmp_dir}/ids", tokenizer, 2, segment_bytes=segment_bytes)
     got = token_ids.read_ids(spark, f"{tmp_dir}/ids").orderBy("start").collect()
-    assert n == spark.read.format("binaryFile").load(f"{tmp_dir}/ids").count() and n >= {1 << 22: 1, 700: 10, 1: len(rows)}[segment_ids]
+    files = spark.read.format("binaryFile").load(f"{tmp_dir}/ids").count()
+    assert {1 << 24: 1, 2000: 10, 1: len(rows) - 10}[segment_bytes] <= files // 2 <= n
     want = expected(tokenizer, rows)
     assert [r.doc_id for r in got] == sorted((r[0] for r in rows), key=lambda x: (x is not None, x))
     at = 0
@@ -117,6 +119,17 @@ def test_round_trip(spark, tmp_dir, tokenizer, segment_ids):
     assert not any(want.values())
 
 
+def test_equal_rows_are_dealt_over_segments(spark, tmp_dir, tokenizer):
+    rows = [(5, "the same text", "en", "s", 1)] * 400 + [(9, "after it", "en", "s", 1), (1, "before", "en", "s", 1)]
+    n = token_ids.write_ids(spark.createDataFrame(rows, corpora.SCHEMA).repartition(3), f"{tmp_dir}/ids", tokenizer, 2,
+                            segment_bytes=700)
+    got = token_ids.read_ids(spark, f"{tmp_dir}/ids").orderBy("start").collect()
+    assert n >= 6 and [r.doc_id for r in got] == [1] + [5] * 400 + [9]
+    assert [r.start for r in got] == np.cumsum([0, *[r.n_tokens for r in got[:-1]]]).tolist()
+    held = spark.read.format("binaryFile").load(f"{tmp_dir}/ids").selectExpr("max(length)").first()[0]
+    assert held < 3000
+
+
 def test_no_rows_and_clashing_columns(spark, tmp_dir, tokenizer):
     assert token_ids.write_ids(corpora.empty(spark), f"{tmp_dir}/none", tokenizer, 2) == 0
     assert token_ids.read_ids(spark, f"{tmp_dir}/none").count() == 0

@@ -4,31 +4,35 @@
 each and writes one long id array, in ascending document order, as segment
 files; ``read_ids`` reads such files back.
 
-File format (little-endian, one segment a file, one closing byte ``\\n``)::
+Every segment is a file of its own (little-endian, one closing byte ``\\n``)::
 
     magic      8 bytes
-    header     8 longs: id bytes (2 or 4), segment, ids before the segment,
-               ids, documents, documents without an id, smallest document id, 0
+    header     8 longs: id bytes (2 or 4), segment, ids, documents, documents
+               without an id, smallest document id, 0, 0
     ends       Elias-Fano: where each document ends in the segment's ids
     documents  Elias-Fano: ids of the documents less the smallest one
     ids        unsigned ids, documents one after the other
 
+and has a small file beside it with its number and the number of its ids, from
+which a reader knows how many ids lie before each segment.
+
 Elias-Fano of n ascending numbers below u: the lowest l = log2(u / n) bits of
 each are packed, the higher parts stand in a bit vector as a one at place
 ``high + i``: about 2 + l bits a number.  ``select`` finds the i-th one from a
 32-bit sample of every 64th one, so a document's place is found without a table
 of 64-bit offsets, straight from the mapped file.
 
-How it runs: (1) tokenise where the texts were read, store ids of two or four
-bytes with a row number; (2) order only (id, row, count): ranges of documents,
-their running counts, and a cut wherever a segment is full; (3) send each
-document's ids to its segment, sort there, write.  A segment is the most a task
-holds.  The cuts (25 bytes a segment, at most ``MAX_SEGMENTS`` of them: beyond
-that segments become longer) are broadcast.
+How it runs: (1) order only (id, hash of the text, bytes): ranges of documents,
+their running sizes, and a cut wherever a segment is full; (2) tokenise where the
+texts are read, send each document's ids to its segment, sort there, write.  Equal
+rows may change places, so a segment border may lie among them: they are dealt
+over the segments that hold them.  A segment is the most a task holds.  The cuts
+(17 bytes a segment, at most ``MAX_SEGMENTS`` of them: beyond that segments become
+larger) are broadcast.
 
 Tokenising: the vocabularies used here drop white space and never join across
 it, so a text is encoded by its runs between ASCII blanks, and a run that was
-met before is looked up.  ``blank_separable`` checks this of a tokenizer; others
+met before by the same worker process is looked up (bounded).  ``blank_separable`` checks this of a tokenizer; others
 get whole texts.
 
 Defined results: NULL text counts as empty (the end id alone); rows that repeat
@@ -52,8 +56,8 @@ from pyspark.sql import functions as F
 from txlens.llm.common import bound_batches, col, text_or_empty
 from txlens.session import materialize
 
-MAGIC = b"TXIDS1\x00\n"
-SEGMENT_IDS = 1 << 22
+MAGIC, COUNT = b"TXIDS1\x00\n", b"TXIDN1\x00\n"
+SEGMENT_BYTES = 16 << 20        # of text
 MAX_SEGMENTS = 1 << 19
 SAMPLE = 64
 KNOWN_RUNS = 400_000
@@ -141,19 +145,20 @@ class Segment:
     def __init__(self, data):
         if bytes(data[:8]) != MAGIC:
             raise ValueError("not a segment of token ids")
-        width, self.number, self.base, self.n_ids, self.n_docs, self.n_null, self.first, _ = struct.unpack_from("<8q", data, 8)
+        width, self.number, self.n_ids, self.n_docs, self.n_null, self.first, *_ = struct.unpack_from("<8q", data, 8)
         self.ends = EliasFano(data, 72)
         self.docs = EliasFano(data, self.ends.end)
         self.ids = np.frombuffer(data, f"<u{width}", self.n_ids, self.docs.end)
 
     @staticmethod
-    def pack(number: int, base: int, docs: list[int | None], lengths: list[int], ids: bytes, width: int) -> bytes:
-        """Documents in ascending order, those without an id first."""
+    def pack(number: int, docs: list[int | None], lengths: list[int], ids: bytes, width: int) -> tuple[bytes, bytes]:
+        """The segment and its count file.  Documents in ascending order, those
+        without an id first."""
         known = [d for d in docs if d is not None]
-        first = known[0] if known else 0
-        head = struct.pack("<8q", width, number, base, len(ids) // width, len(docs), len(docs) - len(known), first, 0)
+        first, n = known[0] if known else 0, len(ids) // width
+        head = struct.pack("<8q", width, number, n, len(docs), len(docs) - len(known), first, 0, 0)
         return (MAGIC + head + EliasFano.pack(np.cumsum(lengths, dtype="int64"))
-                + EliasFano.pack(np.array([d - first for d in known], "uint64")) + ids)
+                + EliasFano.pack(np.array([d - first for d in known], "uint64")) + ids, COUNT + struct.pack("<2q", number, n))
 
     def span(self, i: int) -> tuple[int, int]:
         """Where the i-th document's ids begin and end in this segment."""
@@ -174,6 +179,7 @@ class Segment:
 
 #: Fixed value: the ASCII part of the pre-token pattern of the lower-casing vocabulary.
 ASCII_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+"
+PRINTABLE = re.compile(rb"[!-~]+").fullmatch
 LETTERS_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
@@ -191,6 +197,18 @@ def blank_separable(tokenizer: str) -> bool:
             and all(t["content"].startswith("<|") and not (t["lstrip"] or t["rstrip"] or t["normalized"]) for t in added))
 
 
+def process_encoder(tokenizer: str) -> Callable[[list[str]], list[np.ndarray]]:
+    """The encoder of this Python process, kept beside the library it wraps: a
+    worker's later tasks find the runs that its earlier ones learned."""
+    import tokenizers
+
+    kept = tokenizers.__dict__.setdefault("_txlens_encoders", {})
+    if tokenizer not in kept:
+        kept.clear()
+        kept[tokenizer] = make_encoder(tokenizer)
+    return kept[tokenizer]
+
+
 def make_encoder(tokenizer: str) -> Callable[[list[str]], list[np.ndarray]]:
     """Ids of whole texts.  ``tokenizer`` is the JSON of a ``tokenizers`` file."""
     import os
@@ -206,6 +224,7 @@ def make_encoder(tokenizer: str) -> Callable[[list[str]], list[np.ndarray]]:
     if not blank_separable(tokenizer):
         return lambda texts: [np.array(x, "uint32") for x in plain(texts)]
     pieces_of = re.compile(ASCII_PIECES.encode()).findall
+    merge = model.model.tokenize     # of a pre-token in the byte alphabet, where ! to ~ stand for themselves
     number: dict[bytes, int] = {}        # run -> row of ``flat``
     piece_ids: dict[bytes, list[int]] = {}
     state = {"flat": np.zeros(0, "uint32"), "at": np.zeros(1, "int64"), "bytes": 0}
@@ -213,16 +232,21 @@ def make_encoder(tokenizer: str) -> Callable[[list[str]], list[np.ndarray]]:
     def learn(new: list[bytes]) -> None:
         if len(number) + len(new) > KNOWN_RUNS or state["bytes"] > KNOWN_BYTES:
             raise OverflowError
-        parts, unknown = [], {}
+        parts, whole = [], {}
         for run in new:
             # the whole run where letters beyond ASCII or an added token may be in it
-            p = [run] if not run.isascii() or b"<|" in run else pieces_of(run)
+            if not PRINTABLE(run) or b"<|" in run:
+                p = [run]
+                if run not in piece_ids:
+                    whole[run] = None
+            else:
+                p = pieces_of(run)
+                for x in p:
+                    if x not in piece_ids:
+                        piece_ids[x] = [t.id for t in merge(x.decode())]
             parts.append(p)
-            for x in p:
-                if x not in piece_ids:
-                    unknown[x] = None
-        if unknown:
-            piece_ids.update(zip(unknown, plain([x.decode("utf-8", "replace") for x in unknown])))
+        if whole:
+            piece_ids.update(zip(whole, plain([x.decode("utf-8", "replace") for x in whole])))
         got = [[i for x in p for i in piece_ids[x]] for p in parts]
         sizes = np.fromiter(map(len, got), "int64", len(got))
         state["flat"] = np.concatenate([state["flat"], np.array([i for g in got for i in g], "uint32")])
@@ -239,8 +263,9 @@ def make_encoder(tokenizer: str) -> Callable[[list[str]], list[np.ndarray]]:
         runs = []
         for t in texts:
             data = t.encode("utf-8", "surrogatepass")
-            # A-Z may be lower-cased first, but in an added token's look-alike it may not
-            runs.append((data if b"<|" in data else data.lower()).split())
+            # A-Z may be lower-cased first, but not in what looks like an added token
+            runs.append(data.lower().split() if b"<|" not in data else
+                        [r if b"<|" in r else r.lower() for r in data.split()])
         new = list({r for p in runs for r in p if r not in number})
         try:
             learn(new)
@@ -259,30 +284,6 @@ def make_encoder(tokenizer: str) -> Callable[[list[str]], list[np.ndarray]]:
     return encode
 
 
-def encode_documents(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id",
-                     text_col: str = "text") -> DataFrame:
-    """(doc_id, ids, n): packed ids of the whole text with the end id, and their number."""
-    spark = docs.sparkSession
-    bound_batches(spark)
-    width = id_bytes(tokenizer, end_id)
-    shared = spark.sparkContext.broadcast(tokenizer)       # a file of a few MB, read once on the driver
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = None
-        for b in batches:
-            encode = encode or make_encoder(shared.value)
-            for i in range(0, b.num_rows, 256):
-                part = b.slice(i, 256)
-                rows = encode(part.column(1).to_pylist())
-                packed = [np.append(x, end_id).astype(f"<u{width}").tobytes() for x in rows]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(packed, pa.binary()), pa.array([len(x) + 1 for x in rows], pa.int64())],
-                    names=["doc_id", "ids", "n"])
-
-    texts = docs.select(col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    return texts.mapInArrow(run, "doc_id long, ids binary, n long")
-
-
 def id_bytes(tokenizer: str, end_id: int) -> int:
     spec = json.loads(tokenizer)
     most = max([end_id, *spec["model"]["vocab"].values(), *(t["id"] for t in spec.get("added_tokens", []))])
@@ -291,101 +292,123 @@ def id_bytes(tokenizer: str, end_id: int) -> int:
 
 # -- segments -----------------------------------------------------------------
 
-def place_key(doc_id: np.ndarray, known: np.ndarray, row: np.ndarray) -> np.ndarray:
-    """Byte strings that sort as (doc_id, row) do, rows without an id first."""
-    out = np.zeros((len(row), 17), "u1")
+def place_key(doc_id: np.ndarray, known: np.ndarray, tie: np.ndarray) -> np.ndarray:
+    """Byte strings that sort as (doc_id, tie) do, rows without an id first."""
+    out = np.zeros((len(tie), 17), "u1")
     out[:, 0] = known
-    out[:, 1:9] = (np.where(known, doc_id, 0).astype("int64") ^ np.int64(-1 << 63)).astype(">i8").view("u1").reshape(-1, 8)
-    out[:, 9:] = row.astype(">i8").view("u1").reshape(-1, 8)
+    for at, part in ((1, np.where(known, doc_id, 0)), (9, tie)):
+        out[:, at:at + 8] = (part.astype("int64") ^ np.int64(-1 << 63)).astype(">i8").view("u1").reshape(-1, 8)
     return out.view("S17").ravel()
 
 
-def segment_cuts(stored: DataFrame, segment_ids: int) -> tuple[np.ndarray, np.ndarray]:
-    """First place key of each segment, and the ids before it."""
-    spark = stored.sparkSession
-    total = stored.agg(F.sum("n")).first()[0] or 0
-    segment_ids = max(segment_ids, -(-total // MAX_SEGMENTS))
-    order = [F.col("doc_id").asc_nulls_first(), F.col("row")]
-    ranges = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), total // segment_ids))
+def segment_cuts(docs: DataFrame, segment_bytes: int) -> np.ndarray:
+    """First place key of each segment of ``docs`` (doc_id, tie, bytes)."""
+    spark = docs.sparkSession
+    total = docs.agg(F.sum("bytes")).first()[0] or 0
+    segment_bytes = max(segment_bytes, -(-total // MAX_SEGMENTS))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("tie")]
+    ranges = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), total // segment_bytes))
     # stored: range bounds are sampled, and must not be drawn twice
-    ranged = materialize(stored.select("doc_id", "row", "n").repartitionByRange(ranges, *order)
-                         .withColumn("part", F.spark_partition_id()))
-    before = F.sum("n").over(Window.partitionBy("part").orderBy(*order)) - F.col("n")
-    cuts = (ranged.withColumn("sub", F.floor(before / segment_ids)).groupBy("part", "sub")
-            .agg(F.min(F.struct("doc_id", "row")).alias("first"), F.sum("n").alias("n"))
-            .orderBy("part", "sub").collect())                    # a row per segment
+    ranged = materialize(docs.repartitionByRange(ranges, *order).withColumn("part", F.spark_partition_id()))
+    before = F.sum("bytes").over(Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    cuts = (ranged.withColumn("sub", F.floor(F.coalesce(before, F.lit(0)) / segment_bytes)).groupBy("part", "sub")
+            .agg(F.min(F.struct("doc_id", "tie")).alias("first")).orderBy("part", "sub").collect())   # a row per segment
     known = np.array([r.first.doc_id is not None for r in cuts], bool)
-    keys = place_key(np.array([r.first.doc_id or 0 for r in cuts], "int64"), known,
-                     np.array([r.first.row for r in cuts], "int64"))
-    sizes = np.array([r.n for r in cuts], "int64")
-    return keys, np.cumsum(sizes) - sizes
+    return place_key(np.array([r.first.doc_id or 0 for r in cuts], "int64"), known,
+                     np.array([r.first.tie for r in cuts], "int64"))
+
+
+def segment_numbers(cuts: np.ndarray, keys: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """The segment of each key; keys at which several segments begin are dealt over
+    these by their row number."""
+    last = np.searchsorted(cuts, keys, "right") - 1
+    first = np.minimum(np.searchsorted(cuts, keys, "left"), last)
+    return first + row % (last - first + 1)
 
 
 def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text",
-              segment_ids: int = SEGMENT_IDS) -> int:
-    """Write the segment files of ``docs`` into the folder ``path`` (replaced);
-    returns their number."""
+              segment_bytes: int = SEGMENT_BYTES) -> int:
+    """Write the segments of ``docs`` into the folder ``path`` (replaced); returns
+    their number."""
     spark = docs.sparkSession
+    bound_batches(spark)
     width = id_bytes(tokenizer, end_id)
-    stored = materialize(encode_documents(docs, tokenizer, end_id, id_col, text_col)
-                         .withColumn("row", F.monotonically_increasing_id()))       # fixed once stored
-    keys, base = segment_cuts(stored, segment_ids)
-    shared = spark.sparkContext.broadcast((keys.tobytes(), base))
-
-    @F.pandas_udf("int")
-    def segment_of(doc_id: pd.Series, known: pd.Series, row: pd.Series) -> pd.Series:
-        cuts = np.frombuffer(shared.value[0], "S17")
-        key = place_key(doc_id.to_numpy("int64"), known.to_numpy(bool), row.to_numpy("int64"))
-        return pd.Series(np.searchsorted(cuts, key, "right") - 1)
+    own = docs.select(col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+    tie = F.xxhash64("text")
+    cuts = segment_cuts(own.select("doc_id", tie.alias("tie"), (F.octet_length("text") + 1).cast("long").alias("bytes")),
+                        segment_bytes)
+    shared = spark.sparkContext.broadcast((tokenizer, cuts.tobytes()))     # the tokenizer: a file of a few MB
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cuts, row = np.frombuffer(shared.value[1], "S17"), 0
+        encoder = process_encoder(shared.value[0])
+        for b in batches:
+            for i in range(0, b.num_rows, 256):
+                part = b.slice(i, 256)
+                doc_id, known = part.column(0).fill_null(0).to_numpy(), part.column(0).is_valid().to_numpy(False)
+                keys = place_key(doc_id, known, part.column(1).to_numpy())
+                segment = segment_numbers(cuts, keys, np.arange(row, row + len(keys)))
+                row += len(keys)
+                rows = encoder(part.column(2).to_pylist())
+                packed = [np.append(x, end_id).astype(f"<u{width}").tobytes() for x in rows]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(segment, pa.int32()), part.column(0), part.column(1), pa.array(packed, pa.binary())],
+                    names=["segment", "doc_id", "tie", "ids"])
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, lengths, ids = None, [], [], []
+        now, held, ids = None, [], []
 
-        def blob() -> pa.RecordBatch:
-            data = Segment.pack(now, int(shared.value[1][now]), held, lengths, b"".join(ids), width)
-            held.clear(), lengths.clear(), ids.clear()
-            return pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], names=["data"])
+        def files() -> pa.RecordBatch:
+            pair = Segment.pack(now, held, [len(x) // width for x in ids], b"".join(ids), width)
+            held.clear(), ids.clear()
+            return pa.RecordBatch.from_arrays([pa.array(pair, pa.binary())], names=["data"])
 
         for b in batches:
-            for number, doc, n, part in zip(*(c.to_pylist() for c in b.columns)):
+            for number, doc, part in zip(*(c.to_pylist() for c in b.columns)):
                 if number != now and held:
-                    yield blob()
+                    yield files()
                 now = number
                 held.append(doc)
-                lengths.append(n)
                 ids.append(part)
         if held:
-            yield blob()
-
-    number = segment_of(F.coalesce("doc_id", F.lit(0)), F.col("doc_id").isNotNull(), F.col("row"))
-    segments = (stored.withColumn("segment", number).repartition(max(1, len(base)), "segment")
-                .sortWithinPartitions("segment", F.col("doc_id").asc_nulls_first(), "row")
-                .select("segment", "doc_id", "n", "ids").mapInArrow(build, "data binary"))
-    # the text writer puts the bytes of its one column and a line end: one segment a file
+            yield files()
+
+    encoded = own.select("doc_id", tie.alias("tie"), "text").mapInArrow(
+        encode, "segment int, doc_id long, tie long, ids binary")
+    segments = (encoded.repartition(max(1, len(cuts)), "segment")
+                .sortWithinPartitions("segment", F.col("doc_id").asc_nulls_first(), "tie")
+                .select("segment", "doc_id", "ids").mapInArrow(build, "data binary"))
+    # the text writer puts the bytes of its one column and a line end: one row a file
     (segments.select(F.col("data").cast("string").alias("value")).write.mode("overwrite")
      .option("maxRecordsPerFile", 1).text(path))
-    return len(base)
+    return len(cuts)
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """One row per document of the files at ``path``: doc_id, start (ids of all
     documents before it), n_tokens, ids (unsigned 32-bit, packed)."""
     bound_batches(spark)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    small = 8 + 16 + 1           # the length of a count file; a segment is longer
+    counts = sorted(struct.unpack_from("<2q", bytes(r.content), 8)
+                    for r in files.filter(F.col("length") == small).select("content").collect())     # a row per segment
+    n = np.array([c for _, c in counts], "int64")
+    shared = spark.sparkContext.broadcast(dict(zip((k for k, _ in counts), (np.cumsum(n) - n).tolist())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for content in b.column(0):
                 s = Segment(memoryview(content.as_buffer()))
-                ends = s.ends.all().astype("int64")
+                base, ends = shared.value[s.number], s.ends.all().astype("int64")
                 starts = np.concatenate([[0], ends[:-1]])
                 doc_ids = [None] * s.n_null + [s.first + d for d in s.docs.all().tolist()]
                 for i in range(0, s.n_docs, 4096):
                     cut = range(i, min(i + 4096, s.n_docs))
                     ids = [s.ids[starts[k]:ends[k]].astype("<u4").tobytes() for k in cut]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(doc_ids[i:i + 4096], pa.int64()), pa.array(s.base + starts[i:i + 4096]),
+                        [pa.array(doc_ids[i:i + 4096], pa.int64()), pa.array(base + starts[i:i + 4096]),
                          pa.array((ends - starts)[i:i + 4096]), pa.array(ids, pa.binary())],
                         names=["doc_id", "start", "n_tokens", "ids"])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    return files.select("content").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    return (files.filter(F.col("length") > small).select("content")
+            .mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary"))
