@@ -64,6 +64,21 @@ def test_copies_of_one_text_do_not_exceed_a_block(spark):
     assert sorted({(r.item, bytes(r.text).decode()) for b in blocks for r in b}, key=repr) == sorted(set(items), key=repr)
 
 
+def test_text_ids_and_index_size(spark):
+    docs, items = fixture()
+    d = spark.createDataFrame(docs, corpora.SCHEMA)
+    named = [(None if i is None else f"gsm8k-{i}", t) for i, t in items]
+    for limit in (1 << 24, 2000):
+        got = decontaminate.find_leaks(d, spark.createDataFrame(named, "item_id string, text string"), max_block_bytes=limit)
+        want = [(a, b, c, sorted(f"gsm8k-{x}" for x in found)) for a, b, c, found in brute(docs, items)]
+        assert sorted(((r.doc_id, r.leak.n_words, r.leak.n_hit, r.leak["items"]) for r in got.collect()), key=repr) == sorted(want, key=repr)
+    rng = __import__("random").Random(1)
+    text = " ".join(str(rng.randrange(10 ** 6)) for _ in range(40_000))
+    state = decontaminate.WindowIndex.build([(1, text.encode()), (2, text.encode())], 10)
+    arrays = sum(a.nbytes for parts in state[3].values() for a in parts)
+    assert arrays < 45 * len(text) and len(state[3][10][0]) <= 40_000
+
+
 def test_removal(spark):
     docs, items = fixture()
     d = spark.createDataFrame(docs, corpora.SCHEMA)

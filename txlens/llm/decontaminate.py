@@ -9,8 +9,9 @@ into word numbers (0: a word no item has), hashes every window of the indexed
 lengths at once with numpy, looks the hashes up in the sorted set and verifies
 every hit word by word.  No shuffle: the texts stay where they were read.
 
-The broadcast is checked: the benchmark's UTF-8 bytes must not exceed
-``max_block_bytes``.  A larger benchmark is cut into blocks of that size and
+The broadcast is bounded: an index takes at most some 40 times its items' UTF-8
+bytes (mostly far less), and these must not exceed ``max_block_bytes``.  A larger
+benchmark is cut into blocks of that size and
 the documents pass one block after the other, each pass appending its hits to
 the rows of the last one (stored in the shared folder); the result is the same.
 
@@ -27,7 +28,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,65 +36,90 @@ from txlens.llm.common import bound_batches, col, fresh, utf8
 from txlens.session import materialize
 
 N = 10
-MAX_BLOCK_BYTES = 16 << 20
+MAX_BLOCK_BYTES = 2 << 20
 #: Byte table: A-Z to a-z, separators to blanks, the rest kept.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32
              for b in range(256))
 WORD = re.compile(rb"[^ ]+")
-HIT = (T.StructType().add("n_words", "long").add("n_hit", "long").add("items", T.ArrayType(T.LongType()))
-       .add("span_start", T.ArrayType(T.IntegerType())).add("span_end", T.ArrayType(T.IntegerType())))
+
+
+def hit_type(item: T.DataType) -> T.StructType:
+    return (T.StructType().add("n_words", "long").add("n_hit", "long").add("items", T.ArrayType(item))
+            .add("span_start", T.ArrayType(T.IntegerType())).add("span_end", T.ArrayType(T.IntegerType())))
+
+
+def window_hash(words: list[np.ndarray], mult: int) -> np.ndarray:
+    """Polynomial hash of windows given word by word."""
+    out = np.zeros(len(words[0]), "uint64")
+    for w in words:
+        out = (out ^ w) * np.uint64(mult)
+        out ^= out >> np.uint64(29)
+    return out
 
 
 class WindowIndex:
-    """The windows of one block of benchmark items."""
-
-    def __init__(self, items: list[tuple[int | None, bytes]], n: int):
-        self.word: dict[bytes, int] = {}
-        windows: dict[tuple[int, ...], set] = {}
-        for item, text in items:
-            ids = [self.word.setdefault(w, len(self.word) + 1) for w in text.translate(FOLD).split()]
-            size = min(n, len(ids))
-            for i in range(len(ids) - size + 1 if size else 0):
-                windows.setdefault(tuple(ids[i:i + size]), set()).add(item)
-        self.mult = 0x9E3779B97F4A7C15
+    """The windows of one block of benchmark items, in plain arrays.
+
+    ``state`` is what is broadcast: the words' numbers, the items' ids, the hash
+    multiplier and, per window length, the sorted hashes, the windows (word
+    numbers) and the items of each as one array with offsets.
+    """
+
+    def __init__(self, state: tuple):
+        self.word, self.ids, self.mult, self.by_size = state
+
+    @staticmethod
+    def build(items: list[tuple], n: int) -> tuple:
+        """The state for (id, text) items.  Arrays take at most about 70 bytes a
+        word of the block; a word has at least two bytes with its separator."""
+        word: dict[bytes, int] = {}
+        numbers = [np.array([word.setdefault(w, len(word) + 1) for w in text.translate(FOLD).split()], "uint32")
+                   for _, text in items]
+        lengths = np.array([len(x) for x in numbers], "int64")
+        flat = np.concatenate([*numbers, np.zeros(0, "uint32")])
+        first = np.cumsum(lengths) - lengths
+        mult = 0x9E3779B97F4A7C15
         while True:  # a multiplier under which no two windows share a hash
-            self.by_size: dict[int, tuple[np.ndarray, np.ndarray, list[set]]] = {}
-            for size in sorted({len(w) for w in windows}):
-                own = [w for w in windows if len(w) == size]
-                grams = np.array(own, "uint64").reshape(-1, size)
-                hashes = self.hash(grams.T)
-                order = np.argsort(hashes)
-                self.by_size[size] = (hashes[order], grams[order], [windows[own[i]] for i in order])
-            if all(len(np.unique(h)) == len(h) for h, _, _ in self.by_size.values()):
-                return
-            self.mult = (self.mult * 6364136223846793005 + 1442695040888963407) % (1 << 64) | 1
-
-    def hash(self, words) -> np.ndarray:
-        """Polynomial hash of windows given word by word."""
-        out = np.zeros(len(words[0]), "uint64")
-        for w in words:
-            out = (out ^ w) * np.uint64(self.mult)
-            out ^= out >> np.uint64(29)
-        return out
-
-    def find(self, ids: np.ndarray) -> Iterator[tuple[int, int, set]]:
-        """(start, size, items) of each window that occurs in ``ids``."""
+            by_size = {}
+            for size in sorted({min(n, k) for k in lengths.tolist() if k}):
+                own = np.flatnonzero(lengths >= n if size == n else lengths == size)
+                count = lengths[own] - size + 1
+                owner = np.repeat(own, count)
+                at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + first[owner]
+                hashes = window_hash([flat[at + k].astype("uint64") for k in range(size)], mult)
+                order = np.lexsort((owner, hashes))
+                hashes, owner, at = hashes[order], owner[order], at[order]
+                same = np.flatnonzero(hashes[1:] == hashes[:-1])
+                if any((flat[at[same + 1] + k] != flat[at[same] + k]).any() for k in range(size)):
+                    break
+                new = np.append(True, hashes[1:] != hashes[:-1])
+                listed = new | np.append(True, owner[1:] != owner[:-1])      # an item once per window
+                heads = np.flatnonzero(new)
+                by_size[size] = (hashes[heads], flat[at[heads][:, None] + np.arange(size)],
+                                 np.append(np.cumsum(listed)[heads] - 1, listed.sum()).astype("int32"),
+                                 owner[listed].astype("int32"))
+            else:
+                return word, [i for i, _ in items], mult, by_size
+            mult = (mult * 6364136223846793005 + 1442695040888963407) % (1 << 64) | 1
+
+    def find(self, ids: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(start, size, item numbers) of each window that occurs in ``ids``."""
         known = ids != 0
-        for size, (hashes, grams, items) in self.by_size.items():
+        for size, (hashes, grams, offsets, items) in self.by_size.items():
             if len(ids) < size:
                 continue
             run = np.concatenate([[0], np.cumsum(known)])
             at = np.flatnonzero(run[size:] - run[:-size] == size)
             if not len(at):
                 continue
-            h = self.hash([ids[at + k] for k in range(size)])
+            h = window_hash([ids[at + k] for k in range(size)], self.mult)
             place = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
             for i in np.flatnonzero(hashes[place] == h):
                 if np.array_equal(ids[at[i]:at[i] + size], grams[place[i]]):
-                    yield int(at[i]), size, items[place[i]]
+                    yield int(at[i]), size, items[offsets[place[i]]:offsets[place[i] + 1]]
 
     def scan(self, texts: list[bytes]) -> list[tuple]:
-        """HIT rows.  The texts' word numbers form one array, with an unknown
+        """Rows of ``hit_type``.  The texts' word numbers form one array, with an unknown
         word between texts so that no window crosses them."""
         ids, starts, get = [], [], self.word.get
         counts = []
@@ -118,18 +143,18 @@ class WindowIndex:
             found: set = set()
             for at, size, items in hits[d]:
                 hit[at + 1:at + size + 1] = 1
-                found |= items
+                found.update(items.tolist())
             edge = np.diff(hit)
             spans = [m.span() for m in WORD.finditer(t.translate(FOLD))]
             first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
-            out.append((counts[d], int(hit.sum()), sorted(x for x in found if x is not None),
+            out.append((counts[d], int(hit.sum()), sorted({self.ids[x] for x in found} - {None}),
                         [spans[i][0] for i in first], [spans[i][1] for i in last]))
         return out
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, max_bytes: int) -> list[DataFrame]:
     """The items in blocks of at most ``max_bytes`` (or one item) each."""
-    items = benchmark.select(col(item_col).cast("long").alias("item"), utf8(text_col).alias("text"))
+    items = benchmark.select(col(item_col).alias("item"), utf8(text_col).alias("text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     if total <= max_bytes:
         return [items]
@@ -154,35 +179,38 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, max_bytes: int)
     return [stored.filter(F.col("unit").isin(b)).select("item", "text") for b in blocks]
 
 
-def _index(spark, block: DataFrame, n: int) -> Broadcast:
-    return spark.sparkContext.broadcast(
-        WindowIndex([(r.item, bytes(r.text)) for r in block.collect()], n))
+def _scanner(block: DataFrame, n: int):
+    """Pandas UDF that scans texts for the windows of a block (collected: it is
+    bounded).  Only plain arrays are broadcast: the class travels with the UDF."""
+    state = WindowIndex.build([(r.item, bytes(r.text)) for r in block.collect()], n)
+    shared = block.sparkSession.sparkContext.broadcast(state)
 
-
-def _scanner(index: Broadcast):
-    @F.pandas_udf(HIT)
+    @F.pandas_udf(hit_type(block.schema["item"].dataType))
     def scan(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         names = ["n_words", "n_hit", "items", "span_start", "span_end"]
+        index = WindowIndex(shared.value)
         for texts in batches:
-            yield pd.DataFrame(index.value.scan([bytes(t) for t in texts]), columns=names)
+            yield pd.DataFrame(index.scan([bytes(t) for t in texts]), columns=names)
     return scan
 
 
-@F.pandas_udf(HIT)
-def _merge(text: pd.Series, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-    """Hits of two blocks on the same text: the union of their spans and items."""
-    out = []
-    for t, x, y in zip(text, a.itertuples(index=False), b.itertuples(index=False)):
-        spans = [m.span() for m in WORD.finditer(bytes(t).translate(FOLD))]
-        cover = sorted([*zip(x.span_start, x.span_end), *zip(y.span_start, y.span_end)])
-        hit = np.zeros(len(spans) + 2, "int8")
-        for i, (s, e) in enumerate(spans):
-            hit[i + 1] = any(p <= s and e <= q for p, q in cover)
-        edge = np.diff(hit)
-        first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
-        out.append((x.n_words, int(hit.sum()), sorted({*x.items, *y.items}),
-                    [spans[i][0] for i in first], [spans[i][1] for i in last]))
-    return pd.DataFrame(out, columns=["n_words", "n_hit", "items", "span_start", "span_end"])
+def _merger(item: T.DataType):
+    """Pandas UDF: hits of two blocks on the same text, the union of their spans and items."""
+    @F.pandas_udf(hit_type(item))
+    def merge(text: pd.Series, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for t, x, y in zip(text, a.itertuples(index=False), b.itertuples(index=False)):
+            spans = [m.span() for m in WORD.finditer(bytes(t).translate(FOLD))]
+            cover = sorted([*zip(x.span_start, x.span_end), *zip(y.span_start, y.span_end)])
+            hit = np.zeros(len(spans) + 2, "int8")
+            for i, (s, e) in enumerate(spans):
+                hit[i + 1] = any(p <= s and e <= q for p, q in cover)
+            edge = np.diff(hit)
+            first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
+            out.append((x.n_words, int(hit.sum()), sorted({*x.items, *y.items}),
+                        [spans[i][0] for i in first], [spans[i][1] for i in last]))
+        return pd.DataFrame(out, columns=["n_words", "n_hit", "items", "span_start", "span_end"])
+    return merge
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id",
@@ -190,15 +218,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
                into: str = "leak") -> DataFrame:
     """``docs`` with a struct column ``into``: n_words, n_hit, items (ascending
     ids) and the hit spans as byte offsets into the UTF-8 text."""
-    spark = docs.sparkSession
-    bound_batches(spark)
+    bound_batches(docs.sparkSession)
     blocks = _blocks(benchmark, item_col, item_text_col, max_block_bytes)
-    out = docs.withColumn(into, _scanner(_index(spark, blocks[0], n))(utf8(text_col)))
+    out = docs.withColumn(into, _scanner(blocks[0], n)(utf8(text_col)))
     for block in blocks[1:]:
         more = fresh(out, "leak")
-        out = materialize(out).withColumn(more, _scanner(_index(spark, block, n))(utf8(text_col)))
-        out = (materialize(out).withColumn(into, _merge(utf8(text_col), col(into), F.col(more)))
-               .drop(more))
+        out = materialize(out).withColumn(more, _scanner(block, n)(utf8(text_col)))
+        merge = _merger(block.schema["item"].dataType)
+        out = materialize(out).withColumn(into, merge(utf8(text_col), col(into), F.col(more))).drop(more)
     return out
 
 

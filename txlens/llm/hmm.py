@@ -187,17 +187,18 @@ def encode(text: bytes, voc: Vocabulary) -> tuple:
 
 def encode_documents(docs: DataFrame, voc: Vocabulary, keep: list[str]) -> DataFrame:
     """The columns ``keep`` of ``docs`` (with ``text`` binary) and ENCODED."""
-    shared = docs.sparkSession.sparkContext.broadcast(voc)
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(vars(voc).values()))     # plain values: no class of ours
     kept = [(c, docs.schema[c].dataType.simpleString()) for c in keep]
     docs = docs.select(*keep, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32())]
         names = [*keep, *(x.split()[0] for x in ENCODED.split(", "))]
+        voc = Vocabulary(*shared.value)
         for b in batches:
             for i in range(0, b.num_rows, 512):
                 part = b.slice(i, 512)
-                rows = [encode(t.as_py(), shared.value) for t in part.column(len(keep))]
+                rows = [encode(t.as_py(), voc) for t in part.column(len(keep))]
                 cols = [pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:len(keep)], *cols], names=names)
 
@@ -274,10 +275,10 @@ def train_chain(classes: DataFrame, share: np.ndarray, states: int = STATES, rou
     chain = Chain.initial(share, states)
     spark = classes.sparkSession
     for _ in range(rounds):
-        shared = spark.sparkContext.broadcast(chain)
+        shared = spark.sparkContext.broadcast(tuple(vars(chain).values()))
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-            now = shared.value
+            now = Chain(*shared.value)
             total = np.zeros(len(now.start) * (1 + len(now.start) + len(now.emit)))
             rest = np.zeros(0, "<i2")
             before = END
@@ -332,12 +333,13 @@ def forward_log10(texts: list[np.ndarray], chain: Chain) -> np.ndarray:
 
 def sequence_scores(rows: DataFrame, chain: Chain, key: str) -> DataFrame:
     """(key, chain_log): the forward recursion over ``classes`` of each row."""
-    shared = rows.sparkSession.sparkContext.broadcast(chain)
+    shared = rows.sparkSession.sparkContext.broadcast(tuple(vars(chain).values()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chain = Chain(*shared.value)
         for b in batches:
             texts = [np.frombuffer(x.as_buffer(), "<i2") for x in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(forward_log10(texts, shared.value))],
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(forward_log10(texts, chain))],
                                              names=[key, "chain_log"])
 
     return rows.select(key, "classes").mapInArrow(run, f"{key} long, chain_log double")
