@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from txlens.llm import (
-    chat, decontaminate, exact_dedup, hmm, mixing, quality, sharding, simhash, token_counts, token_ids, toxicity,
+    chat, decontaminate, exact_dedup, hmm, importance, lexical, mixing, quality, sharding, simhash, token_counts, token_ids, toxicity,
 )
 from txlens.llm.common import bound_batches, read, text_or_empty, utf8
 from txlens.llm.statistics import document_statistics
@@ -246,3 +246,40 @@ def op11(spark, sf_dir):
     path = f"{checkpoint_dir(spark).rstrip('/')}/token-ids/{uuid.uuid4().hex}"
     token_ids.write_ids(read(spark, sf_dir, "documents").select("doc_id", "text"), path, tokenizer_json(), end_id=2)
     return token_ids.read_ids(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@register("op12_lexical_search", sql="""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+           'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+totals AS (SELECT count(*) FILTER (WHERE len(w) > 0) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_terms FROM words),
+queries AS (
+  SELECT item_id, term, count(*) AS repeats
+  FROM (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+          'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS term FROM benchmark)
+  GROUP BY item_id, term),
+terms AS (SELECT DISTINCT term FROM queries),
+postings AS (
+  SELECT doc_id, term, n, count(*) AS tf
+  FROM (SELECT doc_id, len(w) AS n, unnest(w) AS term FROM words) SEMI JOIN terms USING (term)
+  GROUP BY doc_id, term, n),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(n_docs) + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w
+  FROM postings, totals GROUP BY term),
+impacts AS (
+  SELECT doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_terms))) AS impact
+  FROM postings JOIN weights USING (term), totals),
+scores AS (
+  SELECT item_id, doc_id, CAST(sum(repeats * impact) AS BIGINT) AS score
+  FROM queries JOIN impacts USING (term) GROUP BY item_id, doc_id)
+SELECT item_id, CAST(row_number() OVER w AS INTEGER) AS rank, doc_id, score FROM scores WHERE score > 0
+WINDOW w AS (PARTITION BY item_id ORDER BY score DESC, doc_id) QUALIFY row_number() OVER w <= 20
+""")
+def op12(spark, sf_dir):
+    return lexical.search(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
+
+
+@register("op13_importance_resampling")
+def op13(spark, sf_dir):
+    scored = importance.score_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return scored.select("doc_id", "draw.n_features", "draw.weight", "draw.score", "draw.rank")
