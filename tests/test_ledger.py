@@ -30,8 +30,8 @@ def python_fold(txns, profiles):
     return out
 
 
-def run(spark, txns, profiles):
-    g = balance_gate(spark.createDataFrame(txns, TX), spark.createDataFrame(list(profiles.items()), PROF))
+def run(spark, txns, profiles, **options):
+    g = balance_gate(spark.createDataFrame(txns, TX), spark.createDataFrame(list(profiles.items()), PROF), **options)
     return {r.transaction_id: (r.decision, r.debited, r.balance_after) for r in g.collect()}
 
 
@@ -153,6 +153,48 @@ def test_hot_user_mixed_fast_and_ordered_paths(spark, seed):
         txns.append((f"t{i:03d}", rnd.choice(users), Decimal(rnd.randint(low, 9000)) / 100, ts,
                      "approved" if rnd.random() < 0.85 else "blocked"))
     assert run(spark, txns, prof) == python_fold(txns, prof)
+    assert run(spark, txns, prof, hot_rows=60) == python_fold(txns, prof)       # balance levels (seed 3: fold)
+
+
+@pytest.mark.parametrize("amounts", ["geometric", "equal", "cents", "first hour"])
+def test_balance_levels(spark, monkeypatch, amounts):
+    """Whole hot users by levels: no row reaches the fold, and few rounds do."""
+    from txlens.operators import ledger
+    rnd = random.Random(len(amounts))
+    draw = {"geometric": lambda i: Decimal(rnd.randint(1, 2 ** rnd.randint(1, 20))) / 100, "equal": lambda i: Decimal("3.33"),
+            "cents": lambda i: Decimal(rnd.randint(0, 2)) / 100, "first hour": lambda i: Decimal(rnd.randint(500, 90_000)) / 100}[amounts]
+    txns = [(f"t{i:03d}", rnd.choice(["a", "b"]), draw(i), T0 + dt.timedelta(minutes=(i if i > 40 else 0) * 7),
+             "approved" if rnd.random() < 0.9 else "blocked") for i in range(500)]
+    prof = {"a": Decimal("700.00") if amounts != "cents" else Decimal("0.37"), "b": Decimal("0.01")}
+    rounds, levels = [], ledger.balance_levels
+
+    def counted(rows, state, keep):
+        def kept(df):
+            rounds.append(1)
+            return keep(df)
+        return levels(rows, state, kept)
+
+    monkeypatch.setattr(ledger, "balance_levels", counted)
+    monkeypatch.setattr(ledger, "_fold_batches", lambda batches: (b for b in batches if 1 / 0))
+    decided = ledger._gate_users
+
+    def no_users(rows, ts_col):      # the other branches hold no rows here
+        return decided(rows.filter("false"), ts_col)
+
+    monkeypatch.setattr(ledger, "_gate_users", no_users)
+    assert run(spark, txns, prof, hot_rows=10) == python_fold(txns, prof)
+    assert 1 <= len(rounds) <= 18
+
+
+def test_unrounded_amounts_by_levels(spark):
+    """Rows that need a cent and debit none do not cost a round each."""
+    kind = TX.replace("decimal(14,2)", "double")
+    txns = [(f"t{i:02d}", "u", 0.004, T0 + dt.timedelta(seconds=i), "approved") for i in range(60)]
+    txns += [("z1", "u", 0.01, T0 + dt.timedelta(seconds=99), "approved"), ("z2", "u", 0.004, T0 + dt.timedelta(hours=2), "approved")]
+    prof = spark.createDataFrame([("u", Decimal("0.01"))], PROF)
+    for hot in (10 ** 6, 5):
+        got = {r.transaction_id: r.decision for r in balance_gate(spark.createDataFrame(txns, kind), prof, hot_rows=hot).collect()}
+        assert got.pop("z2") == "rejected" and set(got.values()) == {"accepted"}
 
 
 def test_only_the_undecided_stretch_reaches_python(spark, tmp_dir):

@@ -4,19 +4,26 @@ LED1 is an ordered fold per user: an approved transaction is accepted and
 debited only if the balance left by the earlier accepted ones covers it; a
 rejection does not debit, so the result is not a running sum.
 
-Plan: only what order really decides goes through Python.
-
-* A user's rows are cut into hour cells.  Per cell: the debits that could be
-  accepted (approved, with a profile, within the opening balance), summed
-  before the shuffle.  Running totals over the cells -- one row per user and
-  hour -- give the balance before each cell as long as everything fits.
-* Up to a user's first cell that could overdraw, all candidates are accepted:
-  the rows of all these cells are decided in parallel, in the JVM, with a
-  running sum inside each cell.  A user whose total fits never leaves this path.
-* From that cell on the rows are *undecided*: they are hash-partitioned by
-  user, sorted and folded by ``mapInPandas``, starting from the balance before
-  the cell.  The fold streams through the Arrow batches carrying only (user,
-  balance).  Users with a negative amount are folded whole.
+Plan: only what order really decides goes through Python, and no task gets more
+than ``HOT_ROWS`` rows of a user.
+
+* A user's rows are sorted once.  Up to the first row that would overdraw if all
+  before it were accepted, they are decided by a running sum in the JVM.  A user
+  whose total fits never leaves that path; rows without a profile need no order
+  and are spread.
+* From that row on ``mapInPandas`` folds the user's rows, in the partitions the
+  running sum left sorted, carrying only (user, balance).
+* Users with more than ``HOT_ROWS`` rows (counted first) are cut into hour cells.
+  What each cell could debit is summed before the shuffle; running totals over
+  the cells give the balance before each, and up to the first cell that could
+  overdraw the rows are decided cell by cell in parallel.
+* The rest of such a user is decided by *balance levels* (:func:`balance_levels`):
+  at balance B rows needing more than B are refused for good, rows needing at most
+  B / 2 fit until the balance is below B / 2, and the first larger row that fits
+  takes the balance there at once.  Where that happens follows from cell totals
+  and running sums inside cells, so a round is parallel over the cells and halves
+  the balance: O(log balance) rounds, each over the rows still open.
+* Hot users with a negative amount (nothing is refused for good) are folded whole.
 
 Money is exact integer cents.  A row is accepted if its unrounded amount is
 within the balance (compared as the next whole cent), and debits the amount
@@ -38,6 +45,8 @@ from txlens import constants as K
 MONEY = T.DecimalType(14, 2)
 ACCEPTED, REJECTED = "accepted", "rejected"
 CELL_SECONDS = 3600
+#: Rows of one user that a single task may fold.
+HOT_ROWS = 1_000_000
 #: Above any storable amount in cents; such a debit never fits.
 NEVER = 10 ** 15
 
@@ -161,8 +170,138 @@ def _arrival(ts_col: str) -> list:
             F.col("__amt").asc_nulls_first(), F.col("__approved").asc()]
 
 
+WIDE = "decimal(20,0)"       # sums of cents beyond a long
+
+
+def _fold(rows: DataFrame) -> DataFrame:
+    """The ordered fold over rows sorted by user and arrival; ``__open`` of a user's
+    first row is the balance before it."""
+    extra = [T.StructField("__ok", T.LongType()), T.StructField("__why", T.LongType()), T.StructField("__balc", T.LongType())]
+    return rows.mapInPandas(_fold_batches, T.StructType(rows.schema.fields + extra))
+
+
+def _decide(rows: DataFrame, takes: F.Column, balance: F.Column) -> DataFrame:
+    """Adds ``__ok``, ``__why`` and ``__balc`` where the accepted debits are known."""
+    ok = F.when((F.col("__approved") == 0) | F.coalesce(takes, F.lit(False)), 1).otherwise(0).cast("long")
+    return (rows.withColumn("__ok", ok)
+            .withColumn("__why", F.when(F.col("__ok") == 1, 0).when(F.col("__open").isNull(), 1).otherwise(2).cast("long"))
+            .withColumn("__balc", balance.cast("long")))
+
+
+def _gate_users(rows: DataFrame, ts_col: str) -> DataFrame:
+    """Users of bounded size: one sort, a running sum, and the fold from the first
+    row that would overdraw."""
+    candidate = (F.col("__approved") == 1) & (F.col("__need") <= F.col("__open")) & (F.col("__amt") >= 0)
+    takes = F.coalesce(candidate, F.lit(False))
+    # rows without a profile have no balance to follow: spread them
+    spread = rows.withColumn("__spread", F.when(F.col("__open").isNull(), F.xxhash64("transaction_id", "__amt")).otherwise(0))
+    user = Window.partitionBy("user_id", "__spread").orderBy(*_arrival(ts_col))
+    debit = F.when(takes, F.col("__amt")).otherwise(0).cast(WIDE)
+    before = F.coalesce(F.sum(debit).over(user.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    overdraws = (F.coalesce(F.col("__approved") * F.col("__amt"), F.lit(0)) < 0) | (takes & (F.col("__before") + F.col("__need") > F.col("__open")))
+    known = (spread.withColumn("__before", before)
+             .withColumn("__late", F.max(overdraws).over(user.rowsBetween(Window.unboundedPreceding, 0))))
+    sure = _decide(known.filter(~F.col("__late")), takes, F.col("__open") - F.col("__before") - debit)
+    late = (known.filter("__late").withColumn("__open", (F.col("__open") - F.col("__before")).cast("long"))
+            .sortWithinPartitions("user_id", "__spread", *_arrival(ts_col)))       # the order the running sum left
+    return sure.unionByName(_fold(late).select(*sure.columns)).drop("__spread", "__before", "__late")
+
+
+def balance_levels(rows: DataFrame, state: DataFrame, keep) -> DataFrame:
+    """The phases of each user: user_id, start and end (places), ``limit`` and
+    ``balance`` at the start.  A row inside a phase is accepted if it needs at most
+    ``limit``; the row at a phase's end is accepted.  Inside a phase the balance stays
+    at ``limit`` or above; at its end it is at most half of what it was.
+
+    ``rows``: user_id, place (struct of cell and number), __amt >= 0, __need;
+    ``state``: user_id, balance, place (the rows after it are open).
+    """
+    phases = None
+    while True:
+        # at 1 cent a row may need it and debit nothing, so the level is 1, not 0
+        half = F.when(F.col("balance") == 1, 1).otherwise(F.floor(F.col("balance") / 2)).cast("long")
+        open_rows = (rows.join(state.withColumnRenamed("place", "start"), "user_id")
+                     .filter((F.col("place") > F.col("start")) & (F.col("__need") <= F.col("balance"))))
+        small = F.col("__need") <= half
+        spend = F.when(small, F.col("__amt")).otherwise(0).cast(WIDE)
+        cells = open_rows.groupBy("user_id", F.col("place.cell").alias("cell")).agg(
+            F.first("balance").alias("balance"), F.sum(spend).alias("spend"),
+            F.min(F.when(~small, F.col("__need"))).alias("least"))
+        earlier = Window.partitionBy("user_id").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+        spent = cells.withColumn("before", F.coalesce(F.sum("spend").over(earlier), F.lit(0)))
+        left = F.col("balance") - F.col("before")
+        fits = F.coalesce(F.col("least") <= left, F.lit(False))
+        due = (spent.filter((left >= half) & (fits | (left - F.col("spend") < half)))   # none after the one that crosses
+               .select("user_id", "cell", "before"))
+        inside = Window.partitionBy("user_id", "cell").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+        near = (open_rows.withColumn("cell", F.col("place.cell")).join(due, ["user_id", "cell"])
+                .withColumn("before", F.col("before") + F.coalesce(F.sum(spend).over(inside), F.lit(0))))
+        event = F.when(small, left - F.col("__amt") < half).otherwise(F.col("__need") <= left)
+        first = near.filter(event).groupBy("user_id").agg(
+            F.min(F.struct("place", (left - F.col("__amt")).cast("long").alias("left"))).alias("e"))
+        done = keep(state.join(first, "user_id", "left").select(
+            "user_id", F.col("place").alias("start"), F.col("e.place").alias("end"), half.alias("limit"), "balance",
+            F.col("e.left").alias("left")))
+        phases = done if phases is None else phases.unionByName(done)
+        state = done.filter(F.col("end").isNotNull()).select("user_id", F.col("left").alias("balance"), F.col("end").alias("place"))
+        if state.isEmpty():
+            return phases.drop("left")
+
+
+def _gate_hot_users(rows: DataFrame, ts_col: str, keep) -> DataFrame:
+    """Users of any size, cell by cell; then by balance levels."""
+    own, cell_of = ["user_id", "__cell"], F.floor(F.unix_seconds(F.col(ts_col).cast("timestamp")) / CELL_SECONDS)
+    number = F.row_number().over(Window.partitionBy(*own).orderBy(*_arrival(ts_col)))
+    rows = keep(rows.withColumn("__cell", F.coalesce(cell_of, F.lit(-(1 << 62))).cast("long"))      # places are fixed
+                .withColumn("__place", F.struct(F.col("__cell").alias("cell"), number.alias("number"))))   # once stored
+    candidate = F.coalesce((F.col("__approved") == 1) & (F.col("__need") <= F.col("__open")) & (F.col("__amt") >= 0), F.lit(False))
+    money = lambda c: F.sum(F.when(candidate, F.col(c)).otherwise(0).cast(WIDE))
+    cells = rows.groupBy(*own).agg(
+        F.max("__open").alias("start"), money("__amt").alias("debit"), money("__need").alias("needed"),
+        F.max(F.coalesce(F.col("__approved") * F.col("__amt"), F.lit(0)) < 0).alias("negative"))
+    user = Window.partitionBy("user_id")
+    earlier = user.orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
+    overdraws = F.coalesce(F.col("before") + F.col("needed") > F.col("start"), F.lit(False))
+    placed = keep(cells.withColumn("before", F.coalesce(F.sum("debit").over(earlier), F.lit(0)))
+                  .withColumn("__negative", F.max("negative").over(user))
+                  .withColumn("turn", F.min(F.when(overdraws, F.col("__cell"))).over(user))
+                  .withColumn("__late", F.coalesce(F.col("__cell") >= F.col("turn"), F.lit(False)))
+                  .withColumn("__left", (F.col("start") - F.col("before")).cast("decimal(30,0)")))
+    known = rows.join(placed.select(*own, "__negative", "__late", "__left"), own)
+    in_cell = Window.partitionBy(*own).orderBy("__place").rowsBetween(Window.unboundedPreceding, 0)
+    debit = F.when(candidate, F.col("__amt")).otherwise(0).cast(WIDE)
+    sure = known.filter("NOT __late AND NOT __negative").withColumn("__run", F.sum(debit).over(in_cell))
+    out = [_decide(sure, candidate, F.col("__left") - F.col("__run")).drop("__run")]
+    # a negative amount anywhere: the whole user in order
+    out.append(_fold(known.filter("__negative").repartition("user_id").sortWithinPartitions("user_id", "__place")))
+    state = keep(placed.filter("NOT __negative AND __cell = turn").select(
+        "user_id", F.col("__left").cast("long").alias("balance"),
+        F.struct(F.col("__cell").alias("cell"), F.lit(0).alias("number")).alias("place")))
+    if not state.isEmpty():
+        late = known.filter("__late AND NOT __negative")
+        phases = balance_levels(late.filter(candidate).select("user_id", F.col("__place").alias("place"), "__amt", "__need"),
+                                state, keep)
+        by_user = phases.groupBy("user_id").agg(F.collect_list(F.struct("start", "end", "limit")).alias("__phases"),
+                                                F.max("balance").alias("__first"))   # some fifty phases a user at most
+        took = F.exists("__phases", lambda p: (F.col("__place") == p["end"]) | (
+            (F.col("__place") > p["start"]) & (p["end"].isNull() | (F.col("__place") < p["end"])) & (F.col("__need") <= p["limit"])))
+        accepted = keep(late.join(by_user, "user_id").withColumn("__took", candidate & F.coalesce(took, F.lit(False)))
+                        .drop("__phases"))
+        debit = F.when(F.col("__took"), F.col("__amt")).otherwise(0).cast(WIDE)
+        totals = accepted.groupBy(*own).agg(F.sum(debit).alias("debit"))
+        before = totals.select(*own, F.coalesce(F.sum("debit").over(earlier), F.lit(0)).alias("__before"))
+        ran = accepted.withColumn("__run", F.sum(debit).over(in_cell)).join(before, own)
+        out.append(_decide(ran, F.col("__took"), F.col("__first") - F.col("__before") - F.col("__run"))
+                   .drop("__run", "__before", "__first", "__took"))
+    both = out[0]
+    for o in out[1:]:
+        both = both.unionByName(o.select(*both.columns))
+    return both.drop("__cell", "__place", "__negative", "__late", "__left")
+
+
 def balance_gate(txns: DataFrame, profiles: DataFrame, user_col: str = "user_id",
-                 ts_col: str = "event_ts", eligible: str | None = None) -> DataFrame:
+                 ts_col: str = "event_ts", eligible: str | None = None, hot_rows: int = HOT_ROWS,
+                 keep=None, count_in: DataFrame | None = None) -> DataFrame:
     """LED1: adds ``decision``, ``message``, ``debited`` (0/1) and
     ``balance_after`` (DECIMAL(14,2); NULL without a profile).
 
@@ -170,57 +309,37 @@ def balance_gate(txns: DataFrame, profiles: DataFrame, user_col: str = "user_id"
     Approved rows need a profile and enough balance; blocked rows are recorded,
     never debited.  With ``eligible`` (a boolean column), only those rows can
     debit; the others ride along in arrival order without touching the balance.
-    An approved row without an amount never fits.
+    An approved row without an amount never fits.  Users with more than
+    ``hot_rows`` rows are decided in parallel; the result is the same.  ``keep`` stores
+    intermediate tables (default :func:`materialize`); ``count_in`` may name a
+    cheaper frame with the same users.
     """
+    from txlens.session import materialize
+
+    keep = keep or materialize
     cols = [c for c in txns.columns if c != eligible]
     prof = profiles.select(F.col("user_id").alias("__puser"), _cents("account_balance").alias("__open"))
     approved = F.col("status") == "approved"
     if eligible is not None:
         approved = approved & F.coalesce(F.col(eligible), F.lit(False))
-    cell = F.floor(F.unix_seconds(F.col(ts_col).cast("timestamp")) / CELL_SECONDS)
     rows = (txns.join(prof, txns[user_col] == prof.__puser, "left").drop("__puser")
             .withColumn("__amt", _cents("amount"))
             .withColumn("__need", _needed_cents("amount"))
-            .withColumn("__approved", F.coalesce(approved, F.lit(False)).cast("int"))
-            .withColumn("__cell", F.coalesce(cell, F.lit(-(1 << 62))).cast("long")))
-    rows = rows.select(*[F.col(c) for c in cols], "__open", "__amt", "__need", "__approved", "__cell")
+            .withColumn("__approved", F.coalesce(approved, F.lit(False)).cast("int")))
+    rows = rows.select(*[F.col(c) for c in cols], "__open", "__amt", "__need", "__approved")
     if user_col != "user_id":
         rows = rows.withColumnRenamed(user_col, "user_id")
-
-    # What each cell could debit, and the balance before it while all fits.
-    candidate = (F.col("__approved") == 1) & (F.col("__need") <= F.col("__open")) & (F.col("__amt") >= 0)
-    money = lambda c: F.sum(F.when(candidate, F.col(c)).otherwise(0).cast("decimal(20,0)"))
-    cells = rows.groupBy("user_id", "__cell").agg(
-        F.max("__open").alias("__start"), money("__amt").alias("__debit"), money("__need").alias("__needed"),
-        F.max((F.coalesce(F.col("__amt"), F.lit(0)) < 0) & (F.col("__approved") == 1)).alias("__negative"))
-    user = Window.partitionBy("user_id")
-    earlier = user.orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
-    placed = (cells.withColumn("__before", F.coalesce(F.sum("__debit").over(earlier), F.lit(0)))
-              .withColumn("__bad", F.max("__negative").over(user)
-                          | F.coalesce(F.col("__before") + F.col("__needed") > F.col("__start"), F.lit(False)))
-              .withColumn("__from", F.min(F.when(F.col("__bad"), F.col("__cell"))).over(user))
-              .withColumn("__undecided", F.coalesce(F.col("__cell") >= F.col("__from"), F.lit(False)))
-              .withColumn("__spent", F.min(F.when(F.col("__cell") == F.col("__from"), F.col("__before"))).over(user))
-              .withColumn("__left", (F.col("__start") - F.when(F.col("__undecided"), F.col("__spent"))
-                                     .otherwise(F.col("__before"))).cast("long"))
-              .select(F.col("user_id").alias("__cuser"), F.col("__cell").alias("__ccell"), "__undecided", "__left"))
-    known = rows.join(placed, F.col("user_id").eqNullSafe(F.col("__cuser"))
-                      & (F.col("__cell") == F.col("__ccell")), "left").drop("__cuser", "__ccell")
-
-    # Decided: a running sum inside each cell, from the balance before it.
-    in_cell = (Window.partitionBy("user_id", "__cell").orderBy(*_arrival(ts_col))
-               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    takes = F.coalesce(candidate, F.lit(False))
-    sure = known.filter(~F.col("__undecided"))
-    sure = (sure.withColumn("__ok", F.when((F.col("__approved") == 0) | takes, 1).otherwise(0).cast("long"))
-            .withColumn("__why", F.when(F.col("__ok") == 1, 0).when(F.col("__open").isNull(), 1).otherwise(2).cast("long"))
-            .withColumn("__balc", F.col("__left") - F.sum(F.when(takes, F.col("__amt")).otherwise(0)).over(in_cell)))
-    # Undecided: the ordered fold.
-    open_rows = (known.filter("__undecided").withColumn("__open", F.col("__left"))
-                 .repartition("user_id").sortWithinPartitions("user_id", *_arrival(ts_col)))
-    extra = [T.StructField("__ok", T.LongType()), T.StructField("__why", T.LongType()), T.StructField("__balc", T.LongType())]
-    folded = open_rows.mapInPandas(_fold_batches, T.StructType(open_rows.schema.fields + extra))
-    both = sure.select(*folded.columns).unionByName(folded)
+    sizes = (txns if count_in is None else count_in).groupBy(F.col(user_col).alias("__hot")).agg(F.count(F.lit(1)).alias("n"))
+    hot = keep(sizes.filter(F.col("__hot").isNotNull() & (F.col("n") > hot_rows)).select("__hot"))
+    if hot.isEmpty():
+        both = _gate_users(rows, ts_col)
+    else:
+        mine = F.col("user_id") == F.col("__hot")
+        both = _gate_users(rows.join(hot, mine, "left_anti"), ts_col)
+        both = both.unionByName(_gate_hot_users(
+            rows.filter(F.col("__open").isNotNull()).join(hot, mine, "left_semi"), ts_col, keep).select(*both.columns))
+        # a hot user without a profile is decided like any row without one
+        both = both.unionByName(_gate_users(rows.filter(F.col("__open").isNull()).join(hot, mine, "left_semi"), ts_col))
     if user_col != "user_id":
         both = both.withColumnRenamed("user_id", user_col)
     return both.select(
@@ -281,7 +400,8 @@ def decide_transactions(feed: DataFrame, blacklist: DataFrame, profiles: DataFra
         F.col("status").cast("string").alias("status"),
         *[F.col(c) for c in carry or []],
         denied.alias("__denied"), F.col("__valid"), storable.alias("__storable"), eligible.alias("__eligible"))
-    gated = balance_gate(typed, profiles, eligible="__eligible")
+    gated = balance_gate(typed, profiles, eligible="__eligible", keep=keep,
+                         count_in=feed.select(F.col("user_id").cast("string").alias("user_id")))
     gated = keep(gated) if keep else gated
     code = (F.when(F.col("__denied"), F.lit(403)).when(~F.col("__valid"), F.lit(400))
             .when(~F.col("__storable"), F.lit(500))
