@@ -67,13 +67,41 @@ def test_user_risk_hotspots_blacklist(spark):
 def test_kmeans_invariants(spark):
     rows = [(float(i % 3) * 10 + (i % 7) * 0.01, float(i % 3) * 5) for i in range(90)]
     df = spark.createDataFrame(rows, "x double, y double")
-    out, model, cost = RK.kmeans(df, ["x", "y"], k=3, starts=3, seed=1)
+    out, centres, cost = RK.kmeans(df, ["x", "y"], k=3, starts=3, seed=1)
+    assert centres == sorted(centres) and cost < 1.0
     labels = {r.cluster for r in out.collect()}
     assert labels == {1, 2, 3}
     with pytest.raises(ValueError):
         RK.kmeans(spark.createDataFrame([(1.0, 1.0), (1.0, 1.0)], "x double, y double"), ["x", "y"], k=3, starts=1)
 
 
+def test_kmeans_serves_all_starts_in_one_runs_passes(spark, monkeypatch):
+    """Ten starts take no more passes than one, do not depend on partitions, count
+    copies, and reach the cost of Spark ML's best of ten."""
+    import random
+
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.feature import VectorAssembler
+    rnd = random.Random(5)
+    centres = [(0, 0), (4, 1), (9, 9), (1, 8)]
+    rows = [tuple(rnd.gauss(c, 1.2) for c in rnd.choice(centres)) for _ in range(400)]
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows + rows[:50] * 3)], "x double, y double, i long")
+    passes, lloyd, draw = [], RK._lloyd_pass, RK._draw_centres
+    monkeypatch.setattr(RK, "_lloyd_pass", lambda *a: passes.append("lloyd") or lloyd(*a))
+    monkeypatch.setattr(RK, "_draw_centres", lambda *a: passes.append("draw") or draw(*a))
+    out, found, cost = RK.kmeans(df, ["x", "y"], k=3, starts=10, seed=3, max_iter=20)
+    assert passes.count("draw") == 3 and passes.count("lloyd") <= 21
+    again = RK.kmeans(df.repartition(7), ["x", "y"], k=3, starts=10, seed=3, max_iter=20)
+    assert [v for c in again[1] for v in c] == pytest.approx([v for c in found for v in c]) and again[2] == pytest.approx(cost)
+    vec = VectorAssembler(inputCols=["x", "y"], outputCol="f").transform(df)
+    best = min(KMeans(k=3, seed=s, maxIter=20, featuresCol="f").fit(vec).summary.trainingCost for s in range(10))
+    assert cost <= best * 1.01
+    far = lambda r, c: (r.x - c[0]) ** 2 + (r.y - c[1]) ** 2
+    got = out.collect()
+    assert sum(min(far(r, c) for c in found) for r in got) == pytest.approx(cost)
+    assert all(far(r, found[r.cluster - 1]) == min(far(r, c) for c in found) for r in got)
+
+
 def test_assign_city_deterministic(spark):
     df = spark.createDataFrame([(f"t{i}",) for i in range(200)], "transaction_id string")
     a = sorted(tuple(r) for r in assign_city(df.repartition(1)).select("transaction_id", "city").collect())

@@ -111,7 +111,7 @@ def test_model_and_scaler_round_trip(spark, tmp_dir):
     from txlens.operators import ml
     df = spark.range(200).select((F.col("id") % 17).cast("double").alias("a"), (F.col("id") % 5).cast("double").alias("b"),
                                  (F.col("id") % 17 > 12).cast("int").alias("Class"))
-    for kind in ("mlp", "logistic"):
+    for kind in ("network", "logistic"):
         model, scaler = ml.train_classifier(df, ["a", "b"], kind=kind, max_iter=30)
         ml.save_model(model, scaler, f"{tmp_dir}/{kind}")
         again = ml.load_model(spark, f"{tmp_dir}/{kind}", kind)

@@ -120,6 +120,8 @@ MODEL_SEED = 42
 VALIDATION_FRACTION = 0.2
 HIDDEN_LAYERS = [16, 8]
 BATCH_SIZE = 128
+EPOCHS = 20
+PATIENCE = 3
 AUC_GATE = 0.85
 CARD_MINMAX_EPS = 1e-9
 CARD_VELOCITY_FACTOR = 2.0

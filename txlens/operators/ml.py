@@ -2,8 +2,8 @@
 
 * Features and scaling are column expressions over one-row statistics,
   fitted with one distributed aggregate and applied as constants.
-* Training uses Spark ML (distributed L-BFGS): a multilayer perceptron and a
-  class-weighted logistic regression.
+* Training: a relu network by distributed gradient sums (class weights, Adam,
+  early stopping) and Spark ML's class-weighted logistic regression.
 * Scoring a dense network is expressed as plain column arithmetic (the
   5*16 + 16*8 + 8 multiply-adds stay inside whole-stage codegen).
 * The exact ROC-AUC is a rank-sum over distinct scores with a distributed
@@ -13,7 +13,9 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +24,7 @@ from txlens.functions.scalars import with_scalars
 from txlens.operators.filters import drop_non_finite
 from txlens.operators.ordering import prefix_sums
 from txlens.operators.risk import moments
+from txlens.operators.vector_sums import matrix, sum_vectors
 
 
 class QualityGateError(RuntimeError):
@@ -163,41 +166,158 @@ def layers_from_spark_mlp(model) -> list:
 
 # -- ML7: training -------------------------------------------------------------
 
+@dataclass
+class NetworkModel:
+    """A trained dense network; ``layers`` as :func:`dense_network` takes them."""
+    layers: list
+    #: validation AUC after each epoch (binned), the best one's weights are kept
+    history: list[float] = field(default_factory=list)
+
+
+def _shapes(sizes: list[int]) -> list[tuple[int, int]]:
+    return list(zip(sizes[:-1], sizes[1:]))
+
+
+def _unpack(theta: np.ndarray, sizes: list[int]) -> list[tuple[np.ndarray, np.ndarray]]:
+    out, at = [], 0
+    for n_in, n_out in _shapes(sizes):
+        out.append((theta[at:at + n_in * n_out].reshape(n_in, n_out), theta[at + n_in * n_out:at + (n_in + 1) * n_out]))
+        at += (n_in + 1) * n_out
+    return out
+
+
+def _forward(x: np.ndarray, layers: list) -> list[np.ndarray]:
+    """Inputs of every layer, and the last one's output (the logit)."""
+    hs = [x]
+    for i, (w, b) in enumerate(layers):
+        z = hs[-1] @ w + b
+        hs.append(np.maximum(z, 0.0) if i < len(layers) - 1 else z)
+    return hs
+
+
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+
+
+def network_gradient(x: np.ndarray, y: np.ndarray, w: np.ndarray, theta: np.ndarray, sizes: list[int]) -> np.ndarray:
+    """Gradient of the weighted log-loss, summed over the rows, and the rows' weight."""
+    layers = _unpack(theta, sizes)
+    hs = _forward(x, layers)
+    back = ((_sigmoid(hs[-1][:, 0]) - y) * w)[:, None]
+    parts: list[np.ndarray] = []
+    for i in range(len(layers) - 1, -1, -1):
+        parts = [(hs[i].T @ back).ravel(), back.sum(axis=0), *parts]
+        if i:
+            back = (back @ layers[i][0].T) * (hs[i] > 0)
+    return np.concatenate([*parts, [w.sum()]])
+
+
+BINS = 4096
+
+
+def _binned_auc(rows: DataFrame, theta: np.ndarray, sizes: list[int]) -> float:
+    """AUC with scores in ``BINS`` classes: one pass, for early stopping only."""
+    d = sizes[0]
+
+    def count(batches):
+        total = np.zeros((2, BINS))
+        for b in batches:
+            p = _sigmoid(_forward(matrix(b, 0, d), _unpack(theta, sizes))[-1][:, 0])
+            at = np.minimum((p * BINS).astype("int64"), BINS - 1)
+            for c in (0, 1):
+                total[c] += np.bincount(at[b.column(d).to_numpy() == c], minlength=BINS)
+        yield total.ravel()
+
+    neg, pos = sum_vectors(rows, count, 2 * BINS).reshape(2, BINS)
+    pairs = pos.sum() * neg.sum()
+    return float((pos * (np.cumsum(neg) - neg / 2)).sum() / pairs) if pairs else math.nan
+
+
+def train_network(train: DataFrame, validation: DataFrame, inputs: list[str], label: str, weight: str,
+                  hidden=K.HIDDEN_LAYERS, epochs: int = K.EPOCHS, patience: int = K.PATIENCE, slices: int = 8,
+                  rate: float = 0.02, seed: int = K.MODEL_SEED, slice_by: list[str] | None = None) -> NetworkModel:
+    """Relu network with a sigmoid output, weighted log-loss, Adam, early stopping on
+    the validation AUC with the best epoch's weights kept.
+
+    An epoch is one pass over the rows in ``slices`` parts, by the hash of the columns
+    ``slice_by`` (default: the inputs; name raw ones where the inputs are scaled); a
+    part's gradient is a sum over the executors, the step is taken on the driver (a
+    few hundred parameters).  So no row is copied or moved, and the result does not
+    depend on partitions.  NULL inputs are not allowed; rows of weight 0 count
+    nothing.
+    """
+    sizes = [len(inputs), *hidden, 1]
+    rng = np.random.default_rng(seed)
+    theta = np.concatenate([np.r_[rng.uniform(-1, 1, n_in * n_out) * math.sqrt(6 / (n_in + n_out)), np.zeros(n_out)]
+                            for n_in, n_out in _shapes(sizes)])
+    cols = [F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(inputs)]
+    d = len(inputs)
+    part_of = F.pmod(F.xxhash64(*(slice_by or inputs)), F.lit(slices)).cast("int").alias("slice")
+    rows = train.select(*cols, F.col(label).cast("double").alias("y"), F.col(weight).cast("double").alias("w"), part_of).persist()
+    held = validation.select(*cols, F.col(label).cast("double").alias("y")).persist()
+    first, second, step = np.zeros_like(theta), np.zeros_like(theta), 0
+    best, best_theta, history, waited = -1.0, theta, [], 0
+    try:
+        for _ in range(epochs):
+            for part in range(slices):
+                now = theta
+
+                def gradient(batches):
+                    total = np.zeros(len(now) + 1)
+                    for b in batches:
+                        if b.num_rows:
+                            total += network_gradient(matrix(b, 0, d), b.column(d).to_numpy(), b.column(d + 1).to_numpy(), now, sizes)
+                    yield total
+
+                sums = sum_vectors(rows.filter(F.col("slice") == part), gradient, len(theta) + 1)
+                if not sums[-1]:
+                    continue
+                g, step = sums[:-1] / sums[-1], step + 1
+                first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
+                theta = theta - rate * (first / (1 - 0.9 ** step)) / (np.sqrt(second / (1 - 0.999 ** step)) + 1e-7)
+            auc = _binned_auc(held, theta, sizes)
+            history.append(auc)
+            if auc > best or math.isnan(auc):
+                best, best_theta, waited = (best if math.isnan(auc) else auc), theta, 0
+            elif (waited := waited + 1) >= patience:
+                break
+    finally:
+        rows.unpersist()
+        held.unpersist()
+    acts = ["relu"] * len(hidden) + ["sigmoid"]
+    return NetworkModel([(w.tolist(), b.tolist(), a) for (w, b), a in zip(_unpack(best_theta, sizes), acts)], history)
+
+
 def train_classifier(train: DataFrame, features=K.MODEL_FEATURES, label: str = K.MODEL_LABEL,
-                     kind: str = "mlp", weights: DataFrame | None = None, seed: int = K.MODEL_SEED,
-                     max_iter: int = 100):
-    """Fit on z-scored features (scaler fitted on ``train``).
-
-    ``kind='mlp'``: layers [n, 16, 8, 2], block size 128.  Spark's MLP takes no
-    row weights, so the balanced class weights (AGG11) are realised as whole
-    copies: each row as often as its class's weight relative to the smallest
-    one, rounded.  ``kind='logistic'``: logistic regression with the weights as
-    ``weightCol``.  Returns (model, scaler).
+                     kind: str = "network", weights: DataFrame | None = None, seed: int = K.MODEL_SEED,
+                     max_iter: int = 100, validation: DataFrame | None = None):
+    """Fit on z-scored features (scaler fitted on ``train``), rows weighted by the
+    balanced class weights (AGG11).
+
+    ``kind='network'``: :func:`train_network` with hidden layers 16 and 8;
+    ``validation`` stops it early (default: the training rows).  ``kind='logistic'``:
+    logistic regression with the weights as ``weightCol``.  Returns (model, scaler).
     """
-    from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
+    from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
 
     scaler = fit_scaler(train, features)
-    scaled = apply_scaler(train, scaler, features)
-    vec = VectorAssembler(inputCols=[f"{c}_s" for c in features], outputCol="__x").transform(scaled)
-    vec = vec.withColumn("__y", F.col(label).cast("double"))
     if weights is None:
         from txlens.operators.sampling import class_weights
         weights = class_weights(train, label)
-    own = weights.select(F.col(label).alias("__wl"), F.col("weight").alias("__w"))
-    least = own.agg(F.min("__w").alias("__least"))
-    vec = with_scalars(vec.join(own, F.col(label) == F.col("__wl")), least)
-    if kind == "mlp":
-        copies = F.greatest(F.round(F.col("__w") / F.col("__least")).cast("int"), F.lit(1))
-        vec = vec.withColumn("__copy", F.explode(F.sequence(F.lit(1), copies)))
-        est = MultilayerPerceptronClassifier(layers=[len(features)] + K.HIDDEN_LAYERS + [2], blockSize=K.BATCH_SIZE,
-                                             seed=seed, maxIter=max_iter, featuresCol="__x", labelCol="__y")
-        model = est.fit(vec)
-    elif kind == "logistic":
-        model = LogisticRegression(featuresCol="__x", labelCol="__y", weightCol="__w", maxIter=max_iter).fit(vec)
-    else:
-        raise ValueError(kind)
-    return model, scaler
+    by_class = {r[label]: float(r["weight"]) for r in weights.select(label, "weight").collect()}      # a row per class
+    own = F.lit(0.0)
+    for value, w in by_class.items():
+        own = F.when(F.col(label) == value, F.lit(w)).otherwise(own)
+    scaled = apply_scaler(train, scaler, features).withColumn("__w", own)
+    inputs = [f"{c}_s" for c in features]
+    if kind == "network":
+        held = scaled if validation is None else apply_scaler(validation, scaler, features)
+        return train_network(scaled, held, inputs, label, "__w", seed=seed, slice_by=[*features, label]), scaler
+    if kind == "logistic":
+        vec = VectorAssembler(inputCols=inputs, outputCol="__x").transform(scaled).withColumn("__y", F.col(label).cast("double"))
+        return LogisticRegression(featuresCol="__x", labelCol="__y", weightCol="__w", maxIter=max_iter).fit(vec), scaler
+    raise ValueError(kind)
 
 
 def predict(model, df: DataFrame, scaler: DataFrame, features=K.MODEL_FEATURES, out: str = "score") -> DataFrame:
@@ -205,6 +325,9 @@ def predict(model, df: DataFrame, scaler: DataFrame, features=K.MODEL_FEATURES,
     from pyspark.ml.functions import vector_to_array
 
     scaled = apply_scaler(df, scaler, features)
+    if isinstance(model, NetworkModel):
+        p = dense_network([F.col(f"{c}_s") for c in features], model.layers)
+        return scaled.withColumn(out, p).drop(*[f"{c}_s" for c in features])
     vec = VectorAssembler(inputCols=[f"{c}_s" for c in features], outputCol="__x").transform(scaled)
     model = model.copy()
     model.setFeaturesCol("__x")
@@ -215,18 +338,34 @@ def predict(model, df: DataFrame, scaler: DataFrame, features=K.MODEL_FEATURES,
 
 def save_model(model, scaler: DataFrame, path: str) -> None:
     """The fitted model and its scaler under ``path``, for :func:`load_model`."""
-    from txlens.sources.sinks import write_scaler
+    from txlens.sources.sinks import publish, write_scaler
 
-    model.write().overwrite().save(f"{path.rstrip('/')}/model")
+    if isinstance(model, NetworkModel):
+        layers = scaler.sparkSession.createDataFrame([(w, b, a) for w, b, a in model.layers], LAYER).withColumn(
+            "layer", F.monotonically_increasing_id())
+        publish(layers.coalesce(1), f"{path.rstrip('/')}/model", "json")
+    else:
+        model.write().overwrite().save(f"{path.rstrip('/')}/model")
     write_scaler(scaler, f"{path.rstrip('/')}/scaler")
 
 
-def load_model(spark, path: str, kind: str = "mlp"):
+LAYER = "weights array<array<double>>, bias array<double>, activation string"
+
+
+def load_model(spark, path: str, kind: str = "network"):
     """(model, scaler) as :func:`predict` takes them."""
-    from pyspark.ml.classification import LogisticRegressionModel, MultilayerPerceptronClassificationModel
+    from pyspark.ml.classification import LogisticRegressionModel
+
+    from txlens.sources.feed import current_version
 
-    cls = {"mlp": MultilayerPerceptronClassificationModel, "logistic": LogisticRegressionModel}[kind]
-    return cls.load(f"{path.rstrip('/')}/model"), read_scaler(spark, f"{path.rstrip('/')}/scaler")
+    path = path.rstrip("/")
+    if kind == "network":
+        rows = (spark.read.schema(f"{LAYER}, layer long").json(current_version(spark, f"{path}/model"))
+                .orderBy("layer").collect())                                       # a row per layer
+        model = NetworkModel([([list(w) for w in r.weights], list(r.bias), r.activation) for r in rows])
+    else:
+        model = LogisticRegressionModel.load(f"{path}/model")
+    return model, read_scaler(spark, f"{path}/scaler")
 
 
 def read_scaler(spark, path: str) -> DataFrame:

@@ -54,45 +54,23 @@ def prefix_sums(df: DataFrame, order, value_cols: list[str], partitions: int | N
                 inclusive: bool = True) -> DataFrame:
     """Running sums of ``value_cols`` in a total order, without a one-task window.
 
-    Range partitioning + in-partition sort, a vectorised cumulative sum inside
-    each partition (``mapInPandas``, streaming batch by batch), plus the
-    partition's offset from a per-partition total table (one row per
-    partition, broadcast).  Adds ``<c>_cum`` (inclusive, or exclusive when
-    ``inclusive=False``).
+    Rows are dealt to ranges of the order and stored with their range (its bounds
+    are sampled, so they are drawn once); a window inside each range adds up in the
+    JVM, and the range's offset comes from a table of one row per range, broadcast.
+    Adds ``<c>_cum`` (inclusive, or exclusive when ``inclusive=False``); NULL
+    counts as 0.
     """
-    import numpy as np
-    from pyspark.sql import types as T
-
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
-              .withColumn("__pid", F.spark_partition_id()))
-
-    def local_cumsum(batches):
-        carry = None
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            out = {}
-            for c in value_cols:
-                v = pdf[c].to_numpy(dtype=np.float64, na_value=0.0)
-                cs = np.cumsum(v)
-                start = 0.0 if carry is None else carry[c]
-                out[f"{c}_cum"] = start + (cs if inclusive else cs - v)
-            carry = {c: (0.0 if carry is None else carry[c]) + float(np.nansum(
-                pdf[c].to_numpy(dtype=np.float64, na_value=0.0))) for c in value_cols}
-            yield pdf.assign(**out)
-
-    schema = T.StructType(ranged.schema.fields + [T.StructField(f"{c}_cum", T.DoubleType()) for c in value_cols])
-    # Running sums are computed in the sorting stage; the finished rows (with
-    # their partition id) are then materialised, so the offsets and the rows
-    # come from the same range bounds.
-    local = materialize(ranged.mapInPandas(local_cumsum, schema))
+    local = materialize(df.repartitionByRange(n, *order).withColumn("__pid", F.spark_partition_id()))
     totals = local.groupBy("__pid").agg(*[F.sum(c).cast("double").alias(f"{c}_tot") for c in value_cols])
     prior = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("__pid", *[F.coalesce(F.sum(f"{c}_tot").over(prior), F.lit(0.0)).alias(f"{c}_off")
                                        for c in value_cols])
-    out = local.join(F.broadcast(offsets), "__pid")
+    run = Window.partitionBy("__pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    out = (local.select("*", *[F.coalesce(F.sum(F.col(c).cast("double")).over(run), F.lit(0.0)).alias(f"{c}_cum")
+                               for c in value_cols])
+           .join(F.broadcast(offsets), "__pid"))
     for c in value_cols:
         out = out.withColumn(f"{c}_cum", F.col(f"{c}_cum") + F.col(f"{c}_off")).drop(f"{c}_off")
     return out.drop("__pid")

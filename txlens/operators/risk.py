@@ -7,12 +7,15 @@ single row is read back, like a fitted scaler, and never joined to the data.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from txlens import constants as K
 from txlens.functions.scalars import with_scalars
+from txlens.operators.vector_sums import matrix, sum_vectors
 
 
 def minmax_stats(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -110,47 +113,110 @@ def blacklist(user_scores: DataFrame, flagged_at, threshold: float = K.BLACKLIST
             .select("user_id", at.alias("flagged_at"), F.lit(K.BLACKLIST_REASON).alias("reason")))
 
 
+def _uniform(h: np.ndarray, salt: int) -> np.ndarray:
+    """Uniform numbers in (0, 1) from 64-bit hashes, another series per salt."""
+    x = h.astype("uint64") + np.uint64((salt * 0x9E3779B97F4A7C15) % (1 << 64))
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype("float64") / 2.0 ** 53 + 2.0 ** -54
+
+
+def _squared_distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return ((x[:, None, :] - centres[None]) ** 2).sum(axis=2)
+
+
+def _draw_centres(points: DataFrame, d: int, centres: list[np.ndarray], seed: int) -> list[np.ndarray]:
+    """One more centre per start, drawn with probability weight x squared distance to
+    the start's centres (k-means++): a row's logarithmic weight plus a Gumbel number
+    of its hash; the largest wins.  One pass for all starts."""
+    starts = len(centres)
+
+    def best(batches):
+        key, at = np.full(starts, -np.inf), np.zeros((starts, d))
+        for b in batches:
+            x, w, h = matrix(b, 0, d), b.column(d).to_numpy(), b.column(d + 1).to_numpy()
+            for s in range(starts if len(w) else 0):
+                far = _squared_distances(x, centres[s]).min(axis=1) if len(centres[s]) else np.ones(len(w))
+                with np.errstate(divide="ignore"):
+                    own = np.log(w * far) - np.log(-np.log(_uniform(h, (seed + s) * 1009 + len(centres[s]))))
+                i = int(own.argmax())
+                if own[i] > key[s]:
+                    key[s], at[s] = own[i], x[i]
+        found = np.flatnonzero(key > -np.inf)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(found, pa.int32()), pa.array(key[found]), pa.array(list(at[found]), pa.list_(pa.float64()))],
+            names=["s", "key", "x"])
+
+    drawn = (points.mapInArrow(best, "s int, key double, x array<double>").groupBy("s")
+             .agg(F.max(F.struct("key", "x")).alias("m")).collect())                     # a row per start
+    of = {r.s: np.array(r.m.x) for r in drawn}
+    return [np.vstack([c, of[s]]) for s, c in enumerate(centres)]
+
+
+def _lloyd_pass(points: DataFrame, d: int, centres: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, float]]:
+    """(sums, weights, cost) of each start's clusters, all in one pass."""
+    k = len(centres[0])
+    width = k * (d + 1) + 1
+
+    def partial(batches):
+        total = np.zeros((len(centres), width))
+        for b in batches:
+            x, w = matrix(b, 0, d), b.column(d).to_numpy()
+            for s, c in enumerate(centres):
+                far = _squared_distances(x, c)
+                own = far.argmin(axis=1)
+                total[s, :k] += np.bincount(own, w, k)
+                for j in range(d):
+                    total[s, k + j * k:k + (j + 1) * k] += np.bincount(own, w * x[:, j], k)
+                total[s, -1] += (w * far[np.arange(len(own)), own]).sum()
+        yield total.ravel()
+
+    sums = sum_vectors(points, partial, len(centres) * width).reshape(len(centres), width)
+    return [(v[k:-1].reshape(d, k).T, v[:k], float(v[-1])) for v in sums]
+
+
 def kmeans(df: DataFrame, cols: list[str], k: int = K.CLUSTER_K, starts: int = K.CLUSTER_STARTS,
-           seed: int = K.RISK_SEED, max_iter: int = K.CLUSTER_MAX_ITER, out: str = "cluster"):
-    """ML2: best of ``starts`` k-means runs (lowest training cost) on ``cols``.
-
-    Runs Spark ML's distributed k-means once per seed over the stored feature
-    vectors; cluster ids are renumbered 1..k by ascending centroid
-    (lexicographic), so they do not depend on which start won.  Returns
-    (DataFrame with ``out``, model, cost).  Rows with a NULL or NaN feature
-    take no part in the fit and keep a NULL cluster.  Fewer than k distinct
-    points is an error, as in the original; the exact count runs only when the
-    sketch estimates few points.
+           seed: int = K.RISK_SEED, max_iter: int = K.CLUSTER_MAX_ITER, out: str = "cluster", tol: float = 1e-4):
+    """ML2: best of ``starts`` k-means runs (lowest cost) on ``cols``.
+
+    Equal points are first grouped to one with a weight (narrow, stored).  Every
+    pass over them serves all starts at once: a seeding pass draws one centre for
+    each, a Lloyd pass moves the centres of the starts that still move (by more
+    than ``tol``); so the passes are those of one run.  Draws are hashes of the
+    points: the result does not depend on partitions.  Clusters are numbered 1..k
+    by ascending centre; a row's cluster is an expression over the constants.
+
+    Returns (DataFrame with ``out``, centres, cost).  Rows with a NULL or
+    non-finite feature take no part and get a NULL cluster.  Fewer than k distinct
+    points is an error, as in the original.
     """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import VectorAssembler
-
     from txlens.session import materialize
 
-    whole = F.lit(True)
+    whole, d = F.lit(True), len(cols)
     for c in cols:
-        whole = whole & F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
-    assembler = VectorAssembler(inputCols=cols, outputCol="__features")
-    stored = materialize(df.withColumn("__whole", F.coalesce(whole, F.lit(False))))
-    points = stored.filter("__whole")
-    few = points.agg(F.approx_count_distinct(F.xxhash64(*cols))).first()[0]
-    if few < 20 * k and (distinct := points.select(*cols).distinct().limit(k).count()) < k:
+        x = F.col(c).cast("double")
+        whole = whole & F.coalesce(~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))), F.lit(False))
+    names = [f"x{i}" for i in range(d)]
+    points = materialize(df.filter(whole).select(*[(F.col(c).cast("double") + 0.0).alias(n) for c, n in zip(cols, names)])
+                         .groupBy(*names).agg(F.count(F.lit(1)).cast("double").alias("w"))
+                         .withColumn("h", F.xxhash64(*names)))
+    if (distinct := points.limit(k).count()) < k:
         raise ValueError(f"k-means needs at least {k} distinct points, got {distinct}")
-    vec = assembler.transform(points)
-    fitted = vec.select("__features").persist()
-    best, best_cost = None, None
-    for i in range(starts):
-        model = KMeans(k=k, seed=seed + i, maxIter=max_iter, featuresCol="__features",
-                       predictionCol="__pred").fit(fitted)
-        cost = model.summary.trainingCost
-        if best_cost is None or cost < best_cost:
-            best, best_cost = model, cost
-    fitted.unpersist()
-    centers = [list(map(float, c)) for c in best.clusterCenters()]
-    order = sorted(range(k), key=lambda i: centers[i])
-    relabel = {old: new + 1 for new, old in enumerate(order)}
-    mapping = F.create_map(*[x for old, new in relabel.items() for x in (F.lit(old), F.lit(new))])
-    result = (best.transform(vec).withColumn(out, mapping[F.col("__pred")].cast("int"))
-              .drop("__features", "__pred", "__whole"))
-    rest = stored.filter("NOT __whole").drop("__whole").withColumn(out, F.lit(None).cast("int"))
-    return result.unionByName(rest), best, best_cost
+    centres = [np.zeros((0, d)) for _ in range(starts)]
+    for _ in range(k):
+        centres = _draw_centres(points, d, centres, seed)
+    moving = list(range(starts))
+    for _ in range(max_iter):
+        for s, (sums, weights, _) in zip(list(moving), _lloyd_pass(points, d, [centres[s] for s in moving])):
+            new = np.where(weights[:, None] > 0, sums / np.maximum(weights, 1e-300)[:, None], centres[s])
+            if ((new - centres[s]) ** 2).sum(axis=1).max() <= tol ** 2:
+                moving.remove(s)
+            centres[s] = new
+        if not moving:
+            break
+    costs = [cost for _, _, cost in _lloyd_pass(points, d, centres)]
+    best = int(np.argmin(costs))
+    ordered = sorted(c.tolist() for c in centres[best])
+    far = [F.struct(sum((F.col(c) - F.lit(v)) ** 2 for c, v in zip(cols, centre)).alias("far"), F.lit(i + 1).alias("i"))
+           for i, centre in enumerate(ordered)]
+    return df.withColumn(out, F.when(whole, F.array_min(F.array(*far))["i"]).cast("int")), ordered, costs[best]

@@ -212,9 +212,8 @@ def ml2(spark, sf):
     """
     z = RK.zscore(_smote(spark, sf), CF, ddof=1)
     zc = [f"{c}_z" for c in CF]
-    out, model, cost = RK.kmeans(z, zc, K.CLUSTER_K, K.CLUSTER_STARTS, SEED)
+    out, centres, cost = RK.kmeans(z, zc, K.CLUSTER_K, K.CLUSTER_STARTS, SEED)
     _, _, one = RK.kmeans(z, zc, K.CLUSTER_K, 1, SEED)
-    centres = sorted([float(v) for v in c] for c in model.clusterCenters())
     far = [sum((F.col(c) - F.lit(v)) ** 2 for c, v in zip(zc, centre)) for centre in centres]
     own = F.element_at(F.array(*far), F.col("cluster"))
     used = one_row(out.agg(F.array_sort(F.collect_set("cluster")).alias("c")))["c"]
