@@ -64,21 +64,21 @@ def test_segment():
 
 PIECES = st.sampled_from(["don't", "'s", "''s", "!'S", "<|endoftext|>", "<|ENDOFTEXT|>", "<|", "É", "é", "ΑΣ", "ΑΣ.", "İ",
                           " ", "\n", "\t\x0b", "\x1c", "\x85", " ", "　", "12a", "_", "a.b", "𝒳", "日本", "́x", "\x00",
-                          "WE'LL", "ﬁ", "ǅ", "I'M", "x'"])
+                          "WE'LL", "ﬁ", "ǅ", "I'M", "x'", "ÀÉ", "ß½²", "\u024f\u0250", "\xa0", "\xad\x7f", "ÿŸ", "'SÉ"])
 
 
 @settings(deadline=None, max_examples=300)
 @given(st.lists(PIECES | st.text(max_size=6), max_size=30))
-def test_encoding_by_runs_equals_whole_texts(tokenizer, parts):
+def test_encoding_by_pre_tokens_equals_whole_texts(tokenizer, parts):
     text = "".join(parts).encode("utf-8", "replace").decode()
-    if not hasattr(test_encoding_by_runs_equals_whole_texts, "encode"):
-        test_encoding_by_runs_equals_whole_texts.encode = token_ids.make_encoder(tokenizer)
-    encode = test_encoding_by_runs_equals_whole_texts.encode
+    if not hasattr(test_encoding_by_pre_tokens_equals_whole_texts, "encode"):
+        test_encoding_by_pre_tokens_equals_whole_texts.encode = token_ids.make_encoder(tokenizer)
+    encode = test_encoding_by_pre_tokens_equals_whole_texts.encode
     assert [x.tolist() for x in encode([text, text + " a", ""])] == [whole(tokenizer, t) for t in (text, text + " a", "")]
 
 
-def test_runs_are_forgotten_at_the_bound(tokenizer, monkeypatch):
-    monkeypatch.setattr(token_ids, "KNOWN_RUNS", 20)
+def test_pre_tokens_are_forgotten_at_the_bound(tokenizer, monkeypatch):
+    monkeypatch.setattr(token_ids, "KNOWN", 20)
     encode = token_ids.make_encoder(tokenizer)
     texts = corpora.texts()
     for t in (x or "" for x in texts):
@@ -87,7 +87,7 @@ def test_runs_are_forgotten_at_the_bound(tokenizer, monkeypatch):
 
 def test_other_tokenizers_get_whole_texts():
     byte_level = tokenizer_json("byte_bpe_50k.json")
-    assert not token_ids.blank_separable(byte_level)
+    assert not token_ids.pre_token_wise(byte_level)
     encode = token_ids.make_encoder(byte_level)
     assert [x.tolist() for x in encode(["a  b", " x\n"])] == [whole(byte_level, "a  b"), whole(byte_level, " x\n")]
 

@@ -30,10 +30,12 @@ over the segments that hold them.  A segment is the most a task holds.  The cuts
 (17 bytes a segment, at most ``MAX_SEGMENTS`` of them: beyond that segments become
 larger) are broadcast.
 
-Tokenising: the vocabularies used here drop white space and never join across
-it, so a text is encoded by its runs between ASCII blanks, and a run that was
-met before by the same worker process is looked up (bounded).  ``blank_separable`` checks this of a tokenizer; others
-get whole texts.
+Tokenising: the vocabularies used here normalise, drop white space and merge only
+inside a pre-token.  A pre-token that the worker process met before (bounded) is
+looked up, others go to the library's merges.  Where a run between ASCII blanks
+holds characters from U+0250 on or what looks like an added token, the library
+gets the whole run.  ``pre_token_wise`` checks a tokenizer for all that; others get
+whole texts.
 
 Defined results: NULL text counts as empty (the end id alone); rows that repeat
 an id are documents of their own, one after the other; rows without an id come
@@ -46,6 +48,7 @@ import json
 import re
 import struct
 from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -60,8 +63,7 @@ MAGIC, COUNT = b"TXIDS1\x00\n", b"TXIDN1\x00\n"
 SEGMENT_BYTES = 16 << 20        # of text
 MAX_SEGMENTS = 1 << 19
 SAMPLE = 64
-KNOWN_RUNS = 400_000
-KNOWN_BYTES = 32 << 20
+KNOWN = 400_000         # beyond that a worker forgets what it met
 
 
 # -- Elias-Fano ---------------------------------------------------------------
@@ -177,24 +179,36 @@ class Segment:
 
 # -- tokenising ---------------------------------------------------------------
 
-#: Fixed value: the ASCII part of the pre-token pattern of the lower-casing vocabulary.
-ASCII_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+"
-PRINTABLE = re.compile(rb"[!-~]+").fullmatch
+#: Fixed value: the pre-token pattern of the lower-casing vocabulary.
 LETTERS_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: The same for lower-cased text below U+0250, where letters and numbers are few
+#: ranges; normal form C changes nothing there, and lower-casing takes single
+#: characters (but for U+0130).
+_L, _N, _S = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
+LOW_PIECES = f"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+"
+BEYOND = re.compile("[^\x00-\u012f\u0131-\u024f]|<\\|").search
 
 
-def blank_separable(tokenizer: str) -> bool:
-    """Whether the tokenizer (its JSON) lower-cases, removes white space and
-    splits by ``LETTERS_PATTERN``, so that encoding by runs is exact."""
+def byte_alphabet() -> list[str]:
+    """The character of each byte in byte-level vocabularies: visible Latin-1 bytes
+    stand for themselves, the others follow from U+0100 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = iter(range(256, 512))
+    return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
+
+
+def pre_token_wise(tokenizer: str) -> bool:
+    """Whether the tokenizer (its JSON) lower-cases, removes white space, splits by
+    ``LETTERS_PATTERN`` and merges bytes, so that encoding by pre-tokens is exact."""
     spec = json.loads(tokenizer)
     kinds = [x.get("type") for x in (spec.get("normalizer") or {}).get("normalizers", [])]
-    steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
-    split = steps[0] if steps else {}
-    added = spec.get("added_tokens", [])
+    split, *after = (spec.get("pre_tokenizer") or {}).get("pretokenizers", []) or [{}]
     return (kinds == ["NFC", "Replace", "Lowercase"] and split.get("type") == "Split"
             and split.get("pattern") == {"Regex": LETTERS_PATTERN} and split.get("behavior") == "Removed"
-            and bool(split.get("invert"))
-            and all(t["content"].startswith("<|") and not (t["lstrip"] or t["rstrip"] or t["normalized"]) for t in added))
+            and bool(split.get("invert")) and [x.get("type") for x in after] == ["ByteLevel"]
+            and not after[0].get("add_prefix_space") and spec["model"].get("type") == "BPE"
+            and all(t["content"].startswith("<|") and not (t["lstrip"] or t["rstrip"] or t["normalized"])
+                    for t in spec.get("added_tokens", [])))
 
 
 def process_encoder(tokenizer: str) -> Callable[[list[str]], list[np.ndarray]]:
@@ -221,65 +235,46 @@ def make_encoder(tokenizer: str) -> Callable[[list[str]], list[np.ndarray]]:
     def plain(texts: list[str]) -> list[list[int]]:
         return [e.ids for e in model.encode_batch_fast(texts, add_special_tokens=False)]
 
-    if not blank_separable(tokenizer):
+    if not pre_token_wise(tokenizer):
         return lambda texts: [np.array(x, "uint32") for x in plain(texts)]
-    pieces_of = re.compile(ASCII_PIECES.encode()).findall
-    merge = model.model.tokenize     # of a pre-token in the byte alphabet, where ! to ~ stand for themselves
-    number: dict[bytes, int] = {}        # run -> row of ``flat``
-    piece_ids: dict[bytes, list[int]] = {}
-    state = {"flat": np.zeros(0, "uint32"), "at": np.zeros(1, "int64"), "bytes": 0}
-
-    def learn(new: list[bytes]) -> None:
-        if len(number) + len(new) > KNOWN_RUNS or state["bytes"] > KNOWN_BYTES:
-            raise OverflowError
-        parts, whole = [], {}
-        for run in new:
-            # the whole run where letters beyond ASCII or an added token may be in it
-            if not PRINTABLE(run) or b"<|" in run:
-                p = [run]
-                if run not in piece_ids:
-                    whole[run] = None
-            else:
-                p = pieces_of(run)
-                for x in p:
-                    if x not in piece_ids:
-                        piece_ids[x] = [t.id for t in merge(x.decode())]
-            parts.append(p)
-        if whole:
-            piece_ids.update(zip(whole, plain([x.decode("utf-8", "replace") for x in whole])))
-        got = [[i for x in p for i in piece_ids[x]] for p in parts]
-        sizes = np.fromiter(map(len, got), "int64", len(got))
+    pieces_of, merge, alphabet = re.compile(LOW_PIECES).findall, model.model.tokenize, byte_alphabet()
+    number: dict[str, int] = {}          # pre-token, or blank and run -> row of ``flat``
+    state = {"flat": np.zeros(0, "uint32"), "at": np.zeros(1, "int64")}
+
+    def keys_of(text: str) -> list[str]:
+        if ("<|" not in text) if text.isascii() else not BEYOND(text):
+            return pieces_of(text.lower())
+        out = []
+        for run in re.split("[\t-\r ]+", text):
+            out += [" " + run] if BEYOND(run) else pieces_of(run.lower())
+        return out
+
+    def learn(new: list[str]) -> None:
+        runs = [k[1:] for k in new if k[0] == " "]
+        whole = iter(plain(runs) if runs else [])
+        got = [next(whole) if k[0] == " " else
+               [t.id for t in merge(k if k.isascii() and k.isprintable() else
+                                    "".join([alphabet[b] for b in k.encode()]))] for k in new]
         state["flat"] = np.concatenate([state["flat"], np.array([i for g in got for i in g], "uint32")])
-        state["at"] = np.concatenate([state["at"], state["at"][-1] + np.cumsum(sizes)])
-        state["bytes"] += sum(map(len, new)) + 4 * int(sizes.sum())
+        state["at"] = np.concatenate([state["at"], state["at"][-1] + np.cumsum([len(g) for g in got], dtype="int64")])
         number.update(zip(new, range(len(number), len(number) + len(new))))
 
-    def forget() -> None:
-        number.clear()
-        piece_ids.clear()
-        state.update(flat=np.zeros(0, "uint32"), at=np.zeros(1, "int64"), bytes=0)
-
     def encode(texts: list[str]) -> list[np.ndarray]:
-        runs = []
-        for t in texts:
-            data = t.encode("utf-8", "surrogatepass")
-            # A-Z may be lower-cased first, but not in what looks like an added token
-            runs.append(data.lower().split() if b"<|" not in data else
-                        [r if b"<|" in r else r.lower() for r in data.split()])
-        new = list({r for p in runs for r in p if r not in number})
-        try:
-            learn(new)
-        except OverflowError:
-            forget()
-            if sum(map(len, new)) > KNOWN_BYTES or len(new) > KNOWN_RUNS:
-                return [np.array(x, "uint32") for x in plain(texts)]
-            learn(list({r for p in runs for r in p}))
-        rows = np.fromiter((number[r] for p in runs for r in p), "int64")
+        keys = [keys_of(t) for t in texts]
+        flat_keys = [k for own in keys for k in own]
+        if len(number) > KNOWN:
+            number.clear()
+            state.update(flat=np.zeros(0, "uint32"), at=np.zeros(1, "int64"))
+        rows = np.fromiter(map(number.get, flat_keys, repeat(-1)), "int64", len(flat_keys))
+        unknown = np.flatnonzero(rows < 0).tolist()
+        if unknown:
+            learn(list(dict.fromkeys([flat_keys[i] for i in unknown])))
+            rows[unknown] = [number[flat_keys[i]] for i in unknown]
         first, size = state["at"][rows], np.diff(state["at"])[rows]
         total = np.cumsum(size)
         flat = state["flat"][np.arange(total[-1] if len(total) else 0) + np.repeat(first - total + size, size)]
-        ends = np.concatenate([[0], total])[np.cumsum([len(p) for p in runs])] if runs else []
-        return np.split(flat, ends[:-1]) if len(runs) else []
+        ends = np.concatenate([[0], total])[np.cumsum([len(own) for own in keys])] if keys else []
+        return np.split(flat, ends[:-1]) if len(keys) else []
 
     return encode
 
