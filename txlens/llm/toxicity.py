@@ -1,10 +1,12 @@
 """Toxicity by a classifier chain of logistic models.
 
 Categories are predicted one after the other.  Every model sees the text's
-features (presence of the ``TERMS`` most telling words, document statistics) and
-the log odds that the earlier models of the chain gave.  While training, those
-come from models that did not see the row: each category is fitted once per
-fold left out and once on all folds, in the same passes.
+features (presence of the ``TERMS`` words that say most about its category,
+document statistics) and the probabilities that the earlier models of the chain
+gave.  While training, those come from models that did not see the row: each
+category is fitted once per fold left out and once on all folds, in the same
+passes, and a model that leaves a fold out has its words chosen without that
+fold's labels too.
 
 The models are fitted on a documented, bounded sample: the ``MAX_TRAINING``
 labelled ids with the smallest hashes.  Its ids and labels are broadcast (the
@@ -23,11 +25,12 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,6 +46,7 @@ FOLDS = 5
 STEPS = 8
 RIDGE = 1.0
 FLUSH = 200_000
+FLUSH_BYTES = 16 << 20
 
 
 def terms_of(text: bytes) -> set[bytes]:
@@ -52,14 +56,15 @@ def terms_of(text: bytes) -> set[bytes]:
 @dataclass
 class ToxicityModel:
     categories: list[str]
-    index: dict[bytes, int]
+    index: dict[bytes, int]         # the words of all models
     centre: np.ndarray = field(default_factory=lambda: np.zeros(len(NAMES)))
     scale: np.ndarray = field(default_factory=lambda: np.ones(len(NAMES)))
-    #: per category: weights by (fold left out ..., all), one row each
-    chain: list[np.ndarray] = field(default_factory=list)
+    #: per category and model (fold left out ..., all): its words and its weights
+    words: list[list[np.ndarray]] = field(default_factory=list)
+    chain: list[list[np.ndarray]] = field(default_factory=list)
 
     def features(self, texts: list[bytes]) -> np.ndarray:
-        """Rows of (1, terms, statistics), all texts as a matrix."""
+        """Rows of (1, words, statistics), all texts as a matrix."""
         n, m = len(texts), len(self.index)
         x = np.zeros((n, 1 + m + len(NAMES)))
         x[:, 0] = 1
@@ -71,16 +76,25 @@ class ToxicityModel:
         x[:, 1 + m:] = np.clip((x[:, 1 + m:] - self.centre) / self.scale, -8, 8)
         return x
 
-    def log_odds(self, x: np.ndarray, which: np.ndarray) -> np.ndarray:
+    def probabilities(self, x: np.ndarray, which: np.ndarray) -> np.ndarray:
         """One column per fitted category; ``which`` names each row's model."""
-        for w in self.chain:
-            odds = np.clip((x * w[which]).sum(axis=1), -30, 30)
-            x = np.column_stack([x, odds / 4])
-        return x[:, x.shape[1] - len(self.chain):] * 4 if self.chain else np.zeros((len(x), 0))
+        p = np.zeros((len(x), 0))
+        for words, weights in zip(self.words, self.chain):
+            odds = np.zeros(len(x))
+            for k in np.unique(which):
+                at = which == k
+                odds[at] = inputs(x[at], words[k], p[at]) @ weights[k]
+            p = np.column_stack([p, _sigmoid(odds)])
+        return p
+
+
+def inputs(x: np.ndarray, words: np.ndarray, earlier: np.ndarray) -> np.ndarray:
+    """What one model sees: 1, its words, the statistics, the earlier probabilities."""
+    return np.column_stack([x[:, :1], x[:, 1 + words], x[:, x.shape[1] - len(NAMES):], earlier])
 
 
 def _sigmoid(v: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(v, -700, 700)))
+    return 1 / (1 + np.exp(-np.clip(v, -30, 30)))
 
 
 def labelled_sample(labels: DataFrame, categories: dict[str, Column], usable: Column | None,
@@ -101,117 +115,142 @@ def labelled_sample(labels: DataFrame, categories: dict[str, Column], usable: Co
             .select("doc_id", F.pmod("h", F.lit(FOLDS)).cast("int").alias("fold"), "y"))
 
 
-def select_terms(rows: DataFrame, terms: int = TERMS) -> list[bytes]:
-    """The words whose presence says most about the first category (G^2 of the
-    2 x 2 table of texts), at most ``terms``."""
+def select_terms(rows: DataFrame, categories: int, terms: int = TERMS) -> list[list[list[bytes]]]:
+    """Per category and model (each fold left out, then all): the words whose
+    presence says most about the category (G^2 of the 2 x 2 table of texts) among
+    the rows the model may see, at most ``terms``."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
+        held = 0
 
         def out() -> pa.RecordBatch:
             keys = list(seen)
             got = pa.RecordBatch.from_arrays(
                 [pa.array([k[0] for k in keys], pa.binary()), pa.array([k[1] for k in keys], pa.int32()),
-                 pa.array([seen[k] for k in keys], pa.int64())], names=["term", "y", "n"])
+                 pa.array([k[2] for k in keys], pa.int32()), pa.array([seen[k] for k in keys], pa.int64())],
+                names=["term", "fold", "y", "n"])
             seen.clear()
             return got
 
         for b in batches:
-            for text, y in zip(b.column(0), b.column(1).to_pylist()):
-                seen.update((w, y) for w in terms_of(text.as_py()))
-                if len(seen) > FLUSH:
+            for text, fold, y in zip(b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                words = terms_of(text.as_py())
+                seen.update((w, fold, y) for w in words)
+                held += sum(map(len, words))
+                if len(seen) > FLUSH or held > FLUSH_BYTES:
                     yield out()
+                    held = 0
         yield out()
 
-    first = rows.select("text", F.col("y")[0].alias("y"))
-    sizes = {r.y: r.n for r in first.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}   # two rows
-    pos, neg = float(sizes.get(1, 0)), float(sizes.get(0, 0))
-    if not pos or not neg:
-        return []
-    table = (first.mapInArrow(count, "term binary, y int, n long").groupBy("term")
-             .agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).cast("double").alias("a"),
-                  F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).cast("double").alias("b"))
-             .filter(F.col("a") + F.col("b") >= MIN_TEXTS))
-    with_term, without = F.col("a") + F.col("b"), F.lit(pos + neg) - F.col("a") - F.col("b")
-    total = F.lit(pos + neg)
+    # labels as one number, a bit per category
+    code = reduce(lambda a, b: a + b, [F.col("y")[c] * (1 << c) for c in range(categories)])
+    coded = rows.select("text", "fold", code.cast("int").alias("y"))
+    sizes = {(r.fold, r.y): r.n for r in coded.groupBy("fold", "y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    models = [(c, k) for c in range(categories) for k in range(FOLDS + 1)]
+
+    def seen_by(c: int, k: int, label: int) -> Column:
+        return (F.col("fold") != k) & (F.col("y").bitwiseAND(F.lit(1 << c)) == (label << c))
+
+    def texts_of(c: int, k: int, label: int) -> float:
+        return float(sum(n for (fold, y), n in sizes.items() if fold != k and (y >> c & 1) == label))
+
+    counts = coded.mapInArrow(count, "term binary, fold int, y int, n long")
+    table = counts.groupBy("term").agg(*[
+        F.sum(F.when(seen_by(c, k, label), F.col("n")).otherwise(0)).cast("double").alias(f"{name}{c}_{k}")
+        for c, k in models for name, label in (("a", 1), ("b", 0))])
+
+    def gain(c: int, k: int) -> Column:
+        a, b, pos, neg = F.col(f"a{c}_{k}"), F.col(f"b{c}_{k}"), texts_of(c, k, 1), texts_of(c, k, 0)
+        total = F.lit(pos + neg)
+
+        def part(seen: Column, row: Column, column: float) -> Column:
+            return F.when(seen > 0, seen * F.log(seen * total / (row * F.lit(column)))).otherwise(0.0)
 
-    def part(seen: Column, row: Column, column: float) -> Column:
-        return F.when(seen > 0, seen * F.log(seen * total / (row * F.lit(column)))).otherwise(0.0)
+        g = (part(a, a + b, pos) + part(b, a + b, neg)
+             + part(F.lit(pos) - a, total - a - b, pos) + part(F.lit(neg) - b, total - a - b, neg))
+        return F.when((a + b >= MIN_TEXTS) & F.lit(pos > 0 and neg > 0), g)
 
-    gain = (part(F.col("a"), with_term, pos) + part(F.col("b"), with_term, neg)
-            + part(F.lit(pos) - F.col("a"), without, pos) + part(F.lit(neg) - F.col("b"), without, neg))
-    best = table.withColumn("gain", gain).orderBy(F.desc("gain"), "term").limit(terms).collect()   # at most ``terms``
-    return [bytes(r.term) for r in best]
+    each = table.select("term", F.explode(F.array(*[F.struct(F.lit(i).alias("model"), gain(c, k).alias("gain"))
+                                                    for i, (c, k) in enumerate(models)])).alias("m"))
+    ranked = each.filter("m.gain IS NOT NULL").withColumn(
+        "rank", F.row_number().over(Window.partitionBy("m.model").orderBy(F.desc("m.gain"), "term")))
+    found: list[list[list[bytes]]] = [[[] for _ in range(FOLDS + 1)] for _ in range(categories)]
+    best = ranked.filter(F.col("rank") <= terms).select("m.model", "rank", "term")
+    for r in sorted(best.collect(), key=lambda r: (r.model, r["rank"])):          # at most ``terms`` per model
+        c, k = models[r.model]
+        found[c][k].append(bytes(r.term))
+    return found
 
 
 def fit(rows: DataFrame, categories: list[str], terms: int = TERMS) -> ToxicityModel:
     """The chain from (text binary, fold, y) rows."""
-    words = select_terms(rows, terms)
-    model = ToxicityModel(categories, {w: i for i, w in enumerate(words)})
-    m, s = len(words), len(NAMES)
+    chosen = select_terms(rows, len(categories), terms)
+    every = sorted({w for by_model in chosen for words in by_model for w in words})
+    model = ToxicityModel(categories, {w: i for i, w in enumerate(every)})
+    m, s = len(every), len(NAMES)
 
     @F.pandas_udf(T.BinaryType())
     def packed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            x = model.features([bytes(t) for t in texts]).astype("float32")
-            yield pd.Series([r.tobytes() for r in x])
+            out = []
+            for i in range(0, len(texts), 512):
+                x = model.features([bytes(t) for t in texts.iloc[i:i + 512]]).astype("float32")
+                out += [r.tobytes() for r in x]
+            yield pd.Series(out)
 
     stored = materialize(rows.select(packed("text").alias("x"), "fold", "y"))
 
-    def table(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        x = np.frombuffer(b"".join(b.column(0).to_pylist()), "float32").reshape(b.num_rows, -1).astype("float64")
-        return x, b.column(1).to_numpy(), b.column(2).flatten().to_numpy().reshape(b.num_rows, -1)
+    def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 1024):
+                b = batch.slice(i, 1024)
+                x = np.frombuffer(b"".join(b.column(0).to_pylist()), "float32").reshape(b.num_rows, -1).astype("float64")
+                yield x, b.column(1).to_numpy(), np.array(b.column(2).to_pylist(), "float64").reshape(b.num_rows, -1)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-        for b in batches:
-            if b.num_rows:
-                x = table(b)[0][:, 1 + m:]
-                yield np.concatenate([[len(x)], x.sum(axis=0), (x * x).sum(axis=0)])
+        for x, _, _ in tables(batches):
+            x = x[:, 1 + m:]
+            yield np.concatenate([[len(x)], x.sum(axis=0), (x * x).sum(axis=0)])
 
     got = sum_vectors(stored, spread, 1 + 2 * s)
     n = max(1.0, got[0])
     centre = got[1:1 + s] / n
     var = got[1 + s:] / n - centre ** 2
     scale = np.sqrt(np.where(var > 1e-6, var, 1.0))
-    width = 1 + m + s
-
-    def standard(x: np.ndarray) -> np.ndarray:
-        x = x.copy()
-        x[:, 1 + m:] = np.clip((x[:, 1 + m:] - centre) / scale, -8, 8)
-        return x
-
     for c in range(len(categories)):
-        d = width + c
-        w = np.zeros((FOLDS + 1, d))
+        words = [np.array([model.index[w] for w in chosen[c][k]], "int64") for k in range(FOLDS + 1)]
+        sizes = [1 + len(own) + s + c for own in words]
+        wide = max(sizes)
+        w = [np.zeros(d) for d in sizes]
         for _ in range(STEPS):
-            now, prior = w.copy(), model.chain
+            now, so_far = list(w), (list(model.words), list(model.chain))
 
             def newton(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-                total = np.zeros((FOLDS + 1, d + d * d))
-                so_far = ToxicityModel(categories, {}, chain=prior)
-                for b in batches:
-                    if not b.num_rows:
-                        continue
-                    x, fold, y = table(b)
-                    x = standard(x)
+                total = np.zeros((FOLDS + 1, wide + wide * wide))
+                earlier = ToxicityModel(categories, {}, words=so_far[0], chain=so_far[1])
+                for x, fold, y in tables(batches):
+                    x[:, 1 + m:] = np.clip((x[:, 1 + m:] - centre) / scale, -8, 8)
                     # earlier categories as seen by the models without this row's fold
-                    x = np.column_stack([x, so_far.log_odds(x, fold) / 4])
-                    for k in range(FOLDS + 1):
+                    p_earlier = earlier.probabilities(x, fold)
+                    for k, d in enumerate(sizes):
                         at = fold != k
-                        p = _sigmoid(x[at] @ now[k])
-                        total[k, :d] += x[at].T @ (y[at, c] - p)
-                        total[k, d:] += ((x[at] * (p * (1 - p))[:, None]).T @ x[at]).ravel()
+                        own = inputs(x[at], words[k], p_earlier[at])
+                        p = _sigmoid(own @ now[k])
+                        total[k, :d] += own.T @ (y[at, c] - p)
+                        total[k, wide:wide + d * d] += ((own * (p * (1 - p))[:, None]).T @ own).ravel()
                 yield total.ravel()
 
-            sums = sum_vectors(stored, newton, (FOLDS + 1) * (d + d * d)).reshape(FOLDS + 1, -1)
-            ridge = np.full(d, RIDGE)
-            ridge[0] = 1e-3
-            step = np.array([np.linalg.solve(v[d:].reshape(d, d) + np.diag(ridge), v[:d] - ridge * u)
-                             for u, v in zip(w, sums)])
-            longest = np.abs(step).max()
-            w = w + step * min(1.0, 5.0 / max(longest, 1e-12))
+            sums = sum_vectors(stored, newton, (FOLDS + 1) * (wide + wide * wide)).reshape(FOLDS + 1, -1)
+            steps = []
+            for v, u, d in zip(sums, w, sizes):
+                ridge = np.full(d, RIDGE)
+                ridge[0] = 1e-3
+                steps.append(np.linalg.solve(v[wide:wide + d * d].reshape(d, d) + np.diag(ridge), v[:d] - ridge * u))
+            longest = max(np.abs(x).max() for x in steps)
+            w = [u + x * min(1.0, 5.0 / max(longest, 1e-12)) for u, x in zip(w, steps)]
             if longest < 1e-3:
                 break
-        model.chain = [*model.chain, w]
+        model.words, model.chain = [*model.words, words], [*model.chain, w]
     model.centre, model.scale = centre, scale
     return model
 
@@ -234,6 +273,6 @@ def score_udf(model: ToxicityModel):
             out = []
             for i in range(0, len(texts), 512):
                 x = model.features([bytes(t) for t in texts.iloc[i:i + 512]])
-                out += list(_sigmoid(model.log_odds(x, np.full(len(x), FOLDS))))
+                out += list(model.probabilities(x, np.full(len(x), FOLDS)))
             yield pd.Series(out)
     return score
