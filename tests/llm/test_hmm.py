@@ -18,7 +18,7 @@ from txlens.llm import hmm
 def tiny_chain(k=3, classes=hmm.CLASSES, seed=5):
     rng = np.random.default_rng(seed)
     norm = lambda a, ax: a / a.sum(axis=ax, keepdims=True)
-    return hmm.Chain(norm(rng.random(k), 0), norm(rng.random(k), 0), norm(rng.random((k, k)), 1),
+    return hmm.Chain(norm(rng.random(k), 0), norm(rng.random((k, k)), 1),
                      norm(rng.random((classes, k)), 0))
 
 
@@ -48,10 +48,9 @@ def test_forward_survives_long_texts():
 def test_expected_counts_match_enumeration():
     chain = tiny_chain()
     k = len(chain.start)
-    block = np.array([[4, 6, hmm.END, 9, 4, 2]], "<i2")       # one text, then the head of the next
-    got = hmm.expected_counts(block, np.array([True]), chain)
+    texts = [np.array(x, "<i2") for x in ([4, 6, hmm.END], [hmm.END], [9, 4, 2, 4, hmm.END], [1, hmm.END])]
     start, move, emit = np.zeros(k), np.zeros((k, k)), np.zeros_like(chain.emit)
-    for seq in (block[0, :3], block[0, 3:]):
+    for seq in texts:
         all_paths = list(paths(seq, chain, chain.start))
         z = sum(p for _, p in all_paths)
         for path, p in all_paths:
@@ -60,7 +59,10 @@ def test_expected_counts_match_enumeration():
                 emit[seq[t], s] += p / z
                 if t:
                     move[path[t - 1], s] += p / z
-    np.testing.assert_allclose(got, np.concatenate([start, move.ravel(), emit.ravel()]), atol=1e-10)
+    for group in (1 << 20, 4, 1):            # forward values of all steps, or of few at a time
+        got = hmm.expected_counts(texts, chain, group)
+        np.testing.assert_allclose(got, np.concatenate([start, move.ravel(), emit.ravel()]), atol=1e-10)
+    assert not hmm.expected_counts([], chain).any()
 
 
 def test_training_raises_the_likelihood(spark):
@@ -105,6 +107,50 @@ def test_documents(spark, monkeypatch):
         assert r.score < 0 and r.trained != held(r.doc_id)
 
 
+def test_scores_do_not_depend_on_partitions_and_follow_the_model(spark, monkeypatch):
+    """The same scores for 1, 3 and 7 partitions; each is the chain's forward
+    probability of the classes times each word's share of its class."""
+    monkeypatch.setattr(hmm, "HEAVY", 60)
+    monkeypatch.setattr(hmm, "GROUP", 3000)
+    monkeypatch.setattr(hmm, "TOGETHER", 9000)
+    rows = [(i, t) for i, (_, t, *_) in enumerate(corpora.rows(n=40))]
+    trained = {i for i, _ in rows if i % 5}
+    chains, train = [], hmm.train_chain
+    monkeypatch.setattr(hmm, "train_chain", lambda *a, **k: chains.append(train(*a, **k)) or chains[-1])
+    runs = []
+    for n in (1, 3, 7):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(n)
+        runs.append({r.doc_id: r.score for r in hmm.score_documents(docs, F.col("doc_id") % 5 != 0, rounds=3).collect()})
+    for other in runs[1:]:
+        assert all(abs(other[i] - runs[0][i]) <= 1e-9 * abs(runs[0][i]) for i in runs[0])
+    chain, split = chains[0], lambda t: (t or "").encode().lower().split()
+    count = Counter(w for i, t in rows if i in trained for w in split(t))
+    counts = spark.createDataFrame([(bytearray(w), c) for w, c in count.items()], "word binary, c long")
+    own = {bytes(r.word): i for i, r in enumerate(hmm.heavy_words(counts, 60))}
+    inside = {}
+    for w, c in count.items():
+        if w not in own:
+            inside.setdefault(hmm.shape_class(w), []).append(c)
+    for i, t in rows:
+        kinds, log = [], 0.0
+        for w in split(t):
+            kinds.append(own.get(w, hmm.shape_class(w)))
+            if w not in own:
+                c = inside.get(kinds[-1], [])
+                log += math.log10((count[w] + 1) / (sum(c) + len(c) + 1))
+        a = chain.start
+        for j, o in enumerate([*kinds, hmm.END]):
+            a = (a if j == 0 else a @ chain.move) * chain.emit[o]
+            log += math.log10(a.sum())
+            a = a / a.sum()
+        assert runs[0][i] == pytest.approx(log, rel=1e-9)
+
+
+def test_long_words_are_not_broadcast(spark):
+    rows = spark.createDataFrame([("w" * 500 + " w",)] * 9, "t string").select(F.col("t").cast("binary").alias("text"))
+    assert [bytes(r.word) for r in hmm.heavy_words(hmm.word_counts(rows))] == [b"w"]
+
+
 def test_word_probabilities_add_up(spark, monkeypatch):
     """In a state the classes add up to 1, and in a class its known words and one unknown type do."""
     rows = spark.createDataFrame([("a a b c d d d e",), ("b c f",)], "t string").select(F.col("t").cast("binary").alias("text"))

@@ -4,8 +4,8 @@ sequence likelihood by the scaled forward recursion.
 Tokens are lower-cased words and one end per text.  The emission of a word is
 factored: a state emits a class, the class emits the word.
 
-* The ``OWN`` most frequent training words (fewer if equally rare words would
-  exceed the bounds) and the end are classes of their own.
+* The ``OWN`` most frequent training words of at most ``HEAVY_BYTES`` bytes (fewer if
+  equally rare words would exceed the bounds) and the end are classes of their own.
 * Every other word, known or not, belongs to one of ``SHAPES`` classes by the
   hash of its last bytes, and has probability (c + 1) / (N_k + V_k + 1) inside
   its class (c: its training count; N_k, V_k: training tokens and distinct
@@ -23,9 +23,11 @@ a shuffle join, so that no very frequent word ever is a join key; (3) Baum-Welch
 over the stored class numbers of all training texts; (4) the forward recursion
 over every text.
 
-For training the texts of a task form one stream, cut into equal blocks (a
-block that begins inside a text starts from the mean state distribution); the
-score itself is exact over whole texts.
+Training is exact: forward and backward run over whole texts, many at a time,
+longest first.  Where a group of texts is longer than ``GROUP`` tokens, the forward
+values are kept at a few places only and computed again from there, so memory does
+not follow the longest text.  The counts are sums over texts: they do not depend
+on how the rows are dealt to tasks.
 
 Defined results: NULL text counts as empty (one end token); rows that repeat an
 id are rows of their own; a NULL id is a training row; without training rows
@@ -56,10 +58,13 @@ END = OWN                       # class number of the end
 CLASSES = OWN + 1 + SHAPES
 HEAVY = 65_536
 SUFFIX = 4
-BLOCK = 128
+GROUP = 1 << 20                 # tokens whose forward values are held at a time
+TOGETHER = 1 << 23              # tokens of the texts that are run through together
 ROUNDS = 6
 PRIOR = 200.0                   # pseudo tokens of the overall class shares in each state
 FLUSH = 300_000
+FLUSH_BYTES = 256 << 20
+HEAVY_BYTES = 64                # longer words are never broadcast
 SEED = 11
 
 
@@ -82,6 +87,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
     """(word, c) over the one binary column of ``texts``."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
+        held = 0
 
         def out() -> pa.RecordBatch:
             got = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())],
@@ -91,9 +97,12 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
         for b in batches:
             for text in b.column(0):
-                seen.update(words(text.as_py()))
-                if len(seen) > FLUSH:
+                own = text.as_py()
+                seen.update(words(own))
+                held += len(own)
+                if len(seen) > FLUSH or held > FLUSH_BYTES:      # distinct words cannot exceed the texts
                     yield out()
+                    held = 0
         yield out()
 
     return texts.mapInArrow(count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
@@ -119,7 +128,10 @@ class Vocabulary:
 def heavy_words(counts: DataFrame, limit: int = HEAVY) -> list:
     """The words at or above the lowest count level that at most ``limit`` words
     reach, most frequent first.  Levels are 16 steps an octave; their sizes (a
-    row each) are counted first, so that no partition sends more than its share."""
+    row each) are counted first, so that no partition sends more than its share.
+    Words of more than ``HEAVY_BYTES`` are left out: they meet the count table like
+    the rare ones."""
+    counts = counts.filter(F.octet_length("word") <= HEAVY_BYTES)
     level = F.floor(F.log2("c") * 16).cast("int")
     sizes = sorted(((r.level, r.n) for r in counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).collect()),
                    reverse=True)
@@ -210,7 +222,6 @@ def encode_documents(docs: DataFrame, voc: Vocabulary, keep: list[str]) -> DataF
 @dataclass
 class Chain:
     start: np.ndarray            # K
-    mean: np.ndarray             # K: state shares, for blocks that begin inside a text
     move: np.ndarray             # K x K
     emit: np.ndarray             # CLASSES x K
 
@@ -221,53 +232,71 @@ class Chain:
         move = np.full((states, states), 0.05 / max(1, states - 1))
         np.fill_diagonal(move, 0.95 if states > 1 else 1.0)
         even = np.full(states, 1 / states)
-        return Chain(even, even, move, emit / emit.sum(axis=0))
+        return Chain(even, move, emit / emit.sum(axis=0))
 
 
-def expected_counts(seen: np.ndarray, fresh: np.ndarray, chain: Chain) -> np.ndarray:
-    """Baum-Welch counts of blocks (blocks x length): start (K), moves (K x K) and
-    emissions (CLASSES x K) in one vector.  ``fresh``: the block begins a text."""
-    n, length = seen.shape
+def expected_counts(texts: list[np.ndarray], chain: Chain, group: int = GROUP) -> np.ndarray:
+    """Baum-Welch counts of whole texts: start (K), moves (K x K) and emissions
+    (CLASSES x K) in one vector."""
     k = len(chain.start)
-    o = np.ascontiguousarray(seen.T)
-    alpha, scale = np.empty((length, n, k)), np.empty((length, n))
-    ends = o == END
-    for t in range(length):
-        if t == 0:
-            a = np.where(fresh[:, None], chain.start, chain.mean)
-        else:
-            a = alpha[t - 1] @ chain.move
-            a[ends[t - 1]] = chain.start
-        a *= chain.emit[o[t]]
-        scale[t] = a.sum(axis=1)
-        a /= scale[t][:, None]
-        alpha[t] = a
-    start, moves = np.zeros(k), np.zeros((k, k))
-    beta = np.ones((n, k))
-    gamma = alpha.copy()
-    for t in range(length - 2, -1, -1):
-        w = beta * chain.emit[o[t + 1]]
-        w /= scale[t + 1][:, None]
-        over = ends[t]
-        start += (chain.start * w[over]).sum(axis=0)
-        beta = w @ chain.move.T
-        beta[over] = 1.0
-        w[over] = 0.0
-        moves += alpha[t].T @ w
-        gamma[t] *= beta
-    start += gamma[0][fresh].sum(axis=0)
-    flat = o.ravel()
-    emit = np.stack([np.bincount(flat, gamma[:, :, j].ravel(), len(chain.emit)) for j in range(k)], 1)
-    return np.concatenate([start, (moves * chain.move).ravel(), emit.ravel()])
+    starts, moves, emits = np.zeros(k), np.zeros((k, k)), np.zeros((len(chain.emit), k))
+    texts = [x for x in texts if len(x)]
+    if not texts:
+        return np.concatenate([starts, moves.ravel(), emits.ravel()])
+    flat, at, active = ragged(texts)
+    upto = np.concatenate([[0], np.cumsum(active)])
+    # steps in parts of about ``group`` tokens (one step at least)
+    cuts, t = [0], 0
+    while t < len(active):
+        t = max(t + 1, int(np.searchsorted(upto, upto[t] + group, "right")) - 1)
+        cuts.append(min(t, len(active)))
+    back = chain.move.T.copy()
+
+    def forward(first: int, last: int, a: np.ndarray | None, keep: bool):
+        """alpha of the steps first .. last - 1 (all, or the last one alone)."""
+        held, scales, classes = [], [], []
+        for t in range(first, last):
+            n = active[t]
+            o = flat[at[:n] + t]
+            a = np.broadcast_to(chain.start, (n, k)) if a is None else a[:n] @ chain.move
+            a = a * chain.emit[o]
+            s = a.sum(axis=1)
+            a /= s[:, None]
+            if keep:
+                held.append(a)
+                scales.append(s)
+                classes.append(o)
+        return (held, scales, classes) if keep else a
+
+    entry = [None]
+    for first, last in zip(cuts[:-2], cuts[1:-1]):
+        entry.append(forward(first, last, entry[-1], False))
+    later = None                   # of the step after the part: emission x beta / scale
+    for i in range(len(cuts) - 2, -1, -1):
+        first, last = cuts[i], cuts[i + 1]
+        held, scales, classes = forward(first, last, entry[i], True)
+        for t in range(last - 1, first - 1, -1):
+            alpha, n = held[t - first], active[t]
+            beta = np.ones((n, k))
+            if later is not None:
+                beta[:len(later)] = later @ back
+                moves += alpha[:len(later)].T @ later
+            later = beta * chain.emit[classes[t - first]] / scales[t - first][:, None]
+            held[t - first] = alpha * beta
+        if first == 0:
+            starts += held[0].sum(axis=0)
+        gamma, o = np.concatenate(held), np.concatenate(classes)
+        for j in range(k):
+            emits[:, j] += np.bincount(o, gamma[:, j], len(emits))
+    return np.concatenate([starts, (moves * chain.move).ravel(), emits.ravel()])
 
 
 def reestimate(counts: np.ndarray, chain: Chain, share: np.ndarray) -> Chain:
     k = len(chain.start)
     start, moves = counts[:k] + 1, counts[k:k + k * k].reshape(k, k) + 1
     emit = counts[k + k * k:].reshape(-1, k)
-    mean = emit.sum(axis=0) + 1
     emit = emit + PRIOR * share[:, None]
-    return Chain(start / start.sum(), mean / mean.sum(), moves / moves.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
+    return Chain(start / start.sum(), moves / moves.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
 
 
 def train_chain(classes: DataFrame, share: np.ndarray, states: int = STATES, rounds: int = ROUNDS) -> Chain:
@@ -280,24 +309,21 @@ def train_chain(classes: DataFrame, share: np.ndarray, states: int = STATES, rou
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
             now = Chain(*shared.value)
             total = np.zeros(len(now.start) * (1 + len(now.start) + len(now.emit)))
-            rest = np.zeros(0, "<i2")
-            before = END
+            texts, held = [], 0
 
-            def add(blocks: np.ndarray) -> None:
-                nonlocal before
-                fresh = np.r_[before, blocks[:-1, -1]] == END
-                before = int(blocks[-1, -1])
-                for i in range(0, len(blocks), 1024):
-                    total[:] += expected_counts(blocks[i:i + 1024], fresh[i:i + 1024], now)
+            def flush() -> None:
+                nonlocal held
+                total[:] += expected_counts(texts, now)
+                texts.clear()
+                held = 0
 
             for b in batches:
-                rest = np.concatenate([rest, *(np.frombuffer(x.as_buffer(), "<i2") for x in b.column(0))])
-                whole = len(rest) // BLOCK * BLOCK
-                if whole:
-                    add(rest[:whole].reshape(-1, BLOCK))
-                    rest = rest[whole:]
-            if len(rest):
-                add(rest.reshape(1, -1))
+                for x in b.column(0):
+                    texts.append(np.frombuffer(x.as_buffer(), "<i2"))
+                    held += len(texts[-1])
+                    if held >= TOGETHER:
+                        flush()
+            flush()
             yield total
 
         counts = sum_vectors(classes, count, len(chain.start) * (1 + len(chain.start) + len(chain.emit)))
@@ -306,21 +332,27 @@ def train_chain(classes: DataFrame, share: np.ndarray, states: int = STATES, rou
     return chain
 
 
+def ragged(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """The texts longest first in one array, where each begins, and how many have a
+    token t, for each t."""
+    lengths = np.array([len(x) for x in texts])
+    order = np.argsort(-lengths, kind="stable")
+    at = np.cumsum(lengths[order]) - lengths[order]
+    active = np.searchsorted(-lengths[order], -np.arange(lengths.max()), "left")
+    return np.concatenate([texts[i] for i in order]), at, active.tolist()
+
+
 def forward_log10(texts: list[np.ndarray], chain: Chain) -> np.ndarray:
     """Exact log10 probability of each class sequence, by the scaled forward
     recursion over all texts at once (longest first; shorter ones drop out)."""
     out = np.zeros(len(texts))
     if not texts:
         return out
-    lengths = np.array([len(x) for x in texts])
-    order = np.argsort(-lengths, kind="stable")
-    flat = np.concatenate([texts[i] for i in order])
-    at = np.r_[0, np.cumsum(lengths[order])[:-1]]
-    # active[t]: how many texts have a token t
-    active = np.searchsorted(-lengths[order], -np.arange(lengths.max()), "left")
+    order = np.argsort([-len(x) for x in texts], kind="stable")
+    flat, at, active = ragged(texts)
     total = np.zeros(len(texts))
     a = np.broadcast_to(chain.start, (len(texts), len(chain.start)))
-    for t, n in enumerate(active.tolist()):
+    for t, n in enumerate(active):
         if t:
             a = a[:n] @ chain.move
         a = a[:n] * chain.emit[flat[at[:n] + t]]
