@@ -112,3 +112,9 @@ def test_empty_and_tokenless(spark):
 def test_no_python_in_the_plan(spark):
     plan = mixing.mix(corpora.documents(spark))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_columns_named_like_the_cuts(spark):
+    docs = corpora.clashing(spark).withColumnsRenamed({"leak": "__cut_whole", "digest": "__cut_source", "state": "__CUT__rest"})
+    assert mixing.mix(docs).columns[-3:] == ["epoch", "block", "mix_order"]
+    assert {"__cut_whole", "__CUT__rest"} <= set(mixing.mix(docs).columns) and mixing.mix(docs).count() >= docs.count()

@@ -97,3 +97,27 @@ def test_splitters_are_exact(spark, n):
         assert len(under) == rows
         assert abs(sum(17 + k % 50 for k in under) - total * (i + 1) / n) <= max(0.01 * total / n, 70)
     assert 1 <= rounds <= 4
+
+
+def test_equal_rows_keep_the_law(spark):
+    """A third of all rows equal in every column: shards stay near equal in bytes."""
+    rows = [(7, "the very same row", "en", "s", 3)] * 1000 + [(i * 3, "another row " + "x" * (i % 9), "en", "s", 1) for i in range(2000)]
+    docs = spark.createDataFrame(rows, corpora.SCHEMA).repartition(3)
+    got = sharding.shard_documents(docs, 6)
+    assert got.columns == docs.columns + ["shard", "slot"]
+    out = got.withColumn("size", sharding.row_size()).collect()
+    size = [sum(r["size"] for r in out if r.shard == k) for k in range(6)]
+    assert max(size) - min(size) <= 2 * 45 and len(out) == 3000          # a row is at most 37 bytes
+    for k in range(6):
+        assert sorted(r.slot for r in out if r.shard == k) == list(range(sum(r.shard == k for r in out)))
+
+
+def test_nested_maps(spark):
+    from pyspark.sql import functions as F
+
+    from txlens.llm import exact_dedup, simhash
+    docs = corpora.documents(spark, n=10).withColumn("m", F.struct(F.create_map(F.lit("a"), F.col("doc_id")).alias("in"))).withColumn(
+        "n", F.array(F.create_map(F.lit(1), F.lit("x"))))
+    assert sharding.shard_documents(docs, 3).count() == docs.count()
+    assert exact_dedup.deduplicate(docs).columns == docs.columns
+    assert simhash.keep_one(docs, shingle=4, max_distance=4).columns == docs.columns

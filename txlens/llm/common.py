@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ARROW_BATCH_BYTES = 16 << 20
 
@@ -39,14 +40,25 @@ def fresh(df: DataFrame, stem: str) -> str:
     return name
 
 
+def holds_type(kind: T.DataType, names: tuple[str, ...]) -> bool:
+    """Whether a type is, or has inside, one of these."""
+    inside = ([f.dataType for f in kind.fields] if isinstance(kind, T.StructType)
+              else [kind.elementType] if isinstance(kind, T.ArrayType)
+              else [kind.keyType, kind.valueType] if isinstance(kind, T.MapType) else [])
+    return kind.typeName() in names or any(holds_type(x, names) for x in inside)
+
+
 def row_hash(df: DataFrame) -> Column:
-    """64-bit hash over every hashable column, NULL-ness included: equal rows
-    have equal hashes, whatever task computes them."""
+    """64-bit hash over every column, NULL-ness included: equal rows have equal
+    hashes, whatever task computes them.  Maps and variants, also inside other types,
+    are hashed as JSON."""
     parts = []
     for f in df.schema.fields:
-        if f.dataType.typeName() in ("map", "variant"):
-            continue
-        parts += [col(f.name).isNull(), col(f.name)]
+        if not holds_type(f.dataType, ("map", "variant")):
+            parts += [col(f.name).isNull(), col(f.name)]
+        else:
+            whole = F.to_json(F.struct(col(f.name).alias("x")))
+            parts += [col(f.name).isNull(), whole]
     return F.xxhash64(*parts) if parts else F.lit(0).cast("long")
 
 

@@ -22,9 +22,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from txlens.llm.common import col, fresh, row_hash, text_or_empty
+from txlens.llm.common import col, fresh, holds_type, row_hash, text_or_empty
 from txlens.session import materialize
 
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -88,12 +87,12 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keys = keys.join(winners.select(F.col(dg).alias("digest")), "digest", "left_anti")
     kept = light.join(best(keys), [dg, rh], "left_semi")
     hashable = [c for c, t in zip(docs.columns, docs.schema.fields)
-                if not isinstance(t.dataType, (T.MapType, T.VariantType))]
+                if not holds_type(t.dataType, ("map", "variant"))]
     copies = (keys.groupBy("digest", "row_hash").agg(F.count(F.lit(1)).alias(seen))
               .filter(F.col(seen) > 1)
               .select(F.col("digest").alias(dg), F.col("row_hash").alias(rh)))
     single = kept.join(copies, [dg, rh], "left_anti")
-    repeated = kept.join(copies, [dg, rh], "left_semi").dropDuplicates(hashable)
+    repeated = kept.join(copies, [dg, rh], "left_semi").dropDuplicates([*hashable, dg, rh])
     # equal rows of a heavy winner meet in the map-side half of the aggregate
-    hot = tagged.join(winners, [dg, rh], "left_semi").dropDuplicates(hashable)
+    hot = tagged.join(winners, [dg, rh], "left_semi").dropDuplicates([*hashable, dg, rh])
     return single.unionByName(repeated).unionByName(hot).select(*[col(c) for c in docs.columns])

@@ -180,16 +180,19 @@ def mix(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", tex
     table = materialize(weights(table, find_exponent(table, max_repeats, entropy, budget), budget))
     cut = _maybe_broadcast(materialize(cuts(rows, table, seed)))
     source = col(source_col).cast("string")
-    cut = cut.select(*[F.col(c).alias(f"__cut_{c}") for c in cut.columns])
-    at = keyed.join(cut, source.eqNullSafe(F.col("__cut_source")))
-    block = _block(F.col("__cut_n_blocks"), F.col(key), seed)
-    last = F.col("__cut_whole")
-    order = _block_order(last, F.col("__cut_source"), F.col("block"), seed)
-    head = (order < F.col("__cut_cut_block")) | ((order == F.col("__cut_cut_block")) & (
-        _doc_order(last, F.col(key), seed) <= F.col("__cut_cut_doc")))
-    partial = (F.col("__cut_rest") > 0) & F.coalesce(head, F.lit(False))
+    own = "__cut_"
+    while any(c.lower().startswith(own) for c in keyed.columns):
+        own += "_"
+    cut = cut.select(*[F.col(c).alias(f"{own}{c}") for c in cut.columns])
+    at = keyed.join(cut, source.eqNullSafe(F.col(f"{own}source")))
+    block = _block(F.col(f"{own}n_blocks"), F.col(key), seed)
+    last = F.col(f"{own}whole")
+    order = _block_order(last, F.col(f"{own}source"), F.col("block"), seed)
+    head = (order < F.col(f"{own}cut_block")) | ((order == F.col(f"{own}cut_block")) & (
+        _doc_order(last, F.col(key), seed) <= F.col(f"{own}cut_doc")))
+    partial = (F.col(f"{own}rest") > 0) & F.coalesce(head, F.lit(False))
     copies = last + F.when(partial, 1).otherwise(0)
     return (at.withColumn("block", block).filter(copies > 0)
             .withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1)))
-            .withColumn("mix_order", _block_order(F.col("epoch"), F.col("__cut_source"), F.col("block"), seed))
+            .withColumn("mix_order", _block_order(F.col("epoch"), F.col(f"{own}source"), F.col("block"), seed))
             .select(*[col(c) for c in docs.columns], "epoch", "block", "mix_order"))

@@ -13,8 +13,10 @@ refined ``GROUP`` at a time, each group with counting rounds of its own.  The sl
 the histogram, plus the rank inside the bucket.
 
 A key that holds a third of all rows is split by the row hash: when an
-interval has come down to one key, the probes go on inside it.  Only rows
-equal in every column have equal places; they stay together.
+interval has come down to one key, the probes go on inside it.  Rows equal in
+every column have equal places; where a splitter would have to lie among so many
+of them that the law fails, the rows are stored once more with a number each,
+which then breaks the ties.
 
 Defined results: NULL keys sort first; NULL text has 0 bytes (plus the
 16 of every row); an empty table gives an empty result; columns called
@@ -167,20 +169,35 @@ def _refine(narrow: DataFrame, targets: list[int], known: dict[int, tuple[int, i
     return [(p, known[p][1]) for p in cut], (low[-1], known[low[-1]]), rounds
 
 
+def _misfit(narrow: DataFrame, cut: list[int], total: int, n_buckets: int) -> float:
+    """How many bytes the worst splitter is off its target."""
+    places = sorted(set(cut))
+    if not places:
+        return 0
+    below = dict(zip(places, _histogram(narrow, places)[0]))
+    return max(abs(below[p] - total * i // n_buckets) for i, p in enumerate(cut, 1))
+
+
 def shard_documents(docs: DataFrame, n_shards: int, key_col: str = "doc_id", size: Column | None = None,
-                    tolerance: float = TOLERANCE, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+                    tolerance: float = TOLERANCE, bucket_bytes: int = BUCKET_BYTES, number: str | None = None) -> DataFrame:
     """``docs`` with ``shard`` (0 .. n_shards-1, near-equal bytes, ascending in
-    key order) and ``slot`` (gapless from 0 in each shard, in key order)."""
+    key order) and ``slot`` (gapless from 0 in each shard, in key order).  ``number``:
+    a column that tells equal rows apart."""
     docs = docs.drop("shard", "slot")
     key, tie, sz, place = (fresh(docs, x) for x in ("key", "tie", "size", "place"))
     size = row_size() if size is None else size
     keyed = docs.select("*", F.coalesce(col(key_col).cast("long"), F.lit(LOW)).alias(key),
-                        row_hash(docs).alias(tie), size.alias(sz))
+                        row_hash(docs).alias(tie), size.alias(sz))      # ``number`` is in the hash
     narrow = materialize(keyed.select(F.col(key).alias("key"), F.col(tie).alias("tie"), F.col(sz).alias("size")))
-    total = narrow.agg(F.sum("size")).first()[0] or 0
+    whole = narrow.agg(F.sum("size").alias("bytes"), F.max("size").alias("largest")).first()
+    total = whole.bytes or 0
     per_shard = int(max(1, -(-total // (n_shards * bucket_bytes))))
     n_buckets = n_shards * per_shard
     cut, below, _ = splitters(narrow, n_buckets, tolerance)
+    if number is None and _misfit(narrow, cut, total, n_buckets) > max(tolerance * total / n_buckets, whole.largest or 0):
+        number = fresh(docs, "number")
+        stored = materialize(docs.withColumn(number, F.monotonically_increasing_id()))      # fixed once stored
+        return shard_documents(stored, n_shards, key_col, size, tolerance, bucket_bytes, number).drop(number)
     at_key = np.array([_unpack(p)[0] for p in cut], "int64")
     at_tie = np.array([_unpack(p)[1] for p in cut], "int64")
     starts = np.array([0, *below, *[0] * (n_buckets - 1 - len(below))], "int64")
