@@ -168,8 +168,8 @@ def test_decisions_over_batches_and_replay(spark, tmp_dir):
     batches[3].append(row(None, "u", 3500, "1"))
     profiles = spark.createDataFrame([("u", Decimal("300.00")), ("v", Decimal("90.00"))], "user_id string, account_balance decimal(14,2)")
     profiles.write.parquet(f"{tmp_dir}/opening")
-    up = ST.DecisionStreamUpdater(f"{tmp_dir}/none", f"{tmp_dir}/opening", f"{tmp_dir}/bal", f"{tmp_dir}/dec",
-                                  f"{tmp_dir}/feed", compact_every=2)
+    up = ST.DecisionStreamUpdater(f"{tmp_dir}/none", f"{tmp_dir}/opening", f"{tmp_dir}/dec", f"{tmp_dir}/feed",
+                                  compact_every=2)
     for i, df in batch_frames(spark, batches):
         up(df, i)
         up(df, i)
@@ -177,11 +177,45 @@ def test_decisions_over_batches_and_replay(spark, tmp_dir):
     want = process_transactions(spark.createDataFrame(pd.DataFrame(rows, columns=REQUIRED_COLUMNS), RAW_SCHEMA),
                                 spark.createDataFrame([], "user_id string"), profiles)
     pick = lambda df: sorted((r.transaction_id or "", r.user_id or "", r.code, r.message) for r in df.collect())
-    assert pick(spark.read.parquet(f"{tmp_dir}/dec")) == pick(want)
+    assert pick(ST.read_decisions(spark, f"{tmp_dir}/dec")) == pick(want)
     fed = spark.read.option("header", True).csv(f"{tmp_dir}/feed")
     assert sorted(r.transaction_id or "" for r in fed.collect()) == sorted(t for t, _, c, _ in pick(want) if c == 200)
 
 
+def test_a_batch_is_decided_once(spark, tmp_dir, monkeypatch):
+    """Crashes around the commit; a replay with another blacklist and other partitions
+    leaves the decisions and the feed files of the first commit."""
+    from decimal import Decimal
+
+    from txlens.sources.snapshots import SnapshotLog
+    profiles = spark.createDataFrame([("u", Decimal("50.00"))], "user_id string, account_balance decimal(14,2)")
+    profiles.write.parquet(f"{tmp_dir}/opening")
+    one = spark.createDataFrame(pd.DataFrame([row(f"a{i}", "u", i, "10") for i in range(8)], columns=REQUIRED_COLUMNS), RAW_SCHEMA)
+    two = spark.createDataFrame(pd.DataFrame([row("b", "u", 99, "1"), row("c", "v", 99, "1")], columns=REQUIRED_COLUMNS), RAW_SCHEMA)
+
+    def updater():
+        return ST.DecisionStreamUpdater(f"{tmp_dir}/black", f"{tmp_dir}/opening", f"{tmp_dir}/dec", f"{tmp_dir}/feed")
+
+    for step in ("write", "write_run", "rename", "copy_out"):
+        with monkeypatch.context() as m:
+            real = getattr(SnapshotLog, step)
+            m.setattr(SnapshotLog, step, lambda *a, **k: (_ for _ in ()).throw(InterruptedError(step)))
+            with pytest.raises(InterruptedError):
+                updater()(one.repartition(5), 0)
+            assert real is not None
+    first = sorted(map(tuple, ST.read_decisions(spark, f"{tmp_dir}/dec").collect()))     # committed by the last attempt
+    assert len(first) == 8 and sum(r[2] == 200 for r in first) == 5
+    spark.createDataFrame([("u",)], "user_id string").write.parquet(f"{tmp_dir}/black")
+    updater()(one.coalesce(1), 0)
+    updater()(one.coalesce(1), 0)
+    assert sorted(map(tuple, ST.read_decisions(spark, f"{tmp_dir}/dec").collect())) == first
+    fed = spark.read.option("header", True).csv(f"{tmp_dir}/feed")
+    assert sorted(r.transaction_id for r in fed.collect()) == sorted(r[0] for r in first if r[2] == 200)
+    updater()(two, 1)
+    got = {r.transaction_id: r.code for r in ST.read_decisions(spark, f"{tmp_dir}/dec").collect()}
+    assert got["b"] == 403 and got["c"] == 400 and len(got) == 10
+
+
 def test_stream_reads_columns_by_header(spark, tmp_dir):
     rows = feed_rows(40)
     os.makedirs(f"{tmp_dir}/in")

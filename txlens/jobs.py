@@ -68,8 +68,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         if not a.profiles or not a.blacklist:
             raise SystemExit("--profiles and --blacklist are needed")
         start_decision_stream(spark, a.input, f"{a.state}/checkpoint", trigger=period, multi_line=a.multi_line,
-                              blacklist_path=a.blacklist, opening_profiles_path=a.profiles, balances_dir=f"{a.state}/balances",
-                              decisions_dir=a.output, feed_dir=a.feed).awaitTermination()
+                              blacklist_path=a.blacklist, opening_profiles_path=a.profiles, decisions_dir=a.output,
+                              feed_dir=a.feed).awaitTermination()
     delete_materialized(spark)
     return 0
 

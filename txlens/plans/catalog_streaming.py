@@ -126,10 +126,9 @@ def str6(spark, sf):
      .write.parquet(f"{root}/blacklist"))
     q = ST.start_decision_stream(spark, f"{root}/in", f"{root}/chk", trigger=None, max_files_per_trigger=8,
                                  blacklist_path=f"{root}/blacklist", opening_profiles_path=f"{root}/opening",
-                                 balances_dir=f"{root}/balances", decisions_dir=f"{root}/decisions",
-                                 feed_dir=f"{root}/feed", compact_every=2)
+                                 decisions_dir=f"{root}/decisions", feed_dir=f"{root}/feed", compact_every=2)
     q.awaitTermination()
-    decided = spark.read.parquet(f"{root}/decisions").select("transaction_id", "user_id", "code", "decision", "message")
+    decided = ST.read_decisions(spark, f"{root}/decisions").select("transaction_id", "user_id", "code", "decision", "message")
     accepted = decided.filter("code = 200").groupBy("transaction_id").agg(F.count(F.lit(1)).alias("n"))
     appended = read_transactions(spark, f"{root}/feed").groupBy("transaction_id").agg(F.count(F.lit(1)).alias("m"))
     both = accepted.join(appended, accepted.transaction_id.eqNullSafe(appended.transaction_id), "full_outer")

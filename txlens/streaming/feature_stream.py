@@ -26,7 +26,7 @@ STR3 -- first-seen dedupe with a watermark (``dropDuplicatesWithinWatermark``).
 STR5 -- optional risk refresh every n batches inside the same ``foreachBatch``.
 STR6 -- decision stream: the blacklist is re-read for every micro-batch, the
 balances are carried as the changes of each batch, and accepted rows are
-appended to the feed that STR1 reads.
+appended to the feed that STR1 reads; a batch is decided and appended once.
 """
 
 from __future__ import annotations
@@ -45,7 +45,7 @@ from txlens.operators.normalize import event_unix, normalize
 from txlens.plans.features import FEATURE_COLUMNS, compute_features
 from txlens.session import temporary_tables
 from txlens.sources.feed import (
-    FEATURE_SCHEMA, current_version, hadoop_path, path_exists, read_published, stream_transactions,
+    FEATURE_SCHEMA, path_exists, read_published, stream_transactions,
 )
 from txlens.sources.snapshots import SnapshotLog, State, read_snapshot
 from txlens.streaming.id_index import FANOUT, FILE_ROWS, IdIndex
@@ -64,25 +64,6 @@ def _event_date(col: str = "event_unix") -> F.Column:
     return F.coalesce(F.date_format(F.timestamp_seconds(F.col(col)), "yyyy-MM-dd"), F.lit(NO_DATE))
 
 
-def _overwrite_partitions(df: DataFrame, path: str, cols: list[str]) -> None:
-    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy(*cols).parquet(path))
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    fs, hpath = hadoop_path(spark, path)
-    fs.delete(hpath, True)
-
-
-def _children(spark: SparkSession, path: str, prefix: str) -> list[str]:
-    """The values of the partition folders ``<prefix>=<value>`` under ``path``."""
-    fs, hpath = hadoop_path(spark, path)
-    if not fs.exists(hpath):
-        return []
-    names = [s.getPath().getName() for s in fs.listStatus(hpath)]
-    return [n[len(prefix) + 1:] for n in names if n.startswith(f"{prefix}=")]
-
-
 def query_name(spark: SparkSession) -> str:
     """The identity of the running query: kept by its checkpoint over restarts, new
     with a new checkpoint; ``direct`` outside a query."""
@@ -228,39 +209,51 @@ def first_seen(stream: DataFrame, key: str = "transaction_id", ts: str = "event_
 
 # -- STR6 -------------------------------------------------------------------
 
+DECISION_SCHEMA = (T.StructType().add("transaction_id", "string").add("user_id", "string").add("code", "integer")
+                   .add("decision", "string").add("message", "string").add("stream", "string").add("batch_id", "long"))
+BALANCE = "user_id string, account_balance decimal(14,2), version long"
+
+
+def read_decisions(spark: SparkSession, decisions_dir: str) -> DataFrame:
+    """The committed decisions of all batches."""
+    return read_snapshot(spark, decisions_dir, DECISION_SCHEMA)
+
+
 class DecisionStreamUpdater:
     """``foreachBatch`` body of the decision stream.
 
-    For batch b: read the blacklist as it is now and the balances before b (the
-    opening profiles, overlaid with the changes of earlier batches), run LED3
-    once, write the decisions of b, the balances that b changed and, if
-    ``feed_dir`` is given, the accepted rows as CSV of the feed that STR1
-    reads.  Re-running b rewrites the same partitions and files.  Every
-    ``compact_every`` batches the changes are merged into a published base.
+    For a batch: read the blacklist as it is now and the balances before it (the
+    opening profiles, overlaid with the changes of earlier batches), run LED3 once,
+    and commit to the snapshot table ``decisions_dir``, by one rename: the decisions,
+    the balances that changed and the accepted rows as CSV.  Then those very files are
+    put into ``feed_dir``, the feed that STR1 reads, each by a rename.
+
+    A batch is decided once: replayed before its commit it starts from the same
+    balances, replayed after it only the files still missing from the feed are put
+    there, whatever the blacklist or the number of partitions is by then.  Balance
+    changes are merged every ``compact_every`` batches.
     """
 
-    def __init__(self, blacklist_path: str, opening_profiles_path: str, balances_dir: str, decisions_dir: str,
+    def __init__(self, blacklist_path: str, opening_profiles_path: str, decisions_dir: str,
                  feed_dir: str | None = None, compact_every: int = COMPACT_EVERY):
         self.blacklist_path, self.opening = blacklist_path, opening_profiles_path
-        self.balances_dir, self.decisions_dir, self.feed_dir = balances_dir, decisions_dir, feed_dir
-        self.compact_every = compact_every
-
-    def _changes(self, spark: SparkSession, batch_id: int) -> DataFrame | None:
-        """(user_id, account_balance) after the last earlier batch that changed it."""
-        found = []
-        if _children(spark, f"{self.balances_dir}/recent", "batch_id"):
-            found.append(spark.read.parquet(f"{self.balances_dir}/recent").filter(F.col("batch_id") < batch_id))
-        if current_version(spark, f"{self.balances_dir}/base"):
-            found.append(read_published(spark, f"{self.balances_dir}/base"))
-        if not found:
+        self.decisions_dir, self.feed_dir, self.compact_every = decisions_dir, feed_dir, compact_every
+        self.log: SnapshotLog | None = None
+
+    def _runs(self, state: State, kind: str) -> list[str]:
+        return [r for r, note in state.runs.items() if note["kind"] == kind]
+
+    def _changes(self, spark: SparkSession, runs: list[str]) -> DataFrame | None:
+        """(user_id, account_balance, version) after the last batch that changed it."""
+        if not runs:
             return None
-        both = found[0] if len(found) == 1 else found[0].unionByName(found[1])
-        return both.groupBy("user_id").agg(F.max_by("account_balance", "batch_id").alias("account_balance"),
-                                           F.max("batch_id").alias("batch_id"))
+        stored = spark.read.schema(BALANCE).parquet(*[f"{self.log.path}/runs/{r}" for r in runs])
+        return stored.groupBy("user_id").agg(F.max_by("account_balance", "version").alias("account_balance"),
+                                             F.max("version").alias("version"))
 
-    def _profiles(self, spark: SparkSession, batch_id: int) -> DataFrame:
+    def _profiles(self, spark: SparkSession, state: State) -> DataFrame:
         opening = read_published(spark, self.opening)
-        changes = self._changes(spark, batch_id)
+        changes = self._changes(spark, self._runs(state, "balances"))
         if changes is None:
             return opening
         now = changes.select(F.col("user_id").alias("__user"), F.col("account_balance").alias("__now"))
@@ -268,57 +261,59 @@ class DecisionStreamUpdater:
                 .withColumn("account_balance", F.coalesce("__now", "account_balance")).drop("__user", "__now"))
 
     def __call__(self, batch_df: DataFrame, batch_id: int) -> None:
-        from txlens.operators.ledger import closing_balance, decide_transactions
         spark, batch_id = batch_df.sparkSession, int(batch_id)
+        if self.log is None:
+            self.log = SnapshotLog(spark, self.decisions_dir, checkpoint_every=self.compact_every)
+        stream = query_name(spark)
+        commit = self.log.begin(stream, batch_id)
+        if commit is not None:
+            with temporary_tables(spark) as keep:
+                # row numbers are fixed once stored
+                feed = keep(batch_df.withColumn("__row", F.monotonically_increasing_id()))
+                if feed.isEmpty():
+                    return
+                self._decide(spark, feed, stream, batch_id, commit, keep)
+        self._publish(spark, stream, batch_id)
+
+    def _decide(self, spark: SparkSession, feed: DataFrame, stream: str, batch_id: int, commit: str, keep) -> None:
+        from txlens.operators.ledger import closing_balance, decide_transactions
+        from txlens.sources.sinks import append_transactions
+
+        state = self.log.state()
         if path_exists(spark, self.blacklist_path):
             blacklist = read_published(spark, self.blacklist_path).select("user_id")
         else:
             blacklist = spark.createDataFrame([], "user_id string")
-        with temporary_tables(spark) as keep:
-            feed = keep(batch_df)
-            if feed.isEmpty():
-                return
-            profiles = self._profiles(spark, batch_id)
-            # the blacklist and the balances are read once: everything follows from the stored rows
-            decisions, gated = decide_transactions(feed.withColumn("__row", F.monotonically_increasing_id()),
-                                                   blacklist, profiles, keep=keep, carry=["__row"])
-            number = F.lit(batch_id).cast("long").alias("batch_id")
-            _overwrite_partitions(decisions.drop("__row").select("*", number), self.decisions_dir, ["batch_id"])
-            after = closing_balance(profiles, gated).filter("closing_balance <> opening_balance")
-            _overwrite_partitions(after.select("user_id", F.col("closing_balance").alias("account_balance"), number),
-                                  f"{self.balances_dir}/recent", ["batch_id"])
-            if self.feed_dir:
-                accepted = decisions.filter("code = 200").select("__row")
-                numbered = feed.withColumn("__row", F.monotonically_increasing_id())
-                self._append(spark, numbered.join(accepted, "__row", "left_semi").select(*REQUIRED_COLUMNS), batch_id)
-        if batch_id % self.compact_every == self.compact_every - 1:
-            self._compact(spark, batch_id)
-
-    def _append(self, spark: SparkSession, accepted: DataFrame, batch_id: int) -> None:
-        """Accepted rows into the feed folder, under names of this batch."""
-        from txlens.sources.sinks import append_transactions
-
-        staging = f"{self.feed_dir}/.batch-{batch_id}"
-        _delete(spark, staging)
-        append_transactions(accepted, staging)
-        fs, folder = hadoop_path(spark, staging)
-        for i, s in enumerate(sorted(str(s.getPath()) for s in fs.listStatus(folder) if s.getPath().getName().endswith(".csv"))):
-            _, source = hadoop_path(spark, s)
-            _, target = hadoop_path(spark, f"{self.feed_dir}/accepted-{batch_id:010d}-{i:05d}.csv")
-            fs.delete(target, False)
-            if not fs.rename(source, target):
-                raise OSError(f"could not move {s} into the feed")
-        _delete(spark, staging)
-
-    def _compact(self, spark: SparkSession, batch_id: int) -> None:
-        from txlens.sources.sinks import publish
-
-        done = [int(v) for v in _children(spark, f"{self.balances_dir}/recent", "batch_id") if int(v) < batch_id]
-        changes = self._changes(spark, batch_id)
-        if done and changes is not None:
-            publish(changes, f"{self.balances_dir}/base")
-            for v in done:
-                _delete(spark, f"{self.balances_dir}/recent/batch_id={v}")
+        profiles = self._profiles(spark, state)
+        # the blacklist and the balances are read once: everything follows from the stored rows
+        decisions, gated = decide_transactions(feed, blacklist, profiles, keep=keep, carry=["__row"])
+        decisions = keep(decisions)
+        written = self.log.write(decisions.drop("__row").select(
+            "*", F.lit(stream).alias("stream"), F.lit(batch_id).cast("long").alias("batch_id")), commit, ["stream", "batch_id"])
+        after = closing_balance(profiles, gated).filter("closing_balance <> opening_balance").select(
+            "user_id", F.col("closing_balance").alias("account_balance"), F.lit(state.version + 1).cast("long").alias("version"))
+        # balances: one more run, or all of them merged into one; feed files of batches already put into the feed go
+        balances, dropped = self._runs(state, "balances"), self._runs(state, "feed")
+        if len(balances) + 1 >= self.compact_every:
+            former = self._changes(spark, balances)
+            after = after if former is None else former.join(after, "user_id", "left_anti").unionByName(after)
+            dropped += balances
+        self.log.write_run(after, f"{commit}~balances")
+        added = {f"{commit}~balances": {"kind": "balances"}}
+        if self.feed_dir:
+            accepted = feed.join(decisions.filter("code = 200").select("__row"), "__row", "left_semi")
+            name = f"{commit}~feed"
+            self.log.write_run(accepted.select(*REQUIRED_COLUMNS), name, append_transactions)
+            files = sorted(n for n in self.log.names(f"runs/{name}") if n.endswith(".csv") and n[0] not in "._")
+            added[name] = {"kind": "feed", "stream": stream, "batch": batch_id, "files": files}
+        self.log.commit(commit, stream, batch_id, written, [], added, dropped)
+
+    def _publish(self, spark: SparkSession, stream: str, batch_id: int) -> None:
+        """The batch's committed CSV files into the feed folder; those there stay."""
+        for run, note in self.log.state().runs.items():
+            if note["kind"] == "feed" and (note["stream"], note["batch"]) == (stream, batch_id):
+                for i, name in enumerate(note["files"]):
+                    self.log.copy_out(f"runs/{run}/{name}", f"{self.feed_dir}/accepted-{stream}-{batch_id:010d}-{i:05d}.csv")
 
 
 def start_decision_stream(spark: SparkSession, input_dir: str, checkpoint_location: str,
