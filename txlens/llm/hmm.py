@@ -40,6 +40,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 from math import log10
 from zlib import crc32
 
@@ -183,7 +184,7 @@ def encode(text: bytes, voc: Vocabulary) -> tuple:
     """An ENCODED row; the logs lack what the rare words add."""
     tokens = words(text)
     get = voc.index.get
-    at = np.array([get(w, 0) for w in tokens], "int64")
+    at = np.fromiter(map(get, tokens, repeat(0)), "int64", len(tokens))
     kinds = voc.class_of[at]
     rare_at = np.flatnonzero(at == 0).tolist()
     if rare_at:
@@ -250,7 +251,7 @@ def expected_counts(texts: list[np.ndarray], chain: Chain, group: int = GROUP) -
     while t < len(active):
         t = max(t + 1, int(np.searchsorted(upto, upto[t] + group, "right")) - 1)
         cuts.append(min(t, len(active)))
-    back = chain.move.T.copy()
+    back, ones, emit = chain.move.T.copy(), np.ones(k), np.ascontiguousarray(chain.emit)
 
     def forward(first: int, last: int, a: np.ndarray | None, keep: bool):
         """alpha of the steps first .. last - 1 (all, or the last one alone)."""
@@ -259,9 +260,9 @@ def expected_counts(texts: list[np.ndarray], chain: Chain, group: int = GROUP) -
             n = active[t]
             o = flat[at[:n] + t]
             a = np.broadcast_to(chain.start, (n, k)) if a is None else a[:n] @ chain.move
-            a = a * chain.emit[o]
-            s = a.sum(axis=1)
-            a /= s[:, None]
+            a = a * emit.take(o, axis=0)
+            s = 1 / (a @ ones)
+            a *= s[:, None]
             if keep:
                 held.append(a)
                 scales.append(s)
@@ -271,7 +272,7 @@ def expected_counts(texts: list[np.ndarray], chain: Chain, group: int = GROUP) -
     entry = [None]
     for first, last in zip(cuts[:-2], cuts[1:-1]):
         entry.append(forward(first, last, entry[-1], False))
-    later = None                   # of the step after the part: emission x beta / scale
+    later = None                   # of the step after: emission x beta / scale
     for i in range(len(cuts) - 2, -1, -1):
         first, last = cuts[i], cuts[i + 1]
         held, scales, classes = forward(first, last, entry[i], True)
@@ -281,13 +282,15 @@ def expected_counts(texts: list[np.ndarray], chain: Chain, group: int = GROUP) -
             if later is not None:
                 beta[:len(later)] = later @ back
                 moves += alpha[:len(later)].T @ later
-            later = beta * chain.emit[classes[t - first]] / scales[t - first][:, None]
-            held[t - first] = alpha * beta
+            later = emit.take(classes[t - first], axis=0)
+            later *= beta
+            later *= scales[t - first][:, None]
+            alpha *= beta
         if first == 0:
             starts += held[0].sum(axis=0)
-        gamma, o = np.concatenate(held), np.concatenate(classes)
+        gamma, o = np.ascontiguousarray(np.concatenate(held).T), np.concatenate(classes)
         for j in range(k):
-            emits[:, j] += np.bincount(o, gamma[:, j], len(emits))
+            emits[:, j] += np.bincount(o, gamma[j], len(emits))
     return np.concatenate([starts, (moves * chain.move).ravel(), emits.ravel()])
 
 
@@ -352,11 +355,12 @@ def forward_log10(texts: list[np.ndarray], chain: Chain) -> np.ndarray:
     flat, at, active = ragged(texts)
     total = np.zeros(len(texts))
     a = np.broadcast_to(chain.start, (len(texts), len(chain.start)))
+    ones, emit = np.ones(len(chain.start)), np.ascontiguousarray(chain.emit)
     for t, n in enumerate(active):
         if t:
             a = a[:n] @ chain.move
-        a = a[:n] * chain.emit[flat[at[:n] + t]]
-        s = a.sum(axis=1)
+        a = a[:n] * emit.take(flat[at[:n] + t], axis=0)
+        s = a @ ones
         a /= s[:, None]
         total[:n] += np.log10(s)
     out[order] = total
