@@ -326,7 +326,8 @@ def balance_gate(txns: DataFrame, profiles: DataFrame, user_col: str = "user_id"
             .withColumn("__amt", _cents("amount"))
             .withColumn("__need", _needed_cents("amount"))
             .withColumn("__approved", F.coalesce(approved, F.lit(False)).cast("int")))
-    rows = rows.select(*[F.col(c) for c in cols], "__open", "__amt", "__need", "__approved")
+    # the amount comes back from the cents: both branches below then share one exchange
+    rows = rows.select(*[F.col(c) for c in cols if c != "amount"], "__open", "__amt", "__need", "__approved")
     if user_col != "user_id":
         rows = rows.withColumnRenamed(user_col, "user_id")
     sizes = (txns if count_in is None else count_in).groupBy(F.col(user_col).alias("__hot")).agg(F.count(F.lit(1)).alias("n"))

@@ -32,8 +32,10 @@ Two exact strategies, chosen by the caller and never by the data:
     The cell totals are partially aggregated before their shuffle (one row
     per key and cell per task); their branch re-reads the input with only the
     key, time and value columns.
-    Rows without a time all see the same frame: the total of their (key, no
-    cell) group.  They are spread over tasks, not gathered by key.
+    Rows without a time all see the same frame: the total of their key's.  They are
+    dealt over a few cells of their own, not gathered by key.
+    Running sums and offsets share one partitioning by (key, cell), so a row is
+    exchanged once; expiry rows carry the key, the time and their values only.
 """
 
 from __future__ import annotations
@@ -64,6 +66,7 @@ FEATURE_SPECS = [
 ]
 
 DEFAULT_CELL_SECONDS = 3600
+UNTIMED_CELLS = 64
 
 
 def rolling_features(df: DataFrame, specs=FEATURE_SPECS, key: str = "user_id",
@@ -176,38 +179,38 @@ def _by_sweep(df, specs, key, order, cell_seconds):
                 .when(F.col("__kind") == k_exp, -v)
                 .otherwise(_zero(kind)))
 
-    real_only = F.col("__kind") == 0
+    # The row itself travels as one struct, NULL in expiry rows, and the key without
+    # NULLs (text and a flag): running sums and offsets then meet in one partitioning.
     events = base.select(
-        *[F.col(c) if c == key else F.when(real_only, F.col(c)).alias(c) for c in df.columns],
+        F.when(F.col("__kind") == 0, F.struct(*[F.col(c) for c in df.columns])).alias("__row"),
+        F.coalesce(F.col(key).cast("string"), F.lit("")).alias("__key"), F.col(key).isNull().alias("__nokey"),
         (F.col("__t0") + shift).alias("__t"),
         "__kind",
         *[delta(m).alias(mname[m]) for m in measures],
+        # rows without a time need no order: they are dealt over a few cells of their own
+        F.pmod(F.xxhash64(*dict.fromkeys(m[0] for m in measures)), F.lit(UNTIMED_CELLS)).alias("__deal"),
     )
-    events = events.withColumn("__cell", F.floor(F.col("__t") / F.lit(cell_seconds)).cast("long"))
-    # No running sum is needed without a time; the part only spreads such rows.
-    events = events.withColumn("__part", F.when(F.col("__cell").isNull(), F.spark_partition_id()).otherwise(-1))
-
+    untimed = F.col("__t").isNull()
+    events = events.withColumn("__cell", F.when(untimed, F.lit(-(1 << 60)) - F.col("__deal")).otherwise(
+        F.floor(F.col("__t") / F.lit(cell_seconds))).cast("long")).drop("__deal")
+    own = ["__key", "__nokey", "__cell"]
     delta_cols = [mname[m] for m in measures]
 
-    # Offset of each cell = sum of all deltas in earlier cells of the key.
-    cell_tot = (events.groupBy(key, "__cell")
+    # Offset of each cell = sum of all deltas in earlier cells of the key; of an
+    # untimed cell = the sum over all untimed cells of the key.
+    cell_tot = (events.withColumn("__untimed", untimed).groupBy(*own, "__untimed")
                 .agg(*[F.sum(d).alias(d) for d in delta_cols]))
-    untimed = F.col("__cell").isNull()
-    prior = Window.partitionBy(key, untimed).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
+    of_key = Window.partitionBy("__key", "__nokey", "__untimed")
+    prior = of_key.orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
     offsets = cell_tot.select(
-        F.col(key).alias("__okey"), F.col("__cell").alias("__ocell"),
-        *[F.when(untimed, F.col(d)).otherwise(F.sum(d).over(prior)).alias(f"{d}o") for d in delta_cols])
+        *own, *[F.when(F.col("__untimed"), F.sum(d).over(of_key)).otherwise(F.sum(d).over(prior)).alias(f"{d}o")
+                for d in delta_cols])
 
-    running = Window.partitionBy(key, "__cell", "__part").orderBy("__t").rangeBetween(
-        Window.unboundedPreceding, Window.currentRow)
+    running = Window.partitionBy(*own).orderBy("__t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     within = events.select(
         "*", *[F.sum(d).over(running).alias(f"{d}r") for d in delta_cols]
     ).filter(F.col("__kind") == 0)
-
-    joined = within.join(
-        offsets,
-        (F.col(key).eqNullSafe(F.col("__okey"))) & (F.col("__cell").eqNullSafe(F.col("__ocell"))),
-        "left")
+    joined = within.join(offsets, own, "left").select("*", *[F.col(f"__row.`{c}`").alias(c) for c in df.columns])
 
     totals = {d: F.when(untimed, _zero(mkind[d])).otherwise(F.col(f"{d}r"))
               + F.coalesce(F.col(f"{d}o"), _zero(mkind[d])) for d in delta_cols}
