@@ -28,7 +28,7 @@ ENTRY = "transaction_id string, user_id string, event_unix long"
 COLUMNS = ["transaction_id", "user_id", "event_unix"]
 FILE_ROWS = 200_000
 FANOUT = 8
-PUSHED = 10_000
+PUSHED = 256        # a pushed list becomes a chain of comparisons, deep in the reader's stack
 
 
 class IdIndex:
