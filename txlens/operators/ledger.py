@@ -436,16 +436,47 @@ def insert_skip_duplicates(existing: DataFrame, batch: DataFrame, key: str, orde
     return fresh.withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").drop("__rn")
 
 
+def _new_fields(existing: DataFrame, batch: DataFrame, key: str) -> tuple[DataFrame, list[str]]:
+    """The batch's fields of the snapshot, each as ``__new_<field>``, one row a key."""
+    given = [c for c in existing.columns if c != key and c in batch.columns]
+    repeated = F.raise_error(F.concat(F.lit(f"upsert: {key} repeated in the batch: "),
+                                      F.coalesce(F.col(key).cast("string"), F.lit("NULL"))))
+    b = (batch.groupBy(key).agg(F.count(F.lit(1)).alias("__n"), *[F.first(c).alias(f"__new_{c}") for c in given])
+         .filter(F.when(F.col("__n") > 1, repeated.cast("boolean")).otherwise(F.lit(True))).drop("__n"))
+    return b, given
+
+
+def update_rows(existing: DataFrame, batch: DataFrame, key: str) -> DataFrame:
+    """SNK5, first half: ``existing`` with the batch's non-NULL fields for its keys.
+    A left join, so a small batch goes to the rows and not the rows to it."""
+    b, given = _new_fields(existing, batch, key)
+    return (existing.join(b, key, "left")
+            .select(*[F.coalesce(F.col(f"__new_{c}"), F.col(c)).alias(c) if c in given else F.col(c)
+                      for c in existing.columns]))
+
+
+def insert_rows(existing: DataFrame, batch: DataFrame, key: str, defaults: dict | None = None) -> DataFrame:
+    """SNK5, second half: rows for the batch's keys that ``existing`` lacks, with
+    ``defaults`` (column -> value) for fields the batch leaves out.  Of ``existing``
+    only the key column is read."""
+    b, given = _new_fields(existing, batch, key)
+    out = []
+    for field in existing.schema:
+        value = F.col(key) if field.name == key else F.col(f"__new_{field.name}") if field.name in given else F.lit(None)
+        if field.name != key and field.name in (defaults or {}):
+            value = F.coalesce(value, F.lit(defaults[field.name]))
+        out.append(value.cast(field.dataType).alias(field.name))
+    return b.join(existing.select(key), key, "left_anti").select(*out)
+
+
 def upsert(existing: DataFrame, batch: DataFrame, key: str, defaults: dict | None = None) -> DataFrame:
     """SNK5: new snapshot -- matching keys take the batch's non-NULL fields
     (absent fields keep the old value), new keys are inserted, with ``defaults``
     (column -> value) for fields the batch leaves out.  A key that the batch
-    holds twice fails the job with a message that names it."""
+    holds twice fails the job with a message that names it.  This form computes the
+    whole snapshot; ``sources.merge_table`` keeps one and rewrites what changed."""
     cols = [c for c in existing.columns if c != key]
-    given = [c for c in cols if c in batch.columns]
-    repeated = F.raise_error(F.concat(F.lit(f"upsert: {key} repeated in the batch: "), F.col(key).cast("string")))
-    b = (batch.groupBy(key).agg(F.count(F.lit(1)).alias("__n"), *[F.first(c).alias(f"__new_{c}") for c in given])
-         .filter(F.when(F.col("__n") > 1, repeated.cast("boolean")).otherwise(F.lit(True))).drop("__n"))
+    b, given = _new_fields(existing, batch, key)
     j = existing.withColumn("__old", F.lit(True)).join(b, key, "full_outer")
     out = [F.col(key)]
     for c in cols:

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from txlens.operators.ledger import balance_gate, closing_balance, insert_skip_duplicates, process_transactions, upsert
 from txlens.plans import fixtures as fx
-from txlens.plans.catalog import register
+from txlens.plans.catalog import ORACLE, register
+from txlens.plans.catalog_io import scratch
+from txlens.sources.merge_table import MergeTable, create_merge_table
 
 
 def _fold_sql(ledger_cte: str, prof_cte: str) -> str:
@@ -177,3 +179,20 @@ def snk5(spark, sf):
         "c_custkey", F.when(F.col("c_custkey") % 2 == 0, F.concat("c_name", F.lit(" (updated)"))).alias("c_name"),
         (F.col("c_acctbal") + 1.0).alias("c_acctbal"))
     return upsert(old, upd, "c_custkey")
+
+
+@register("snk5_bucketed_merge", ORACLE["snk5_upsert"])
+def snk5_merge(spark, sf):
+    """The customer upsert as merges into a bucketed table, a part of the keys per
+    batch and one batch sent twice; each rewrites the buckets of its keys only."""
+    c = fx.table(spark, sf, "customer")
+    path = f"{scratch(spark, 'merge')}/customers"
+    create_merge_table(c.filter(F.col("c_custkey") % 4 != 0).select("c_custkey", "c_name", "c_acctbal", "c_mktsegment"),
+                       path, "c_custkey", buckets=16)
+    upd = c.filter(F.col("c_custkey") % 3 == 0).select(
+        "c_custkey", F.when(F.col("c_custkey") % 2 == 0, F.concat("c_name", F.lit(" (updated)"))).alias("c_name"),
+        (F.col("c_acctbal") + 1.0).alias("c_acctbal"))
+    for part in (0, 1, 1, 2):
+        MergeTable(spark, path).merge(upd.filter(F.pmod(F.xxhash64("c_custkey"), F.lit(3)) == part),
+                                      stream="customers", batch_id=part)
+    return MergeTable(spark, path).read()
