@@ -73,6 +73,12 @@ def test_cell_index_finds_every_component(seed, n, distance, cells):
 @pytest.mark.parametrize("distance", [0, 2, 4, 7])
 def test_links_over_all_routes(spark, distance, monkeypatch):
     monkeypatch.setattr(simhash, "MIN_CELL", 16)       # large buckets are cut into pieces
+    routes = simhash.routes
+    if distance in (2, 4):                             # as on a large table: longer keys, more routes
+        monkeypatch.setattr(simhash, "routes", lambda d, total: routes(d, total << 20))
+    if distance == 2:
+        monkeypatch.setattr(simhash, "MAX_LISTED", 1)      # the list of large buckets is joined by shuffle
+    monkeypatch.setattr(simhash, "HUB", 8)
     rng = random.Random(distance)
     centre = rng.getrandbits(64)
     codes = sorted({rng.getrandbits(64) for _ in range(200)} | {centre ^ (1 << i) ^ (1 << j) for i in range(64) for j in range(0, 40, 3)})
@@ -125,3 +131,27 @@ def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     got = {r.node: r.root for r in simhash.components(edges).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.integers(0, 7), st.integers(0, 1 << 34), st.integers(0, 1 << 64), st.data())
+def test_routes_meet_every_pair(distance, total, code, data):
+    """Whatever the bits that differ, some mask leaves them all out; buckets stay small."""
+    masks = simhash.routes(distance, total)
+    other = code
+    for _ in range(distance):
+        other ^= 1 << data.draw(st.integers(0, 63))
+    assert any((code ^ other) & m == 0 for m in masks)
+    assert total >> min(m.bit_count() for m in masks) <= simhash.MEAN_BUCKET
+
+
+def test_routes_by_table_size():
+    sizes = [(len(m), min(x.bit_count() for x in m)) for m in (simhash.routes(4, 1 << n) for n in (0, 23, 24, 31, 32, 38))]
+    assert sizes == [(5, 12), (5, 12), (15, 20), (15, 20), (35, 27), (35, 27)]
+
+
+def test_hubs_of_a_star(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "HUB", 3)
+    edges = spark.createDataFrame([(0, i) for i in range(1, 30)] + [(5, i) for i in range(30, 50)] + [(49, 99)], "a long, b long")
+    got = {r.node: r.root for r in simhash.components(edges).collect()}
+    assert got == dict.fromkeys([*range(50), 99], 0)

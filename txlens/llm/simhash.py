@@ -4,14 +4,15 @@ A text's fingerprint has bit i set if over half of its 4-word shingles have bit
 i set in their 64-bit hash.  Two fingerprints link at ``max_distance`` or fewer
 differing bits; documents form the connected components of the links.
 
-**Top of the index: routes.**  The 64 bits are cut into ``max_distance`` + 1
-segments; linked fingerprints agree in at least one.  So each distinct
-fingerprint goes, once per segment, to the bucket of that segment's bits,
-rotated so that the segment leads: a bucket is a subtree of the Gray order of
-the rotated fingerprints whose first 12 or 13 bits are shared.  A bucket far
-above the mean size (near-copies in the millions agree almost everywhere) is
-cut into p pieces and becomes the p(p+1)/2 cells of piece pairs, so that no
-task gets an unbounded bucket.
+**Top of the index: routes.**  The 64 bits are cut into m segments; linked
+fingerprints agree in at least m - ``max_distance`` of them.  So each distinct
+fingerprint goes, once per choice of that many segments, to the bucket of their
+bits: an upper node with those bits as its mask.  m grows with the table (5 at
+distance 4 up to 8 million fingerprints: 5 routes of 12 bits; then 15 of 20, up to
+2 billion; then 35 of 27), so the mean bucket stays below ``MEAN_BUCKET``.  A
+bucket of more than ``MIN_CELL`` (near-copies agree almost everywhere) is cut into
+p pieces and becomes the p(p+1)/2 cells of piece pairs: no cell is larger than two
+pieces, whatever the table.
 
 **Inside a cell** (``gray_links``): fingerprints sorted by Gray rank, in groups
 of ``FANOUT`` up to one root.  A node keeps the bits all its members share (mask
@@ -22,8 +23,9 @@ pair already in one component is skipped.  A task therefore emits at most one
 link per member (to its component's smallest fingerprint), never all pairs.
 
 **Components** are joined over all cells by alternating large-star/small-star
-rounds on the links.  Only counters reach the driver; the fingerprints stay
-distributed.
+rounds on the links; the values of hubs, nodes and classes of very many rows, are
+broadcast (at most 65,536 of them).  Only counters reach the driver; the
+fingerprints stay distributed.
 
 Defined results: NULL text counts as empty; texts without words have
 fingerprint 0 and link like any other; rows that repeat an id are rows of
@@ -34,7 +36,7 @@ empty result; other columns pass through ``keep_one``.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, combinations
 
 import numpy as np
 import pandas as pd
@@ -52,7 +54,11 @@ MAX_DISTANCE = 4
 HASH_SEED = 42
 BITS = 64
 FANOUT = 8
-MIN_CELL = 4_096            # a bucket is cut above this and 4 times the mean bucket
+MEAN_BUCKET = 2_048         # of random fingerprints; beyond, the routes' keys get longer
+MIN_CELL = 16_384           # a bucket above this is cut
+MAX_LISTED = 1 << 20        # large buckets in a broadcast (24 bytes each)
+SALTS = 256
+HUB = 1 << 16               # rows of a node or class above which its value is broadcast
 EXPAND = 1 << 21            # node pairs expanded at once
 CHUNK = 1 << 19             # rows of whole cells indexed at once
 
@@ -245,51 +251,62 @@ def gray_links(cells: np.ndarray, codes: np.ndarray, max_distance: int = MAX_DIS
 
 # -- links of all fingerprints ------------------------------------------------
 
-def segments(max_distance: int) -> list[tuple[int, int]]:
-    """(offset, key width) of max_distance + 1 segments of the 64 bits; of a
-    segment wider than 16 bits the first 16 are the key."""
-    n = max_distance + 1
-    cut = [BITS * i // n for i in range(n + 1)]
-    return [(a, min(16, b - a)) for a, b in zip(cut, cut[1:])]
-
-
-def _rotated(offset: int):
-    if not offset:
-        return F.col("fp")
-    return F.shiftleft("fp", offset).bitwiseOR(F.shiftrightunsigned("fp", BITS - offset))
+def routes(max_distance: int, total: int) -> list[int]:
+    """Masks of bits, such that fingerprints within the distance agree in all bits
+    of at least one mask.  Of m segments they differ in at most ``max_distance``, so
+    they agree in some m - ``max_distance`` of them: m is the smallest number for
+    which ``total`` random fingerprints make buckets of at most ``MEAN_BUCKET``."""
+    m = max_distance + 1
+    while True:
+        cut = [BITS * i // m for i in range(m + 1)]
+        masks = [sum((1 << cut[i + 1]) - (1 << cut[i]) for i in chosen)
+                 for chosen in combinations(range(m), m - max_distance)]
+        if m == BITS or total >> min(x.bit_count() for x in masks) <= MEAN_BUCKET:
+            return masks
+        m += 1
+
+
+def _signed(mask: int) -> int:
+    return mask - (1 << BITS) if mask >> BITS - 1 else mask
+
+
+def _pieces(routed: DataFrame, rows: int) -> DataFrame:
+    """``routed`` with ``p``, the number of pieces of its bucket.  The list of large
+    buckets is broadcast up to ``MAX_LISTED`` of them; beyond, it is joined by
+    shuffle, the buckets' rows spread by a salt."""
+    bucket = ["route", "key"]
+    large = (routed.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > MIN_CELL)
+             .select(*bucket, F.ceil(F.col("n") / MIN_CELL).cast("long").alias("p")))
+    if rows // MIN_CELL > MAX_LISTED:          # there may be so many
+        large = materialize(large)
+    if rows // MIN_CELL > MAX_LISTED and large.count() > MAX_LISTED:
+        salts = large.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = (routed.withColumn("salt", F.pmod(F.xxhash64("code"), F.lit(SALTS)).cast("int"))
+                  .join(salts, [*bucket, "salt"], "left").drop("salt"))
+    else:
+        joined = routed.join(F.broadcast(large), bucket, "left")
+    return joined.withColumn("p", F.coalesce("p", F.lit(1).cast("long")))
 
 
 def links(fps: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
     """(a, b) links that connect every component of the distinct ``fp``."""
-    parts = segments(max_distance)
-    routes = F.array(*[F.struct(F.lit(r).alias("route"), _rotated(at).alias("code"),
-                                F.shiftrightunsigned(_rotated(at), BITS - width).alias("key"))
-                       for r, (at, width) in enumerate(parts)])
-    routed = fps.select(F.inline(routes))
     total = fps.count()
-    limit = max(MIN_CELL, 4 * total >> min(w for _, w in parts))
-    # at most a row per segment key: (max_distance + 1) x 2^16, 5 x 2^13 at distance 4
-    large = (routed.groupBy("route", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limit)
-             .select("route", "key", F.ceil(F.col("n") / limit).cast("long").alias("pieces")))
-    cut = routed.join(F.broadcast(large), ["route", "key"], "left")
-    pieces = F.coalesce("pieces", F.lit(1).cast("long"))
-    celled = (cut.withColumn("p", pieces).withColumn("i", F.pmod(F.xxhash64("code"), F.col("p")))
+    masks = routes(max_distance, total)
+    routed = fps.select(F.col("fp").alias("code"), F.inline(F.array(*[
+        F.struct(F.lit(r).alias("route"), F.col("fp").bitwiseAND(F.lit(_signed(x)).cast("long")).alias("key"))
+        for r, x in enumerate(masks)])))
+    celled = (_pieces(routed, total * len(masks)).withColumn("i", F.pmod(F.xxhash64("code"), F.col("p")))
               .withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("p") - 1)))
               .select("route", "key", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "code"))
-    offsets = np.array([at for at, _ in parts], "uint64")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
         rows = 0
 
         def solve(table: list[np.ndarray]) -> pa.RecordBatch:
-            route, cell, code = table
-            code = code.view("uint64")
-            ends = gray_links(cell, code, max_distance)
-            at = offsets[route[ends[0]]]
-            back = [np.where(at == 0, w, (w >> at) | (w << ((np.uint64(BITS) - at) % np.uint64(BITS))))
-                    for w in (code[e] for e in ends)]
-            return pa.RecordBatch.from_arrays([pa.array(w.view("int64")) for w in back], names=["a", "b"])
+            cell, code = table
+            ends = gray_links(cell, code.view("uint64"), max_distance)
+            return pa.RecordBatch.from_arrays([pa.array(code[e]) for e in ends], names=["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -299,26 +316,35 @@ def links(fps: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
             if rows < CHUNK:
                 continue
             table = [np.concatenate(x) for x in zip(*held)]
-            last = int(np.searchsorted(table[1], table[1][-1], "left"))
+            last = int(np.searchsorted(table[0], table[0][-1], "left"))
             if last:
                 yield solve([x[:last] for x in table])
-            held, rows = [[x[last:] for x in table]], len(table[1]) - last
+            held, rows = [[x[last:] for x in table]], len(table[0]) - last
         if held:
             yield solve([np.concatenate(x) for x in zip(*held)])
 
-    # route, segment key (16 bits) and piece pair (14 bits each: pieces <= 2^16 / 4) in one number
-    cell = ((F.col("route").cast("long") * (1 << 16) + F.col("key")) * (1 << 14) + F.col("i")) * (1 << 14) + F.col("j")
-    return (celled.select("route", cell.alias("cell"), "code")
+    # cells that share a number by chance are searched as one: every link is checked
+    return (celled.select(F.xxhash64("route", "key", "i", "j").alias("cell"), "code")
             .repartition("cell").sortWithinPartitions("cell")
             .mapInArrow(search, "a long, b long"))
 
 
 # -- components ---------------------------------------------------------------
 
+def _with_value(rows: DataFrame, values: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows`` (``total`` of them) left joined with ``values``, one row a key.  Keys
+    of more than max(``HUB``, total / 65,536) rows are few and go by broadcast, so no
+    task of the shuffle gets all rows of a hub."""
+    hubs = F.broadcast(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max(HUB, total >> 16))
+                       .drop("n").join(values, key, "left"))
+    return (rows.join(hubs, key)
+            .unionByName(rows.join(hubs.select(key), key, "left_anti").join(values, key, "left")))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of ``edges`` (a, b): alternating large-star and
-    small-star rounds until nothing changes.  Every step is a join or an
-    aggregate by node; a hub's neighbours are only ever reduced to a minimum."""
+    small-star rounds until nothing changes.  Every step is a join or an aggregate
+    by node; a hub's neighbours are only ever reduced to a minimum."""
     a, b = F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
     edges = materialize(edges.filter("a != b").select(a, b).distinct())
 
@@ -327,12 +353,10 @@ def components(edges: DataFrame) -> DataFrame:
 
     before = mark(edges)
     while before[0]:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         # large star: larger neighbours of a node move to its smallest neighbour
-        large = (edges.select(F.col("b").alias("a"), F.col("a").alias("b")).join(least, "a")
-                 .select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct())
-        large = materialize(large)
+        least = edges.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "b")
+        large = materialize(_with_value(edges, least, "b", before[0])
+                            .select("a", F.coalesce("m", "b").alias("b")).distinct())
         # small star: smaller neighbours of a node and the node move to the smallest
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = (large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b")
@@ -356,7 +380,7 @@ def near_classes(rows: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame
               .withColumn("root", F.coalesce("root", "fp")))
     rooted = materialize(rooted)
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    return rooted.join(least, "root").select("fp", "root", "component_id")
+    return _with_value(rooted, least, "root", rooted.count()).select("fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_distance: int = MAX_DISTANCE,
