@@ -179,3 +179,44 @@ def test_no_job_runs_while_the_feature_plan_is_built(spark):
         assert not tracker.getJobIdsForGroup("plan-only")
     finally:
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_window_strategy_is_linear_in_a_hot_user(spark):
+    """100 000 rows of a user in a day: the sliding frame added up 5e9 values, the running total does not."""
+    import time
+    n = 100_000
+    df = spark.range(n).select(
+        F.concat(F.lit("t"), "id").alias("transaction_id"), F.lit("hot").alias("user_id"),
+        (F.lit(1_700_000_000) + F.floor(F.col("id") * 86_000 / n)).cast("long").alias("event_unix"),
+        F.lit(1.0).alias("amount"), F.lit(0).alias("is_blocked"))
+    out = rolling_features(df, strategy="window")
+    plan = out._jdf.queryExecution().toString()
+    assert "RangeFrame, -86400" not in plan and "RangeFrame, -600" not in plan and "Join" not in plan
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    began = time.time()
+    got = out.agg(F.max("rolling_txn_count_24h"), F.sum("rolling_txn_count_24h")).first()
+    assert got[0] == n and got[1] >= n * (n + 1) // 2
+    assert time.time() - began < 60
+
+
+def test_window_strategy_at_cell_borders_and_before_the_epoch(spark):
+    rows, i = [], 0
+    for base in (-3 * 86400, 0, 86400 * 19_700):
+        for off in (-86401, -86400, -601, -600, -1, 0, 0, 1, 599, 600, 86399, 86400, 86401, 2 * 86400, 2 * 86400 + 1):
+            rows.append((f"t{i}", "u", base + off, float(i % 7), i % 2))
+            i += 1
+    check(spark, rows, FEATURE_SPECS + [RollingSpec("now", "sum", "amount", 0), RollingSpec("d3", "count", "transaction_id", 3 * 86400)])
+
+
+def test_window_strategy_keeps_decimals(spark):
+    from decimal import Decimal
+
+    from pyspark.sql import Window
+    df = spark.createDataFrame([("a", "u", 0, Decimal("1.10"), 0), ("b", "u", 50, Decimal("2.25"), 0),
+                                ("c", "u", 101, None, 0), ("d", "v", 5, None, 0)],
+                               "transaction_id string, user_id string, event_unix long, amount decimal(9,2), is_blocked int")
+    w = Window.partitionBy("user_id").orderBy("event_unix").rangeBetween(-100, 0)
+    plain = df.withColumn("s", F.sum("amount").over(w)).withColumn("m", F.avg("amount").over(w))
+    got = rolling_features(df, [RollingSpec("s", "sum", "amount", 100), RollingSpec("m", "avg", "amount", 100)], strategy="window")
+    assert got.schema.simpleString() == plain.schema.simpleString()
+    assert sorted(got.collect()) == sorted(plain.collect())

@@ -8,11 +8,16 @@ per key and see only each other.
 Two exact strategies, chosen by the caller and never by the data:
 
 ``window``
-    One ``Window.partitionBy(key).orderBy(t).rangeBetween(-L, 0)`` per frame
-    length.  Frames of equal partition/order spec share one exchange, one sort
-    and one Window node.  Every row of a key lands in one task, and a sliding
-    range frame is aggregated anew for every row, so the cost is rows times
-    rows per frame: for small users only.
+    One exchange, one sort and one Window node, no join.  Time is cut into cells
+    as long as the longest frame; a row counts in its own cell and, as a carried
+    row (time and values only), in the next one, which its frame may reach.
+    Inside a (key, cell) every row adds its values at ``t`` and an *expiry* row
+    subtracts them at ``t + L + 1`` if that lies in a cell where it counts; the
+    frame value is the running total.  Linear in the rows (Spark's own sliding
+    RANGE frame adds up the whole frame anew for every row), and a task holds
+    one key's cell and the one before it.  Rows without a time stay together by
+    key; prefer ``sweep`` where one key has very many of those, or most of the
+    rows of a day.
 
 ``sweep`` (default)
     Every row adds its values at ``t`` and an *expiry* row subtracts them at
@@ -83,17 +88,6 @@ def rolling_features(df: DataFrame, specs=FEATURE_SPECS, key: str = "user_id",
     raise ValueError(f"unknown strategy {strategy!r}")
 
 
-def _by_window(df, specs, key, order):
-    frames = {}
-    out = df
-    for s in specs:
-        w = frames.setdefault(
-            s.seconds, Window.partitionBy(key).orderBy(order).rangeBetween(-s.seconds, 0))
-        fn = {"sum": F.sum, "count": F.count, "avg": F.avg}[s.fn]
-        out = out.withColumn(s.name, fn(s.column).over(w))
-    return out
-
-
 def _integral(dtype) -> bool:
     return isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
 
@@ -108,10 +102,10 @@ EXACT_SPLIT_LIMIT = float(2 ** 53)
 _DOUBLE_KINDS = ("h", "f", "nan", "pinf", "ninf")
 
 
-def _kinds(fn: str, integral: bool) -> tuple[str, ...]:
+def _kinds(fn: str, dtype: T.DataType) -> tuple[str, ...]:
     if fn == "count":
         return ("n",)
-    return (("s",) if integral else _DOUBLE_KINDS) + ("n",)
+    return (("s",) if _integral(dtype) else _DOUBLE_KINDS) + ("n",)
 
 
 def _value_of(column: str, kind: str, integral: bool) -> F.Column:
@@ -142,6 +136,86 @@ def _zero(kind: str) -> F.Column:
     return F.lit(0.0).cast("double") if kind == "f" else F.lit(0).cast("long")
 
 
+def _kinds_exact(fn: str, dtype: T.DataType) -> tuple[str, ...]:
+    """Decimals stay decimals (kind 'x')."""
+    return ("x", "n") if fn != "count" and isinstance(dtype, T.DecimalType) else _kinds(fn, dtype)
+
+
+def _measures(specs, types, kinds=_kinds) -> list[tuple[str, int, str]]:
+    """(column, length, kind) of every running total that the specs need."""
+    return list(dict.fromkeys((s.column, s.seconds, kind) for s in specs for kind in kinds(s.fn, types[s.column])))
+
+
+def _outputs(specs, types, totals: dict, kinds=_kinds) -> list[F.Column]:
+    """The specs' columns from the frame totals by measure."""
+    inf = F.lit(float("inf"))
+
+    def frame_sum(s):
+        tot = {kind: totals[(s.column, s.seconds, kind)] for kind in kinds(s.fn, types[s.column])}
+        if "s" in tot or "x" in tot:
+            return tot["s"] if "s" in tot else tot["x"]
+        return (F.when((tot["nan"] > 0) | ((tot["pinf"] > 0) & (tot["ninf"] > 0)), F.lit(float("nan")))
+                .when(tot["pinf"] > 0, inf).when(tot["ninf"] > 0, -inf)
+                .otherwise(tot["h"].cast("double") + tot["f"]))
+
+    outs = []
+    for s in specs:
+        n = totals[(s.column, s.seconds, "n")]
+        if s.fn == "count":
+            outs.append(n.alias(s.name))
+        elif s.fn == "sum":
+            outs.append(F.when(n > 0, frame_sum(s)).alias(s.name))
+        elif "x" in kinds(s.fn, types[s.column]):  # avg, of the type that Spark gives it
+            mean = T.DecimalType(*[min(v + 4, 38) for v in (types[s.column].precision, types[s.column].scale)])
+            outs.append(F.when(n > 0, (frame_sum(s) / n.cast("decimal(20,0)")).cast(mean)).alias(s.name))
+        else:  # avg
+            outs.append(F.when(n > 0, frame_sum(s).cast("double") / n.cast("double")).alias(s.name))
+    return outs
+
+
+def _by_window(df, specs, key, order):
+    types = {f.name: f.dataType for f in df.schema.fields}
+    lengths = sorted({s.seconds for s in specs})
+    measures = _measures(specs, types, _kinds_exact)
+    mname = {m: f"__d{i}" for i, m in enumerate(measures)}
+    t = F.col("__t0")
+    size = max([*lengths, 1])          # a frame reaches into one earlier cell at most
+
+    def cell(at):                      # its first second
+        return at - F.pmod(at, F.lit(size))
+
+    # What a row becomes: itself (kind 0); carried into the next cell, where its
+    # frames end there (kind 1); its expiries (kind 2 + i, one per frame length) in
+    # the last cell where it counts, unless the next cell begins with them.
+    own = cell(t)
+    entries = [F.struct(F.lit(0).alias("kind"), own.alias("cell"), t.alias("at")),
+               F.when(cell(t + size) > own, F.struct(F.lit(1).alias("kind"), (own + size).alias("cell"), t.alias("at")))]
+    for i, length in enumerate(lengths):
+        last = cell(t + length)
+        entries.append(F.when(cell(t + length + 1) == last, F.struct(
+            F.lit(2 + i).alias("kind"), last.alias("cell"), (t + length + 1).alias("at"))))
+    base = (df.select("*", F.col(order).cast("long").alias("__t0"))
+            .select("*", F.explode(F.filter(F.array(*entries), lambda e: e.isNotNull())).alias("__e")))
+    kind = F.col("__e.kind")
+
+    def delta(m):
+        column, length, what = m
+        none = F.lit(0).cast(types[column]) if what == "x" else _zero(what)
+        v = F.coalesce(F.col(column), none) if what == "x" else _value_of(column, what, _integral(types[column]))
+        return (F.when((kind == 0) | ((kind == 1) & (cell(t + length) > own)), v)
+                .when(kind == 2 + lengths.index(length), -v).otherwise(none))
+
+    events = base.select(
+        F.when(kind == 0, F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("__row"),
+        F.col(key).alias("__key"), F.col("__e.cell").alias("__cell"), F.col("__e.at").alias("__t"),
+        *[delta(m).alias(mname[m]) for m in measures])
+    running = Window.partitionBy("__key", "__cell").orderBy("__t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    totals = {m: F.col(f"{mname[m]}r") for m in measures}
+    return (events.select("__row", *[F.sum(mname[m]).over(running).alias(f"{mname[m]}r") for m in measures])
+            .filter(F.col("__row").isNotNull())
+            .select(*[F.col(f"__row.`{c}`").alias(c) for c in df.columns], *_outputs(specs, types, totals, _kinds_exact)))
+
+
 def _by_sweep(df, specs, key, order, cell_seconds):
     types = {f.name: f.dataType for f in df.schema.fields}
     lengths = sorted({s.seconds for s in specs})
@@ -151,12 +225,7 @@ def _by_sweep(df, specs, key, order, cell_seconds):
     # fractions (magnitude below the frame's row count) go through double
     # arithmetic, so adding a value and later expiring it cancels to within
     # a few ulps of the frame's row count -- not of the running total.
-    measures = []
-    for s in specs:
-        for kind in _kinds(s.fn, _integral(types[s.column])):
-            m = (s.column, s.seconds, kind)
-            if m not in measures:
-                measures.append(m)
+    measures = _measures(specs, types)
     mname = {m: f"__d{i}" for i, m in enumerate(measures)}
     mkind = {mname[m]: m[2] for m in measures}
 
@@ -212,26 +281,6 @@ def _by_sweep(df, specs, key, order, cell_seconds):
     ).filter(F.col("__kind") == 0)
     joined = within.join(offsets, own, "left").select("*", *[F.col(f"__row.`{c}`").alias(c) for c in df.columns])
 
-    totals = {d: F.when(untimed, _zero(mkind[d])).otherwise(F.col(f"{d}r"))
-              + F.coalesce(F.col(f"{d}o"), _zero(mkind[d])) for d in delta_cols}
-
-    def frame_sum(s):
-        tot = {kind: totals[mname[(s.column, s.seconds, kind)]]
-               for kind in _kinds(s.fn, _integral(types[s.column]))}
-        if "s" in tot:
-            return tot["s"]
-        inf = F.lit(float("inf"))
-        return (F.when((tot["nan"] > 0) | ((tot["pinf"] > 0) & (tot["ninf"] > 0)), F.lit(float("nan")))
-                .when(tot["pinf"] > 0, inf).when(tot["ninf"] > 0, -inf)
-                .otherwise(tot["h"].cast("double") + tot["f"]))
-
-    outs = []
-    for s in specs:
-        n = totals[mname[(s.column, s.seconds, "n")]]
-        if s.fn == "count":
-            outs.append(n.alias(s.name))
-        elif s.fn == "sum":
-            outs.append(F.when(n > 0, frame_sum(s)).alias(s.name))
-        else:  # avg
-            outs.append(F.when(n > 0, frame_sum(s).cast("double") / n.cast("double")).alias(s.name))
-    return joined.select(*[F.col(c) for c in df.columns], *outs)
+    totals = {m: F.when(untimed, _zero(mkind[d])).otherwise(F.col(f"{d}r"))
+              + F.coalesce(F.col(f"{d}o"), _zero(mkind[d])) for m, d in mname.items()}
+    return joined.select(*[F.col(c) for c in df.columns], *_outputs(specs, types, totals))
