@@ -144,3 +144,31 @@ def test_network_stops_early(spark, monkeypatch):
     model = M.train_network(df, df, ["x"], "y", "w", hidden=[2], slices=2)
     assert model.history == [0.6, 0.9, 0.7, 0.8, 0.85]
     assert [w for w, _, _ in model.layers][0] == M._unpack(weights[1], [1, 2, 1])[0][0].tolist()
+
+
+def test_a_training_step_reads_its_own_part_only(spark, monkeypatch):
+    """The rows are packed once into blocks by part: a step's Python gets its part's rows, no others,
+    and the model is that of plain sums over the rows."""
+    import numpy as np
+
+    from txlens.operators import ml as M
+    from txlens.operators.vector_sums import block_rows, row_blocks
+    df = spark.range(5000).select(F.col("id").cast("double").alias("x"), (F.col("id") % 3).cast("double").alias("y"),
+                                  (F.col("id") % 4).cast("int").alias("slice")).repartition(3)
+    blocks = row_blocks(df, 2, 4).persist()
+    assert blocks.count() <= 3 * 4
+    for part in range(4):
+        rows = np.vstack(list(block_rows(blocks.filter(F.col("part") == part).toArrow().to_batches(), 2)))
+        assert sorted(rows[:, 0].astype(int)) == list(range(part, 5000, 4))
+        assert (rows[:, 0] % 3 == rows[:, 1]).all()
+    blocks.unpersist()
+    sent = []
+    real = M.sum_vectors
+    monkeypatch.setattr(M, "sum_vectors", lambda rows, *a: (sent.append(rows.columns), real(rows, *a))[1])
+    train = spark.range(300).select((F.col("id") / 300).alias("x"), (F.col("id") > 150).cast("int").alias("y"), F.lit(1.0).alias("w"))
+    one, more = (M.train_network(train.repartition(n), train, ["x"], "y", "w", hidden=[3], slices=2) for n in (1, 5))
+    assert sent and all(c == ["part", "block"] for c in sent)
+    for (w, b, _), (v, c, _) in zip(one.layers, more.layers):
+        assert np.allclose(w, v) and np.allclose(b, c)
+    with pytest.raises(Exception, match="NULL in a label"):
+        M.train_network(train.withColumn("y", F.lit(None).cast("int")), train, ["x"], "y", "w", hidden=[2], slices=2)

@@ -24,7 +24,7 @@ from txlens.functions.scalars import with_scalars
 from txlens.operators.filters import drop_non_finite
 from txlens.operators.ordering import prefix_sums
 from txlens.operators.risk import moments
-from txlens.operators.vector_sums import matrix, sum_vectors
+from txlens.operators.vector_sums import block_rows, row_blocks, sum_vectors
 
 
 class QualityGateError(RuntimeError):
@@ -215,20 +215,21 @@ def network_gradient(x: np.ndarray, y: np.ndarray, w: np.ndarray, theta: np.ndar
 BINS = 4096
 
 
-def _binned_auc(rows: DataFrame, theta: np.ndarray, sizes: list[int]) -> float:
-    """AUC with scores in ``BINS`` classes: one pass, for early stopping only."""
+def _binned_auc(blocks: DataFrame, theta: np.ndarray, sizes: list[int]) -> float:
+    """AUC with scores in ``BINS`` classes: one pass over blocks of inputs and label,
+    for early stopping only."""
     d = sizes[0]
 
     def count(batches):
         total = np.zeros((2, BINS))
-        for b in batches:
-            p = _sigmoid(_forward(matrix(b, 0, d), _unpack(theta, sizes))[-1][:, 0])
+        for rows in block_rows(batches, d + 1):
+            p = _sigmoid(_forward(rows[:, :d], _unpack(theta, sizes))[-1][:, 0])
             at = np.minimum((p * BINS).astype("int64"), BINS - 1)
             for c in (0, 1):
-                total[c] += np.bincount(at[b.column(d).to_numpy() == c], minlength=BINS)
+                total[c] += np.bincount(at[rows[:, d] == c], minlength=BINS)
         yield total.ravel()
 
-    neg, pos = sum_vectors(rows, count, 2 * BINS).reshape(2, BINS)
+    neg, pos = sum_vectors(blocks, count, 2 * BINS).reshape(2, BINS)
     pairs = pos.sum() * neg.sum()
     return float((pos * (np.cumsum(neg) - neg / 2)).sum() / pairs) if pairs else math.nan
 
@@ -242,8 +243,9 @@ def train_network(train: DataFrame, validation: DataFrame, inputs: list[str], la
     An epoch is one pass over the rows in ``slices`` parts, by the hash of the columns
     ``slice_by`` (default: the inputs; name raw ones where the inputs are scaled); a
     part's gradient is a sum over the executors, the step is taken on the driver (a
-    few hundred parameters).  So no row is copied or moved, and the result does not
-    depend on partitions.  NULL inputs are not allowed; rows of weight 0 count
+    few hundred parameters).  The rows stay in their partitions, packed once into
+    blocks per part, so a step reads its own part only; the result does not depend on
+    partitions.  NULL inputs are not allowed; rows of weight 0 count
     nothing.
     """
     sizes = [len(inputs), *hidden, 1]
@@ -253,8 +255,10 @@ def train_network(train: DataFrame, validation: DataFrame, inputs: list[str], la
     cols = [F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(inputs)]
     d = len(inputs)
     part_of = F.pmod(F.xxhash64(*(slice_by or inputs)), F.lit(slices)).cast("int").alias("slice")
-    rows = train.select(*cols, F.col(label).cast("double").alias("y"), F.col(weight).cast("double").alias("w"), part_of).persist()
-    held = validation.select(*cols, F.col(label).cast("double").alias("y")).persist()
+    y = F.col(label).cast("double").alias("y")
+    rows = row_blocks(train.select(*cols, y, F.col(weight).cast("double").alias("w"), part_of),
+                      d + 2, slices, required=(d, d + 1)).persist()
+    held = row_blocks(validation.select(*cols, y), d + 1, required=(d,)).persist()
     first, second, step = np.zeros_like(theta), np.zeros_like(theta), 0
     best, best_theta, history, waited = -1.0, theta, [], 0
     try:
@@ -264,12 +268,11 @@ def train_network(train: DataFrame, validation: DataFrame, inputs: list[str], la
 
                 def gradient(batches):
                     total = np.zeros(len(now) + 1)
-                    for b in batches:
-                        if b.num_rows:
-                            total += network_gradient(matrix(b, 0, d), b.column(d).to_numpy(), b.column(d + 1).to_numpy(), now, sizes)
+                    for x in block_rows(batches, d + 2):
+                        total += network_gradient(x[:, :d], x[:, d], x[:, d + 1], now, sizes)
                     yield total
 
-                sums = sum_vectors(rows.filter(F.col("slice") == part), gradient, len(theta) + 1)
+                sums = sum_vectors(rows.filter(F.col("part") == part), gradient, len(theta) + 1)
                 if not sums[-1]:
                     continue
                 g, step = sums[:-1] / sums[-1], step + 1

@@ -152,7 +152,8 @@ def ml9(spark, sf):
 
 def _train_and_evaluate(spark, sf, kind):
     data = fx.training_set(spark, sf)
-    split = stratified_split(data, "Class", "transaction_id")
+    # read for the scaler, the weights, the fit, the scores and the count: split once
+    split = materialize(stratified_split(data, "Class", "transaction_id"))
     train = split.filter("is_validation = 0")
     val = split.filter("is_validation = 1")
     path = f"{checkpoint_dir(spark).rstrip('/')}/txlens-io/model-{uuid.uuid4().hex}"
