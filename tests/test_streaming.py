@@ -289,3 +289,77 @@ def test_refresh_query_clusters_with_all_starts(spark, monkeypatch):
     with pytest.raises(InterruptedError):
         catalog_streaming.str5(spark, "")
     assert ST.FeatureStreamUpdater("out", **seen).cluster_starts == K.CLUSTER_STARTS
+
+
+def test_rolling_state_calls_follow_hours_not_rows():
+    """One user's batches of many rows: the calls to the state store (each a round trip)
+    follow hours and buckets of ids, and the features are those of plain counting."""
+    import numpy as np
+
+    from txlens.streaming.rolling_state import PLACE_BUCKETS, RollingStateProcessor
+    calls = []
+
+    class Map(dict):
+        def containsKey(self, k):
+            calls.append("has")
+            return k in self
+
+        def getValue(self, k):
+            calls.append("get")
+            return self[k]
+
+        def updateValue(self, k, v):
+            calls.append("put")
+            self[k] = v
+
+        def removeKey(self, k):
+            calls.append("del")
+            self.pop(k, None)
+
+    class Value:
+        v = None
+
+        def exists(self):
+            return self.v is not None
+
+        def get(self):
+            return self.v
+
+        def update(self, v):
+            self.v = v
+
+    class Handle:
+        maps: dict = {}
+
+        def getMapState(self, name, *a):
+            return self.maps.setdefault(name, Map())
+
+        def getValueState(self, *a):
+            return Value()
+
+    p = RollingStateProcessor(86_400)
+    p.init(Handle())
+    rnd = np.random.default_rng(1)
+
+    def batch(first, n, low, high):
+        t = rnd.integers(low, high, n)
+        return pd.DataFrame({"transaction_id": [f"t{first + i}" for i in range(n)], "user_id": "u", "amount": 1.0,
+                             "event_time": "x", "hour": 1, "device_risk": 0.1, "location_risk": 0.1, "txn_velocity": 1.0,
+                             "edge_fraud_probability": 0.1, "status": "approved", "event_unix": t, "event_ms": t * 1000})
+
+    day, n = 86_400, 20_000
+    one, two = batch(0, n, 0, 3 * day), batch(n - 500, n, 3 * day, 6 * day)     # 500 ids come again, later
+    emitted = []
+    for frame in (one, two):
+        calls.clear()
+        emitted += list(p.handleInputRows(("u",), iter([frame.iloc[:7000], frame.iloc[7000:]]), None))
+        assert len(calls) < 4 * PLACE_BUCKETS + 10 * 24 * 6, len(calls)
+    out = pd.concat(emitted).sort_values("emit_seq").drop_duplicates("transaction_id", keep="last").set_index("transaction_id")
+    current = pd.concat([one, two]).sort_values("event_ms").drop_duplicates("transaction_id", keep="last")
+    t = np.sort(current["event_unix"].to_numpy())
+    own = current.set_index("transaction_id")["event_unix"]
+    want = np.searchsorted(t, own, side="right") - np.searchsorted(t, own - day, side="left")
+    got = out.loc[own.index, "rolling_txn_count_24h"].to_numpy()
+    recent = (own >= 2 * day).to_numpy()           # older rows that stood beside a replaced copy are past recall
+    assert len(out) == len(current) and (got[recent] == want[recent]).all()
+    assert min(k for (k,) in Handle.maps["cells"]) >= (t[-1] - 2 * day) // 3600

@@ -39,11 +39,10 @@ def run_feature_stream_input(spark, sf, newest_first=False, faulty=False):
     staged = f"{root}/staged"
     (feed.withColumn("__day", day).repartition("__day").write.partitionBy("__day")
      .option("header", True).csv(staged))
-    days = sorted(r[0] for r in spark.read.option("header", True).csv(staged).select("__day").distinct().collect())
-    if newest_first:
-        days = days[::-1]
     fs, _ = hadoop_path(spark, root)
     jvm = spark.sparkContext._jvm
+    folders = [st.getPath().getName() for st in fs.listStatus(jvm.org.apache.hadoop.fs.Path(staged)) if st.isDirectory()]
+    days = sorted((f.split("=", 1)[1] for f in folders if f.startswith("__day=")), reverse=newest_first)
     fs.mkdirs(jvm.org.apache.hadoop.fs.Path(f"{root}/in"))
     began = 1_700_000_000_000
     for i, d in enumerate(days):

@@ -4,7 +4,7 @@
 that a batch reads and writes what it touches, not the user's whole history:
 
 * ``cells``: the rows of each hour, the latest copy per transaction id;
-* ``places``: the hour in which an id's current copy lies;
+* ``places``: the hour in which an id's current copy lies, in buckets of ids;
 * ``untimed``: rows without a time (they see only each other);
 * ``newest``: the newest event time, and a sequence number.
 
@@ -17,23 +17,27 @@ For each micro-batch and user:
   every row from the earliest of them to 24 h after the latest is recomputed
   and emitted again with a growing ``emit_seq``, so a downstream upsert by
   ``transaction_id`` keeping the highest ``emit_seq`` holds the exact features;
-* hours before ``newest - lateness - 24 h`` are evicted with their ids.
+* hours before ``newest - lateness - 24 h`` are evicted with their ids (those that a
+  batch itself passes by are never stored).
 
 With ``ttl_seconds`` the state of a user that sends nothing for that long (at
 least lateness + 24 h, in processing time) expires.
 
 Per batch and user one task holds the rows of the hours between the earliest
-changed time minus 24 h and the latest plus 24 h; frame sums over them are
-vectorised.  An id is expected to stay with one user (STR1 has no such limit).
+changed time minus 24 h and the latest plus 24 h.  All work on them is vectorised
+and goes by whole hours, buckets of ids and days, so the calls to the state store
+follow those, not the rows; features are handed out day by day.  An id is expected to stay with one user (STR1 has no such limit).
 """
 
 from __future__ import annotations
 
 import pickle
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -52,6 +56,8 @@ ROW_SCHEMA = T.StructType([T.StructField(n, t) for n, t in ROW_FIELDS])
 ROW_NAMES = [n for n, _ in ROW_FIELDS]
 
 CELL_SECONDS = 3600
+PLACE_BUCKETS = 256
+EMIT_CELLS = 24          # features are computed and handed out for so many hours at once
 PACKED = T.StructType([T.StructField("rows", T.BinaryType())])
 LONG = T.StructType([T.StructField("n", T.LongType())])
 
@@ -67,6 +73,22 @@ OUTPUT_SCHEMA = T.StructType(ROW_SCHEMA.fields + [
 ])
 FEATURES = [f.name for f in OUTPUT_SCHEMA.fields if f.name not in ROW_NAMES + ["emit_seq", "kind"]]
 
+_ARROW = {T.StringType: pa.string(), T.DoubleType: pa.float64(), T.IntegerType: pa.int32(), T.LongType: pa.int64()}
+PACK_SCHEMA = pa.schema([(n, _ARROW[type(t)]) for n, t in ROW_FIELDS])
+
+
+def pack(rows: pd.DataFrame) -> bytes:
+    """Rows as one Arrow stream, for the state."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, PACK_SCHEMA) as out:
+        out.write_batch(pa.RecordBatch.from_pandas(rows[ROW_NAMES], schema=PACK_SCHEMA, preserve_index=False))
+    return sink.getvalue().to_pybytes()
+
+
+def unpack(data: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(data).read_pandas()
+
+
 DEDUPE_ORDER = ["event_ms", "user_id", "amount", "event_time", "hour", "device_risk", "location_risk",
                 "txn_velocity", "edge_fraud_probability", "status"]
 
@@ -117,10 +139,9 @@ class RollingStateProcessor(StatefulProcessor):
         self.ttl = None if ttl_seconds is None else int(ttl_seconds) * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        key = T.StructType([T.StructField("cell", T.LongType())])
-        tid = T.StructType([T.StructField("id", T.StringType())])
-        self.cells = handle.getMapState("cells", key, PACKED, self.ttl)
-        self.places = handle.getMapState("places", tid, LONG, self.ttl)
+        number = T.StructType([T.StructField("n", T.LongType())])
+        self.cells = handle.getMapState("cells", number, PACKED, self.ttl)
+        self.places = handle.getMapState("places", number, PACKED, self.ttl)
         self.untimed = handle.getValueState("untimed", PACKED, self.ttl)
         self.newest = handle.getValueState("newest", LONG, self.ttl)
         self.seq = handle.getValueState("seq", LONG, self.ttl)
@@ -128,102 +149,131 @@ class RollingStateProcessor(StatefulProcessor):
 
     # -- state access ---------------------------------------------------------
 
-    def _cell(self, cell: int) -> list[tuple]:
-        return pickle.loads(self.cells.getValue((cell,))[0]) if self.cells.containsKey((cell,)) else []
-
-    def _number(self, state, default: int) -> int:
+    def _number(self, state, default: int | None) -> int | None:
         return int(state.get()[0]) if state.exists() else default
 
-    def _place(self, tid: str) -> int | None:
-        return int(self.places.getValue((tid,))[0]) if self.places.containsKey((tid,)) else None
+    def _ids(self, bucket: int) -> dict[str, int]:
+        """Cell by transaction id, of the ids of a bucket."""
+        return pickle.loads(self.places.getValue((bucket,))[0]) if self.places.containsKey((bucket,)) else {}
+
+    @staticmethod
+    def _buckets(ids: pd.Series) -> np.ndarray:
+        return np.fromiter((zlib.crc32((i or "").encode()) % PLACE_BUCKETS for i in ids), dtype=np.int64, count=len(ids))
 
     # -- one batch of one user ------------------------------------------------
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         new = pd.concat(list(rows), ignore_index=True)[ROW_NAMES]
-        newest = self._number(self.newest, -(2 ** 62))
-        late = (new["event_unix"] < newest - self.lateness).fillna(False).astype(bool)
+        before, oldest = self._number(self.newest, -(2 ** 62)), self._number(self.oldest, None)
+        late = (new["event_unix"] < before - self.lateness).fillna(False).astype(bool)
         if late.any():
             yield self._emit(new[late], "late", 0)
-        new = self._latest(new[~late])
+        new = self._latest(new[~late]).reset_index(drop=True)
         if new.empty:
             return
-        loaded: dict[int, list[tuple]] = {}
-        held = {r[0]: r for r in (pickle.loads(self.untimed.get()[0]) if self.untimed.exists() else [])}
-        at_id, at_unix = ROW_NAMES.index("transaction_id"), ROW_NAMES.index("event_unix")
-        times, untimed_changed = [], False
+        empty = new.iloc[:0]
+        loaded: dict[int, pd.DataFrame] = {}
 
-        def cell_rows(cell: int) -> list[tuple]:
+        def cell_rows(cell: int) -> pd.DataFrame:
             if cell not in loaded:
-                loaded[cell] = self._cell(cell)
+                stored = (oldest is not None and oldest <= cell <= before // CELL_SECONDS
+                          and self.cells.containsKey((cell,)))
+                loaded[cell] = unpack(self.cells.getValue((cell,))[0]) if stored else empty
             return loaded[cell]
 
-        dirty: set[int] = set()
-        for row in (tuple(None if pd.isna(v) else v for v in r) for r in new.itertuples(index=False, name=None)):
-            tid, place = row[at_id], self._place(row[at_id])
-            former = held.get(tid) if place is None else next(r for r in cell_rows(place) if r[at_id] == tid)
-            if former is not None:
-                if self._order(former) >= self._order(row):
-                    continue                                   # the copy that is here stays
-                if place is None:
-                    del held[tid]
-                    untimed_changed = True
-                else:
-                    loaded[place] = [r for r in cell_rows(place) if r[at_id] != tid]
-                    dirty.add(place)
-                    times.append(int(former[at_unix]))
-            if row[at_unix] is None:
-                held[tid] = row
-                untimed_changed = True
-            else:
-                t = int(row[at_unix])
-                cell = t // CELL_SECONDS
-                cell_rows(cell).append(row)
-                dirty.add(cell)
-                if cell != place:
-                    self.places.updateValue((tid,), (cell,))
-                times.append(t)
+        # where the ids were, and their former copies
+        bucket = self._buckets(new["transaction_id"])
+        ids = {b: self._ids(b) for b in np.unique(bucket).tolist()}
+        was = [ids[b].get(i) for b, i in zip(bucket.tolist(), new["transaction_id"])]
+        held = unpack(self.untimed.get()[0]) if self.untimed.exists() else empty
+        former = [f[f["transaction_id"].isin(new["transaction_id"])]
+                  for f in [held, *[cell_rows(c) for c in sorted({c for c in was if c is not None})]] if len(f)]
+        former = pd.concat(former, ignore_index=True) if any(len(f) for f in former) else empty
+        displaced = former
+        if len(former):
+            # the newer copy stays, of equal ones the one that is here
+            again = new["transaction_id"].isin(former["transaction_id"])
+            last = self._latest(pd.concat([new[again].assign(__new=True), former.assign(__new=False)], ignore_index=True))
+            stays = last.loc[~last["__new"], "transaction_id"]
+            keep = ~new["transaction_id"].isin(stays).to_numpy()
+            new, bucket = new[keep].reset_index(drop=True), bucket[keep]
+            displaced = former[~former["transaction_id"].isin(stays)]
         seq = self._number(self.seq, 0) + 1
         self.seq.update((seq,))
-        if untimed_changed:
-            self.untimed.update((pickle.dumps(list(held.values())),))
-            if held:
-                yield self._emit(untimed_features(pd.DataFrame(list(held.values()), columns=ROW_NAMES)), "feature", seq)
-        if not times:
+        timed = new["event_unix"].notna().to_numpy()
+        was_untimed = displaced["event_unix"].isna()
+        if was_untimed.any() or not timed.all():
+            parts = [f for f in (held[~held["transaction_id"].isin(displaced["transaction_id"])], new[~timed]) if len(f)]
+            held = pd.concat(parts, ignore_index=True) if parts else empty
+            self.untimed.update((pack(held),))
+            if len(held):
+                yield self._emit(untimed_features(held), "feature", seq)
+        new, bucket, displaced = new[timed], bucket[timed], displaced[~was_untimed]
+        t = new["event_unix"].to_numpy(dtype=np.int64)
+        left = displaced["event_unix"].to_numpy(dtype=np.int64)
+        times = np.concatenate([t, left])
+        if not len(times):
             return
-        newest = max(newest, *times)
+
+        # the changed cells
+        dirty = set()
+        for cell in np.unique(left // CELL_SECONDS).tolist():
+            here = cell_rows(cell)
+            loaded[cell] = here[~here["transaction_id"].isin(displaced["transaction_id"])]
+            dirty.add(cell)
+        cell_of = t // CELL_SECONDS
+        for cell, mine in new.groupby(cell_of, sort=False):
+            here = cell_rows(int(cell))
+            loaded[int(cell)] = pd.concat([here, mine], ignore_index=True) if len(here) else mine
+            dirty.add(int(cell))
+        newest = max(before, int(times.max()))
         self.newest.update((newest,))
-        lo, hi = min(times), max(times) + WINDOW_24H_SECONDS
-        first = min(self._number(self.oldest, lo // CELL_SECONDS), lo // CELL_SECONDS)
-        span = range(max((lo - WINDOW_24H_SECONDS) // CELL_SECONDS, first), min(hi, newest) // CELL_SECONDS + 1)
-        around = pd.DataFrame([r for c in span for r in cell_rows(c)], columns=ROW_NAMES)
-        if len(around):
-            inside = around["event_unix"].between(lo, hi)
-            if inside.any():
-                yield self._emit(frame_features(around, around.loc[inside, "transaction_id"].to_numpy()), "feature", seq)
-        for cell in dirty:
-            if loaded[cell]:
-                self.cells.updateValue((cell,), (pickle.dumps(loaded[cell]),))
-            elif self.cells.containsKey((cell,)):
-                self.cells.removeKey((cell,))
+        lo, hi = int(times.min()), int(times.max()) + WINDOW_24H_SECONDS
+        first = min(lo // CELL_SECONDS if oldest is None else oldest, lo // CELL_SECONDS)
+        back = WINDOW_24H_SECONDS // CELL_SECONDS + 1
+        end = min(hi, newest) // CELL_SECONDS + 1
+        for start in range(lo // CELL_SECONDS, end, EMIT_CELLS):
+            around = [cell_rows(c) for c in range(max(start - back, first), min(start + EMIT_CELLS, end))]
+            around = [f for f in around if len(f)]
+            if around:
+                around = pd.concat(around, ignore_index=True)
+                from_, to = max(lo, start * CELL_SECONDS), min(hi, (start + EMIT_CELLS) * CELL_SECONDS - 1)
+                inside = around["event_unix"].between(from_, to)
+                if inside.any():
+                    yield self._emit(frame_features(around, around.loc[inside, "transaction_id"].to_numpy()), "feature", seq)
+
+        # what stays: no hour, and no id, before the horizon
         keep_from = (newest - self.lateness - WINDOW_24H_SECONDS) // CELL_SECONDS
-        for cell in range(first, keep_from):
+        for b, i, cell in zip(bucket.tolist(), new["transaction_id"], cell_of.tolist()):
+            ids[b][i] = cell
+        changed = set(bucket.tolist())
+        for cell in range(first if oldest is None else oldest, min(keep_from, before // CELL_SECONDS + 1)):
             if self.cells.containsKey((cell,)):
-                for r in self._cell(cell):
-                    self.places.removeKey((r[at_id],))
+                evicted = unpack(self.cells.getValue((cell,))[0])["transaction_id"]
+                changed |= set(self._buckets(evicted).tolist())
+                self.cells.removeKey((cell,))
+        for b in changed:
+            kept = {i: cell for i, cell in (ids[b] if b in ids else self._ids(b)).items() if cell >= keep_from}
+            if kept:
+                self.places.updateValue((b,), (pickle.dumps(kept),))
+            elif self.places.containsKey((b,)):
+                self.places.removeKey((b,))
+        for cell in sorted(c for c in dirty if c >= keep_from):
+            if len(loaded[cell]):
+                self.cells.updateValue((cell,), (pack(loaded[cell]),))
+            elif self.cells.containsKey((cell,)):
                 self.cells.removeKey((cell,))
         self.oldest.update((max(first, keep_from),))
 
     @staticmethod
     def _latest(rows: pd.DataFrame) -> pd.DataFrame:
-        return (rows.sort_values(DEDUPE_ORDER, kind="mergesort", na_position="first")
-                .drop_duplicates("transaction_id", keep="last"))
-
-    @staticmethod
-    def _order(row: tuple) -> tuple:
-        """Keep-latest order of copies: NULL before any value."""
-        values = dict(zip(ROW_NAMES, row))
-        return tuple((values[c] is not None, values[c] if values[c] is not None else 0) for c in DEDUPE_ORDER)
+        """The latest copy per id; of equal ones the last.  Only repeated ids are sorted."""
+        repeated = rows["transaction_id"].duplicated(keep=False)
+        if not repeated.any():
+            return rows
+        latest = (rows[repeated].sort_values(DEDUPE_ORDER, kind="mergesort", na_position="first")
+                  .drop_duplicates("transaction_id", keep="last"))
+        return pd.concat([rows[~repeated], latest]) if not repeated.all() else latest
 
     @staticmethod
     def _emit(rows: pd.DataFrame, kind: str, seq: int) -> pd.DataFrame:
