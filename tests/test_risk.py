@@ -132,3 +132,18 @@ def test_stratified_split_and_weights(spark):
     assert got == {(1, 6), (0, 34)}
     w = {r.Class: r.weight for r in class_weights(df, "Class").collect()}
     assert w[1] == pytest.approx(200 / (2 * 30)) and w[0] == pytest.approx(200 / (2 * 170))
+
+
+def test_kmeans_passes_read_packed_blocks(spark, monkeypatch):
+    """Every pass gets the points packed once, a few blocks per task, not every row's fields;
+    the cost is that of plain distances to the centres."""
+    df = spark.range(20_000).select(F.col("id"), (F.col("id") * 7 % 1009).cast("double").alias("x"),
+                                    (F.col("id") * 13 % 997).cast("double").alias("y"))
+    seen, lloyd, draw = [], RK._lloyd_pass, RK._draw_centres
+    monkeypatch.setattr(RK, "_lloyd_pass", lambda b, *a: seen.append((b.columns, b.count())) or lloyd(b, *a))
+    monkeypatch.setattr(RK, "_draw_centres", lambda b, *a: seen.append((b.columns, b.count())) or draw(b, *a))
+    out, centres, cost = RK.kmeans(df, ["x", "y"], k=3, starts=4, seed=5)
+    assert all(columns == ["part", "block"] and blocks < 50 for columns, blocks in seen)
+    far = [[(r.x - a) ** 2 + (r.y - b) ** 2 for a, b in centres] for r in out.collect()]
+    assert cost == pytest.approx(sum(min(f) for f in far), rel=1e-9)
+    assert [r.cluster for r in out.collect()] == [f.index(min(f)) + 1 for f in far]

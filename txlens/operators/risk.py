@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from txlens import constants as K
 from txlens.functions.scalars import with_scalars
-from txlens.operators.vector_sums import matrix, sum_vectors
+from txlens.operators.vector_sums import block_rows, longs, row_blocks, sum_vectors
 
 
 def minmax_stats(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -121,11 +121,13 @@ def _uniform(h: np.ndarray, salt: int) -> np.ndarray:
     return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype("float64") / 2.0 ** 53 + 2.0 ** -54
 
 
-def _squared_distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    return ((x[:, None, :] - centres[None]) ** 2).sum(axis=2)
+def _squared_distances(x: np.ndarray, centres: np.ndarray) -> list[np.ndarray]:
+    """Of the points (the columns of ``x``) to each centre; a plain loop over few
+    dimensions keeps every array in the cache."""
+    return [sum((x[j] - c[j]) ** 2 for j in range(len(c))) for c in centres]
 
 
-def _draw_centres(points: DataFrame, d: int, centres: list[np.ndarray], seed: int) -> list[np.ndarray]:
+def _draw_centres(blocks: DataFrame, d: int, centres: list[np.ndarray], seed: int) -> list[np.ndarray]:
     """One more centre per start, drawn with probability weight x squared distance to
     the start's centres (k-means++): a row's logarithmic weight plus a Gumbel number
     of its hash; the largest wins.  One pass for all starts."""
@@ -133,45 +135,48 @@ def _draw_centres(points: DataFrame, d: int, centres: list[np.ndarray], seed: in
 
     def best(batches):
         key, at = np.full(starts, -np.inf), np.zeros((starts, d))
-        for b in batches:
-            x, w, h = matrix(b, 0, d), b.column(d).to_numpy(), b.column(d + 1).to_numpy()
-            for s in range(starts if len(w) else 0):
-                far = _squared_distances(x, centres[s]).min(axis=1) if len(centres[s]) else np.ones(len(w))
+        for rows in block_rows(batches, d + 2):
+            x, w, h = np.ascontiguousarray(rows[:, :d].T), rows[:, d], longs(rows[:, d + 1])
+            for s in range(starts):
+                far = np.minimum.reduce(_squared_distances(x, centres[s])) if len(centres[s]) else np.ones(len(w))
                 with np.errstate(divide="ignore"):
                     own = np.log(w * far) - np.log(-np.log(_uniform(h, (seed + s) * 1009 + len(centres[s]))))
                 i = int(own.argmax())
                 if own[i] > key[s]:
-                    key[s], at[s] = own[i], x[i]
+                    key[s], at[s] = own[i], x[:, i]
         found = np.flatnonzero(key > -np.inf)
         yield pa.RecordBatch.from_arrays(
             [pa.array(found, pa.int32()), pa.array(key[found]), pa.array(list(at[found]), pa.list_(pa.float64()))],
             names=["s", "key", "x"])
 
-    drawn = (points.mapInArrow(best, "s int, key double, x array<double>").groupBy("s")
+    drawn = (blocks.mapInArrow(best, "s int, key double, x array<double>").groupBy("s")
              .agg(F.max(F.struct("key", "x")).alias("m")).collect())                     # a row per start
     of = {r.s: np.array(r.m.x) for r in drawn}
     return [np.vstack([c, of[s]]) for s, c in enumerate(centres)]
 
 
-def _lloyd_pass(points: DataFrame, d: int, centres: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, float]]:
+def _lloyd_pass(blocks: DataFrame, d: int, centres: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, float]]:
     """(sums, weights, cost) of each start's clusters, all in one pass."""
     k = len(centres[0])
     width = k * (d + 1) + 1
 
     def partial(batches):
         total = np.zeros((len(centres), width))
-        for b in batches:
-            x, w = matrix(b, 0, d), b.column(d).to_numpy()
+        for rows in block_rows(batches, d + 2):
+            x, w = np.ascontiguousarray(rows[:, :d].T), rows[:, d]
+            weighted = np.vstack([w, x * w])                     # weights, then each dimension
             for s, c in enumerate(centres):
-                far = _squared_distances(x, c)
-                own = far.argmin(axis=1)
-                total[s, :k] += np.bincount(own, w, k)
-                for j in range(d):
-                    total[s, k + j * k:k + (j + 1) * k] += np.bincount(own, w * x[:, j], k)
-                total[s, -1] += (w * far[np.arange(len(own)), own]).sum()
+                near, own = np.full(len(w), np.inf), np.zeros(len(w), dtype=np.int8)
+                for i, far in enumerate(_squared_distances(x, c)):
+                    closer = far < near                          # the first of equally near ones
+                    own[closer] = i
+                    near = np.minimum(near, far)
+                member = (own == np.arange(k, dtype=np.int8)[:, None]).astype("float64")
+                total[s, :-1] += (weighted @ member.T).ravel()
+                total[s, -1] += w @ near
         yield total.ravel()
 
-    sums = sum_vectors(points, partial, len(centres) * width).reshape(len(centres), width)
+    sums = sum_vectors(blocks, partial, len(centres) * width).reshape(len(centres), width)
     return [(v[k:-1].reshape(d, k).T, v[:k], float(v[-1])) for v in sums]
 
 
@@ -179,8 +184,8 @@ def kmeans(df: DataFrame, cols: list[str], k: int = K.CLUSTER_K, starts: int = K
            seed: int = K.RISK_SEED, max_iter: int = K.CLUSTER_MAX_ITER, out: str = "cluster", tol: float = 1e-4):
     """ML2: best of ``starts`` k-means runs (lowest cost) on ``cols``.
 
-    Equal points are first grouped to one with a weight (narrow, stored).  Every
-    pass over them serves all starts at once: a seeding pass draws one centre for
+    Equal points are first grouped to one with a weight (narrow, stored, and packed
+    once into blocks that stay with the executors).  Every pass over them serves all starts at once: a seeding pass draws one centre for
     each, a Lloyd pass moves the centres of the starts that still move (by more
     than ``tol``); so the passes are those of one run.  Draws are hashes of the
     points: the result does not depend on partitions.  Clusters are numbered 1..k
@@ -202,19 +207,23 @@ def kmeans(df: DataFrame, cols: list[str], k: int = K.CLUSTER_K, starts: int = K
                          .withColumn("h", F.xxhash64(*names)))
     if (distinct := points.limit(k).count()) < k:
         raise ValueError(f"k-means needs at least {k} distinct points, got {distinct}")
-    centres = [np.zeros((0, d)) for _ in range(starts)]
-    for _ in range(k):
-        centres = _draw_centres(points, d, centres, seed)
-    moving = list(range(starts))
-    for _ in range(max_iter):
-        for s, (sums, weights, _) in zip(list(moving), _lloyd_pass(points, d, [centres[s] for s in moving])):
-            new = np.where(weights[:, None] > 0, sums / np.maximum(weights, 1e-300)[:, None], centres[s])
-            if ((new - centres[s]) ** 2).sum(axis=1).max() <= tol ** 2:
-                moving.remove(s)
-            centres[s] = new
-        if not moving:
-            break
-    costs = [cost for _, _, cost in _lloyd_pass(points, d, centres)]
+    blocks = row_blocks(points.select(*names, "w", "h"), d + 2, required=(d, d + 1)).persist()
+    try:
+        centres = [np.zeros((0, d)) for _ in range(starts)]
+        for _ in range(k):
+            centres = _draw_centres(blocks, d, centres, seed)
+        moving = list(range(starts))
+        for _ in range(max_iter):
+            for s, (sums, weights, _) in zip(list(moving), _lloyd_pass(blocks, d, [centres[s] for s in moving])):
+                new = np.where(weights[:, None] > 0, sums / np.maximum(weights, 1e-300)[:, None], centres[s])
+                if ((new - centres[s]) ** 2).sum(axis=1).max() <= tol ** 2:
+                    moving.remove(s)
+                centres[s] = new
+            if not moving:
+                break
+        costs = [cost for _, _, cost in _lloyd_pass(blocks, d, centres)]
+    finally:
+        blocks.unpersist()
     best = int(np.argmin(costs))
     ordered = sorted(c.tolist() for c in centres[best])
     far = [F.struct(sum((F.col(c) - F.lit(v)) ** 2 for c, v in zip(cols, centre)).alias("far"), F.lit(i + 1).alias("i"))
