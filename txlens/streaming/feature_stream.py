@@ -247,7 +247,7 @@ class DecisionStreamUpdater:
         """(user_id, account_balance, version) after the last batch that changed it."""
         if not runs:
             return None
-        stored = spark.read.schema(BALANCE).parquet(*[f"{self.log.path}/runs/{r}" for r in runs])
+        stored = spark.read.schema(BALANCE).parquet(*[f"{self.log.path}/_runs/{r}" for r in runs])
         return stored.groupBy("user_id").agg(F.max_by("account_balance", "version").alias("account_balance"),
                                              F.max("version").alias("version"))
 
@@ -304,7 +304,7 @@ class DecisionStreamUpdater:
             accepted = feed.join(decisions.filter("code = 200").select("__row"), "__row", "left_semi")
             name = f"{commit}~feed"
             self.log.write_run(accepted.select(*REQUIRED_COLUMNS), name, append_transactions)
-            files = sorted(n for n in self.log.names(f"runs/{name}") if n.endswith(".csv") and n[0] not in "._")
+            files = sorted(n for n in self.log.names(f"_runs/{name}") if n.endswith(".csv") and n[0] not in "._")
             added[name] = {"kind": "feed", "stream": stream, "batch": batch_id, "files": files}
         self.log.commit(commit, stream, batch_id, written, [], added, dropped)
 
@@ -313,7 +313,7 @@ class DecisionStreamUpdater:
         for run, note in self.log.state().runs.items():
             if note["kind"] == "feed" and (note["stream"], note["batch"]) == (stream, batch_id):
                 for i, name in enumerate(note["files"]):
-                    self.log.copy_out(f"runs/{run}/{name}", f"{self.feed_dir}/accepted-{stream}-{batch_id:010d}-{i:05d}.csv")
+                    self.log.copy_out(f"_runs/{run}/{name}", f"{self.feed_dir}/accepted-{stream}-{batch_id:010d}-{i:05d}.csv")
 
 
 def start_decision_stream(spark: SparkSession, input_dir: str, checkpoint_location: str,

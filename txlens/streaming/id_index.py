@@ -40,7 +40,7 @@ class IdIndex:
     def lookup(self, state: State, ids: DataFrame, n_ids: int) -> DataFrame:
         """The entries of ``ids`` (distinct ``transaction_id``) in the runs of ``state``."""
         spark = self.log.spark
-        files = [(f"{self.log.path}/runs/{run}/{f['name']}", f) for run, note in state.runs.items() for f in note["files"]]
+        files = [(f"{self.log.path}/_runs/{run}/{f['name']}", f) for run, note in state.runs.items() for f in note["files"]]
         firsts = [[f["min"].encode() for f in note["files"]] for note in state.runs.values()]
         lasts = [[f["max"].encode() for f in note["files"]] for note in state.runs.values()]
 
@@ -74,7 +74,7 @@ class IdIndex:
 
     def write(self, entries: DataFrame, name: str, rows: int, level: int) -> dict[str, dict]:
         """A new run (not visible before its commit); returns its note for the log."""
-        spark, path = self.log.spark, f"{self.log.path}/runs/{name}"
+        spark, path = self.log.spark, f"{self.log.path}/_runs/{name}"
         (entries.select(*COLUMNS).repartitionByRange(max(1, -(-rows // self.file_rows)), "transaction_id")
          .sortWithinPartitions("transaction_id", "event_unix").write.mode("overwrite")
          .option("parquet.bloom.filter.enabled#transaction_id", "true")
@@ -94,7 +94,7 @@ class IdIndex:
             by_level.setdefault(note["level"], []).append(run)
         for level, runs in sorted(by_level.items()):
             if len(runs) >= self.fanout:
-                paths = [f"{self.log.path}/runs/{run}" for run in runs]
+                paths = [f"{self.log.path}/_runs/{run}" for run in runs]
                 rows = sum(f["rows"] for run in runs for f in state.runs[run]["files"])
                 entries = reduce(DataFrame.unionByName, [spark.read.schema(ENTRY).parquet(p) for p in paths]).distinct()
                 return self.write(entries, f"{name}~level{level + 1}", rows, level + 1), runs
